@@ -178,3 +178,161 @@ SELECT div, team, rating FROM (SELECT *, row_number() OVER (PARTITION BY div, te
 register("elo_features", "X3,J3", "WITH RECURSIVE " + O.CONTESTS + "," + O.ELO +
          " SELECT match_id, home_elo, away_elo, home_elo - away_elo AS elo_diff FROM elo")(
     lambda spark, sf: elo_features(elo_history(contests(spark, sf))))
+
+
+# ---------------------------------------------------------------- A/O/W10 history queries
+from ..operators import history as H  # noqa: E402
+from ..operators import quality as Q  # noqa: E402
+from ..operators import splits as SP  # noqa: E402
+from ..sources.contests import dirty_contests  # noqa: E402
+
+_TL = O.with_(O.CONTESTS, O.TEAM_LONG)
+
+register("team_record", "A1", _TL + """
+SELECT div, team,
+  COUNT(*) FILTER (WHERE is_home AND result = 'W') AS home_wins, COUNT(*) FILTER (WHERE is_home AND result = 'D') AS home_draws,
+  COUNT(*) FILTER (WHERE is_home AND result = 'L') AS home_losses, COUNT(*) FILTER (WHERE NOT is_home AND result = 'W') AS away_wins,
+  COUNT(*) FILTER (WHERE NOT is_home AND result = 'D') AS away_draws, COUNT(*) FILTER (WHERE NOT is_home AND result = 'L') AS away_losses,
+  COUNT(*) AS matches_played
+FROM tl GROUP BY div, team""")(lambda spark, sf: H.team_record(contests(spark, sf)))
+
+register("team_stats", "A3", _TL + """
+SELECT div, team, COUNT(*) AS matches, CAST(SUM(win) AS BIGINT) AS wins, CAST(SUM(draw) AS BIGINT) AS draws,
+  CAST(SUM(loss) AS BIGINT) AS losses, CAST(SUM(win) AS DOUBLE) / COUNT(*) AS win_rate,
+  CAST(SUM(gf) AS BIGINT) AS goals_for, CAST(SUM(ga) AS BIGINT) AS goals_against, CAST(SUM(gf) - SUM(ga) AS BIGINT) AS goal_diff,
+  CAST(SUM(gf) AS DOUBLE) / COUNT(*) AS avg_goals_scored, CAST(SUM(ga) AS DOUBLE) / COUNT(*) AS avg_goals_conceded,
+  CAST(SUM(CASE WHEN is_home THEN win END) AS DOUBLE) / NULLIF(COUNT(*) FILTER (WHERE is_home), 0) AS home_win_rate,
+  CAST(SUM(CASE WHEN NOT is_home THEN win END) AS DOUBLE) / NULLIF(COUNT(*) FILTER (WHERE NOT is_home), 0) AS away_win_rate
+FROM tl GROUP BY div, team""")(lambda spark, sf: H.team_stats(contests(spark, sf)))
+
+register("team_list", "U4", O.with_(O.CONTESTS) + """
+SELECT DISTINCT div, team FROM (SELECT div, home_team AS team FROM c UNION ALL SELECT div, away_team FROM c)""")(
+    lambda spark, sf: H.team_list(contests(spark, sf)))
+
+register("recent_matches", "O1,O9", O.with_(O.CONTESTS) + """
+SELECT match_id, match_date, div, home_team, away_team, fthg AS home_goals, ftag AS away_goals, ftr AS result
+FROM c ORDER BY match_date DESC, match_id DESC LIMIT 10""")(lambda spark, sf: H.recent_matches(contests(spark, sf)))
+
+register("recent_matches_by_team", "O1", _TL + """
+SELECT div, team, CAST(rank AS INTEGER) AS rank, match_id, match_date, opponent, is_home, gf, ga, result FROM (
+  SELECT *, row_number() OVER (PARTITION BY div, team ORDER BY match_date DESC, match_id DESC) AS rank FROM tl)
+WHERE rank <= 10""")(lambda spark, sf: H.recent_matches_by_team(contests(spark, sf)))
+
+register("h2h_summary", "A2,J2", O.with_(O.CONTESTS) + """,
+p AS (SELECT div, least(home_team, away_team) AS pair_lo, greatest(home_team, away_team) AS pair_hi, home_team, ftr FROM c)
+SELECT div, pair_lo, pair_hi, COUNT(*) AS total_meetings,
+  COUNT(*) FILTER (WHERE (home_team = pair_lo AND ftr = 'H') OR (home_team <> pair_lo AND ftr = 'A')) AS lo_wins,
+  COUNT(*) FILTER (WHERE (home_team = pair_lo AND ftr = 'A') OR (home_team <> pair_lo AND ftr = 'H')) AS hi_wins,
+  COUNT(*) FILTER (WHERE ftr = 'D') AS draws
+FROM p GROUP BY div, pair_lo, pair_hi""")(lambda spark, sf: H.h2h_summary(contests(spark, sf)))
+
+register("h2h_recent", "O2", O.with_(O.CONTESTS) + """
+SELECT * FROM (
+  SELECT div, least(home_team, away_team) AS pair_lo, greatest(home_team, away_team) AS pair_hi, match_id, match_date,
+    home_team, away_team, fthg AS home_goals, ftag AS away_goals, ftr AS result,
+    CAST(row_number() OVER (PARTITION BY div, least(home_team, away_team), greatest(home_team, away_team)
+                            ORDER BY match_date DESC, match_id DESC) AS INTEGER) AS rank
+  FROM c) WHERE rank <= 10""")(lambda spark, sf: H.h2h_recent(contests(spark, sf)))
+
+register("recent_form", "W10", _TL + """
+SELECT div, team, string_agg(result, '' ORDER BY match_date, match_id) AS recent_form FROM (
+  SELECT *, row_number() OVER (PARTITION BY div, team ORDER BY match_date DESC, match_id DESC) AS k FROM tl)
+WHERE k <= 5 GROUP BY div, team""")(lambda spark, sf: H.recent_form(contests(spark, sf)))
+
+
+# ---------------------------------------------------------------- P/V ingest and quality
+def _dirty_parsed(spark, sf):
+    return dirty_contests(spark, sf).drop("_true_date").withColumn("match_date", Q.parse_day_first("date_text"))
+
+
+_CLEAN_COLS = ["match_id", "div", "home_team", "away_team", "fthg", "ftag", "ftr", "hs", "aws", "hst", "ast",
+               "b365h", "b365d", "b365a", "match_date", "season_start", "season"]
+
+register("clean_contests", "P1,P2,P3,P4,P5,P7", O.with_(O.DIRTY) + " SELECT * FROM cleaned")(
+    lambda spark, sf: Q.clean_contests(dirty_contests(spark, sf)).select(*_CLEAN_COLS))
+
+register("cleaning_report", "P2,P3,P6", O.with_(O.DIRTY) + """
+SELECT COUNT(*) AS rows_in, COUNT(*) FILTER (WHERE ftr NOT IN ('H','D','A') OR ftr IS NULL) AS removed_bad_result,
+  COUNT(*) FILTER (WHERE ftr IN ('H','D','A') AND (match_date IS NULL OR home_team IS NULL OR away_team IS NULL
+                   OR fthg IS NULL OR ftag IS NULL)) AS removed_missing,
+  (SELECT COUNT(*) FROM cleaned) AS rows_out, (SELECT min(match_date) FROM cleaned) AS first_date,
+  (SELECT max(match_date) FROM cleaned) AS last_date, (SELECT COUNT(DISTINCT home_team) FROM cleaned) AS home_teams
+FROM parsed""")(lambda spark, sf: Q.cleaning_report(dirty_contests(spark, sf)))
+
+register("dq_report", "V1,V2,V3,V4,V5,V6,V7", O.with_(O.DIRTY) + """,
+nulls AS (
+  SELECT * FROM (VALUES ('match_date'), ('home_team'), ('away_team'), ('fthg'), ('ftag'), ('ftr')) v(col)),
+agg AS (
+  SELECT COUNT(*) FILTER (WHERE match_date IS NULL) AS n_match_date, COUNT(*) FILTER (WHERE home_team IS NULL) AS n_home_team,
+    COUNT(*) FILTER (WHERE away_team IS NULL) AS n_away_team, COUNT(*) FILTER (WHERE fthg IS NULL) AS n_fthg,
+    COUNT(*) FILTER (WHERE ftag IS NULL) AS n_ftag, COUNT(*) FILTER (WHERE ftr IS NULL) AS n_ftr,
+    COUNT(*) FILTER (WHERE ftr NOT IN ('H','D','A')) AS bad_ftr,
+    string_agg(DISTINCT CASE WHEN ftr NOT IN ('H','D','A') THEN ftr END, ',' ORDER BY CASE WHEN ftr NOT IN ('H','D','A') THEN ftr END) AS bad_vals,
+    COUNT(*) FILTER (WHERE fthg < 0) AS neg_fthg, COUNT(*) FILTER (WHERE ftag < 0) AS neg_ftag
+  FROM parsed),
+dups AS (SELECT CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS d FROM
+  (SELECT COUNT(*) AS n FROM parsed GROUP BY match_date, home_team, away_team)),
+ord AS (SELECT COUNT(*) FILTER (WHERE match_date < prev) AS u FROM
+  (SELECT match_date, lag(match_date) OVER (ORDER BY match_id) AS prev FROM parsed))
+SELECT 'null_values' AS "check", 'match_date' AS "column", n_match_date AS n_bad, CAST(NULL AS VARCHAR) AS detail FROM agg
+UNION ALL SELECT 'null_values', 'home_team', n_home_team, NULL FROM agg
+UNION ALL SELECT 'null_values', 'away_team', n_away_team, NULL FROM agg
+UNION ALL SELECT 'null_values', 'fthg', n_fthg, NULL FROM agg
+UNION ALL SELECT 'null_values', 'ftag', n_ftag, NULL FROM agg
+UNION ALL SELECT 'null_values', 'ftr', n_ftr, NULL FROM agg
+UNION ALL SELECT 'invalid_result', 'ftr', bad_ftr, bad_vals FROM agg
+UNION ALL SELECT 'negative_goals', 'fthg', neg_fthg, NULL FROM agg
+UNION ALL SELECT 'negative_goals', 'ftag', neg_ftag, NULL FROM agg
+UNION ALL SELECT 'duplicates', 'match_date,home_team,away_team', d, NULL FROM dups
+UNION ALL SELECT 'date_order', 'match_date', u, NULL FROM ord""")(lambda spark, sf: Q.dq_report(_dirty_parsed(spark, sf)))
+
+register("duplicates", "V5", O.with_(O.DIRTY) + """
+SELECT match_date, home_team, away_team, COUNT(*) AS copies, COUNT(*) - 1 AS extra
+FROM parsed GROUP BY match_date, home_team, away_team HAVING COUNT(*) > 1""")(
+    lambda spark, sf: Q.duplicates(_dirty_parsed(spark, sf)))
+
+register("dedup_contests", "R15", O.with_(O.DIRTY) + """
+SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY match_date, home_team, away_team ORDER BY match_id) AS k
+FROM cleaned) WHERE k = 1""")(
+    lambda spark, sf: Q.dedup(Q.clean_contests(dirty_contests(spark, sf)).select(*_CLEAN_COLS)))
+
+register("target_distribution", "V8", O.with_(O.DIRTY) + """
+SELECT ftr, COUNT(*) AS n, CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM cleaned) AS share FROM cleaned GROUP BY ftr""")(
+    lambda spark, sf: Q.target_distribution(Q.clean_contests(dirty_contests(spark, sf))))
+
+register("contract_quarantine", "P8,D10", O.with_(O.DIRTY) + """
+SELECT * FROM (
+  SELECT match_id, ftr, fthg, ftag, list_filter([
+      CASE WHEN COALESCE(fthg < 0 OR ftag < 0, FALSE) THEN 'goals_negative' END,
+      CASE WHEN fthg IS NULL OR ftag IS NULL THEN 'goals_missing' END,
+      CASE WHEN NOT COALESCE(regexp_full_match(ftr, '[HDA]'), FALSE) THEN 'result_pattern' END,
+      CASE WHEN COALESCE(b365h <= 1 OR b365d <= 1 OR b365a <= 1, FALSE) THEN 'price_not_above_1' END], lambda x: x IS NOT NULL) AS violations
+  FROM dirty) WHERE len(violations) > 0""")(
+    lambda spark, sf: Q.contract_violations(dirty_contests(spark, sf)).select("match_id", "ftr", "fthg", "ftag", "violations"))
+
+
+# ---------------------------------------------------------------- O5–O8, A13 splits
+def _indexed(spark, sf):
+    return SP.with_row_index(contests(spark, sf).select("match_id", "match_date"))
+
+
+_IDX = O.with_(O.CONTESTS) + """, ix AS (SELECT match_id, match_date,
+  row_number() OVER (ORDER BY match_date, match_id) - 1 AS idx, COUNT(*) OVER () AS n FROM c)"""
+
+register("time_split", "O5", _IDX + """
+SELECT match_id, match_date, idx, CASE WHEN idx < CAST(floor(n * 8e-1) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM ix""")(
+    lambda spark, sf: SP.time_split(_indexed(spark, sf)))
+
+register("calibration_split", "O6", _IDX + """
+SELECT match_id, match_date, idx, CASE WHEN idx < CAST(floor(CAST(floor(n * 8e-1) AS BIGINT) * 8.75e-1) AS BIGINT) THEN 'fit'
+  WHEN idx < CAST(floor(n * 8e-1) AS BIGINT) THEN 'calibration' ELSE 'test' END AS split FROM ix""")(
+    lambda spark, sf: SP.calibration_split(_indexed(spark, sf)))
+
+register("time_folds", "O7", _IDX + """, b AS (SELECT *, n // 6 AS size, n - 5 * (n // 6) AS first FROM ix)
+SELECT match_id, match_date, idx, CAST(CASE WHEN idx < first THEN -1 ELSE (idx - first) // size END AS INTEGER) AS fold,
+  first + CAST(CASE WHEN idx < first THEN -1 ELSE (idx - first) // size END AS INTEGER) * size AS fold_test_start FROM b""")(
+    lambda spark, sf: SP.time_folds(_indexed(spark, sf)))
+
+register("split_profile", "A13", _IDX + """, s AS (SELECT *, CASE WHEN idx < CAST(floor(n * 8e-1) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM ix)
+SELECT split, COUNT(*) AS rows, min(match_date) AS first_date, max(match_date) AS last_date FROM s GROUP BY split""")(
+    lambda spark, sf: SP.split_profile(SP.time_split(_indexed(spark, sf))))

@@ -218,3 +218,32 @@ def temporal_cols(d: str = "match_date") -> str:
     return (f"CAST(isodow({d}) - 1 AS INTEGER) AS day_of_week, CAST(month({d}) AS INTEGER) AS month, "
             f"CAST(isodow({d}) >= 6 AS INTEGER) AS is_weekend, "
             f"CAST(greatest(1, floor(datediff('day', {ss}, {d}) / 7)) AS INTEGER) AS matchweek")
+
+
+DIRTY = CONTESTS + """,
+dirty0 AS (
+  SELECT match_id, div,
+    CASE WHEN match_id % 2 = 1 AND year(match_date) >= 2000 THEN strftime(match_date, '%d/%m/%y')
+         ELSE strftime(match_date, '%d/%m/%Y') END AS date_text,
+    CASE WHEN match_id % 13 = 0 THEN '  ' || home_team || ' ' ELSE home_team END AS home_team,
+    CASE WHEN match_id % 13 = 0 THEN ' ' || away_team || '  ' ELSE away_team END AS away_team,
+    CASE WHEN match_id % 89 = 0 THEN NULL ELSE fthg END AS fthg, ftag,
+    CASE WHEN match_id % 97 = 0 THEN 'NH' WHEN fthg > ftag THEN 'H' WHEN fthg < ftag THEN 'A' ELSE 'D' END AS ftr,
+    hs, aws, hst, ast, b365h, b365d, b365a
+  FROM c0),
+dirty AS (SELECT * FROM dirty0 UNION ALL SELECT * FROM dirty0 WHERE match_id % 101 = 0),
+parsed AS (
+  SELECT *, CAST(CASE WHEN length(date_text) = 8 THEN try_strptime(date_text, '%d/%m/%y')
+                      ELSE try_strptime(date_text, '%d/%m/%Y') END AS DATE) AS match_date
+  FROM dirty),
+cleaned AS (
+  SELECT match_id, div, trim(home_team, ' ') AS home_team, trim(away_team, ' ') AS away_team,
+    CAST(fthg AS INTEGER) AS fthg, CAST(ftag AS INTEGER) AS ftag, ftr,
+    CAST(hs AS INTEGER) AS hs, CAST(aws AS INTEGER) AS aws, CAST(hst AS INTEGER) AS hst, CAST(ast AS INTEGER) AS ast,
+    b365h, b365d, b365a, match_date,
+    make_date(CAST(year(match_date) - CASE WHEN month(match_date) < 8 THEN 1 ELSE 0 END AS INTEGER), 8, 1) AS season_start,
+    CAST(year(match_date) - CASE WHEN month(match_date) < 8 THEN 1 ELSE 0 END AS VARCHAR) || '-' ||
+      lpad(CAST((year(match_date) - CASE WHEN month(match_date) < 8 THEN 1 ELSE 0 END + 1) % 100 AS VARCHAR), 2, '0') AS season
+  FROM parsed
+  WHERE ftr IN ('H', 'D', 'A') AND match_date IS NOT NULL AND home_team IS NOT NULL AND away_team IS NOT NULL
+    AND fthg IS NOT NULL AND ftag IS NOT NULL)"""

@@ -29,10 +29,10 @@ def norm(v):
         if v.is_integer():
             return int(v)
         return round(v, 9)
+    if isinstance(v, (list, tuple)) or (hasattr(v, "ndim") and getattr(v, "ndim", 0) > 0):
+        return tuple(norm(x) for x in v)
     if hasattr(v, "item"):
         return norm(v.item())
-    if isinstance(v, (list, tuple)):
-        return tuple(norm(x) for x in v)
     if isinstance(v, pd.Timestamp):
         return v.date() if v.hour == 0 and v.minute == 0 and v.second == 0 else v.to_pydatetime()
     return v
