@@ -336,3 +336,92 @@ SELECT match_id, match_date, idx, CAST(CASE WHEN idx < first THEN -1 ELSE (idx -
 register("split_profile", "A13", _IDX + """, s AS (SELECT *, CASE WHEN idx < CAST(floor(n * 8e-1) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM ix)
 SELECT split, COUNT(*) AS rows, min(match_date) AS first_date, max(match_date) AS last_date FROM s GROUP BY split""")(
     lambda spark, sf: SP.split_profile(SP.time_split(_indexed(spark, sf))))
+
+
+# ---------------------------------------------------------------- S1–S7 season files, S4/J4 standings
+from ..sources import seasons as SE  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+_RAW_COLS = ["match_id", "div", "date_text", "home_team", "away_team", "fthg", "ftag", "ftr", "hs", "aws", "hst", "ast",
+             "b365h", "b365d", "b365a", "season"]
+
+
+def _raw_with_season(spark, sf):
+    d = dirty_contests(spark, sf)
+    from ..functions.calendar import season_label
+    return d.withColumn("season", season_label("_true_date")).drop("_true_date")
+
+
+def _scan(spark, sf):
+    return SE.season_scan(spark, sf, _raw_with_season(spark, sf))
+
+
+_OLD = "CAST(year(true_date) - CASE WHEN month(true_date) < 8 THEN 1 ELSE 0 END AS INTEGER) < 1998"
+_SEASON_OF = ("CAST(year(true_date) - CASE WHEN month(true_date) < 8 THEN 1 ELSE 0 END AS VARCHAR) || '-' || "
+              "lpad(CAST((year(true_date) - CASE WHEN month(true_date) < 8 THEN 1 ELSE 0 END + 1) % 100 AS VARCHAR), 2, '0')")
+_SCAN_SQL = O.DIRTY.replace("hs, aws, hst, ast, b365h, b365d, b365a\n  FROM c0),",
+                            "hs, aws, hst, ast, b365h, b365d, b365a, match_date AS true_date\n  FROM c0),")
+_SCAN_SQL = O.with_(_SCAN_SQL) + f""",
+scanned AS (
+  SELECT match_id, div, date_text, home_team, away_team, CAST(fthg AS INTEGER) AS fthg, CAST(ftag AS INTEGER) AS ftag, ftr,
+    CASE WHEN {_OLD} THEN NULL ELSE CAST(hs AS INTEGER) END AS hs, CASE WHEN {_OLD} THEN NULL ELSE CAST(aws AS INTEGER) END AS aws,
+    CASE WHEN {_OLD} THEN NULL ELSE CAST(hst AS INTEGER) END AS hst, CASE WHEN {_OLD} THEN NULL ELSE CAST(ast AS INTEGER) END AS ast,
+    CASE WHEN {_OLD} THEN NULL ELSE b365h END AS b365h, CASE WHEN {_OLD} THEN NULL ELSE b365d END AS b365d,
+    CASE WHEN {_OLD} THEN NULL ELSE b365a END AS b365a, {_SEASON_OF} AS season
+  FROM dirty)"""
+
+register("season_scan", "S1,S2,S3,S6", _SCAN_SQL + " SELECT * FROM scanned")(
+    lambda spark, sf: _scan(spark, sf).select(*_RAW_COLS))
+
+
+def _ingest(spark, sf):
+    """Files → clean → partitioned parquet table → read back."""
+    cleaned = Q.clean_contests(_scan(spark, sf)).select(*_CLEAN_COLS)
+    out = scratch_path(spark, "ingested-" + SE.hashlib.sha1(sf.encode()).hexdigest()[:10])
+    cleaned.write.mode("overwrite").partitionBy("season").parquet(out)
+    return spark.read.parquet(out).select(*_CLEAN_COLS)
+
+
+register("ingest_pipeline", "S5,S6,S7,P7", _SCAN_SQL.replace("FROM c0),\ndirty AS", "FROM c0),\ndirty AS", 1) + """,
+p2 AS (SELECT *, CAST(CASE WHEN length(date_text) = 8 THEN try_strptime(date_text, '%d/%m/%y')
+                      ELSE try_strptime(date_text, '%d/%m/%Y') END AS DATE) AS match_date FROM scanned)
+SELECT match_id, div, trim(home_team, ' ') AS home_team, trim(away_team, ' ') AS away_team, fthg, ftag, ftr,
+  COALESCE(hs, 0) AS hs, COALESCE(aws, 0) AS aws, COALESCE(hst, 0) AS hst, COALESCE(ast, 0) AS ast, b365h, b365d, b365a, match_date,
+  make_date(CAST(year(match_date) - CASE WHEN month(match_date) < 8 THEN 1 ELSE 0 END AS INTEGER), 8, 1) AS season_start,
+  CAST(year(match_date) - CASE WHEN month(match_date) < 8 THEN 1 ELSE 0 END AS VARCHAR) || '-' ||
+    lpad(CAST((year(match_date) - CASE WHEN month(match_date) < 8 THEN 1 ELSE 0 END + 1) % 100 AS VARCHAR), 2, '0') AS season
+FROM p2 WHERE ftr IN ('H','D','A') AND match_date IS NOT NULL AND home_team IS NOT NULL AND away_team IS NOT NULL
+  AND fthg IS NOT NULL AND ftag IS NOT NULL""")(_ingest)
+
+_FINAL_SQL = O.with_(O.CONTESTS) + """,
+s AS (SELECT div, CAST(year(season_start) + 1 AS VARCHAR) AS season_end, home_team AS team, fthg AS gf, ftag AS ga,
+        CASE ftr WHEN 'H' THEN 3 WHEN 'D' THEN 1 ELSE 0 END AS pts FROM c
+      UNION ALL
+      SELECT div, CAST(year(season_start) + 1 AS VARCHAR), away_team, ftag, fthg,
+        CASE ftr WHEN 'A' THEN 3 WHEN 'D' THEN 1 ELSE 0 END FROM c),
+t AS (SELECT div, season_end, team, SUM(pts) AS pts, SUM(gf - ga) AS gd, SUM(gf) AS gf FROM s GROUP BY ALL),
+fin AS (SELECT div, team, season_end, CAST(row_number() OVER (PARTITION BY div, season_end
+          ORDER BY pts DESC, gd DESC, gf DESC, team) AS INTEGER) AS position FROM t)"""
+
+register("standings_long", "S4,D1", _FINAL_SQL + " SELECT div, team, season_end, position FROM fin")(
+    lambda spark, sf: SE.standings_from_contests(spark, sf, contests(spark, sf)))
+
+
+def _league_position(spark, sf):
+    c = contests(spark, sf)
+    st = SE.standings_from_contests(spark, sf, c)
+    end = (F.year("season_start") + 1).cast("string")
+    base = c.select("match_id", "div", "home_team", "away_team", end.alias("season_end"))
+    h = st.select("div", F.col("team").alias("home_team"), "season_end", F.col("position").alias("home_position"))
+    a = st.select("div", F.col("team").alias("away_team"), "season_end", F.col("position").alias("away_position"))
+    return (base.join(h, ["div", "home_team", "season_end"], "left")
+            .join(a, ["div", "away_team", "season_end"], "left")
+            .select("match_id", "season_end", "home_position", "away_position"))
+
+
+register("league_position", "J4", _FINAL_SQL + """
+SELECT c.match_id, CAST(year(c.season_start) + 1 AS VARCHAR) AS season_end, h.position AS home_position,
+  a.position AS away_position
+FROM c LEFT JOIN fin h ON h.div = c.div AND h.team = c.home_team AND h.season_end = CAST(year(c.season_start) + 1 AS VARCHAR)
+LEFT JOIN fin a ON a.div = c.div AND a.team = c.away_team AND a.season_end = CAST(year(c.season_start) + 1 AS VARCHAR)""")(
+    _league_position)
