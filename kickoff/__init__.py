@@ -11,3 +11,18 @@ Everything is DataFrame in, DataFrame out. Sub-packages:
 """
 
 __all__ = ["session"]
+
+
+def _ship_by_value() -> None:
+    """Pickle this package's functions (UDFs, grouped-map and mapInPandas folds) by value, so
+    executors need no installed copy of the package."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+    except ImportError:  # pragma: no cover
+        return
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()

@@ -425,3 +425,98 @@ SELECT c.match_id, CAST(year(c.season_start) + 1 AS VARCHAR) AS season_end, h.po
 FROM c LEFT JOIN fin h ON h.div = c.div AND h.team = c.home_team AND h.season_end = CAST(year(c.season_start) + 1 AS VARCHAR)
 LEFT JOIN fin a ON a.div = c.div AND a.team = c.away_team AND a.season_end = CAST(year(c.season_start) + 1 AS VARCHAR)""")(
     _league_position)
+
+
+# ---------------------------------------------------------------- W8, W9, T1–T5, A5, A6, O4, J5 (EDA)
+from ..operators.league import live_positions  # noqa: E402
+from . import eda as EDA  # noqa: E402
+
+_EDA_BASE = """
+rd AS (SELECT match_id, is_home, CAST(datediff('day', lag(match_date) OVER (PARTITION BY div, team ORDER BY match_date, match_id),
+          match_date) AS INTEGER) AS rest FROM tl),
+rest AS (SELECT match_id, max(CASE WHEN is_home THEN rest END) AS home_rest_days,
+           max(CASE WHEN NOT is_home THEN rest END) AS away_rest_days FROM rd GROUP BY match_id),
+rest2 AS (SELECT *, home_rest_days - away_rest_days AS rest_diff FROM rest),
+sq AS (SELECT *, row_number() OVER (PARTITION BY div, season ORDER BY match_date, match_id) AS seq FROM c),
+ev AS (SELECT div, season, seq, home_team AS team, 0 AS side, fthg AS gf, fthg - ftag AS gd,
+         CASE ftr WHEN 'H' THEN 3 WHEN 'D' THEN 1 ELSE 0 END AS pts FROM sq
+       UNION ALL SELECT div, season, seq, away_team, 1, ftag, ftag - fthg, CASE ftr WHEN 'A' THEN 3 WHEN 'D' THEN 1 ELSE 0 END FROM sq),
+cum AS (SELECT div, season, team, seq, SUM(pts) OVER w AS pts, SUM(gd) OVER w AS gd, SUM(gf) OVER w AS gf FROM ev
+        WINDOW w AS (PARTITION BY div, season, team ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+fs AS (SELECT div, season, team, min(seq * 2 + side) AS fs FROM ev GROUP BY ALL),
+grid AS (SELECT m.div, m.season, m.seq, m.match_id, f.team, f.fs FROM sq m JOIN fs f
+         ON f.div = m.div AND f.season = m.season AND f.fs < m.seq * 2),
+st AS (SELECT g.*, k.pts, k.gd, k.gf FROM grid g ASOF JOIN cum k
+       ON g.div = k.div AND g.season = k.season AND g.team = k.team AND g.seq > k.seq),
+rk AS (SELECT match_id, team, COUNT(*) OVER (PARTITION BY match_id) AS nteams,
+         row_number() OVER (PARTITION BY match_id ORDER BY pts DESC, gd DESC, gf DESC, fs) AS pos FROM st),
+posn AS (SELECT m.match_id, CAST(CASE WHEN h.nteams >= 2 THEN h.pos END AS INTEGER) AS home_league_pos,
+           CAST(CASE WHEN a.nteams >= 2 THEN a.pos END AS INTEGER) AS away_league_pos
+         FROM sq m LEFT JOIN rk h ON h.match_id = m.match_id AND h.team = m.home_team
+         LEFT JOIN rk a ON a.match_id = m.match_id AND a.team = m.away_team),
+posn2 AS (SELECT *, home_league_pos - away_league_pos AS league_pos_diff FROM posn),
+et AS (SELECT c.match_id, c.match_date, c.div, c.home_team, c.away_team, c.ftr,
+         CASE c.ftr WHEN 'H' THEN 1 WHEN 'D' THEN 0 ELSE -1 END AS target_num, r.home_rest_days, r.away_rest_days,
+         r.rest_diff, p.home_league_pos, p.away_league_pos, p.league_pos_diff
+       FROM c JOIN rest2 r USING (match_id) JOIN posn2 p USING (match_id)),
+rf AS (SELECT * FROM et WHERE home_rest_days IS NOT NULL AND away_rest_days IS NOT NULL),
+pf AS (SELECT * FROM et WHERE home_league_pos IS NOT NULL AND away_league_pos IS NOT NULL)"""
+_EDA = O.with_(O.CONTESTS, O.TEAM_LONG) + "," + _EDA_BASE
+
+
+def _corr_sql(frame: str, cols: list[str], target: str = "target_num", extra: str = "") -> str:
+    parts = []
+    for c in cols:
+        both = f"{c} IS NOT NULL AND {target} IS NOT NULL"
+        parts.append(f"SELECT {extra}'{c}' AS feature, COUNT(*) FILTER (WHERE {both}) AS n, "
+                     f"round(corr(CAST({c} AS DOUBLE), CAST({target} AS DOUBLE)) FILTER (WHERE {both}), 6) AS r FROM {frame}")
+    return " UNION ALL ".join(parts)
+
+
+def _anova_sql(frame: str, x: str) -> str:
+    return f"""SELECT '{x}' AS feature, k - 1 AS df_between, N - k AS df_within,
+  round(((br - S * S / N) / (k - 1)) / ((Q - br) / (N - k)), 6) AS f_stat FROM (
+  SELECT CAST(SUM(n) AS BIGINT) AS N, SUM(s) AS S, COUNT(*) AS k, SUM(s * s / n) AS br, SUM(q) AS Q FROM (
+    SELECT ftr, COUNT(*) AS n, SUM(CAST({x} AS DOUBLE)) AS s, SUM(CAST({x} AS DOUBLE) * CAST({x} AS DOUBLE)) AS q
+    FROM {frame} WHERE {x} IS NOT NULL AND ftr IS NOT NULL GROUP BY ftr))"""
+
+
+register("rest_days", "W8", _EDA + " SELECT match_id, home_rest_days, away_rest_days, rest_diff FROM rest2")(
+    EDA.rest_days)
+register("live_table", "W9", _EDA + " SELECT match_id, home_league_pos, away_league_pos, league_pos_diff FROM posn2")(
+    lambda spark, sf: live_positions(contests(spark, sf)))
+register("feature_corr", "T1", _EDA + " " + _corr_sql("rf", EDA.REST) + " UNION ALL " + _corr_sql("pf", EDA.POS))(
+    EDA.new_feature_corr)
+register("anova_outcome", "T3", _EDA + " " + _anova_sql("rf", "rest_diff") + " UNION ALL " + _anova_sql("pf", "league_pos_diff"))(
+    EDA.anova_new)
+register("corr_significance", "T2,T3")(EDA.significance)
+register("outcome_summary", "A5", _EDA + """
+SELECT ftr, 'rest_diff' AS feature, avg(rest_diff) AS mean, CAST(median(rest_diff) AS DOUBLE) AS median FROM rf
+WHERE rest_diff IS NOT NULL GROUP BY ftr
+UNION ALL SELECT ftr, 'league_pos_diff', avg(league_pos_diff), CAST(median(league_pos_diff) AS DOUBLE) FROM pf
+WHERE league_pos_diff IS NOT NULL GROUP BY ftr""")(EDA.outcome_summary)
+register("avg_position", "A6", _EDA + """
+SELECT div, team, avg(pos) AS avg_position, COUNT(*) AS n FROM (
+  SELECT div, home_team AS team, home_league_pos AS pos FROM pf UNION ALL SELECT div, away_team, away_league_pos FROM pf)
+GROUP BY div, team""")(EDA.avg_position)
+
+_MR_NUM = list(FE.MODEL_FEATURES)
+_MR = _model_ready_sql().replace(" SELECT " + ", ".join(FE.META), ", mr AS (SELECT " + ", ".join(FE.META), 1) + \
+    "), mrt AS (SELECT *, CASE target WHEN 'H' THEN 1 WHEN 'D' THEN 0 ELSE -1 END AS target_num FROM mr)"
+register("feature_corr_all", "T4", _MR + " SELECT * FROM (" + _corr_sql("mrt", _MR_NUM) + ") WHERE r IS NOT NULL")(
+    EDA.existing_corr)
+
+_MR_EDA = _MR + "," + _EDA_BASE.replace("\nrd AS", "\nrd AS", 1)
+register("corr_rank", "O4", _MR_EDA + """, allc AS (
+  SELECT * FROM (""" + _corr_sql("mrt", _MR_NUM) + """) WHERE r IS NOT NULL
+  UNION ALL SELECT * FROM (""" + _corr_sql("rf", ["rest_diff"]) + " UNION ALL " + _corr_sql("pf", ["league_pos_diff"]) + """))
+SELECT CAST(rank AS INTEGER) AS rank, feature, r FROM (
+  SELECT *, row_number() OVER (ORDER BY abs(r) DESC, feature) AS rank FROM allc WHERE r IS NOT NULL) WHERE rank <= 20""")(
+    EDA.corr_rank)
+
+register("collinearity", "T5,J5", _MR_EDA + """, merged AS (
+  SELECT mrt.*, et.league_pos_diff, et.rest_diff FROM mrt JOIN et USING (match_id)
+  WHERE et.league_pos_diff IS NOT NULL AND et.rest_diff IS NOT NULL)
+""" + " UNION ALL ".join(
+    _corr_sql("merged", EDA.CHECK_COLS, target=t, extra=f"'{t}' AS new_feature, ") for t in ("league_pos_diff", "rest_diff")))(
+    EDA.collinearity)
