@@ -520,3 +520,221 @@ register("collinearity", "T5,J5", _MR_EDA + """, merged AS (
 """ + " UNION ALL ".join(
     _corr_sql("merged", EDA.CHECK_COLS, target=t, extra=f"'{t}' AS new_feature, ") for t in ("league_pos_diff", "rest_diff")))(
     EDA.collinearity)
+
+
+# ---------------------------------------------------------------- A7–A12, F10–F12, R18 metrics and betting
+from ..operators import metrics as MT  # noqa: E402
+from . import training as TR  # noqa: E402
+
+
+def _book(spark, sf):
+    return contests(spark, sf).select("match_id", "match_date", F.col("ftr").alias("target"), "b365h",
+                                      *P.implied_probabilities()).withColumn("pick", P.bookmaker_pick())
+
+
+_BOOK = O.with_(O.CONTESTS) + ", i AS (SELECT match_id, match_date, ftr AS target, b365h, " + O.odds_cols() + """ FROM c),
+b AS (SELECT *, CASE WHEN greatest(odds_prob_home, odds_prob_draw, odds_prob_away) IS NULL THEN NULL
+  WHEN odds_prob_home = greatest(odds_prob_home, odds_prob_draw, odds_prob_away) THEN 'H'
+  WHEN odds_prob_draw = greatest(odds_prob_home, odds_prob_draw, odds_prob_away) THEN 'D' ELSE 'A' END AS pick FROM i)"""
+
+register("bookmaker_accuracy", "A11", _BOOK + """
+SELECT avg(CAST(COALESCE(pick = target, FALSE) AS DOUBLE)) AS bookmaker_accuracy, COUNT(*) AS n FROM b""")(
+    lambda spark, sf: MT.bookmaker_accuracy(_book(spark, sf)))
+
+register("confusion", "A7", _BOOK + """
+SELECT target AS actual, COUNT(*) FILTER (WHERE pick = 'A') AS A, COUNT(*) FILTER (WHERE pick = 'D') AS D,
+  COUNT(*) FILTER (WHERE pick = 'H') AS H FROM b GROUP BY target""")(
+    lambda spark, sf: MT.confusion(_book(spark, sf), pred="pick"))
+
+
+def _class_report_sql() -> str:
+    labels = MT.LABELS
+    base = ", ".join([f"COUNT(*) FILTER (WHERE target = '{k}' AND pick = '{k}') AS tp_{k}, "
+                      f"COUNT(*) FILTER (WHERE pick = '{k}') AS pp_{k}, COUNT(*) FILTER (WHERE target = '{k}') AS sup_{k}"
+                      for k in labels])
+
+    def prec(k):
+        return f"(CASE WHEN pp_{k} > 0 THEN CAST(tp_{k} AS DOUBLE) / pp_{k} ELSE 0e0 END)"
+
+    def rec(k):
+        return f"(CASE WHEN sup_{k} > 0 THEN CAST(tp_{k} AS DOUBLE) / sup_{k} ELSE 0e0 END)"
+
+    def f1(k):
+        return f"(CASE WHEN {prec(k)} + {rec(k)} > 0 THEN 2e0 * {prec(k)} * {rec(k)} / ({prec(k)} + {rec(k)}) ELSE 0e0 END)"
+
+    def mean(fn):
+        e = "0e0"
+        for k in labels:
+            e = f"({e} + {fn(k)})"
+        return f"({e} / 3e0)"
+
+    def weighted(fn):
+        e = "0e0"
+        for k in labels:
+            e = f"({e} + {fn(k)} * sup_{k})"
+        return f"({e} / n)"
+
+    rows = [f"SELECT '{k}' AS label, {prec(k)} AS precision, {rec(k)} AS recall, {f1(k)} AS f1, sup_{k} AS support FROM a"
+            for k in labels]
+    acc = "(CAST(hit AS DOUBLE) / n)"
+    rows += [f"SELECT 'accuracy', {acc}, {acc}, {acc}, n FROM a",
+             f"SELECT 'macro avg', {mean(prec)}, {mean(rec)}, {mean(f1)}, n FROM a",
+             f"SELECT 'weighted avg', {weighted(prec)}, {weighted(rec)}, {weighted(f1)}, n FROM a"]
+    return (_BOOK + f", a AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE target = pick) AS hit, {base} FROM b) "
+            + " UNION ALL ".join(rows))
+
+
+register("class_report", "A8,A9", _class_report_sql())(
+    lambda spark, sf: MT.class_report(_book(spark, sf), pred="pick"))
+
+register("log_loss", "A10", _BOOK + f"""
+SELECT round(-avg(ln(least(greatest(p / tot, {O.dlit(MT.EPS)}), {O.dlit(1.0 - MT.EPS)}))), 9) AS log_loss, COUNT(*) AS n FROM (
+  SELECT odds_prob_away + odds_prob_draw + odds_prob_home AS tot,
+    CASE target WHEN 'A' THEN odds_prob_away WHEN 'D' THEN odds_prob_draw WHEN 'H' THEN odds_prob_home END AS p FROM b)
+WHERE p IS NOT NULL AND least(greatest(p / tot, {O.dlit(MT.EPS)}), {O.dlit(1.0 - MT.EPS)}) IS NOT NULL""")(
+    lambda spark, sf: MT.log_loss(_book(spark, sf).withColumnRenamed("odds_prob_away", "prob_A")
+                                  .withColumnRenamed("odds_prob_draw", "prob_D").withColumnRenamed("odds_prob_home", "prob_H")))
+
+
+def _value(spark, sf):
+    """Elo expected home score as the model probability vs the bookmaker's home probability."""
+    c = contests(spark, sf)
+    e = elo_history(c).select("match_id", "home_elo", "away_elo")
+    x = c.select("match_id", "match_date", "ftr", "b365h", *P.implied_probabilities()).join(e, "match_id")
+    p_model = F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(10.0), (F.col("away_elo") - F.col("home_elo") - F.lit(100.0)) / F.lit(400.0)))
+    return (x.withColumn("model_prob_home", p_model)
+            .withColumn("edge", P.value_edge("model_prob_home", "odds_prob_home"))
+            .withColumn("is_value", P.is_value_bet("model_prob_home", "odds_prob_home")))
+
+
+_VALUE = "WITH RECURSIVE " + O.CONTESTS + "," + O.ELO + ", i AS (SELECT match_id, match_date, ftr, b365h, " + O.odds_cols() + \
+    """ FROM c), v AS (SELECT i.*, 1e0 / (1e0 + pow(1e1, (e.away_elo - e.home_elo - 1e2) / 4e2)) AS model_prob_home
+    FROM i JOIN elo e USING (match_id)), vv AS (SELECT *, COALESCE(model_prob_home - odds_prob_home, 0e0) AS edge,
+    COALESCE(model_prob_home - odds_prob_home, 0e0) > 0e0 AS is_value FROM v)"""
+
+register("value_bets", "F10,F11", _VALUE + " SELECT match_id, round(model_prob_home, 9) AS model_prob_home, round(edge, 9) AS edge, is_value FROM vv")(
+    lambda spark, sf: _value(spark, sf).select("match_id", F.round("model_prob_home", 9).alias("model_prob_home"),
+                                               F.round("edge", 9).alias("edge"), "is_value"))
+
+
+def _bet_profit(spark, sf):
+    """Stake 1 on every home value bet; daily profit/loss and its running total."""
+    v = _value(spark, sf).where("is_value")
+    pnl = F.when(F.col("ftr") == "H", F.col("b365h") - 1.0).otherwise(F.lit(-1.0))
+    daily = v.groupBy("match_date").agg(F.count(F.lit(1)).alias("bets"), F.round(F.sum(pnl), 6).alias("pnl"))
+    from pyspark.sql import Window as W  # one row per day: bounded by the calendar, not the data
+    return daily.withColumn("cum_pnl", F.round(F.sum("pnl").over(W.orderBy("match_date")
+                                                                 .rowsBetween(W.unboundedPreceding, 0)), 6))
+
+
+register("bet_profit", "R18,F11", _VALUE + """, d AS (SELECT match_date, COUNT(*) AS bets,
+  round(SUM(CASE WHEN ftr = 'H' THEN b365h - 1e0 ELSE -1e0 END), 6) AS pnl FROM vv WHERE is_value GROUP BY match_date)
+SELECT match_date, bets, pnl, round(SUM(pnl) OVER (ORDER BY match_date ROWS UNBOUNDED PRECEDING), 6) AS cum_pnl FROM d""")(
+    _bet_profit)
+
+
+def _confidence(spark, sf):
+    from . import eda as _e
+    f = FE.match_features(spark, sf, with_elo=False).select("match_id", "h2h_played", *FE.ODDS[:3])
+    r = _e.rest_days(spark, sf).select("match_id", "home_rest_days")
+    x = f.join(r, "match_id")
+    pmax = F.greatest("odds_prob_home", "odds_prob_draw", "odds_prob_away")
+    return x.select("match_id", F.round(P.confidence(pmax, F.coalesce("home_rest_days", F.lit(0)), "h2h_played"), 9)
+                    .alias("confidence"))
+
+
+register("confidence", "F12", B1_SQL + "," + _EDA_BASE + """
+SELECT f.match_id, round(least(greatest(greatest(f.odds_prob_home, f.odds_prob_draw, f.odds_prob_away)
+  - least(COALESCE(r.home_rest_days, 0) / 365e0, 2e-1) + least(f.h2h_played * 1e-2, 5e-2), 0e0), 1e0), 9) AS confidence
+FROM feat f JOIN rest2 r USING (match_id)""")(_confidence)
+
+
+# ---------------------------------------------------------------- M1–M13, B4, B5, O3 (models: no SQL oracle)
+def _data(spark, sf):
+    return TR.prepare(FE.model_ready(FE.match_features(spark, sf)))
+
+
+def _train_models(spark, sf):
+    d = _data(spark, sf)
+    return TR.leaderboard(spark, d, TR.train_models(d, include_boosting=True))
+
+
+register("train_models", "M1,M2,M3,M4,M5,M7,M8,M12,A12,O8,O10")(_train_models)
+
+
+def _importance(spark, sf):
+    d = _data(spark, sf)
+    cols = TR.usable_features(d, TR.feature_columns(d))
+    return TR.feature_importance(spark, TR.fit_forest(d.where(F.col("split") == "fit"), cols))
+
+
+register("feature_importance", "O3,M4")(_importance)
+
+
+def _calibrated_logistic(spark, sf):
+    d = _data(spark, sf)
+    cols = TR.usable_features(d, TR.feature_columns(d))
+    t = TR.fit_logistic(d.where(F.col("split") == "fit"), cols)
+    return d, TR.calibrate(t, d.where(F.col("split") == "calibration"))
+
+
+register("test_predictions", "B5,M7,F13")(lambda spark, sf: TR.test_predictions(*reversed(_calibrated_logistic(spark, sf))))
+
+
+def _cv(spark, sf):
+    d = _data(spark, sf)
+    res = TR.cv_scores(d, {"Logistic Regression": lambda tr, cols: TR.fit_logistic(tr, cols)})
+    return spark.createDataFrame([(r["model"], r["mean_accuracy"], r["std_accuracy"], r["folds"]) for r in res],
+                                 "model string, mean_accuracy double, std_accuracy double, folds array<double>")
+
+
+register("cv_scores", "M9,O7")(_cv)
+
+
+# ---------------------------------------------------------------- J6, B3, B4, M11, M13 serving
+from . import scoring as SC  # noqa: E402
+
+
+def _rejects(spark, sf):
+    hist, fx = SC.split_history(spark, sf)
+    return SC.check_fixtures(fx, hist)[1]
+
+
+def _accepted(spark, sf):
+    hist, fx = SC.split_history(spark, sf)
+    return SC.check_fixtures(fx, hist)[0].select("match_id", "div", "home_team", "away_team")
+
+
+_FX = O.with_(O.CONTESTS) + """, cut AS (SELECT max(match_date) - INTERVAL 30 DAY AS d FROM c),
+hist AS (SELECT * FROM c WHERE match_date <= (SELECT CAST(d AS DATE) FROM cut)),
+fx AS (SELECT * FROM c WHERE match_date > (SELECT CAST(d AS DATE) FROM cut)),
+known AS (SELECT DISTINCT div, home_team AS team FROM hist UNION SELECT DISTINCT div, away_team FROM hist)"""
+
+register("fixture_reject", "J6,D8", _FX + """
+SELECT match_id, 'unknown_home' AS reason FROM fx WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.div = fx.div AND k.team = fx.home_team)
+UNION ALL SELECT match_id, 'unknown_away' FROM fx WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.div = fx.div AND k.team = fx.away_team)
+UNION ALL SELECT match_id, 'same_team' FROM fx WHERE home_team = away_team""")(_rejects)
+
+register("fixture_accept", "J6", _FX + """
+SELECT match_id, div, home_team, away_team FROM fx
+WHERE EXISTS (SELECT 1 FROM known k WHERE k.div = fx.div AND k.team = fx.home_team)
+  AND EXISTS (SELECT 1 FROM known k WHERE k.div = fx.div AND k.team = fx.away_team) AND home_team <> away_team""")(_accepted)
+
+register("batch_predict", "B3,B4,M13,F8,F9,F12,F13")(SC.batch_predict)
+
+
+def _compare_versions(spark, sf):
+    """Append-only run-metrics table for two model versions, compared side by side."""
+    d = _data(spark, sf)
+    board = TR.leaderboard(spark, d, TR.train_models(d, include_boosting=False))
+    long = board.select(F.col("model").alias("version"), F.explode(F.create_map(
+        *[x for m in ("train_accuracy", "test_accuracy", "test_f1_macro", "test_log_loss")
+          for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "value"))
+    path = scratch_path(spark, "run-metrics-" + str(abs(hash(sf)) % 10 ** 8))
+    long.write.mode("overwrite").parquet(path)
+    runs = spark.read.parquet(path)
+    return (runs.groupBy("metric").pivot("version").agg(F.first("value"))
+            .withColumn("difference", F.col("`Random Forest`") - F.col("`Logistic Regression`")))
+
+
+register("compare_versions", "M11")(_compare_versions)
