@@ -738,3 +738,63 @@ def _compare_versions(spark, sf):
 
 
 register("compare_versions", "M11")(_compare_versions)
+
+
+# ---------------------------------------------------------------- R1–R5 streams, R11, R12, R16, R17
+from ..streaming import jobs as SJ  # noqa: E402
+from ..streaming import run as SR  # noqa: E402
+from . import monitoring as MO  # noqa: E402
+
+register("sliding_avg", "R1", """
+SELECT window_start, window_end, event_type, sum_value, n, sum_value / n AS avg_value FROM (
+SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, event_type, round(sum(value), 9) AS sum_value, COUNT(value) AS n
+FROM (SELECT event_type, value, time_bucket(INTERVAL 10 MINUTE, ts) - INTERVAL (k * 10) MINUTE AS ws
+      FROM events, range(6) t(k)) GROUP BY ALL)""")(lambda spark, sf: SJ.sliding_averages(SR.events(spark, sf)))
+
+register("route_events", "R2", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type")(SR.routed_counts)
+
+register("value_moves", "R3", """
+SELECT event_id, ts, user_id, event_type, prev_value, value, round(rel, 9) AS rel_change FROM (
+  SELECT *, CASE WHEN prev_value <> 0 THEN (value - prev_value) / abs(prev_value) END AS rel FROM (
+    SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prev_value FROM events))
+WHERE abs(rel) > 2e-1""")(lambda spark, sf: SJ.value_moves(SR.events(spark, sf)))
+
+register("elo_stream", "R4", "WITH RECURSIVE " + O.CONTESTS + "," + O.ELO + """
+SELECT e.match_id, c.div, e.home_elo, e.away_elo, e.home_elo_post, e.away_elo_post FROM elo e JOIN c USING (match_id)""")(
+    SR.elo_stream_history)
+
+register("rolling_48h", "R5", """
+SELECT *, sum_48h / n_48h AS avg_48h FROM (
+SELECT event_id, ts, event_type, round(sum(value) OVER w, 9) AS sum_48h, COUNT(value) OVER w AS n_48h FROM events
+WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 172800 PRECEDING AND CURRENT ROW))""")(
+    lambda spark, sf: SJ.rolling_48h(SR.events(spark, sf)))
+
+register("psi_drift", "R11", O.with_(O.CONTESTS) + ", i AS (SELECT season, " + O.odds_cols() + """ FROM c),
+j AS (SELECT season, CAST(least(floor(odds_prob_home * 10), 9) AS INTEGER) AS bucket FROM i WHERE odds_prob_home IS NOT NULL),
+tot AS (SELECT season, COUNT(*) AS total FROM j GROUP BY season),
+grid AS (SELECT season, total, b AS bucket FROM tot, range(10) r(b)),
+cnt AS (SELECT season, bucket, COUNT(*) AS n FROM j GROUP BY ALL),
+sh AS (SELECT g.season, g.bucket, greatest(CAST(COALESCE(cnt.n, 0) AS DOUBLE) / g.total, 1e-4) AS share
+       FROM grid g LEFT JOIN cnt ON cnt.season = g.season AND cnt.bucket = g.bucket),
+t AS (SELECT *, lag(share) OVER (PARTITION BY bucket ORDER BY season) AS prev FROM sh)
+SELECT season, round(SUM((share - prev) * ln(share / prev)), 9) AS psi FROM t WHERE prev IS NOT NULL GROUP BY season""")(
+    MO.psi_drift)
+
+register("accuracy_by_month", "R12", _BOOK.replace("SELECT match_id, match_date, ftr AS target", "SELECT match_id, match_date, ftr AS target", 1) + """,
+m AS (SELECT date_trunc('month', match_date) AS month, COUNT(*) AS n,
+        COUNT(*) FILTER (WHERE COALESCE(pick = target, FALSE)) AS hits FROM b GROUP BY 1)
+SELECT CAST(month AS DATE) AS month, n, CAST(hits AS DOUBLE) / n AS accuracy,
+  CAST(SUM(hits) OVER w AS DOUBLE) / SUM(n) OVER w AS accuracy_3m FROM m
+WINDOW w AS (ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")(MO.accuracy_by_month)
+
+register("auc_ovr", "R17", O.with_(O.CONTESTS) + ", i AS (SELECT ftr, " + O.odds_cols() + """ FROM c WHERE b365h IS NOT NULL),
+l AS (SELECT ftr, 'A' AS cls, odds_prob_away AS score FROM i UNION ALL SELECT ftr, 'D', odds_prob_draw FROM i
+      UNION ALL SELECT ftr, 'H', odds_prob_home FROM i),
+g AS (SELECT cls, score, COUNT(*) AS cnt, COUNT(*) FILTER (WHERE ftr = cls) AS pos FROM l GROUP BY ALL),
+r AS (SELECT *, COALESCE(SUM(cnt) OVER (PARTITION BY cls ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        + (cnt + 1e0) / 2e0 AS avg_rank FROM g),
+a AS (SELECT cls, SUM(pos * avg_rank) AS rank_sum, CAST(SUM(pos) AS BIGINT) AS n_pos, CAST(SUM(cnt) AS BIGINT) AS n FROM r GROUP BY cls)
+SELECT cls, n_pos, n - n_pos AS n_neg, round((rank_sum - n_pos * (n_pos + 1) / 2e0) / (n_pos * (n - n_pos)), 12) AS auc FROM a""")(
+    MO.auc_ovr)
+
+register("goals_model", "R16")(MO.goals_model)
