@@ -1,81 +1,103 @@
 """A4: exact (interpolated) medians of many columns without gathering a column in one place.
 
-``percentile``/``median`` keep every distinct value of a column in one aggregation buffer,
-which does not survive a continuous column at scale. Here:
+``percentile``/``median`` keep every distinct value of a column in one aggregation buffer, and
+quantile sketches of many columns are large buffers too. Here every pass aggregates only tiny
+fixed-size state, for all columns at once (rows are exploded to ``(column, value)``):
 
-1. one pass computes ``percentile_approx`` brackets ``[lo, hi]`` around the middle rank of every
-   column (rank error is at most ``n / accuracy``, so the middle order statistics lie inside a
-   bracket of about ``4n / accuracy`` rows) together with ``count`` and ``count(x < lo)``;
-2. a second pass explodes every row into ``(column, value)`` pairs, keeps only values inside
-   their column's bracket, counts them per distinct value (partial aggregation map-side), and a
-   small window over those ``(column, value, count)`` rows finds the two middle order
+1. ``count, min, max`` per column;
+2. a histogram of ``BINS`` equal-width bins per column with the count, smallest and largest
+   value of each bin (partial aggregation map-side; at most ``BINS`` rows per column reach the
+   driver). The bins holding the two middle ranks give an exact value bracket
+   ``[min of first bin, max of last bin]`` and the exact number of values below it. Repeated
+   inside the bracket until it holds at most ``MAX_BRACKET`` values (each pass divides it by
+   about ``BINS``);
+3. the values inside the bracket, counted per distinct value, give the two middle order
    statistics exactly.
 
-Only a few numbers per column reach the driver. The input should be materialised (checkpoint or
-written table) by the caller when it is expensive, because it is scanned twice.
-A bracket that misses (possible only if the sketch's guarantee fails) is widened to all values.
+Floor of a monotone function is monotone, so a set of consecutive bins is a contiguous value
+range and the bracket bounds are actual data values (no float edge ambiguity).
+The input is scanned a few times: the caller should materialise an expensive plan first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
+BINS = 1024
+MAX_BRACKET = 50_000
+MAX_ROUNDS = 8
 
 
-def exact_medians(df: DataFrame, cols: list[str], accuracy: int = ACCURACY) -> dict[str, float | None]:
-    if not cols:
-        return {}
-    eps = 4.0 / accuracy
-    lo_q, hi_q = max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)
-    stats = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.count(c).alias(f"n{i}"),
-        F.percentile_approx(F.col(c).cast("double"), [lo_q, hi_q], accuracy).alias(f"q{i}"),
-    )]).first()
-    bounds = {}
-    for i, c in enumerate(cols):
-        n = stats[f"n{i}"]
-        if n:
-            bounds[c] = (n, stats[f"q{i}"][0], stats[f"q{i}"][1])
-    out = {c: None for c in cols}
-    out.update(_solve(df, bounds))
-    return out
+def _long(df: DataFrame, cols: list[str]) -> DataFrame:
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).cast("double").alias("v"))
+                                for i, c in enumerate(cols)])).alias("p")
+    return df.select(pairs).select("p.col", "p.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def _solve(df: DataFrame, bounds: dict, widened: bool = False) -> dict:
-    if not bounds:
+def _per_col(values: dict, default=None):
+    """Column expression picking ``values[col]`` for the row's column index."""
+    idx = sorted(values)
+    arr = F.array(*[F.lit(values[i]) for i in idx])
+    pos = F.array_position(F.array(*[F.lit(i) for i in idx]), F.col("col"))
+    return F.element_at(arr, pos.cast("int"))
+
+
+def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    if not cols:
         return {}
-    names = list(bounds)
-    lo_of = {c: b[1] for c, b in bounds.items()}
-    hi_of = {c: b[2] for c, b in bounds.items()}
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).cast("double").alias("v"))
-                                for i, c in enumerate(names)])).alias("p")
-    long = df.select(pairs).select("p.col", "p.v").where(F.col("v").isNotNull())
-    lo_e = F.element_at(F.array(*[F.lit(float(lo_of[c])) for c in names]), F.col("col") + 1)
-    hi_e = F.element_at(F.array(*[F.lit(float(hi_of[c])) for c in names]), F.col("col") + 1)
-    tagged = long.withColumn("_below", F.col("v") < lo_e).withColumn("_in", F.col("v").between(lo_e, hi_e))
-    below = {r["col"]: r["n"] for r in
-             tagged.where("_below").groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect()}
-    vals = tagged.where("_in").groupBy("col", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("col").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    k1s = F.element_at(F.array(*[F.lit((bounds[c][0] - 1) // 2 - below.get(i, 0)) for i, c in enumerate(names)]),
-                       F.col("col") + 1)
-    k2s = F.element_at(F.array(*[F.lit(bounds[c][0] // 2 - below.get(i, 0)) for i, c in enumerate(names)]),
-                       F.col("col") + 1)
-    ans = (vals.withColumn("cum", F.sum("cnt").over(w)).withColumn("k1", k1s).withColumn("k2", k2s)
-           .groupBy("col").agg(F.min(F.when(F.col("cum") > F.col("k1"), F.col("v"))).alias("a"),
-                               F.min(F.when(F.col("cum") > F.col("k2"), F.col("v"))).alias("b"),
-                               F.min("k1").alias("k1"))
-           .collect())
-    got = {r["col"]: r for r in ans}
-    out, retry = {}, {}
-    for i, c in enumerate(names):
-        r = got.get(i)
-        if r is None or r["a"] is None or r["b"] is None or r["k1"] < 0:
-            retry[c] = (bounds[c][0], float("-inf"), float("inf"))
-            continue
-        out[c] = r["a"] + (r["b"] - r["a"]) * 0.5  # same interpolation as Spark/DuckDB percentile
-    if retry and not widened:
-        out.update(_solve(df, retry, widened=True))
+    long = _long(df, cols)
+    st = {r["col"]: r for r in long.groupBy("col").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                                                      F.max("v").alias("hi")).collect()}
+    # state per column index: n, bracket [lo, hi] (actual values), count below lo, count inside
+    state = {i: {"n": r["n"], "lo": r["lo"], "hi": r["hi"], "below": 0, "inside": r["n"]} for i, r in st.items()}
+    for _ in range(MAX_ROUNDS):
+        todo = {i: s for i, s in state.items() if s["inside"] > MAX_BRACKET and s["lo"] < s["hi"]}
+        if not todo:
+            break
+        lo = _per_col({i: float(s["lo"]) for i, s in todo.items()})
+        hi = _per_col({i: float(s["hi"]) for i, s in todo.items()})
+        sub = long.where(F.col("col").isin(list(todo))).where((F.col("v") >= lo) & (F.col("v") <= hi))
+        b = F.least(F.floor((F.col("v") - lo) / (hi - lo) * BINS), F.lit(BINS - 1)).cast("int")
+        hist = (sub.groupBy("col", b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"),
+                                                     F.max("v").alias("mx")).collect())
+        by_col: dict = {}
+        for r in hist:
+            by_col.setdefault(r["col"], []).append((r["b"], r["n"], r["mn"], r["mx"]))
+        for i, s in todo.items():
+            k1, k2 = (s["n"] - 1) // 2, s["n"] // 2
+            acc = s["below"]
+            first = last = None
+            below = s["below"]
+            for bi, n, mn, mx in sorted(by_col.get(i, [])):
+                if first is None and acc + n > k1:
+                    first, below = (bi, mn), acc
+                if acc + n > k2:
+                    last = (bi, mx)
+                    break
+                acc += n
+            if first is None or last is None:
+                break
+            inside = sum(n for bi, n, _, _ in by_col[i] if first[0] <= bi <= last[0])
+            state[i] = {"n": s["n"], "lo": first[1], "hi": last[1], "below": below, "inside": inside}
+    lo = _per_col({i: float(s["lo"]) for i, s in state.items()})
+    hi = _per_col({i: float(s["hi"]) for i, s in state.items()})
+    vals = (long.where((F.col("v") >= lo) & (F.col("v") <= hi))
+            .groupBy("col", "v").agg(F.count(F.lit(1)).alias("cnt")).collect())
+    by_col = {}
+    for r in vals:
+        by_col.setdefault(r["col"], []).append((r["v"], r["cnt"]))
+    out = {c: None for c in cols}
+    for i, s in state.items():
+        k1, k2 = (s["n"] - 1) // 2, s["n"] // 2
+        acc, a, b2 = s["below"], None, None
+        for v, cnt in sorted(by_col.get(i, [])):
+            if a is None and acc + cnt > k1:
+                a = v
+            if acc + cnt > k2:
+                b2 = v
+                break
+            acc += cnt
+        if a is not None and b2 is not None:
+            out[cols[i]] = a + (b2 - a) * 0.5  # same interpolation as Spark/DuckDB percentile
     return out

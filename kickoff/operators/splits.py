@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Reference defaults.
 TEST_SIZE = 0.2
 CALIBRATION_FRACTION = 0.125
@@ -35,7 +37,7 @@ def with_row_index(df: DataFrame, order=("match_date", "match_id"), partitions:
     tagged = (tagged.withColumn("_part", F.shiftright("_mid", 33))
                     .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW33))))
     if checkpoint:
-        tagged = tagged.checkpoint()
+        tagged = materialize(tagged, "row-index")
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

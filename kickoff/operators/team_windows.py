@@ -1,17 +1,21 @@
 """Point-in-time team features over the team-long view (W1–W8 and W7 head-to-head).
 
 Every feature of a row uses only rows of the same key with an earlier date ("strictly prior";
-same-day rows never count). All windows run after ONE shuffle on ``(div, team, _blk)``:
-
-* a window over ``w.rowsBetween(-n, -1)`` gives the row-order answer; ``first(x) over day``
-  copies the answer of the day's first row (which sees exactly the rows dated before the day)
-  to every row of that day;
+same-day rows never count). All windows run after ONE shuffle on ``(div, team, _blk)``, and
+each stream (team / venue / head-to-head) is sorted ONCE:
+
+* every bounded frame "last n rows" is a difference of running sums,
+  ``S(i) − lag(S, n)(i)`` with ``S`` the sum of the rows before ``i`` — running sums and lags
+  are O(1) per row, unlike re-aggregating a sliding frame, and integer sums stay exact;
+* the row-order answer of the first row of a day sees exactly the rows dated before that day;
+  ``last(when(first_of_day, v), ignorenulls)`` over the same ordering copies it to the other
+  rows of the day (no second sort for a per-day partition);
 * venue form partitions additionally by ``is_home`` and head-to-head by ``opponent`` (a team's
   rows against one opponent are all meetings of that pair, in both orientations, seen from the
-  team) — both partitionings are refinements of the shuffle key, so they add sorts, not
-  exchanges;
-* season-to-date sums and streaks run over unbounded frames with block offsets
-  (``operators.blocked``) so a hot key is split across tasks.
+  team) — both refine the shuffle key, so they cost a sort, not an exchange;
+* season-to-date sums and streaks are running values; with several time blocks per key the
+  earlier blocks enter through small block tables (``operators.blocked``), so a hot key is
+  split across tasks.
 
 Only rest days (W8) keep row-order semantics, like the reference's EDA job.
 """
@@ -36,10 +40,12 @@ SEASON_FALLBACK = 10
 GROUPS = ("form", "exp", "venue", "streaks", "season", "shooting", "h2h", "rest")
 
 KEY = ["div", "team"]
+_UNB = Window.unboundedPreceding
 
 
-def _frame(part, n: int):
-    return Window.partitionBy(*part).orderBy(*ORDER).rowsBetween(-n, -1)
+def exp_weights(decay: float = EXP_DECAY, n: int = EXP_WINDOW) -> list[float]:
+    """Weight of the k-th most recent row (k = 1..n) is ``decay ** (k-1)``."""
+    return [decay ** (k - 1) for k in range(1, n + 1)]
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -47,16 +53,40 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num.cast("double") / den)
 
 
-def exp_weights(decay: float = EXP_DECAY, n: int = EXP_WINDOW) -> list[float]:
-    """Weight of the k-th most recent row (k = 1..n) is ``decay ** (k-1)``."""
-    return [decay ** (k - 1) for k in range(1, n + 1)]
+def _breaks() -> dict:
+    """Row that ends each run: not a win / a loss / not a loss."""
+    return {"win_streak": F.col("win") == 0, "unbeaten_streak": F.col("loss") == 1,
+            "loss_streak": F.col("loss") == 0}
+
+
+class _Stream:
+    """Running sums, their lags and day propagation over one ordered partitioning."""
+
+    def __init__(self, part: list[str]):
+        self.w = Window.partitionBy(*part).orderBy(*ORDER)
+        self.before = self.w.rowsBetween(_UNB, -1)
+        self.upto = self.w.rowsBetween(_UNB, 0)
+
+    def running(self, e: Column) -> Column:
+        return F.coalesce(F.sum(e).over(self.before), F.lit(0))
+
+    def last_n(self, s: str, n: int) -> Column:
+        """Sum of the last ``n`` rows before the row, from the running-sum column ``s``."""
+        return F.col(s) - F.coalesce(F.lag(s, n).over(self.w), F.lit(0))
+
+    def first_of_day(self) -> Column:
+        prev = F.lag("match_date", 1).over(self.w)
+        return prev.isNull() | (prev != F.col("match_date"))
+
+    def day_value(self, v: str, flag: str) -> Column:
+        return F.last(F.when(F.col(flag), F.col(v)), ignorenulls=True).over(self.upto)
 
 
 def team_features(tl: DataFrame, width: int, groups=GROUPS, form_windows=FORM_WINDOWS,
                   decay: float = EXP_DECAY) -> DataFrame:
     """Per team-long row, the point-in-time features of the requested ``groups``.
 
-    ``width`` is the block width from :func:`blocked.block_width` (use ``1 << 20`` for one block).
+    ``width`` is the block width from :func:`blocked.block_width` (``1 << 20`` = one block).
     """
     groups = set(groups)
     depth = max([*(form_windows if "form" in groups else ()),
@@ -72,161 +102,182 @@ def team_features(tl: DataFrame, width: int, groups=GROUPS, form_windows=FORM_WI
 
     base = with_block(tl, width)
     full = with_halo(base, streams, width)
+    real = F.col(HALO).isNull()
     full = (full.repartition(*KEY, BLOCK)  # the one shuffle; every window below refines it
                 .withColumn("_pt", in_stream("team")).withColumn("_pv", in_stream("venue"))
-                .withColumn("_ph", in_stream("h2h")).withColumn("_pr", F.col(HALO).isNull()))
-    tpart = KEY + [BLOCK, "_pt"]
-    day = Window.partitionBy(*KEY, BLOCK, "match_date").orderBy("match_id")
-    out: list[Column] = []   # (expression, day window) pairs resolved below
-    row_cols: list[tuple[str, Column, Window]] = []
+                .withColumn("_ph", in_stream("h2h")).withColumn("_real", real))
+    T = _Stream(KEY + [BLOCK, "_pt"])
+    out: list[str] = []
 
-    def add(name, expr, dwin=day):
-        row_cols.append((name, expr, dwin))
+    # ---- team stream, pass 1: running sums (exclusive), row numbers, day flags, lags of raw values
+    sums = {"_s_n": F.lit(1), "_s_pts": F.col("points"), "_s_win": F.col("win"), "_s_gf": F.col("gf"),
+            "_s_ga": F.col("ga"), "_s_cs": F.col("clean_sheet")}
+    if "shooting" in groups:
+        valid = F.col("shots_for") > 0
+        sums.update({"_s_vn": F.when(valid, 1).otherwise(0), "_s_vsh": F.when(valid, F.col("shots_for")).otherwise(0),
+                     "_s_vsot": F.when(valid, F.coalesce(F.col("sot_for"), F.lit(0))).otherwise(0),
+                     "_s_vsotn": F.when(valid & F.col("sot_for").isNotNull(), 1).otherwise(0),
+                     "_s_vg": F.when(valid, F.col("gf")).otherwise(0)})
+    if "season" in groups:
+        sums.update({"_r_n": F.when(real, 1).otherwise(0), "_r_win": F.when(real, F.col("win")).otherwise(0),
+                     "_r_pts": F.when(real, F.col("points")).otherwise(0), "_r_gf": F.when(real, F.col("gf")).otherwise(0),
+                     "_r_ga": F.when(real, F.col("ga")).otherwise(0),
+                     "_r_cs": F.when(real, F.col("clean_sheet")).otherwise(0)})
+    p1 = [T.running(e).alias(n) for n, e in sums.items()]
+    p1.append(T.first_of_day().alias("_fd"))
+    if "streaks" in groups:
+        rn_real = F.sum(F.when(real, 1).otherwise(0)).over(T.upto)
+        p1.append(rn_real.alias("_rn"))
+        for s, brk in _breaks().items():
+            p1.append(F.max(F.when(brk & real, rn_real)).over(T.before).alias("_lb_" + s))
+    if "season" in groups:
+        prev_ss = F.lag("season_start", 1).over(T.w)
+        p1.append((prev_ss.isNull() | (prev_ss != F.col("season_start"))).alias("_fs"))
+    if "exp" in groups:
+        p1 += [F.lag("points", k).over(T.w).alias(f"_lag{k}") for k in range(1, EXP_WINDOW + 1)]
+    if "rest" in groups:
+        # Row-order semantics on purpose: a second contest on the same day has 0 rest days.
+        p1.append(F.datediff("match_date", F.lag("match_date", 1).over(T.w)).alias("rest_days"))
+        out.append("rest_days")
+    full = full.select("*", *p1)
 
+    # ---- team stream, pass 2: row-order answers
+    rows: dict[str, Column] = {}
     if "form" in groups:
         for n in form_windows:
-            w = _frame(tpart, n)
-            cnt = F.count(F.lit(1)).over(w)
-            gf, ga = F.sum("gf").over(w), F.sum("ga").over(w)
-            add(f"form{n}_points", F.sum("points").over(w))
-            add(f"form{n}_win_rate", _ratio(F.sum("win").over(w), cnt))
-            add(f"form{n}_goal_diff", gf - ga)
-            add(f"form{n}_avg_goals_for", _ratio(gf, cnt))
-            add(f"form{n}_avg_goals_against", _ratio(ga, cnt))
-
+            cnt = F.least(F.col("_s_n"), F.lit(n))
+            gf, ga = T.last_n("_s_gf", n), T.last_n("_s_ga", n)
+            rows[f"form{n}_points"] = F.when(cnt > 0, T.last_n("_s_pts", n))
+            rows[f"form{n}_win_rate"] = _ratio(T.last_n("_s_win", n), cnt)
+            rows[f"form{n}_goal_diff"] = F.when(cnt > 0, gf - ga)
+            rows[f"form{n}_avg_goals_for"] = _ratio(gf, cnt)
+            rows[f"form{n}_avg_goals_against"] = _ratio(ga, cnt)
     if "exp" in groups:
-        ow = Window.partitionBy(*tpart).orderBy(*ORDER)
         wts = exp_weights(decay)
         num, den = F.lit(0.0), F.lit(0.0)
         for k in range(EXP_WINDOW, 0, -1):  # oldest first: same summation order as the oracle
-            lagk = F.lag("points", k).over(ow)
+            lagk = F.col(f"_lag{k}")
             num = num + F.coalesce(F.lit(wts[k - 1]) * lagk.cast("double"), F.lit(0.0))
             den = den + F.when(lagk.isNotNull(), F.lit(wts[k - 1])).otherwise(F.lit(0.0))
-        add("exp_form", F.when(den > 0, num / den))
-
-    if "venue" in groups:
-        vpart = KEY + ["is_home", BLOCK, "_pv"]
-        w = _frame(vpart, VENUE_WINDOW)
-        cnt = F.count(F.lit(1)).over(w)
-        vday = Window.partitionBy(*KEY, "is_home", BLOCK, "match_date").orderBy("match_id")
-        add("venue_win_rate", _ratio(F.sum("win").over(w), cnt), vday)
-        add("venue_avg_goals_for", _ratio(F.sum("gf").over(w), cnt), vday)
-        add("venue_avg_goals_against", _ratio(F.sum("ga").over(w), cnt), vday)
-        add("venue_clean_sheets", _ratio(F.sum("clean_sheet").over(w), cnt), vday)
-
+        rows["exp_form"] = F.when(den > 0, num / den)
     if "shooting" in groups:
-        w = _frame(tpart, SHOOTING_WINDOW)
-        valid = F.col("shots_for") > 0
-        nv = F.count(F.when(valid, F.lit(1))).over(w)
-        shots = F.sum(F.when(valid, F.col("shots_for"))).over(w)
-        sot = F.sum(F.when(valid, F.col("sot_for"))).over(w)
-        goals = F.sum(F.when(valid, F.col("gf"))).over(w)
-        add("avg_shots", _ratio(shots, nv))
-        add("avg_sot", _ratio(sot, nv))
-        add("shot_accuracy", F.when(nv > 0, _ratio(F.coalesce(sot, F.lit(0)), shots)))
-        add("shot_conversion", F.when(nv > 0, _ratio(goals, shots)))
-
-    if "h2h" in groups:
-        hpart = KEY + ["opponent", BLOCK, "_ph"]
-        w = _frame(hpart, H2H_WINDOW)
-        cnt = F.count(F.lit(1)).over(w)
-        hday = Window.partitionBy(*KEY, "opponent", BLOCK, "match_date").orderBy("match_id")
-        add("h2h_played", cnt, hday)
-        add("h2h_win_rate", _ratio(F.sum("win").over(w), cnt), hday)
-        add("h2h_avg_gf", _ratio(F.sum("gf").over(w), cnt), hday)
-
-    if "rest" in groups:
-        # Row-order semantics on purpose: a second contest on the same day has 0 rest days.
-        ow = Window.partitionBy(*tpart).orderBy(*ORDER)
-        full = full.withColumn("rest_days", F.datediff("match_date", F.lag("match_date", 1).over(ow)))
-
+        n = SHOOTING_WINDOW
+        nv, shots = T.last_n("_s_vn", n), T.last_n("_s_vsh", n)
+        sot, sotn, goals = T.last_n("_s_vsot", n), T.last_n("_s_vsotn", n), T.last_n("_s_vg", n)
+        rows["avg_shots"] = _ratio(shots, nv)
+        rows["avg_sot"] = F.when(sotn > 0, _ratio(sot, nv))
+        rows["shot_accuracy"] = F.when(nv > 0, _ratio(sot, shots))
+        rows["shot_conversion"] = F.when(nv > 0, _ratio(goals, shots))
     if "season" in groups:
-        full = _season_running(full, base, width)
-        w = _frame(tpart, SEASON_FALLBACK)
-        fb_cnt = F.count(F.lit(1)).over(w)
-        s_cnt = F.col("_s_n")
-        use_season = s_cnt >= SEASON_MIN_PLAYED
-
-        def pick(season_num: str, fb_num: Column):
-            return F.when(use_season, _ratio(F.col(season_num), s_cnt)).otherwise(_ratio(fb_num, fb_cnt))
-
-        add("season_played", F.when(use_season, s_cnt).otherwise(fb_cnt).cast("long"))
-        add("season_win_rate", pick("_s_win", F.sum("win").over(w)))
-        add("season_ppg", pick("_s_pts", F.sum("points").over(w)))
-        add("season_avg_goals_for", pick("_s_gf", F.sum("gf").over(w)))
-        add("season_avg_goals_against", pick("_s_ga", F.sum("ga").over(w)))
-        add("season_clean_sheets", pick("_s_cs", F.sum("clean_sheet").over(w)))
-
+        fb = SEASON_FALLBACK
+        fcnt = F.least(F.col("_s_n"), F.lit(fb))
+        for m in ("n", "win", "pts", "gf", "ga", "cs"):
+            rows[f"_fb_{m}"] = T.last_n(f"_s_{m}", fb) if m != "n" else fcnt
+            rows[f"_ss_{m}"] = F.last(F.when(F.col("_fs"), F.col(f"_r_{m}")), ignorenulls=True).over(T.upto)
     if "streaks" in groups:
-        full = _streaks(full, width)
         for s in _breaks():
-            add(s, F.col("_" + s))
-
-    # Row-order answers first, then every row takes its day's first answer.
-    for name, expr, _ in row_cols:
-        full = full.withColumn("_row_" + name, expr)
-    full = full.where(F.col(HALO).isNull())
-    for name, _, dwin in row_cols:
-        full = full.withColumn(name, F.first("_row_" + name).over(dwin))
-    keep = [c for c in tl.columns] + [n for n, _, _ in row_cols] + (["rest_days"] if "rest" in groups else [])
-    return full.select(*keep)
-
-
-def _season_running(full: DataFrame, base: DataFrame, width: int) -> DataFrame:
-    """Season-to-date sums over rows dated before the row within the same season."""
-    spart = KEY + ["season_start", BLOCK, "_pr"]
-    w = Window.partitionBy(*spart).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    sums = {"_s_n": F.lit(1), "_s_win": F.col("win"), "_s_pts": F.col("points"), "_s_gf": F.col("gf"),
-            "_s_ga": F.col("ga"), "_s_cs": F.col("clean_sheet")}
-    for n, e in sums.items():
-        full = full.withColumn(n, F.coalesce(F.sum(e).over(w), F.lit(0)))
-    pref = block_prefix(base, KEY + ["season_start"], sums, width)
-    if pref is not None:
-        pref = pref.select(*KEY, "season_start", BLOCK, *[F.col(n).alias(n + "_off") for n in sums])
-        full = full.join(pref, KEY + ["season_start", BLOCK], "left")
-        for n in sums:
-            full = full.withColumn(n, F.col(n) + F.coalesce(F.col(n + "_off"), F.lit(0))).drop(n + "_off")
-    return full
+            rows["_st_" + s] = F.col("_lb_" + s)
+    full = full.select("*", *[e.alias("_v_" + k) for k, e in rows.items()])
 
+    # ---- team stream, pass 3: the day's first answer for every row of the day
+    full = full.select("*", *[T.day_value("_v_" + k, "_fd").alias(k) for k in rows])
 
-def _breaks() -> dict:
-    """Row that ends each run: not a win / a loss / not a loss."""
-    return {"win_streak": F.col("win") == 0, "unbeaten_streak": F.col("loss") == 1,
-            "loss_streak": F.col("loss") == 0}
-
+    if "season" in groups:
+        full = _season(full, base, width)
+        out += ["season_played", "season_win_rate", "season_ppg", "season_avg_goals_for",
+                "season_avg_goals_against", "season_clean_sheets"]
+    if "streaks" in groups:
+        full = _streaks(full, width, T)
+        out += list(_breaks())
+    out += [k for k in rows if not k.startswith("_")]
 
-def _streaks(full: DataFrame, width: int) -> DataFrame:
-    """Length of the run entering each row: rows since the last breaking row.
+    if "venue" in groups:
+        V = _Stream(KEY + ["is_home", BLOCK, "_pv"])
+        full = full.select("*", *[V.running(e).alias(n) for n, e in
+                                  {"_vs_n": F.lit(1), "_vs_win": F.col("win"), "_vs_gf": F.col("gf"),
+                                   "_vs_ga": F.col("ga"), "_vs_cs": F.col("clean_sheet")}.items()],
+                           V.first_of_day().alias("_vfd"))
+        n = VENUE_WINDOW
+        cnt = F.least(F.col("_vs_n"), F.lit(n))
+        vrows = {"venue_win_rate": _ratio(V.last_n("_vs_win", n), cnt),
+                 "venue_avg_goals_for": _ratio(V.last_n("_vs_gf", n), cnt),
+                 "venue_avg_goals_against": _ratio(V.last_n("_vs_ga", n), cnt),
+                 "venue_clean_sheets": _ratio(V.last_n("_vs_cs", n), cnt)}
+        full = full.select("*", *[e.alias("_v_" + k) for k, e in vrows.items()])
+        full = full.select("*", *[V.day_value("_v_" + k, "_vfd").alias(k) for k in vrows])
+        out += list(vrows)
 
-    In-block: ``rn - 1 - last_break_rn``; with several blocks a row with no break earlier in its
-    block adds the run carried into the block, from the block table:
-    ``carried = rows_before_block - position_of_last_break_before_block``.
+    if "h2h" in groups:
+        H = _Stream(KEY + ["opponent", BLOCK, "_ph"])
+        full = full.select("*", *[H.running(e).alias(n) for n, e in
+                                  {"_hs_n": F.lit(1), "_hs_win": F.col("win"), "_hs_gf": F.col("gf")}.items()],
+                           H.first_of_day().alias("_hfd"))
+        n = H2H_WINDOW
+        cnt = F.least(F.col("_hs_n"), F.lit(n))
+        hrows = {"h2h_played": cnt.cast("long"), "h2h_win_rate": _ratio(H.last_n("_hs_win", n), cnt),
+                 "h2h_avg_gf": _ratio(H.last_n("_hs_gf", n), cnt)}
+        full = full.select("*", *[e.alias("_v_" + k) for k, e in hrows.items()])
+        full = full.select("*", *[H.day_value("_v_" + k, "_hfd").alias(k) for k in hrows])
+        out += list(hrows)
+
+    keep = list(tl.columns) + [c for c in out if c not in tl.columns]
+    return full.where(F.col(HALO).isNull()).select(*keep)
+
+
+def _season(full: DataFrame, base: DataFrame, width: int) -> DataFrame:
+    """Season-to-date = running real-row sums minus their value at the season's first row in
+    the block, plus the sums of earlier blocks of the same season; fewer than 3 → last 10 rows."""
+    ms = ("n", "win", "pts", "gf", "ga", "cs")
+    pref = block_prefix(base, KEY + ["season_start"],
+                        {"_o_n": F.lit(1), "_o_win": F.col("win"), "_o_pts": F.col("points"), "_o_gf": F.col("gf"),
+                         "_o_ga": F.col("ga"), "_o_cs": F.col("clean_sheet")}, width)
+    if pref is not None:
+        full = full.join(pref, KEY + ["season_start", BLOCK], "left")
+    for m in ms:
+        v = F.col(f"_r_{m}") - F.coalesce(F.col(f"_ss_{m}"), F.lit(0))
+        if pref is not None:
+            v = v + F.coalesce(F.col(f"_o_{m}"), F.lit(0))
+        full = full.withColumn(f"_sd_{m}", v)
+    # season values are day values too: take them from the day's first row via the per-row
+    # running sums (the ``_r_*`` sums exclude the row, so for the first row of a day they are
+    # exactly the rows dated before the day); copy through the day flag
+    T = _Stream(KEY + [BLOCK, "_pt"])
+    full = full.select("*", *[T.day_value(f"_sd_{m}", "_fd").alias(f"_sday_{m}") for m in ms])
+    s_n = F.col("_sday_n")
+    use = s_n >= SEASON_MIN_PLAYED
+
+    def pick(m: str):
+        return F.when(use, _ratio(F.col(f"_sday_{m}"), s_n)).otherwise(_ratio(F.col(f"_fb_{m}"), F.col("_fb_n")))
+
+    return full.select("*", F.when(use, s_n).otherwise(F.col("_fb_n")).cast("long").alias("season_played"),
+                       pick("win").alias("season_win_rate"), pick("pts").alias("season_ppg"),
+                       pick("gf").alias("season_avg_goals_for"), pick("ga").alias("season_avg_goals_against"),
+                       pick("cs").alias("season_clean_sheets"))
+
+
+def _streaks(full: DataFrame, width: int, T: _Stream) -> DataFrame:
+    """Run entering each row: real rows since the last breaking row.
+
+    In-block: ``rn - 1 - last_break_rn`` (from the day's first row); with several blocks a row
+    with no break earlier in its block adds the run carried into the block, from the block
+    table: ``carried = rows_before_block - position_of_last_break_before_block``.
     """
-    _BREAKS = _breaks()
-    rpart = KEY + [BLOCK, "_pr"]
-    ow = Window.partitionBy(*rpart).orderBy(*ORDER)
-    before = ow.rowsBetween(Window.unboundedPreceding, -1)
-    full = full.withColumn("_rn", F.row_number().over(ow))
-    for s, brk in _BREAKS.items():
-        full = full.withColumn("_lb_" + s, F.last(F.when(brk, F.col("_rn")), ignorenulls=True).over(before))
+    brks = _breaks()
+    # _rn at the day's first row, copied to the day
+    full = full.select("*", T.day_value("_rn", "_fd").alias("_rn_day"))
     if single_block(width):
-        for s in _BREAKS:
-            full = full.withColumn("_" + s, (F.col("_rn") - 1 - F.coalesce(F.col("_lb_" + s), F.lit(0))).cast("long"))
-        return full
-    real = full.where(F.col("_pr"))
-    blocks = real.groupBy(*KEY, BLOCK).agg(F.count(F.lit(1)).alias("_c"),
-                                           *[F.max(F.when(b, F.col("_rn"))).alias("_m_" + s)
-                                             for s, b in _BREAKS.items()])
-    bw = Window.partitionBy(*KEY).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        return full.select("*", *[(F.col("_rn_day") - 1 - F.coalesce(F.col("_st_" + s), F.lit(0))).cast("long").alias(s)
+                                  for s in brks])
+    realrows = full.where(F.col("_real"))
+    blocks = realrows.groupBy(*KEY, BLOCK).agg(F.count(F.lit(1)).alias("_c"),
+                                               *[F.max(F.when(b, F.col("_rn"))).alias("_m_" + s) for s, b in brks.items()])
+    bw = Window.partitionBy(*KEY).orderBy(BLOCK).rowsBetween(_UNB, -1)
     blocks = blocks.withColumn("_cum", F.coalesce(F.sum("_c").over(bw), F.lit(0)))
-    cols = [*KEY, BLOCK, "_cum"]
-    for s in _BREAKS:
-        blocks = blocks.withColumn("_p_" + s, F.last(F.col("_cum") + F.col("_m_" + s), ignorenulls=True).over(bw))
-        cols.append(F.col("_cum") - F.coalesce(F.col("_p_" + s), F.lit(0)))
-        cols[-1] = cols[-1].alias("_carry_" + s)
-    blocks = blocks.select(*cols).drop("_cum")
-    full = full.join(blocks, KEY + [BLOCK], "left")
-    for s in _BREAKS:
-        full = full.withColumn("_" + s, F.when(F.col("_lb_" + s).isNotNull(), F.col("_rn") - 1 - F.col("_lb_" + s))
-                               .otherwise(F.col("_rn") - 1 + F.coalesce(F.col("_carry_" + s), F.lit(0))).cast("long"))
-    return full
+    cols = [*KEY, BLOCK]
+    for s in brks:
+        p = F.last(F.col("_cum") + F.col("_m_" + s), ignorenulls=True).over(bw)
+        cols.append((F.col("_cum") - F.coalesce(p, F.lit(0))).alias("_carry_" + s))
+    full = full.join(blocks.select(*cols), KEY + [BLOCK], "left")
+    return full.select("*", *[F.when(F.col("_st_" + s).isNotNull(), F.col("_rn_day") - 1 - F.col("_st_" + s))
+                              .otherwise(F.col("_rn_day") - 1 + F.coalesce(F.col("_carry_" + s), F.lit(0)))
+                              .cast("long").alias(s) for s in brks])

@@ -25,6 +25,7 @@ from ..operators.elo import elo_features, elo_history
 from ..operators.medians import exact_medians
 from ..operators.perspective import team_long
 from ..operators.team_windows import FORM_WINDOWS, GROUPS, KEY, team_features
+from ..session import materialize
 from ..sources.contests import contests
 
 META = ["match_id", "match_date", "div", "home_team", "away_team", "season"]
@@ -135,7 +136,7 @@ def model_ready(features: DataFrame, medians: dict | None = None) -> DataFrame:
     """
     clean = features.na.drop(subset=CORE)
     if medians is None:
-        clean = clean.checkpoint()  # scanned several times below: cut the lineage once
+        clean = materialize(clean, "model-ready-clean")  # scanned several times below: cut the lineage once
     avail = [c for c in MODEL_FEATURES if c in clean.columns]
     if medians is None:
         medians = exact_medians(clean, avail)

@@ -57,7 +57,7 @@ def feature_columns(df: DataFrame) -> list[str]:
 def prepare(mr: DataFrame, test_size: float = SP.TEST_SIZE, cal_fraction: float = SP.CALIBRATION_FRACTION) -> DataFrame:
     """Model-ready rows with ``idx``, ``split`` (fit / calibration / test) and ``label``."""
     idx = SP.with_row_index(mr)
-    return SP.calibration_split(idx, test_size, cal_fraction).withColumn("label", label_col()).checkpoint()
+    return SP.calibration_split(idx, test_size, cal_fraction).withColumn("label", label_col())
 
 
 def usable_features(df: DataFrame, cols: list[str]) -> list[str]:

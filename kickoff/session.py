@@ -61,3 +61,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` once as a parquet table under the shared checkpoint folder
+    and reading it back. (``Dataset.checkpoint`` computes an unpersisted plan twice: once for
+    its count action and once more for the checkpoint write.) The path is unique per call, so
+    concurrent jobs never share it; a lost executor re-reads the table instead of recomputing."""
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
