@@ -59,27 +59,35 @@ def _breaks() -> dict:
             "loss_streak": F.col("loss") == 0}
 
 
+# The stream order (season_start, match_date, match_id) equals (match_date, match_id), because a
+# season start is a monotone function of the date; putting it first lets the per-season and the
+# per-day partitions below reuse the stream's sort (their required ordering is a prefix of it).
+SORT = ("season_start", "match_date", "match_id")
+
+
 class _Stream:
-    """Running sums, their lags and day propagation over one ordered partitioning."""
+    """Incremental running sums and day propagation over one sorted partitioning."""
 
     def __init__(self, part: list[str]):
-        self.w = Window.partitionBy(*part).orderBy(*ORDER)
-        self.before = self.w.rowsBetween(_UNB, -1)
-        self.upto = self.w.rowsBetween(_UNB, 0)
+        self.part = list(part)
+        self.w = Window.partitionBy(*part).orderBy(*SORT)
+        self.day = Window.partitionBy(*part, "season_start", "match_date").orderBy("match_id")
+        self.season = Window.partitionBy(*part, "season_start").orderBy("match_date", "match_id")
 
-    def running(self, e: Column) -> Column:
-        return F.coalesce(F.sum(e).over(self.before), F.lit(0))
+    def before(self, e: Column, lag: int = 0) -> Column:
+        """Sum of ``e`` over the rows before ``i - lag`` (growing frame: O(1) per row)."""
+        return F.coalesce(F.sum(e).over(self.w.rowsBetween(_UNB, -1 - lag)), F.lit(0))
 
-    def last_n(self, s: str, n: int) -> Column:
-        """Sum of the last ``n`` rows before the row, from the running-sum column ``s``."""
-        return F.col(s) - F.coalesce(F.lag(s, n).over(self.w), F.lit(0))
+    def last_n(self, e: Column, n: int) -> Column:
+        """Sum of ``e`` over the last ``n`` rows before the row."""
+        return self.before(e) - self.before(e, n)
 
-    def first_of_day(self) -> Column:
-        prev = F.lag("match_date", 1).over(self.w)
-        return prev.isNull() | (prev != F.col("match_date"))
+    def count_before(self) -> Column:
+        return F.count(F.lit(1)).over(self.w.rowsBetween(_UNB, -1))
 
-    def day_value(self, v: str, flag: str) -> Column:
-        return F.last(F.when(F.col(flag), F.col(v)), ignorenulls=True).over(self.upto)
+    def day_first(self, v: str) -> Column:
+        """The value of the day's first row (which sees exactly the rows dated before the day)."""
+        return F.first(v).over(self.day)
 
 
 def team_features(tl: DataFrame, width: int, groups=GROUPS, form_windows=FORM_WINDOWS,
@@ -106,49 +114,30 @@ def team_features(tl: DataFrame, width: int, groups=GROUPS, form_windows=FORM_WI
     full = (full.repartition(*KEY, BLOCK)  # the one shuffle; every window below refines it
                 .withColumn("_pt", in_stream("team")).withColumn("_pv", in_stream("venue"))
                 .withColumn("_ph", in_stream("h2h")).withColumn("_real", real))
-    T = _Stream(KEY + [BLOCK, "_pt"])
+    carry = list(full.columns)
     out: list[str] = []
 
-    # ---- team stream, pass 1: running sums (exclusive), row numbers, day flags, lags of raw values
-    sums = {"_s_n": F.lit(1), "_s_pts": F.col("points"), "_s_win": F.col("win"), "_s_gf": F.col("gf"),
-            "_s_ga": F.col("ga"), "_s_cs": F.col("clean_sheet")}
-    if "shooting" in groups:
-        valid = F.col("shots_for") > 0
-        sums.update({"_s_vn": F.when(valid, 1).otherwise(0), "_s_vsh": F.when(valid, F.col("shots_for")).otherwise(0),
-                     "_s_vsot": F.when(valid, F.coalesce(F.col("sot_for"), F.lit(0))).otherwise(0),
-                     "_s_vsotn": F.when(valid & F.col("sot_for").isNotNull(), 1).otherwise(0),
-                     "_s_vg": F.when(valid, F.col("gf")).otherwise(0)})
-    if "season" in groups:
-        sums.update({"_r_n": F.when(real, 1).otherwise(0), "_r_win": F.when(real, F.col("win")).otherwise(0),
-                     "_r_pts": F.when(real, F.col("points")).otherwise(0), "_r_gf": F.when(real, F.col("gf")).otherwise(0),
-                     "_r_ga": F.when(real, F.col("ga")).otherwise(0),
-                     "_r_cs": F.when(real, F.col("clean_sheet")).otherwise(0)})
-    p1 = [T.running(e).alias(n) for n, e in sums.items()]
-    p1.append(T.first_of_day().alias("_fd"))
-    if "streaks" in groups:
-        rn_real = F.sum(F.when(real, 1).otherwise(0)).over(T.upto)
-        p1.append(rn_real.alias("_rn"))
-        for s, brk in _breaks().items():
-            p1.append(F.max(F.when(brk & real, rn_real)).over(T.before).alias("_lb_" + s))
-    if "season" in groups:
-        prev_ss = F.lag("season_start", 1).over(T.w)
-        p1.append((prev_ss.isNull() | (prev_ss != F.col("season_start"))).alias("_fs"))
-    if "exp" in groups:
-        p1 += [F.lag("points", k).over(T.w).alias(f"_lag{k}") for k in range(1, EXP_WINDOW + 1)]
-    if "rest" in groups:
-        # Row-order semantics on purpose: a second contest on the same day has 0 rest days.
-        p1.append(F.datediff("match_date", F.lag("match_date", 1).over(T.w)).alias("rest_days"))
-        out.append("rest_days")
-    full = full.select("*", *p1)
-
-    # ---- team stream, pass 2: row-order answers
+    def finish(df: DataFrame, stream: _Stream, values: dict, extras: dict | None = None) -> DataFrame:
+        """Row-order answers → the day's first answer; drop every helper column. ``extras`` are
+        row-level window columns kept as they are."""
+        extras = extras or {}
+        df = df.select(*carry, *out, *[e.alias(k) for k, e in extras.items()],
+                       *[e.alias("_v_" + k) for k, e in values.items()])
+        df = df.select(*carry, *out, *extras, *[stream.day_first("_v_" + k).alias(k) for k in values])
+        out.extend(extras)
+        out.extend(values)
+        return df
+
+    # ---------------- team stream
+    T = _Stream(KEY + [BLOCK, "_pt"])
+    cnt_before = T.count_before()
     rows: dict[str, Column] = {}
     if "form" in groups:
         for n in form_windows:
-            cnt = F.least(F.col("_s_n"), F.lit(n))
-            gf, ga = T.last_n("_s_gf", n), T.last_n("_s_ga", n)
-            rows[f"form{n}_points"] = F.when(cnt > 0, T.last_n("_s_pts", n))
-            rows[f"form{n}_win_rate"] = _ratio(T.last_n("_s_win", n), cnt)
+            cnt = F.least(cnt_before, F.lit(n))
+            gf, ga = T.last_n(F.col("gf"), n), T.last_n(F.col("ga"), n)
+            rows[f"form{n}_points"] = F.when(cnt > 0, T.last_n(F.col("points"), n))
+            rows[f"form{n}_win_rate"] = _ratio(T.last_n(F.col("win"), n), cnt)
             rows[f"form{n}_goal_diff"] = F.when(cnt > 0, gf - ga)
             rows[f"form{n}_avg_goals_for"] = _ratio(gf, cnt)
             rows[f"form{n}_avg_goals_against"] = _ratio(ga, cnt)
@@ -156,128 +145,133 @@ def team_features(tl: DataFrame, width: int, groups=GROUPS, form_windows=FORM_WI
         wts = exp_weights(decay)
         num, den = F.lit(0.0), F.lit(0.0)
         for k in range(EXP_WINDOW, 0, -1):  # oldest first: same summation order as the oracle
-            lagk = F.col(f"_lag{k}")
+            lagk = F.lag("points", k).over(T.w)
             num = num + F.coalesce(F.lit(wts[k - 1]) * lagk.cast("double"), F.lit(0.0))
             den = den + F.when(lagk.isNotNull(), F.lit(wts[k - 1])).otherwise(F.lit(0.0))
         rows["exp_form"] = F.when(den > 0, num / den)
     if "shooting" in groups:
         n = SHOOTING_WINDOW
-        nv, shots = T.last_n("_s_vn", n), T.last_n("_s_vsh", n)
-        sot, sotn, goals = T.last_n("_s_vsot", n), T.last_n("_s_vsotn", n), T.last_n("_s_vg", n)
+        valid = F.col("shots_for") > 0
+        nv = T.last_n(F.when(valid, 1).otherwise(0), n)
+        shots = T.last_n(F.when(valid, F.col("shots_for")).otherwise(0), n)
+        sot = T.last_n(F.when(valid, F.coalesce(F.col("sot_for"), F.lit(0))).otherwise(0), n)
+        sotn = T.last_n(F.when(valid & F.col("sot_for").isNotNull(), 1).otherwise(0), n)
+        goals = T.last_n(F.when(valid, F.col("gf")).otherwise(0), n)
         rows["avg_shots"] = _ratio(shots, nv)
         rows["avg_sot"] = F.when(sotn > 0, _ratio(sot, nv))
         rows["shot_accuracy"] = F.when(nv > 0, _ratio(sot, shots))
         rows["shot_conversion"] = F.when(nv > 0, _ratio(goals, shots))
+    if "rest" in groups:
+        # Row-order semantics on purpose: a second contest on the same day has 0 rest days.
+        full = full.select(*carry, *out, F.datediff("match_date", F.lag("match_date", 1).over(T.w)).alias("rest_days"))
+        out.append("rest_days")
+    season_cols = {}
     if "season" in groups:
         fb = SEASON_FALLBACK
-        fcnt = F.least(F.col("_s_n"), F.lit(fb))
-        for m in ("n", "win", "pts", "gf", "ga", "cs"):
-            rows[f"_fb_{m}"] = T.last_n(f"_s_{m}", fb) if m != "n" else fcnt
-            rows[f"_ss_{m}"] = F.last(F.when(F.col("_fs"), F.col(f"_r_{m}")), ignorenulls=True).over(T.upto)
+        fcnt = F.least(cnt_before, F.lit(fb))
+        metrics = {"win": F.col("win"), "pts": F.col("points"), "gf": F.col("gf"), "ga": F.col("ga"),
+                   "cs": F.col("clean_sheet")}
+        rows["_fb_n"] = fcnt
+        for m, e in metrics.items():
+            rows[f"_fb_{m}"] = T.last_n(e, fb)
+        # season-to-date over real rows of this block (earlier blocks are added after the windows)
+        rows["_sn_n"] = F.coalesce(F.count(F.when(real, 1)).over(T.season.rowsBetween(_UNB, -1)), F.lit(0))
+        for m, e in metrics.items():
+            rows[f"_sn_{m}"] = F.coalesce(F.sum(F.when(real, e)).over(T.season.rowsBetween(_UNB, -1)), F.lit(0))
+        season_cols = {m: None for m in ["n", *metrics]}
+    extras = {}
     if "streaks" in groups:
-        for s in _breaks():
-            rows["_st_" + s] = F.col("_lb_" + s)
-    full = full.select("*", *[e.alias("_v_" + k) for k, e in rows.items()])
-
-    # ---- team stream, pass 3: the day's first answer for every row of the day
-    full = full.select("*", *[T.day_value("_v_" + k, "_fd").alias(k) for k in rows])
-
-    if "season" in groups:
-        full = _season(full, base, width)
-        out += ["season_played", "season_win_rate", "season_ppg", "season_avg_goals_for",
-                "season_avg_goals_against", "season_clean_sheets"]
+        rn_row = F.sum(F.when(real, 1).otherwise(0)).over(T.w.rowsBetween(_UNB, 0))
+        rows["_rn"] = rn_row           # real rows up to the day's first row (day value)
+        extras["_rn_row"] = rn_row     # real rows up to this row (row value)
+    full = finish(full, T, rows, extras)
     if "streaks" in groups:
-        full = _streaks(full, width, T)
-        out += list(_breaks())
-    out += [k for k in rows if not k.startswith("_")]
+        full = _streaks(full, width, T, carry, out)
+    if "season" in groups:
+        full = _season(full, base, width, carry, out)
+    out[:] = [c for c in out if not c.startswith("_")]
 
+    # ---------------- venue stream
     if "venue" in groups:
         V = _Stream(KEY + ["is_home", BLOCK, "_pv"])
-        full = full.select("*", *[V.running(e).alias(n) for n, e in
-                                  {"_vs_n": F.lit(1), "_vs_win": F.col("win"), "_vs_gf": F.col("gf"),
-                                   "_vs_ga": F.col("ga"), "_vs_cs": F.col("clean_sheet")}.items()],
-                           V.first_of_day().alias("_vfd"))
         n = VENUE_WINDOW
-        cnt = F.least(F.col("_vs_n"), F.lit(n))
-        vrows = {"venue_win_rate": _ratio(V.last_n("_vs_win", n), cnt),
-                 "venue_avg_goals_for": _ratio(V.last_n("_vs_gf", n), cnt),
-                 "venue_avg_goals_against": _ratio(V.last_n("_vs_ga", n), cnt),
-                 "venue_clean_sheets": _ratio(V.last_n("_vs_cs", n), cnt)}
-        full = full.select("*", *[e.alias("_v_" + k) for k, e in vrows.items()])
-        full = full.select("*", *[V.day_value("_v_" + k, "_vfd").alias(k) for k in vrows])
-        out += list(vrows)
-
+        cnt = F.least(V.count_before(), F.lit(n))
+        vrows = {"venue_win_rate": _ratio(V.last_n(F.col("win"), n), cnt),
+                 "venue_avg_goals_for": _ratio(V.last_n(F.col("gf"), n), cnt),
+                 "venue_avg_goals_against": _ratio(V.last_n(F.col("ga"), n), cnt),
+                 "venue_clean_sheets": _ratio(V.last_n(F.col("clean_sheet"), n), cnt)}
+        full = finish(full, V, vrows)
+
+    # ---------------- head-to-head stream
     if "h2h" in groups:
         H = _Stream(KEY + ["opponent", BLOCK, "_ph"])
-        full = full.select("*", *[H.running(e).alias(n) for n, e in
-                                  {"_hs_n": F.lit(1), "_hs_win": F.col("win"), "_hs_gf": F.col("gf")}.items()],
-                           H.first_of_day().alias("_hfd"))
         n = H2H_WINDOW
-        cnt = F.least(F.col("_hs_n"), F.lit(n))
-        hrows = {"h2h_played": cnt.cast("long"), "h2h_win_rate": _ratio(H.last_n("_hs_win", n), cnt),
-                 "h2h_avg_gf": _ratio(H.last_n("_hs_gf", n), cnt)}
-        full = full.select("*", *[e.alias("_v_" + k) for k, e in hrows.items()])
-        full = full.select("*", *[H.day_value("_v_" + k, "_hfd").alias(k) for k in hrows])
-        out += list(hrows)
+        cnt = F.least(H.count_before(), F.lit(n))
+        hrows = {"h2h_played": cnt.cast("long"), "h2h_win_rate": _ratio(H.last_n(F.col("win"), n), cnt),
+                 "h2h_avg_gf": _ratio(H.last_n(F.col("gf"), n), cnt)}
+        full = finish(full, H, hrows)
 
     keep = list(tl.columns) + [c for c in out if c not in tl.columns]
     return full.where(F.col(HALO).isNull()).select(*keep)
 
 
-def _season(full: DataFrame, base: DataFrame, width: int) -> DataFrame:
-    """Season-to-date = running real-row sums minus their value at the season's first row in
-    the block, plus the sums of earlier blocks of the same season; fewer than 3 → last 10 rows."""
+def _season(full: DataFrame, base: DataFrame, width: int, carry: list, out: list) -> DataFrame:
+    """Season-to-date (day values ``_sn_*``) plus earlier blocks of the same season; fewer
+    than 3 → the last 10 rows of any season (``_fb_*``)."""
     ms = ("n", "win", "pts", "gf", "ga", "cs")
     pref = block_prefix(base, KEY + ["season_start"],
                         {"_o_n": F.lit(1), "_o_win": F.col("win"), "_o_pts": F.col("points"), "_o_gf": F.col("gf"),
                          "_o_ga": F.col("ga"), "_o_cs": F.col("clean_sheet")}, width)
     if pref is not None:
         full = full.join(pref, KEY + ["season_start", BLOCK], "left")
-    for m in ms:
-        v = F.col(f"_r_{m}") - F.coalesce(F.col(f"_ss_{m}"), F.lit(0))
-        if pref is not None:
-            v = v + F.coalesce(F.col(f"_o_{m}"), F.lit(0))
-        full = full.withColumn(f"_sd_{m}", v)
-    # season values are day values too: take them from the day's first row via the per-row
-    # running sums (the ``_r_*`` sums exclude the row, so for the first row of a day they are
-    # exactly the rows dated before the day); copy through the day flag
-    T = _Stream(KEY + [BLOCK, "_pt"])
-    full = full.select("*", *[T.day_value(f"_sd_{m}", "_fd").alias(f"_sday_{m}") for m in ms])
-    s_n = F.col("_sday_n")
+        for m in ms:
+            full = full.withColumn(f"_sn_{m}", F.col(f"_sn_{m}") + F.coalesce(F.col(f"_o_{m}"), F.lit(0)))
+    s_n = F.col("_sn_n")
     use = s_n >= SEASON_MIN_PLAYED
 
     def pick(m: str):
-        return F.when(use, _ratio(F.col(f"_sday_{m}"), s_n)).otherwise(_ratio(F.col(f"_fb_{m}"), F.col("_fb_n")))
+        return F.when(use, _ratio(F.col(f"_sn_{m}"), s_n)).otherwise(_ratio(F.col(f"_fb_{m}"), F.col("_fb_n")))
 
-    return full.select("*", F.when(use, s_n).otherwise(F.col("_fb_n")).cast("long").alias("season_played"),
-                       pick("win").alias("season_win_rate"), pick("pts").alias("season_ppg"),
-                       pick("gf").alias("season_avg_goals_for"), pick("ga").alias("season_avg_goals_against"),
-                       pick("cs").alias("season_clean_sheets"))
+    vals = {"season_played": F.when(use, s_n).otherwise(F.col("_fb_n")).cast("long"),
+            "season_win_rate": pick("win"), "season_ppg": pick("pts"), "season_avg_goals_for": pick("gf"),
+            "season_avg_goals_against": pick("ga"), "season_clean_sheets": pick("cs")}
+    keep = [c for c in out if not (c.startswith("_sn_") or c.startswith("_fb_"))]
+    full = full.select(*carry, *keep, *[e.alias(k) for k, e in vals.items()])
+    out[:] = keep + list(vals)
+    return full
 
 
-def _streaks(full: DataFrame, width: int, T: _Stream) -> DataFrame:
+def _streaks(full: DataFrame, width: int, T: _Stream, carry: list, out: list) -> DataFrame:
     """Run entering each row: real rows since the last breaking row.
 
-    In-block: ``rn - 1 - last_break_rn`` (from the day's first row); with several blocks a row
-    with no break earlier in its block adds the run carried into the block, from the block
-    table: ``carried = rows_before_block - position_of_last_break_before_block``.
+    ``_rn`` (real rows up to the day's first row) and the last breaking position before the
+    day give ``rn - 1 - last_break``; with several blocks a row with no break earlier in its
+    block adds the run carried into the block, from the block table:
+    ``carried = rows_before_block - position_of_last_break_before_block``.
     """
     brks = _breaks()
-    # _rn at the day's first row, copied to the day
-    full = full.select("*", T.day_value("_rn", "_fd").alias("_rn_day"))
+    # last breaking position before each row (needs the running position: one more ordered pass
+    # on the same sort), then the day's first value
+    full = full.select("*", *[F.max(F.when(b & F.col("_real"), F.col("_rn_row"))).over(T.w.rowsBetween(_UNB, -1))
+                              .alias("_lbr_" + s) for s, b in brks.items()])
+    full = full.select("*", *[T.day_first("_lbr_" + s).alias("_lb_" + s) for s in brks])
     if single_block(width):
-        return full.select("*", *[(F.col("_rn_day") - 1 - F.coalesce(F.col("_st_" + s), F.lit(0))).cast("long").alias(s)
-                                  for s in brks])
-    realrows = full.where(F.col("_real"))
-    blocks = realrows.groupBy(*KEY, BLOCK).agg(F.count(F.lit(1)).alias("_c"),
-                                               *[F.max(F.when(b, F.col("_rn"))).alias("_m_" + s) for s, b in brks.items()])
-    bw = Window.partitionBy(*KEY).orderBy(BLOCK).rowsBetween(_UNB, -1)
-    blocks = blocks.withColumn("_cum", F.coalesce(F.sum("_c").over(bw), F.lit(0)))
-    cols = [*KEY, BLOCK]
-    for s in brks:
-        p = F.last(F.col("_cum") + F.col("_m_" + s), ignorenulls=True).over(bw)
-        cols.append((F.col("_cum") - F.coalesce(p, F.lit(0))).alias("_carry_" + s))
-    full = full.join(blocks.select(*cols), KEY + [BLOCK], "left")
-    return full.select("*", *[F.when(F.col("_st_" + s).isNotNull(), F.col("_rn_day") - 1 - F.col("_st_" + s))
-                              .otherwise(F.col("_rn_day") - 1 + F.coalesce(F.col("_carry_" + s), F.lit(0)))
-                              .cast("long").alias(s) for s in brks])
+        vals = {s: (F.col("_rn") - 1 - F.coalesce(F.col("_lb_" + s), F.lit(0))).cast("long") for s in brks}
+    else:
+        realrows = full.where(F.col("_real"))
+        blocks = realrows.groupBy(*KEY, BLOCK).agg(F.count(F.lit(1)).alias("_c"),
+                                                   *[F.max(F.when(b, F.col("_rn_row"))).alias("_m_" + s)
+                                                     for s, b in brks.items()])
+        bw = Window.partitionBy(*KEY).orderBy(BLOCK).rowsBetween(_UNB, -1)
+        blocks = blocks.withColumn("_cum", F.coalesce(F.sum("_c").over(bw), F.lit(0)))
+        cols = [*KEY, BLOCK]
+        for s in brks:
+            p = F.last(F.col("_cum") + F.col("_m_" + s), ignorenulls=True).over(bw)
+            cols.append((F.col("_cum") - F.coalesce(p, F.lit(0))).alias("_carry_" + s))
+        full = full.join(blocks.select(*cols), KEY + [BLOCK], "left")
+        vals = {s: F.when(F.col("_lb_" + s).isNotNull(), F.col("_rn") - 1 - F.col("_lb_" + s))
+                .otherwise(F.col("_rn") - 1 + F.coalesce(F.col("_carry_" + s), F.lit(0))).cast("long") for s in brks}
+    keep = [c for c in out if c not in ("_rn", "_rn_row")]
+    full = full.select(*carry, *keep, *[e.alias(k) for k, e in vals.items()])
+    out[:] = keep + list(vals)
+    return full

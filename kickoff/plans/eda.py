@@ -21,9 +21,8 @@ CHECK_COLS = ["elo_diff", "diff_season_win_rate", "diff_season_ppg", "diff_form5
 def rest_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days since each side's previous contest (row order), and their difference."""
     tf = FE.side_features(spark, sf_dir, ["rest"])
-    return (tf.groupBy("match_id").agg(
-        F.first(F.when(F.col("is_home"), F.col("rest_days")), ignorenulls=True).alias("home_rest_days"),
-        F.first(F.when(~F.col("is_home"), F.col("rest_days")), ignorenulls=True).alias("away_rest_days"))
+    return (tf.groupBy("match_id").agg(F.max_by("rest_days", F.col("is_home")).alias("home_rest_days"),
+                                       F.min_by("rest_days", F.col("is_home")).alias("away_rest_days"))
         .withColumn("rest_diff", F.col("home_rest_days") - F.col("away_rest_days")))
 
 

@@ -102,30 +102,44 @@ def diff_columns() -> list:
 
 def match_features(spark: SparkSession, sf_dir: str, width: int | None = None,
                    with_elo: bool = True) -> DataFrame:
-    """B1: every feature for every played contest, plus ``target, home_goals, away_goals``."""
-    tf = side_features(spark, sf_dir, GROUPS, width, carry=True)
-    home_s = F.struct(*[F.col(c).alias(c) for c in
-                        ["match_date", "div", "team", "opponent", "season", *SIDE_FEATURES, *H2H,
-                         "b365h", "b365d", "b365a", "fthg", "ftag", "ftr"]])
-    away_s = F.struct(*[F.col(c).alias(c) for c in SIDE_FEATURES])
-    wide = tf.groupBy("match_id").agg(
-        F.first(F.when(F.col("is_home"), home_s), ignorenulls=True).alias("h"),
-        F.first(F.when(~F.col("is_home"), away_s), ignorenulls=True).alias("a"))
-    wide = wide.select(
+    """B1: every feature for every played contest, plus ``target, home_goals, away_goals``.
+
+    U3 and the joins are ONE shuffle: the side rows (two per contest), the contest payload
+    (prices, goals, result) and the Elo rows are unioned and grouped by ``match_id``;
+    ``max_by(struct, kind == k)`` picks each part with a hash-partitioned aggregate. Prices and
+    goals therefore never travel through the window stages.
+    """
+    tf = side_features(spark, sf_dir, GROUPS, width)
+    side_cols = ["match_date", "div", "team", "opponent", "season", *SIDE_FEATURES, *H2H]
+    c = contests(spark, sf_dir)
+    parts = [tf.select("match_id", F.when(F.col("is_home"), 2).otherwise(1).alias("_kind"),
+                       F.struct(*[F.col(x) for x in side_cols]).alias("_side")),
+             c.select("match_id", F.lit(0).alias("_kind"),
+                      F.struct("b365h", "b365d", "b365a", "fthg", "ftag", "ftr").alias("_pay"))]
+    if with_elo:
+        parts.append(elo_history(c).select("match_id", F.lit(3).alias("_kind"),
+                                           F.struct("home_elo", "away_elo").alias("_elo")))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p, allowMissingColumns=True)
+    aggs = [F.max_by("_side", F.col("_kind") == 2).alias("h"), F.max_by("_side", F.col("_kind") == 1).alias("a"),
+            F.max_by("_pay", F.col("_kind") == 0).alias("m")]
+    if with_elo:
+        aggs.append(F.max_by("_elo", F.col("_kind") == 3).alias("e"))
+    g = u.groupBy("match_id").agg(*aggs)
+    wide = g.select(
         "match_id", F.col("h.match_date").alias("match_date"), F.col("h.div").alias("div"),
         F.col("h.team").alias("home_team"), F.col("h.opponent").alias("away_team"),
         F.col("h.season").alias("season"),
-        *[F.col("h." + c).alias("home_" + c) for c in SIDE_FEATURES],
-        *[F.col("a." + c).alias("away_" + c) for c in SIDE_FEATURES],
-        *[F.col("h." + c).alias(c) for c in H2H],
-        *implied_probabilities("h.b365h", "h.b365d", "h.b365a"),
-        F.col("h.ftr").alias("target"), F.col("h.fthg").alias("home_goals"), F.col("h.ftag").alias("away_goals"))
-    wide = wide.select("*", *diff_columns(), *temporal_columns("match_date"),
+        *[F.col("h." + x).alias("home_" + x) for x in SIDE_FEATURES],
+        *[F.col("a." + x).alias("away_" + x) for x in SIDE_FEATURES],
+        *[F.col("h." + x).alias(x) for x in H2H],
+        *implied_probabilities("m.b365h", "m.b365d", "m.b365a"),
+        F.col("m.ftr").alias("target"), F.col("m.fthg").alias("home_goals"), F.col("m.ftag").alias("away_goals"),
+        *([F.col("e.home_elo").alias("home_elo"), F.col("e.away_elo").alias("away_elo"),
+           (F.col("e.home_elo") - F.col("e.away_elo")).alias("elo_diff")] if with_elo else []))
+    return wide.select("*", *diff_columns(), *temporal_columns("match_date"),
                        match_key("home_team", "away_team", "match_date").alias("match_key"))
-    if with_elo:
-        elo = elo_features(elo_history(contests(spark, sf_dir)))
-        wide = wide.join(elo, "match_id", "left")
-    return wide
 
 
 def model_ready(features: DataFrame, medians: dict | None = None) -> DataFrame:
