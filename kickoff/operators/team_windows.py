@@ -111,7 +111,9 @@ def team_features(tl: DataFrame, width: int, groups=GROUPS, form_windows=FORM_WI
     base = with_block(tl, width)
     full = with_halo(base, streams, width)
     real = F.col(HALO).isNull()
-    full = (full.repartition(*KEY, BLOCK)  # the one shuffle; every window below refines it
+    # the one shuffle; every window below refines it. With one block ``_blk`` is a literal that
+    # Catalyst folds out of the window keys, so it must not be part of the exchange either.
+    full = (full.repartition(*(KEY if single_block(width) else KEY + [BLOCK]))
                 .withColumn("_pt", in_stream("team")).withColumn("_pv", in_stream("venue"))
                 .withColumn("_ph", in_stream("h2h")).withColumn("_real", real))
     carry = list(full.columns)

@@ -69,9 +69,11 @@ def _list_csv(spark: SparkSession, root: str) -> list[str]:
 
 
 def _keep(path: str) -> bool:
+    """S1 naming rule on the season label and file name only (not on parent folders)."""
     m = re.search(SEASON_RE, path)
-    label = m.group(1) if m else path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    return label[:2].isdigit() and not any(w in path for w in EXCLUDE_WORDS)
+    name = path.rsplit("/", 1)[-1]
+    label = m.group(1) if m else name.rsplit(".", 1)[0]
+    return label[:2].isdigit() and not any(w in label or w in name for w in EXCLUDE_WORDS)
 
 
 def _header(spark: SparkSession, path: str) -> str:
