@@ -68,33 +68,37 @@ SORT = ("season_start", "match_date", "match_id")
 class _Stream:
     """Incremental running sums and day propagation over one sorted partitioning."""
 
-    def __init__(self, part: list[str]):
+    def __init__(self, part: list[str], inclusive: bool = False):
         self.part = list(part)
+        self.inc = 1 if inclusive else 0  # inclusive: frames end at the row ("state after the row")
         self.w = Window.partitionBy(*part).orderBy(*SORT)
         self.day = Window.partitionBy(*part, "season_start", "match_date").orderBy("match_id")
         self.season = Window.partitionBy(*part, "season_start").orderBy("match_date", "match_id")
 
     def before(self, e: Column, lag: int = 0) -> Column:
         """Sum of ``e`` over the rows before ``i - lag`` (growing frame: O(1) per row)."""
-        return F.coalesce(F.sum(e).over(self.w.rowsBetween(_UNB, -1 - lag)), F.lit(0))
+        return F.coalesce(F.sum(e).over(self.w.rowsBetween(_UNB, -1 - lag + self.inc)), F.lit(0))
 
     def last_n(self, e: Column, n: int) -> Column:
         """Sum of ``e`` over the last ``n`` rows before the row."""
         return self.before(e) - self.before(e, n)
 
     def count_before(self) -> Column:
-        return F.count(F.lit(1)).over(self.w.rowsBetween(_UNB, -1))
+        return F.count(F.lit(1)).over(self.w.rowsBetween(_UNB, -1 + self.inc))
 
     def day_first(self, v: str) -> Column:
-        """The value of the day's first row (which sees exactly the rows dated before the day)."""
-        return F.first(v).over(self.day)
+        """The value of the day's first row (which sees exactly the rows dated before the day);
+        inclusive states stay per row."""
+        return F.col(v) if self.inc else F.first(v).over(self.day)
 
 
 def team_features(tl: DataFrame, width: int, groups=GROUPS, form_windows=FORM_WINDOWS,
-                  decay: float = EXP_DECAY) -> DataFrame:
+                  decay: float = EXP_DECAY, inclusive: bool = False) -> DataFrame:
     """Per team-long row, the point-in-time features of the requested ``groups``.
 
     ``width`` is the block width from :func:`blocked.block_width` (``1 << 20`` = one block).
+    ``inclusive=True`` gives instead the state *after* each row (the row itself counts, no day
+    propagation) — the input of the as-of lookup for contests that are not in the history.
     """
     groups = set(groups)
     depth = max([*(form_windows if "form" in groups else ()),
@@ -131,7 +135,7 @@ def team_features(tl: DataFrame, width: int, groups=GROUPS, form_windows=FORM_WI
         return df
 
     # ---------------- team stream
-    T = _Stream(KEY + [BLOCK, "_pt"])
+    T = _Stream(KEY + [BLOCK, "_pt"], inclusive)
     cnt_before = T.count_before()
     rows: dict[str, Column] = {}
     if "form" in groups:
@@ -147,7 +151,7 @@ def team_features(tl: DataFrame, width: int, groups=GROUPS, form_windows=FORM_WI
         wts = exp_weights(decay)
         num, den = F.lit(0.0), F.lit(0.0)
         for k in range(EXP_WINDOW, 0, -1):  # oldest first: same summation order as the oracle
-            lagk = F.lag("points", k).over(T.w)
+            lagk = F.lag("points", k - 1).over(T.w) if inclusive else F.lag("points", k).over(T.w)
             num = num + F.coalesce(F.lit(wts[k - 1]) * lagk.cast("double"), F.lit(0.0))
             den = den + F.when(lagk.isNotNull(), F.lit(wts[k - 1])).otherwise(F.lit(0.0))
         rows["exp_form"] = F.when(den > 0, num / den)
@@ -163,7 +167,7 @@ def team_features(tl: DataFrame, width: int, groups=GROUPS, form_windows=FORM_WI
         rows["avg_sot"] = F.when(sotn > 0, _ratio(sot, nv))
         rows["shot_accuracy"] = F.when(nv > 0, _ratio(sot, shots))
         rows["shot_conversion"] = F.when(nv > 0, _ratio(goals, shots))
-    if "rest" in groups:
+    if "rest" in groups and not inclusive:
         # Row-order semantics on purpose: a second contest on the same day has 0 rest days.
         full = full.select(*carry, *out, F.datediff("match_date", F.lag("match_date", 1).over(T.w)).alias("rest_days"))
         out.append("rest_days")
@@ -177,9 +181,10 @@ def team_features(tl: DataFrame, width: int, groups=GROUPS, form_windows=FORM_WI
         for m, e in metrics.items():
             rows[f"_fb_{m}"] = T.last_n(e, fb)
         # season-to-date over real rows of this block (earlier blocks are added after the windows)
-        rows["_sn_n"] = F.coalesce(F.count(F.when(real, 1)).over(T.season.rowsBetween(_UNB, -1)), F.lit(0))
+        sframe = T.season.rowsBetween(_UNB, -1 + T.inc)
+        rows["_sn_n"] = F.coalesce(F.count(F.when(real, 1)).over(sframe), F.lit(0))
         for m, e in metrics.items():
-            rows[f"_sn_{m}"] = F.coalesce(F.sum(F.when(real, e)).over(T.season.rowsBetween(_UNB, -1)), F.lit(0))
+            rows[f"_sn_{m}"] = F.coalesce(F.sum(F.when(real, e)).over(sframe), F.lit(0))
         season_cols = {m: None for m in ["n", *metrics]}
     extras = {}
     if "streaks" in groups:
@@ -190,12 +195,12 @@ def team_features(tl: DataFrame, width: int, groups=GROUPS, form_windows=FORM_WI
     if "streaks" in groups:
         full = _streaks(full, width, T, carry, out)
     if "season" in groups:
-        full = _season(full, base, width, carry, out)
+        full = _season(full, base, width, carry, out, raw=inclusive)
     out[:] = [c for c in out if not c.startswith("_")]
 
     # ---------------- venue stream
     if "venue" in groups:
-        V = _Stream(KEY + ["is_home", BLOCK, "_pv"])
+        V = _Stream(KEY + ["is_home", BLOCK, "_pv"], inclusive)
         n = VENUE_WINDOW
         cnt = F.least(V.count_before(), F.lit(n))
         vrows = {"venue_win_rate": _ratio(V.last_n(F.col("win"), n), cnt),
@@ -206,7 +211,7 @@ def team_features(tl: DataFrame, width: int, groups=GROUPS, form_windows=FORM_WI
 
     # ---------------- head-to-head stream
     if "h2h" in groups:
-        H = _Stream(KEY + ["opponent", BLOCK, "_ph"])
+        H = _Stream(KEY + ["opponent", BLOCK, "_ph"], inclusive)
         n = H2H_WINDOW
         cnt = F.least(H.count_before(), F.lit(n))
         hrows = {"h2h_played": cnt.cast("long"), "h2h_win_rate": _ratio(H.last_n(F.col("win"), n), cnt),
@@ -217,9 +222,10 @@ def team_features(tl: DataFrame, width: int, groups=GROUPS, form_windows=FORM_WI
     return full.where(F.col(HALO).isNull()).select(*keep)
 
 
-def _season(full: DataFrame, base: DataFrame, width: int, carry: list, out: list) -> DataFrame:
+def _season(full: DataFrame, base: DataFrame, width: int, carry: list, out: list, raw: bool = False) -> DataFrame:
     """Season-to-date (day values ``_sn_*``) plus earlier blocks of the same season; fewer
-    than 3 → the last 10 rows of any season (``_fb_*``)."""
+    than 3 → the last 10 rows of any season (``_fb_*``). ``raw`` keeps the sums (``sn_*``,
+    ``fb_*``) instead, for an as-of lookup that applies the season test at another date."""
     ms = ("n", "win", "pts", "gf", "ga", "cs")
     pref = block_prefix(base, KEY + ["season_start"],
                         {"_o_n": F.lit(1), "_o_win": F.col("win"), "_o_pts": F.col("points"), "_o_gf": F.col("gf"),
@@ -228,6 +234,12 @@ def _season(full: DataFrame, base: DataFrame, width: int, carry: list, out: list
         full = full.join(pref, KEY + ["season_start", BLOCK], "left")
         for m in ms:
             full = full.withColumn(f"_sn_{m}", F.col(f"_sn_{m}") + F.coalesce(F.col(f"_o_{m}"), F.lit(0)))
+    if raw:
+        keep = [c for c in out if not (c.startswith("_sn_") or c.startswith("_fb_"))]
+        vals = {**{f"sn_{m}": F.col(f"_sn_{m}") for m in ms}, **{f"fb_{m}": F.col(f"_fb_{m}") for m in ms}}
+        full = full.select(*carry, *keep, *[e.alias(k) for k, e in vals.items()])
+        out[:] = keep + list(vals)
+        return full
     s_n = F.col("_sn_n")
     use = s_n >= SEASON_MIN_PLAYED
 
@@ -254,11 +266,12 @@ def _streaks(full: DataFrame, width: int, T: _Stream, carry: list, out: list) ->
     brks = _breaks()
     # last breaking position before each row (needs the running position: one more ordered pass
     # on the same sort), then the day's first value
-    full = full.select("*", *[F.max(F.when(b & F.col("_real"), F.col("_rn_row"))).over(T.w.rowsBetween(_UNB, -1))
+    full = full.select("*", *[F.max(F.when(b & F.col("_real"), F.col("_rn_row"))).over(T.w.rowsBetween(_UNB, -1 + T.inc))
                               .alias("_lbr_" + s) for s, b in brks.items()])
     full = full.select("*", *[T.day_first("_lbr_" + s).alias("_lb_" + s) for s in brks])
+    before = F.col("_rn") - (1 - T.inc)  # real rows seen: before the day's first row, or up to this row
     if single_block(width):
-        vals = {s: (F.col("_rn") - 1 - F.coalesce(F.col("_lb_" + s), F.lit(0))).cast("long") for s in brks}
+        vals = {s: (before - F.coalesce(F.col("_lb_" + s), F.lit(0))).cast("long") for s in brks}
     else:
         realrows = full.where(F.col("_real"))
         blocks = realrows.groupBy(*KEY, BLOCK).agg(F.count(F.lit(1)).alias("_c"),
@@ -271,8 +284,8 @@ def _streaks(full: DataFrame, width: int, T: _Stream, carry: list, out: list) ->
             p = F.last(F.col("_cum") + F.col("_m_" + s), ignorenulls=True).over(bw)
             cols.append((F.col("_cum") - F.coalesce(p, F.lit(0))).alias("_carry_" + s))
         full = full.join(blocks.select(*cols), KEY + [BLOCK], "left")
-        vals = {s: F.when(F.col("_lb_" + s).isNotNull(), F.col("_rn") - 1 - F.col("_lb_" + s))
-                .otherwise(F.col("_rn") - 1 + F.coalesce(F.col("_carry_" + s), F.lit(0))).cast("long") for s in brks}
+        vals = {s: F.when(F.col("_lb_" + s).isNotNull(), before - F.col("_lb_" + s))
+                .otherwise(before + F.coalesce(F.col("_carry_" + s), F.lit(0))).cast("long") for s in brks}
     keep = [c for c in out if c not in ("_rn", "_rn_row")]
     full = full.select(*carry, *keep, *[e.alias(k) for k, e in vals.items()])
     out[:] = keep + list(vals)

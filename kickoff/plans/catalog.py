@@ -730,7 +730,7 @@ def _compare_versions(spark, sf):
     long = board.select(F.col("model").alias("version"), F.explode(F.create_map(
         *[x for m in ("train_accuracy", "test_accuracy", "test_f1_macro", "test_log_loss")
           for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "value"))
-    path = scratch_path(spark, "run-metrics-" + str(abs(hash(sf)) % 10 ** 8))
+    path = scratch_path(spark, "run-metrics-" + SE.hashlib.sha1(sf.encode()).hexdigest()[:10])
     long.write.mode("overwrite").parquet(path)
     runs = spark.read.parquet(path)
     return (runs.groupBy("metric").pivot("version").agg(F.first("value"))
@@ -798,3 +798,25 @@ SELECT cls, n_pos, n - n_pos AS n_neg, round((rank_sum - n_pos * (n_pos + 1) / 2
     MO.auc_ovr)
 
 register("goals_model", "R16")(MO.goals_model)
+
+
+# ---------------------------------------------------------------- J1/R14 point-in-time state of entities
+from ..operators.asof import asof_features  # noqa: E402
+
+_ASOF_COLS = ["form5_points", "form5_win_rate", "form10_goal_diff", "exp_form", "avg_shots", "shot_accuracy",
+              "win_streak", "unbeaten_streak", "loss_streak", "season_played", "season_win_rate", "season_ppg",
+              "venue_win_rate", "venue_clean_sheets", "h2h_played", "h2h_win_rate", "h2h_avg_gf"]
+
+
+def _asof_state(spark, sf):
+    """As-of state of both sides of the last 30 days' contests from the whole history (the
+    serving path); by construction it must equal the training features of those contests."""
+    c = contests(spark, sf)
+    _, fx = SC.split_history(spark, sf)
+    return asof_features(c, fx).select("match_id", "team", "is_home", *_ASOF_COLS)
+
+
+register("asof_state", "J1,R14,B3", "WITH " + O.side_all() + """,
+cut AS (SELECT CAST(max(match_date) - INTERVAL 30 DAY AS DATE) AS d FROM c)
+SELECT match_id, team, is_home, """ + ", ".join(_ASOF_COLS) + """ FROM sides
+WHERE match_id IN (SELECT match_id FROM c WHERE match_date > (SELECT d FROM cut))""")(_asof_state)

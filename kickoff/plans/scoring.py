@@ -43,6 +43,25 @@ def check_fixtures(fixtures: DataFrame, history: DataFrame):
     return accepted, rejected
 
 
+def fixture_features(history: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """Model features of fixtures from the history strictly before each fixture date:
+    as-of team states (J1), as-of Elo (J3), differences and calendar; no prices, no result."""
+    from ..functions.calendar import temporal_columns
+    from ..operators.asof import asof_features
+    from ..operators.elo import elo_asof, elo_history
+
+    sides = asof_features(history, fixtures)
+    s_cols = [c for c in FE.SIDE_FEATURES if c in sides.columns]
+    g = sides.groupBy("match_id").agg(
+        F.max_by(F.struct(*s_cols, *FE.H2H), F.col("is_home")).alias("h"),
+        F.min_by(F.struct(*s_cols), F.col("is_home")).alias("a"))
+    wide = g.select("match_id", *[F.col("h." + c).alias("home_" + c) for c in s_cols],
+                    *[F.col("a." + c).alias("away_" + c) for c in s_cols], *[F.col("h." + c).alias(c) for c in FE.H2H])
+    elo = elo_asof(fixtures, elo_history(history))
+    out = fixtures.join(wide, "match_id", "left").join(elo, "match_id", "left")
+    return out.select("*", *FE.diff_columns(), *temporal_columns("match_date"))
+
+
 def save_medians(spark: SparkSession, medians: dict, name: str) -> str:
     """Training medians as a one-row parquet table next to the model."""
     path = scratch_path(spark, "medians-" + name)
@@ -70,13 +89,13 @@ def batch_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = data.where(F.col("split") == "fit")
     model = TR.calibrate(TR.fit_logistic(fit, cols), data.where(F.col("split") == "calibration"))
     from ..operators.medians import exact_medians
-    med_path = save_medians(spark, exact_medians(fit, cols), "logistic-" + str(abs(hash(sf_dir)) % 10 ** 8))
+    import hashlib
+    med_path = save_medians(spark, exact_medians(fit, cols), "logistic-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:10])
     medians = spark.read.parquet(med_path)
 
     hist, fx = split_history(spark, sf_dir)
     accepted, _ = check_fixtures(fx, hist)
-    feats = FE.match_features(spark, sf_dir).select("match_id", *[c for c in cols if c not in FE.ODDS])
-    x = accepted.join(feats, "match_id", "left")
+    x = fixture_features(hist, accepted)
     for c in FE.ODDS:
         if c in cols:
             x = x.withColumn(c, F.lit(None).cast("double"))  # fixtures carry no prices
