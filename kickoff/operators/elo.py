@@ -60,11 +60,11 @@ def _fold(k: float, home_adv: float, initial: float):
 def elo_history(contests: DataFrame, k: float = ELO_K, home_advantage: float = ELO_HOME_ADVANTAGE,
                 initial: float = ELO_INITIAL, pool: str = "div", partitions: int | None = None) -> DataFrame:
     """Pre- and post-contest ratings of both sides for every played contest."""
-    spark = contests.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = contests.select("match_id", F.col(pool).alias("div"), "match_date", "home_team", "away_team",
                           "fthg", "ftag", "ftr")
-    ordered = src.repartition(n, "div").sortWithinPartitions("div", "match_date", "match_id")
+    # by key only (no fixed count): AQE may coalesce small partitions; a pool never splits
+    part = src.repartition(partitions, "div") if partitions else src.repartition("div")
+    ordered = part.sortWithinPartitions("div", "match_date", "match_id")
     return ordered.mapInPandas(_fold(float(k), float(home_advantage), float(initial)), HISTORY_SCHEMA)
 
 

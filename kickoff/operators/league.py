@@ -69,9 +69,8 @@ def _fold(batches):
 
 
 def live_positions(contests: DataFrame, partitions: int | None = None) -> DataFrame:
-    spark = contests.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = contests.select("div", "season", "match_date", "match_id", "home_team", "away_team", "fthg", "ftag", "ftr")
-    ordered = src.repartition(n, "div", "season").sortWithinPartitions("div", "season", "match_date", "match_id")
+    part = src.repartition(partitions, "div", "season") if partitions else src.repartition("div", "season")
+    ordered = part.sortWithinPartitions("div", "season", "match_date", "match_id")
     return (ordered.mapInPandas(_fold, SCHEMA)
             .withColumn("league_pos_diff", F.col("home_league_pos") - F.col("away_league_pos")))

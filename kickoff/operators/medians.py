@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BINS = 1024
-MAX_BRACKET = 50_000
+MAX_BRACKET = 10_000
 MAX_ROUNDS = 8
 
 
@@ -35,7 +35,7 @@ def _long(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(pairs).select("p.col", "p.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def _per_col(values: dict, default=None):
+def _per_col(values: dict):
     """Column expression picking ``values[col]`` for the row's column index."""
     idx = sorted(values)
     arr = F.array(*[F.lit(values[i]) for i in idx])
@@ -77,7 +77,7 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
                     break
                 acc += n
             if first is None or last is None:
-                break
+                continue  # cannot happen when counts are consistent; keep the current bracket
             inside = sum(n for bi, n, _, _ in by_col[i] if first[0] <= bi <= last[0])
             state[i] = {"n": s["n"], "lo": first[1], "hi": last[1], "below": below, "inside": inside}
     lo = _per_col({i: float(s["lo"]) for i, s in state.items()})

@@ -20,6 +20,9 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+STRICT = os.environ.get("STRICT") == "1"
+
+
 def norm(v):
     if v is None or v is pd.NA or v is pd.NaT:
         return None
@@ -28,7 +31,7 @@ def norm(v):
             return None
         if v.is_integer():
             return int(v)
-        return round(v, 9)
+        return v if STRICT else round(v, 9)
     if isinstance(v, (list, tuple)) or (hasattr(v, "ndim") and getattr(v, "ndim", 0) > 0):
         return tuple(norm(x) for x in v)
     if hasattr(v, "item"):
