@@ -101,17 +101,24 @@ register("all_features", "B1,U3,F2,F3,F7,X3", B1_SQL + " SELECT * FROM feat")(
     lambda spark, sf: FE.match_features(spark, sf))
 
 
-def _model_ready_sql() -> str:
+def _model_ready_sql(leaky: bool = False) -> str:
     clean = ("clean AS (SELECT * FROM feat WHERE home_form5_points IS NOT NULL AND "
-             "away_form5_points IS NOT NULL AND home_season_win_rate IS NOT NULL)")
-    cols = [f"CAST(COALESCE({c}, (SELECT median({c}) FROM clean)) AS DOUBLE) AS {c}" for c in FE.MODEL_FEATURES]
+             "away_form5_points IS NOT NULL AND home_season_win_rate IS NOT NULL), "
+             "cidx AS (SELECT *, row_number() OVER (ORDER BY match_date, match_id) - 1 AS idx, "
+             "COUNT(*) OVER () AS n FROM clean), "
+             "trn AS (SELECT * FROM cidx WHERE idx < CAST(floor(n * 8e-1) AS BIGINT))")
+    src = "clean" if leaky else "trn"
+    cols = [f"CAST(COALESCE({c}, (SELECT median({c}) FROM {src})) AS DOUBLE) AS {c}" for c in FE.MODEL_FEATURES]
     return (B1_SQL + ", " + clean + " SELECT " + ", ".join(FE.META) + ", " + ", ".join(cols) + ", "
             + ", ".join(FE.TARGETS) + " FROM clean")
 
 
-register("model_ready", "B2,A4,U5", _model_ready_sql())(
+register("model_ready", "B2,A4,U5,D3", _model_ready_sql())(
     lambda spark, sf: FE.model_ready(FE.match_features(spark, sf)))
 
+register("model_ready_leaky", "B2,A4", _model_ready_sql(leaky=True))(
+    lambda spark, sf: FE.model_ready(FE.match_features(spark, sf), leaky=True))
+
 register("diff_features", "F2", B1_SQL +
          " SELECT match_id, " + ", ".join(n for n, _, _ in FE.DIFFS) + " FROM feat")(
     lambda spark, sf: FE.match_features(spark, sf, with_elo=False).select("match_id", *[n for n, _, _ in FE.DIFFS]))

@@ -142,18 +142,28 @@ def match_features(spark: SparkSession, sf_dir: str, width: int | None = None,
                        match_key("home_team", "away_team", "match_date").alias("match_key"))
 
 
-def model_ready(features: DataFrame, medians: dict | None = None) -> DataFrame:
-    """B2: drop rows missing a core feature, fill other nulls with the exact median of the
-    remaining rows (or the given training medians), keep meta + the 59 features + targets.
-
-    Columns that are null everywhere stay null (no median exists), as in the reference.
+def model_ready(features: DataFrame, medians: dict | None = None, leaky: bool = False,
+                test_size: float = 0.2) -> DataFrame:
+    """B2: drop rows missing a core feature, fill other nulls with exact medians, keep meta +
+    the 59 features + targets.
+
+    Medians come from the training part only — the first ``int(n·(1−test_size))`` clean rows in
+    (date, id) order — so test rows never inform the fill (D3). ``leaky=True`` reproduces the
+    reference, which took the medians of all clean rows. Columns that are null everywhere stay
+    null (no median exists).
     """
     clean = features.na.drop(subset=CORE)
     if medians is None:
         clean = materialize(clean, "model-ready-clean")  # scanned several times below: cut the lineage once
     avail = [c for c in MODEL_FEATURES if c in clean.columns]
     if medians is None:
-        medians = exact_medians(clean, avail)
+        base = clean
+        if not leaky:
+            from ..operators.splits import split_point, with_row_index
+            idx = with_row_index(clean.select("match_id", "match_date"), checkpoint=False)  # input is materialised
+            cut = split_point(idx.count(), test_size)
+            base = clean.join(idx.where(F.col("idx") < cut).select("match_id"), "match_id", "left_semi")
+        medians = exact_medians(base, avail)
     fills = {c: v for c, v in medians.items() if v is not None and c in avail}
     out = clean.select(*META, *[F.coalesce(F.col(c), F.lit(fills[c])).cast("double").alias(c) if c in fills
                                 else F.col(c).cast("double").alias(c) for c in avail], *TARGETS)
