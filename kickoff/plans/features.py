@@ -161,8 +161,14 @@ def model_ready(features: DataFrame, medians: dict | None = None, leaky: bool =
         if not leaky:
             from ..operators.splits import split_point, with_row_index
             idx = with_row_index(clean.select("match_id", "match_date"), checkpoint=False)  # input is materialised
-            cut = split_point(idx.count(), test_size)
-            base = clean.join(idx.where(F.col("idx") < cut).select("match_id"), "match_id", "left_semi")
+            n = idx.count()
+            cut = split_point(n, test_size)
+            if cut < n:
+                # the first test row's (date, id): training rows are exactly the ones ordered before it
+                thr = idx.where(F.col("idx") == cut).select("match_date", "match_id").first()
+                base = clean.where((F.col("match_date") < F.lit(thr["match_date"]))
+                                   | ((F.col("match_date") == F.lit(thr["match_date"]))
+                                      & (F.col("match_id") < F.lit(thr["match_id"]))))
         medians = exact_medians(base, avail)
     fills = {c: v for c, v in medians.items() if v is not None and c in avail}
     out = clean.select(*META, *[F.coalesce(F.col(c), F.lit(fills[c])).cast("double").alias(c) if c in fills
