@@ -641,10 +641,11 @@ SELECT match_date, bets, pnl, round(SUM(pnl) OVER (ORDER BY match_date ROWS UNBO
 
 
 def _confidence(spark, sf):
-    from . import eda as _e
-    f = FE.match_features(spark, sf, with_elo=False).select("match_id", "h2h_played", *FE.ODDS[:3])
-    r = _e.rest_days(spark, sf).select("match_id", "home_rest_days")
-    x = f.join(r, "match_id")
+    """F12 with the home side's rest days and head-to-head count: one team-window pass."""
+    side = (FE.side_features(spark, sf, ["h2h", "rest"]).where(F.col("is_home"))
+            .select("match_id", "h2h_played", F.col("rest_days").alias("home_rest_days")))
+    odds = contests(spark, sf).select("match_id", *P.implied_probabilities()[:3])
+    x = side.join(odds, "match_id")
     pmax = F.greatest("odds_prob_home", "odds_prob_draw", "odds_prob_away")
     return x.select("match_id", F.round(P.confidence(pmax, F.coalesce("home_rest_days", F.lit(0)), "h2h_played"), 9)
                     .alias("confidence"))
