@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kickoff.llm import quality_rules
+from kickoff.llm import bpe, mixing, quality_rules, secret_scan, simhash
 from kickoff.session import materialize
 from kickoff.sources.tables import read_table
 
@@ -18,8 +18,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_clean(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs, length_col="n_chars")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(docs)
+
+
 STAGES = [
     ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("mixing", mixed),
+    ("encoding", encoded),
 ]
 
 #: Suffix arrays and byte-pair merges have no SQL form; tests/llm compares the rows with a brute-force version.

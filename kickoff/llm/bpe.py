@@ -57,6 +57,7 @@ class Vocabulary:
         self._table = dict(enumerate(alphabet))
         back = {c: b for b, c in enumerate(alphabet)}
         self._model = tokenizer.model
+        self.pieces = tokenizer.pre_tokenizer.pre_tokenize_str
         self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.bytes = {i: t.encode() if t in self.special else bytes(back[c] for c in t)
                       for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}
@@ -102,7 +103,7 @@ class Pretokens:
 
 def corpus_words(docs: DataFrame, text_col: str, vocabulary_path: str) -> DataFrame:
     """(word, n): every pre-token of the corpus that occurs more than once, with its count."""
-    packed = class_table()
+    packed = class_table(Vocabulary(vocabulary_path).pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, hasher, vocabulary = load_classes(packed), SpanHasher(), Vocabulary(vocabulary_path)
@@ -339,8 +340,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words = frequent_words(docs, text_col, path, lexicon_words)
     vocabulary = Vocabulary(path)
     name = publish(spark, Lexicon.build(words, [vocabulary.merge(w) for w in words]))
-    del vocabulary
-    packed = class_table()
+    packed = class_table(vocabulary.pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(path), Lexicon.map_file(SparkFiles.get(name)), load_classes(packed))

@@ -8,15 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kickoff.sources.tables import read_table
 
-from . import quality_rules
+from . import bpe, mixing, quality_rules, secret_scan, simhash
+
+
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents", "doc_id", "text", *columns)
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(_documents(spark, sf_dir, "source")).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.measure(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return quality_rules.measure(_documents(spark, sf_dir))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_documents(spark, sf_dir))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
+    "op4_mixing": op4_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_bpe": op10_bpe,
 }
 
 SQL: dict[str, str] = {}

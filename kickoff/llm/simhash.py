@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kickoff.session import materialize
 
@@ -70,7 +71,7 @@ def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text", shingle
             marks = pa.array([fingerprint(t, shingle) for t in bytes_of(part, text_col)], pa.int64())
             yield pa.RecordBatch.from_arrays([*part.columns, marks], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, docs.schema.add(name, "long"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def _masks(bits: list[int], most: int) -> list[int]:
@@ -107,7 +108,7 @@ def links(nodes: DataFrame) -> DataFrame:
         "fp", F.explode(F.when(F.col("flip") >= 0, _longs(_masks(low, 1)))
                         .when(F.col("seg") == 0, _longs(_masks(low, 2))).otherwise(_longs(_masks(high, 2)))).alias("m"),
         F.when(F.col("flip") >= 0, F.expr("shiftleft(1L, 32 + flip)")).otherwise(F.lit(0)).alias("f"), "flip")
-    wanted = around.select(F.col("fp").alias("u"), F.col("fp").bitwiseXOR("m").bitwiseXOR(F.col("f")).alias("fp"),
+    wanted = around.select(F.col("fp").alias("u"), F.col("fp").bitwiseXOR(F.col("m")).bitwiseXOR(F.col("f")).alias("fp"),
                            "flip").where("flip >= 0 or u < fp")
     exact = wanted.join(nodes, "fp").select("u", F.col("fp").alias("v"))
     return pairs.select("u", "v").union(exact)

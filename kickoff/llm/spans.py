@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from collections.abc import Callable
 
 import numpy as np
+import regex
 
 # The word separators of the contracts (\x20 and \x09-\x0D).
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -71,15 +73,25 @@ def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(texts) + b"\n" if texts else b"", np.uint8), offsets
 
 
-def class_table() -> bytes:
-    """Compressed class of each code point: 0 other, 1 letter, 2 number, 3 white space."""
-    table = bytearray(0x110000)
-    kind = {"L": 1, "N": 2}
-    for cp in range(0x110000):
-        table[cp] = kind.get(unicodedata.category(chr(cp))[0], 0)
-    for cp in WHITE_SPACE:
-        table[cp] = 3
-    return zlib.compress(bytes(table), 9)
+def class_table(pieces: Callable[[str], list]) -> bytes:
+    """Compressed class of each code point: 0 other, 1 letter, 2 number, 3 white space.
+
+    ``pieces`` is the tokenizer's own splitter. Two Unicode versions (of ``unicodedata`` and ``regex``) give
+    the classes; it decides the code points in which they differ, so its own version holds.
+    """
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])  # surrogates never occur in a text
+    text = points.astype(np.uint32).tobytes().decode("utf-32-le")
+    newer = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+")):
+        for m in regex.finditer(pattern, text):
+            newer[points[m.start(): m.end()]] = kind
+    kinds = {"L": 1, "N": 2}
+    table = np.zeros(0x110000, np.uint8)
+    table[points] = [kinds.get(unicodedata.category(c)[0], 0) for c in text]
+    for cp in np.flatnonzero(table != newer).tolist():
+        table[cp] = 1 if len(pieces("a" + chr(cp))) == 1 else 2 if len(pieces("1" + chr(cp))) == 1 else 0
+    table[WHITE_SPACE] = 3
+    return zlib.compress(table.tobytes(), 9)
 
 
 def load_classes(packed: bytes) -> np.ndarray:
