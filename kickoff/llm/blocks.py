@@ -12,8 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 4 << 20
@@ -41,10 +43,44 @@ def bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
 
 def input_bytes(df: DataFrame) -> int:
     """Optimizer estimate of the size of ``df`` (file sizes for a scan); no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def bucket_count(df: DataFrame, bytes_each: int = 4 << 20) -> int:
     """Buckets in proportion to the input, so that one bucket stays in a task's memory at any size."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(parts, min(input_bytes(df) // bytes_each, 1 << 20))
+
+
+def block_ids() -> Iterator[int]:
+    """Numbers (< 0) of the blocks of this task: the same whenever the same partition is read again."""
+    first = -1 - (TaskContext.get().partitionId() << 32)
+    seq = 0
+    while True:
+        yield first - seq
+        seq += 1
+
+
+def pack(values: np.ndarray, width: int = 4) -> bytes:
+    """Integers as byte planes (lowest first): small values leave planes of zeros, which compress well."""
+    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpack(data: bytes, width: int = 4) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def cuts(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, begin, end) of each run of equal keys."""
+    if not len(sorted_keys):
+        return
+    edges = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(sorted_keys)]):
+        yield int(sorted_keys[a]), a, b
+
+
+def rows_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=schema)

@@ -92,12 +92,13 @@ class Pretokens:
         np.cumsum([len(t) for t in texts], out=offsets[1:])
         starts, self.text = pretoken_spans(units, offsets, classes)
         ends = np.append(starts[1:], len(units))
-        first, code = distinct(hasher(units, starts, ends))
+        keys = hasher(units, starts, ends)
+        first, code = distinct(keys)
         other = hasher(units, starts, ends, 1)
         if not np.array_equal(other, other[first][code]):  # two words share one 64-bit hash: number them by both
-            both = np.rec.fromarrays([hasher(units, starts, ends), other])
+            both = np.rec.fromarrays([keys, other])
             _, first, code = np.unique(both, return_index=True, return_inverse=True)
-        self.code = code
+        self.code, self.keys = code, keys[first]  # a word's key is the same in every chunk
         self.words = [joined[a:b].encode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
 
 

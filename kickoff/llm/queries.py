@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kickoff.sources.tables import read_table
 
-from . import bpe, mixing, quality_rules, secret_scan, simhash
+from . import bpe, mixing, quality_rules, secret_scan, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", "doc_id", "text", *columns)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -37,6 +41,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op8_quality_rules": op8_quality_rules,
