@@ -73,6 +73,20 @@ def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(texts) + b"\n" if texts else b"", np.uint8), offsets
 
 
+def word_hashes(texts: list[bytes], hasher: SpanHasher, step: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts and the number of words of each, ``step`` bytes at a time."""
+    hashes, sizes, begin, held = [], [], 0, 0
+    for i, text in enumerate(texts):
+        held += len(text) + 1
+        if held > step or i == len(texts) - 1:
+            units, offsets = join_texts(texts[begin: i + 1])
+            starts, ends = word_spans(units)
+            hashes.append(hasher(units, starts, ends))
+            sizes.append(np.diff(np.searchsorted(starts, offsets)))
+            begin, held = i + 1, 0
+    return np.concatenate([np.zeros(0, _U), *hashes]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+
 def class_table(pieces: Callable[[str], list]) -> bytes:
     """Compressed class of each code point: 0 other, 1 letter, 2 number, 3 white space.
 
