@@ -15,8 +15,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
 
@@ -46,19 +46,26 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def partition_column() -> Column:
+    return F.spark_partition_id().alias("part")
+
+
 def bucket_count(df: DataFrame, bytes_each: int = 4 << 20) -> int:
     """Buckets in proportion to the input, so that one bucket stays in a task's memory at any size."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(parts, min(input_bytes(df) // bytes_each, 1 << 20))
 
 
-def block_ids() -> Iterator[int]:
-    """Numbers (< 0) of the blocks of this task: the same whenever the same partition is read again."""
-    first = -1 - (TaskContext.get().partitionId() << 32)
-    seq = 0
-    while True:
-        yield first - seq
-        seq += 1
+class BlockIds:
+    """Numbers (< 0) of the blocks of a task, the same whenever the same partition is read again. The rows
+    carry their partition in the column ``part`` (a task's own number differs below a union)."""
+
+    def __init__(self) -> None:
+        self.seq = 0
+
+    def __call__(self, chunk: pa.RecordBatch) -> int:
+        self.seq += 1
+        return -((chunk.column("part")[0].as_py() << 32) + self.seq)
 
 
 def pack(values: np.ndarray, width: int = 4) -> bytes:

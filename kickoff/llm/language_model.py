@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from kickoff.session import materialize
 
-from .blocks import block_ids, bucket_count, bytes_of, chunks, cuts, pack, rows_batch, unpack
+from .blocks import BlockIds, bucket_count, bytes_of, chunks, cuts, pack, partition_column, rows_batch, unpack
 from .spans import SpanHasher, mix, word_hashes
 
 ALPHA = 0.1  # fixed value of the contract's base score
@@ -219,7 +219,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     buckets = bucket_count(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                       (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % held_out_mod != 0).alias("train"))
+                       (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % held_out_mod != 0).alias("train"),
+                       partition_column())
     id_type = rows.schema["id"].dataType
 
     def texts_of(part: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
@@ -250,9 +251,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                        *((c, pa.list_(pa.int64())) for c in ("hot", "hot_c", "hot_t"))])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, blocks = SpanHasher(), block_ids()
+        hasher, blocks = SpanHasher(), BlockIds()
         for part in chunks(batches, "text", BLOCK):
-            block, number = Walk(*texts_of(part), hasher, hot, buckets), next(blocks)
+            block, number = Walk(*texts_of(part), hasher, hot, buckets), blocks(part)
             yield rows_batch([r | {"block": number, "signature": block.signature} for r in block.requests()], request)
 
     def answer(table: pa.Table) -> pa.Table:
@@ -276,13 +277,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # 4. the answers meet the documents of their block again
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = block_ids()
+        blocks = BlockIds()
         for part in chunks(batches, "text", BLOCK):
-            number = next(blocks)
+            number = blocks(part)
             yield pa.RecordBatch.from_arrays(  # one row, so that the documents keep their order
                 [pa.array([number], pa.int64()),
-                 *(pa.ListArray.from_arrays([0, part.num_rows], c) for c in part.columns)],
-                names=["target", *part.schema.names])
+                 *(pa.ListArray.from_arrays([0, part.num_rows], part.column(c)) for c in ("id", "text", "train"))],
+                names=["target", "id", "text", "train"])
 
     def score(block_rows: pa.Table, replies: pa.Table) -> pa.Table:
         part = pa.RecordBatch.from_arrays([block_rows.column(c).chunk(0).flatten() for c in ("id", "text", "train")],

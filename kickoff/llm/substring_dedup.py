@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_ids, bucket_count, bytes_of, chunks, cuts, pack, rows_batch, unpack
+from .blocks import BlockIds, bucket_count, bytes_of, chunks, cuts, pack, partition_column, rows_batch, unpack
 from .spans import SpanHasher, mix, word_hashes
 
 WINDOW = 20
@@ -164,12 +164,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("window must be first times a power of two")
     buckets = bucket_count(docs)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"),
-                       F.col(text_col).cast("binary").alias("text"))
+                       F.col(text_col).cast("binary").alias("text"), partition_column())
 
     def ask_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, blocks = SpanHasher(), block_ids()
+        hasher, blocks = SpanHasher(), BlockIds()
         for part in chunks(batches, "text", BLOCK):
-            w, number = Windows(bytes_of(part, "text"), hasher), next(blocks)
+            w, number = Windows(bytes_of(part, "text"), hasher), blocks(part)
             at = np.flatnonzero(w.left >= first)
             if first == window:
                 ids = np.array(part.column("id").to_pylist(), np.int64)
@@ -179,9 +179,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield rows_batch([r | {"block": number, "signature": w.signature} for r in asked], _SCHEMA)
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = block_ids()
+        blocks = BlockIds()
         for part in chunks(batches, "text", BLOCK):
-            number = next(blocks)
+            number = blocks(part)
             yield rows_batch([{"target": number, "block": number, "ids": part.column("id").to_pylist(),
                                "texts": bytes_of(part, "text")}], _SCHEMA)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .blocks import block_ids, bucket_count, chunks, cuts, pack, rows_batch, unpack
+from .blocks import BlockIds, bucket_count, chunks, cuts, pack, partition_column, rows_batch, unpack
 from .bpe import Pretokens, Vocabulary
 from .spans import SpanHasher, class_table, load_classes
 
@@ -42,7 +42,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     packed = class_table(Vocabulary(path).pieces)
     buckets = bucket_count(docs)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), partition_column())
     id_type = rows.schema["id"].dataType
     kind = id_type.simpleString()
     schema = pa.schema([("target", pa.int64()), ("ids", pa.list_(to_arrow_type(id_type))), ("block", pa.int64()),
@@ -51,9 +51,9 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ddl = f"target bigint, ids array<{kind}>, {_FIELDS}"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, hasher, vocabulary, blocks = load_classes(packed), SpanHasher(), Vocabulary(path), block_ids()
+        classes, hasher, vocabulary, blocks = load_classes(packed), SpanHasher(), Vocabulary(path), BlockIds()
         for part in chunks(batches, "text"):
-            block = next(blocks)
+            block = blocks(part)
             texts = [t or "" for t in part.column("text").to_pylist()]
             special, stretches, owner = [], [], []
             for i, text in enumerate(texts):
