@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kickoff.sources.tables import read_table
 
-from . import bpe, language_model, mixing, quality_rules, secret_scan, simhash, substring_dedup, token_counts, topk_search
+from . import bpe, language_model, mixing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, token_counts, topk_search
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(_documents(spark, sf_dir))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_documents(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(_documents(spark, sf_dir))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_topk_search": op5_topk_search,
     "op6_language_model": op6_language_model,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_bpe": op10_bpe,
