@@ -13,8 +13,7 @@ Output is one row per contest with the pre- and post-contest ratings of both sid
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,44 +27,47 @@ HISTORY_SCHEMA = ("match_id long, div string, match_date date, home_team string,
                   "home_elo double, away_elo double, home_elo_post double, away_elo_post double")
 
 
-def _fold(k: float, home_adv: float, initial: float):
-    def run(batches):
-        ratings: dict = {}
-        for pdf in batches:
-            n = len(pdf)
-            pre_h, pre_a, post_h, post_a = ([0.0] * n for _ in range(4))
-            divs, hs, aws = pdf["div"].tolist(), pdf["home_team"].tolist(), pdf["away_team"].tolist()
-            hg, ag, res = pdf["fthg"].tolist(), pdf["ftag"].tolist(), pdf["ftr"].tolist()
-            for i in range(n):
-                kh, ka = (divs[i], hs[i]), (divs[i], aws[i])
-                rh = ratings.get(kh, initial)
-                ra = ratings.get(ka, initial)
-                exp_h = 1 / (1 + 10 ** ((ra - rh - home_adv) / 400))
-                exp_a = 1 - exp_h
-                r = res[i]
-                s_h, s_a = (1.0, 0.0) if r == "H" else (0.0, 1.0) if r == "A" else (0.5, 0.5)
-                gd = abs(hg[i] - ag[i])
-                mult = max(1.0, math.log(gd + 1) + 1) if gd > 0 else 1.0
-                nh = rh + k * mult * (s_h - exp_h)
-                na = ra + k * mult * (s_a - exp_a)
-                ratings[kh], ratings[ka] = nh, na
-                pre_h[i], pre_a[i], post_h[i], post_a[i] = float(rh), float(ra), nh, na
-            yield pd.DataFrame({
-                "match_id": pdf["match_id"], "div": pdf["div"], "match_date": pdf["match_date"],
-                "home_team": pdf["home_team"], "away_team": pdf["away_team"],
-                "home_elo": pre_h, "away_elo": pre_a, "home_elo_post": post_h, "away_elo_post": post_a})
-    return run
+def with_stakes(contests: DataFrame, k: float = ELO_K) -> DataFrame:
+    """What a contest puts at stake, as columns: ``score`` (home side's share of the points) and ``stake``
+    (K times a factor that grows with the log of the winning margin). Neither depends on a rating."""
+    share = F.when(F.col("ftr") == "H", 1.0).when(F.col("ftr") == "A", 0.0).otherwise(0.5)
+    margin = F.abs(F.col("fthg") - F.col("ftag")).cast("double")
+    return contests.withColumns({"score": share, "stake": F.lit(float(k)) * (F.log(margin + 1) + 1)})
+
+
+def transfer(ratings: dict, home, away, score: float, stake: float, edge: float, initial: float) -> tuple[float, float, float]:
+    """Move one zero-sum amount between two ratings; returns both ratings before and the amount."""
+    mine, theirs = ratings.get(home, initial), ratings.get(away, initial)
+    amount = stake * (score - 1.0 / (1.0 + 10.0 ** ((theirs - mine - edge) / 400.0)))
+    ratings[home], ratings[away] = mine + amount, theirs - amount
+    return mine, theirs, amount
+
+
+def apply_contests(pdf: pd.DataFrame, ratings: dict, edge: float, initial: float) -> pd.DataFrame:
+    """Fold the rows of ``pdf`` (in order) into ``ratings``, keyed by (div, team)."""
+    rows = [transfer(ratings, (d, h), (d, a), s, k, edge, initial)
+            for d, h, a, s, k in zip(pdf["div"], pdf["home_team"], pdf["away_team"], pdf["score"], pdf["stake"])]
+    home, away, moved = (np.array(c, dtype=float) for c in (zip(*rows) if rows else ((), (), ())))
+    return pdf.assign(home_elo=home, away_elo=away, home_elo_post=home + moved, away_elo_post=away - moved)
 
 
 def elo_history(contests: DataFrame, k: float = ELO_K, home_advantage: float = ELO_HOME_ADVANTAGE,
                 initial: float = ELO_INITIAL, pool: str = "div", partitions: int | None = None) -> DataFrame:
     """Pre- and post-contest ratings of both sides for every played contest."""
-    src = contests.select("match_id", F.col(pool).alias("div"), "match_date", "home_team", "away_team",
-                          "fthg", "ftag", "ftr")
+    names = [c.split()[0] for c in HISTORY_SCHEMA.split(", ")]
+    edge, start = float(home_advantage), float(initial)
+
+    def fold(batches):
+        ratings: dict = {}
+        for pdf in batches:
+            yield apply_contests(pdf, ratings, edge, start)[names]
+
+    src = with_stakes(contests, k).select("match_id", F.col(pool).alias("div"), "match_date", "home_team", "away_team",
+                                          "score", "stake")
     # by key only (no fixed count): AQE may coalesce small partitions; a pool never splits
     part = src.repartition(partitions, "div") if partitions else src.repartition("div")
     ordered = part.sortWithinPartitions("div", "match_date", "match_id")
-    return ordered.mapInPandas(_fold(float(k), float(home_advantage), float(initial)), HISTORY_SCHEMA)
+    return ordered.mapInPandas(fold, HISTORY_SCHEMA)
 
 
 def team_ratings(history: DataFrame) -> DataFrame:

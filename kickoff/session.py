@@ -44,13 +44,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (distributed) folder there; it is used as is. Only when it
-    is unset (local runs and tests) a private folder under the system temp dir is created.
+    is unset and everything runs in one process (``local[...]``) a private folder under the system temp
+    dir is created; on a cluster an unset folder is an error, because executors would each write to their own disk.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not d:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             d = tempfile.mkdtemp(prefix="kickoff-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d

@@ -16,7 +16,6 @@ or streaming, so the same code runs as a batch backfill and as a stream.
 from __future__ import annotations
 
 import json
-import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.blocked import BLOCK, with_halo
-from ..operators.elo import ELO_HOME_ADVANTAGE, ELO_INITIAL, ELO_K
+from ..operators.elo import ELO_HOME_ADVANTAGE, ELO_INITIAL, apply_contests, with_stakes
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 WINDOW, SLIDE, WATERMARK = "1 hour", "10 minutes", "1 hour"
@@ -33,13 +32,13 @@ ROLL_SECONDS = 48 * 3600
 ROLL_BLOCK_DAYS = 7
 
 
-def read_events_stream(spark: SparkSession, folder: str, name_glob: str = "events*.parquet",
-                       files_per_trigger: int | None = None) -> DataFrame:
-    """File stream over the event files of ``folder`` (a stream source needs a directory)."""
-    r = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", name_glob)
+def read_events_stream(spark: SparkSession, folder: str, table: str = "events", files_per_trigger: int | None = None) -> DataFrame:
+    """File stream over the event table of ``folder``. The pattern matches the table as one file and as a
+    folder of part files (a stream source takes a folder or a pattern, not a plain file)."""
+    r = spark.readStream.schema(EVENT_SCHEMA)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
-    return r.parquet(folder)
+    return r.parquet(f"{folder}/{table}*.parquet")
 
 
 def sliding_averages(events: DataFrame) -> DataFrame:
@@ -52,9 +51,10 @@ def sliding_averages(events: DataFrame) -> DataFrame:
 
 
 def route_by_type(out_dir: str):
-    """R2: a ``foreachBatch`` function appending each micro-batch under ``event_type=…``."""
+    """R2: a ``foreachBatch`` function writing each micro-batch under ``epoch=…/event_type=…``; a replayed
+    epoch overwrites its own folder, so rows arrive exactly once."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("append").partitionBy("event_type").parquet(out_dir)
+        batch.write.mode("overwrite").partitionBy("event_type").parquet(f"{out_dir}/epoch={epoch_id}")
     return write
 
 
@@ -62,8 +62,7 @@ def value_moves(events: DataFrame, threshold: float = MOVE_THRESHOLD) -> DataFra
     """R3 (batch): events whose value moved more than ``threshold`` (relative) since the
     previous event of the same user and type."""
     keys = ["user_id", "event_type"]
-    e = events.select("event_id", "ts", *keys, "value").withColumn(BLOCK, F.to_date("ts").cast("string"))
-    e = e.withColumn(BLOCK, F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")))
+    e = events.select("event_id", "ts", *keys, "value").withColumn(BLOCK, F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")))
     full = with_halo(e, {"prev": (keys, 1)}, width=0, order=("ts", "event_id"))
     w = Window.partitionBy(*keys, BLOCK).orderBy("ts", "event_id")
     prev = F.lag("value", 1).over(w)
@@ -75,22 +74,42 @@ def value_moves(events: DataFrame, threshold: float = MOVE_THRESHOLD) -> DataFra
 
 
 def rolling_48h(events: DataFrame) -> DataFrame:
-    """Mean value and count over the 48 hours up to and including each event, per type."""
+    """Mean value and count over the 48 hours up to and including each event, per type.
+
+    Rows are first reduced to one per type and second (partial aggregation), so a hot type costs at most
+    86,400 rows a day. The sliding sum is a difference of running sums within a block of days: the running
+    sum now minus the running sum as of 48 hours and a second ago, both exact decimals; the halo lends every
+    block the seconds of the 48 hours before it.
+    """
     sec = F.unix_seconds(F.col("ts").cast("timestamp"))  # session time zone is UTC
-    day = F.floor(F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")) / ROLL_BLOCK_DAYS)
-    base = events.select("event_id", "ts", "event_type", "value", sec.alias("sec"), day.cast("long").alias(BLOCK))
-    # halo: every row is lent to the next block when it lies within 48 h of that block's start
-    start_next = (F.col(BLOCK) + 1) * (ROLL_BLOCK_DAYS * 86400)
-    halo = (base.where(F.col("sec") >= start_next - ROLL_SECONDS)
+    base = events.select("event_id", "ts", "event_type", "value", sec.alias("sec"))
+    seconds = base.groupBy("event_type", "sec").agg(F.sum(F.col("value").cast("decimal(30,12)")).alias("v"),
+                                                   F.count("value").alias("c"))
+    width = ROLL_BLOCK_DAYS * 86400
+    block = F.floor(F.col("sec") / width).cast("long")
+    own = seconds.withColumn(BLOCK, block).withColumn("_h", F.lit(False))
+    halo = (own.where(F.col("sec") >= (F.col(BLOCK) + 1) * width - ROLL_SECONDS)
             .withColumn(BLOCK, F.col(BLOCK) + 1).withColumn("_h", F.lit(True)))
-    full = base.withColumn("_h", F.lit(False)).unionByName(halo)
-    w = Window.partitionBy("event_type", BLOCK).orderBy("sec").rangeBetween(-ROLL_SECONDS, 0)
-    # the sum is rounded (not the mean): a mean can sit exactly on a rounding tie, a sum of
-    # fixed-precision values cannot drift across a 9-digit boundary
-    return (full.withColumn("sum_48h", F.round(F.sum("value").over(w), 9))
-            .withColumn("n_48h", F.count("value").over(w)).where(~F.col("_h"))
-            .withColumn("avg_48h", F.col("sum_48h") / F.col("n_48h"))
-            .select("event_id", "ts", "event_type", "sum_48h", "n_48h", "avg_48h"))
+    w = Window.partitionBy("event_type", BLOCK).orderBy("sec")
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # as of the second before the window: the last running sum at or before sec - 48 h - 1 s
+    marks = own.unionByName(halo).withColumns({
+        "rv": F.coalesce(F.sum("v").over(run), F.lit(0)), "rc": F.sum("c").over(run)})
+    ask = marks.where(~F.col("_h")).select("event_type", BLOCK, F.col("sec").alias("at"),
+                                           (F.col("sec") - ROLL_SECONDS - 1).alias("sec"), F.lit(None).cast(
+        marks.schema["rv"].dataType).alias("pv"), F.lit(None).cast("long").alias("pc"), F.lit(1).alias("k"))
+    known = marks.select("event_type", BLOCK, F.lit(None).cast("long").alias("at"), "sec", F.col("rv").alias("pv"),
+                         F.col("rc").alias("pc"), F.lit(0).alias("k"))
+    back = Window.partitionBy("event_type", BLOCK).orderBy("sec", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = (known.unionByName(ask).withColumns({"pv": F.last("pv", ignorenulls=True).over(back),
+                                                 "pc": F.last("pc", ignorenulls=True).over(back)})
+              .where("k = 1").select("event_type", F.col("at").alias("sec"), "pv", "pc"))
+    sums = marks.where(~F.col("_h")).join(before, ["event_type", "sec"]).select(
+        "event_type", "sec", F.round((F.col("rv") - F.coalesce("pv", F.lit(0))).cast("double"), 9).alias("s"),
+        (F.col("rc") - F.coalesce("pc", F.lit(0))).alias("n_48h"))
+    return (base.join(sums, ["event_type", "sec"])
+            .withColumn("sum_48h", F.when(F.col("n_48h") > 0, F.col("s")))
+            .select("event_id", "ts", "event_type", "sum_48h", "n_48h", (F.col("sum_48h") / F.col("n_48h")).alias("avg_48h")))
 
 
 # ------------------------------------------------------------------ R4 incremental Elo
@@ -99,32 +118,26 @@ ELO_STREAM_OUT = ("match_id long, div string, home_elo double, away_elo double,
 ELO_STATE = "ratings string"
 
 
-def _elo_update(k=ELO_K, home_adv=ELO_HOME_ADVANTAGE, initial=ELO_INITIAL):
-    k, home_adv, initial = float(k), float(home_adv), float(initial)
+def _elo_update(home_advantage: float = ELO_HOME_ADVANTAGE, initial: float = ELO_INITIAL):
+    edge, start = float(home_advantage), float(initial)
 
     def fn(key, pdfs, state):
-        ratings = json.loads(state.get[0]) if state.exists else {}
+        """Sort the light columns of the micro-batch, then fold; the state is {team: rating} and the last date."""
+        held = json.loads(state.get[0]) if state.exists else {"ratings": {}, "last": ""}
+        ratings = {(key[0], team): r for team, r in held["ratings"].items()}
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["match_date", "match_id"])
-        rows = []
-        for r in pdf.itertuples(index=False):
-            rh = ratings.get(r.home_team, initial)
-            ra = ratings.get(r.away_team, initial)
-            exp_h = 1 / (1 + 10 ** ((ra - rh - home_adv) / 400))
-            exp_a = 1 - exp_h
-            s_h, s_a = (1.0, 0.0) if r.ftr == "H" else (0.0, 1.0) if r.ftr == "A" else (0.5, 0.5)
-            gd = abs(r.fthg - r.ftag)
-            mult = max(1.0, math.log(gd + 1) + 1) if gd > 0 else 1.0
-            nh, na = rh + k * mult * (s_h - exp_h), ra + k * mult * (s_a - exp_a)
-            ratings[r.home_team], ratings[r.away_team] = nh, na
-            rows.append((r.match_id, key[0], float(rh), float(ra), nh, na))
-        state.update((json.dumps(ratings),))
-        yield pd.DataFrame(rows, columns=["match_id", "div", "home_elo", "away_elo", "home_elo_post", "away_elo_post"])
+        if len(pdf) and str(pdf["match_date"].iloc[0]) < held["last"]:
+            raise ValueError(f"contests of pool {key[0]} arrived out of date order: {pdf['match_date'].iloc[0]} after {held['last']}")
+        out = apply_contests(pdf, ratings, edge, start)
+        last = str(pdf["match_date"].iloc[-1]) if len(pdf) else held["last"]
+        state.update((json.dumps({"ratings": {team: r for (_, team), r in ratings.items()}, "last": last}),))
+        yield out[["match_id", "div", "home_elo", "away_elo", "home_elo_post", "away_elo_post"]]
     return fn
 
 
 def elo_stream(contest_stream: DataFrame) -> DataFrame:
-    """State per pool = {team: rating}; each micro-batch's contests of a pool are applied in
-    (date, id) order. Parity with the batch fold holds when batches arrive in date order."""
-    cols = contest_stream.select("div", "match_date", "match_id", "home_team", "away_team", "fthg", "ftag", "ftr")
+    """State per pool = {team: rating}; each micro-batch's contests of a pool are applied in (date, id)
+    order by the kernel of the batch fold. A batch older than what was applied raises instead of giving wrong ratings."""
+    cols = with_stakes(contest_stream).select("div", "match_date", "match_id", "home_team", "away_team", "score", "stake")
     return cols.groupBy("div").applyInPandasWithState(
         _elo_update(), ELO_STREAM_OUT, ELO_STATE, "append", GroupStateTimeout.NoTimeout)

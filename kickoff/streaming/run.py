@@ -4,7 +4,7 @@ shared checkpoint folder."""
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,38 +18,29 @@ CONTEST_STREAM_SCHEMA = ("div string, match_date date, match_id long, home_team
                          "fthg long, ftag long, ftr string")
 
 
-def _dir(spark: SparkSession, kind: str, sf_dir: str) -> str:
-    return scratch_path(spark, f"stream-{kind}-{hashlib.sha1(sf_dir.encode()).hexdigest()[:10]}")
+def _dir(spark: SparkSession, kind: str) -> str:
+    return scratch_path(spark, f"stream-{kind}-{uuid.uuid4().hex[:12]}")
 
 
-def _run(query_builder, timeout_s: int = 600):
-    q = query_builder.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-    if q.exception():
-        raise q.exception()
+def _run(query_builder) -> None:
+    """Run to the end of the available input; ``availableNow`` stops by itself, an error is raised here."""
+    query_builder.trigger(availableNow=True).start().awaitTermination()
 
 
 def routed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2 end to end: stream the events table through the router, then count rows per type."""
-    base = _dir(spark, "route", sf_dir) + "-" + _stamp()
+    base = _dir(spark, "route")
     stream = J.read_events_stream(spark, sf_dir)
     _run(stream.writeStream.foreachBatch(J.route_by_type(f"{base}/out"))
-         .option("checkpointLocation", f"{base}/ckpt"), 600)
+         .option("checkpointLocation", f"{base}/ckpt"))
     out = spark.read.parquet(f"{base}/out")
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _stamp() -> str:
-    import time
-    return str(int(time.time() * 1000))
-
-
 def elo_stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R4 end to end: contests written one season file per write (so file order = date order),
     streamed one file per micro-batch through the stateful Elo, sunk to parquet, read back."""
-    base = _dir(spark, "elo", sf_dir) + "-" + _stamp()
+    base = _dir(spark, "elo")
     c = contests(spark, sf_dir).select("div", "match_date", "match_id", "home_team", "away_team", "fthg", "ftag",
                                        "ftr", "season")
     seasons = [r[0] for r in c.select("season").distinct().orderBy("season").collect()]  # one label per season
@@ -58,7 +49,7 @@ def elo_stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = (spark.readStream.schema(CONTEST_STREAM_SCHEMA).option("maxFilesPerTrigger", 1)
               .parquet(f"{base}/in"))
     _run(J.elo_stream(stream).writeStream.format("parquet").outputMode("append")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt"), 900)
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt"))
     return spark.read.parquet(f"{base}/out")
 
 
