@@ -8,6 +8,8 @@ work still runs on executors and nothing but the final rows reaches the driver.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,11 +19,16 @@ from pyspark.sql import types as T
 R_DIGITS = 6
 
 
-def correlations(df: DataFrame, features: list[str], target: str = "target_num") -> DataFrame:
+def _rounded(c, digits: int | None):
+    return c if digits is None else F.round(c, digits)
+
+
+def correlations(df: DataFrame, features: list[str], target: str = "target_num",
+                 digits: int | None = R_DIGITS) -> DataFrame:
     """Pearson r of each feature with ``target`` over pairwise-complete rows.
 
-    Returns ``(feature, n, r)``; ``r`` is rounded to 6 digits (summation order differs between
-    engines in the last bits).
+    Returns ``(feature, n, r)``; ``r`` is rounded to ``digits`` (summation order differs between
+    engines in the last bits); ``None`` keeps it as it is, as p-values need it.
     """
     aggs = []
     for i, c in enumerate(features):
@@ -30,12 +37,12 @@ def correlations(df: DataFrame, features: list[str], target: str = "target_num")
                  F.corr(F.when(both, F.col(c).cast("double")), F.when(both, F.col(target).cast("double"))).alias(f"r{i}")]
     one = df.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"),
-                                        F.round(F.col(f"r{i}"), R_DIGITS).alias("r"))
+                                        _rounded(F.col(f"r{i}"), digits).alias("r"))
                                for i, c in enumerate(features)]))
     return one.select(rows.alias("x")).select("x.*")
 
 
-def anova(df: DataFrame, value: str, group: str = "ftr") -> DataFrame:
+def anova(df: DataFrame, value: str, group: str = "ftr", digits: int | None = R_DIGITS) -> DataFrame:
     """One-way ANOVA F of ``value`` across ``group`` levels (nulls dropped).
 
     Per-group ``count, sum, sum of squares`` in one pass; F from the between/within sums.
@@ -49,7 +56,7 @@ def anova(df: DataFrame, value: str, group: str = "ftr") -> DataFrame:
     ssw = F.col("Q") - F.col("between_raw")
     return tot.select(F.lit(value).alias("feature"), (F.col("k") - 1).alias("df_between"),
                       (F.col("N") - F.col("k")).alias("df_within"),
-                      F.round((ssb / (F.col("k") - 1)) / (ssw / (F.col("N") - F.col("k"))), R_DIGITS).alias("f_stat"))
+                      _rounded((ssb / (F.col("k") - 1)) / (ssw / (F.col("N") - F.col("k"))), digits).alias("f_stat"))
 
 
 def group_summary(df: DataFrame, value: str, group: str = "ftr") -> DataFrame:
@@ -67,48 +74,55 @@ def rank_by_abs(corrs: DataFrame, top: int = 20) -> DataFrame:
 
 
 # ------------------------------------------------------------------ p-values
-def _betacf(a, b, x, iters=300, eps=3e-16):
-    """Continued fraction for the incomplete beta (modified Lentz), vectorised."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < tiny, tiny, d)
-    d = 1.0 / d
-    h = d.copy()
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if np.all(np.abs(delta - 1.0) < eps):
-            break
-    return h
-
-
-def reg_inc_beta(a, b, x):
-    """I_x(a, b) for arrays (a, b > 0, 0 <= x <= 1)."""
-    from math import lgamma
-    a, b, x = np.asarray(a, float), np.asarray(b, float), np.asarray(x, float)
-    lg = np.vectorize(lgamma)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        bt = np.exp(lg(a + b) - lg(a) - lg(b) + a * np.log(np.clip(x, 1e-300, 1)) + b * np.log(np.clip(1 - x, 1e-300, 1)))
-        direct = bt * _betacf(a, b, x) / a
-        flipped = 1.0 - bt * _betacf(b, a, 1.0 - x) / b
-    out = np.where(x < (a + 1.0) / (a + b + 2.0), direct, flipped)
-    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
+def _fraction(a, b, x, depth: int):
+    """1 / (1 + e1 / (1 + e2 / ...)) cut after ``depth`` terms, evaluated from the inside out, where
+    e(2m) = m (b - m) x / ((a + 2m - 1)(a + 2m)) and e(2m+1) = -(a + m)(a + b + m) x / ((a + 2m)(a + 2m + 1))."""
+    tail = np.ones_like(x)
+    for j in range(depth, 0, -1):
+        m = j // 2
+        up = m * (b - m) if j % 2 == 0 else -(a + m) * (a + b + m)
+        tail = 1.0 + up * x / ((a + j - 1) * (a + j)) / tail
+    return 1.0 / tail
+
+
+def _log_beta(a: float, b: float) -> float:
+    """ln B(a, b); for a large argument from the asymptotic series of the gamma quotient, because the difference
+    of two large log-gammas has no correct digits left."""
+    large, small = max(a, b), min(a, b)
+    if large < 1e5 or small > large / 1e3:
+        return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    s = small
+    return math.lgamma(s) - (s * math.log(large) + s * (s - 1) / (2 * large) - s * (s - 1) * (2 * s - 1) / (12 * large**2))
+
+
+def _log(x, complement):
+    return np.where(complement < 0.5, np.log1p(-complement), np.log(x))
+
+
+def _lower_tail(a, b, x, y):
+    """I_x(a, b) where x is below the mean (y = 1 - x): depth is doubled until the fraction no longer changes."""
+    log_beta = np.vectorize(_log_beta, otypes=[float])(a, b)
+    scale = np.exp(a * _log(x, y) + b * _log(y, x) - log_beta) / a
+    depth, before, now = 64, None, _fraction(a, b, x, 32)
+    while before is None or np.any(np.abs(now - before) > 1e-15 * np.abs(now)):
+        if depth > 1 << 20:
+            raise ArithmeticError("the continued fraction of the incomplete beta function does not settle")
+        before, now, depth = now, _fraction(a, b, x, depth), depth * 2
+    return scale * now
+
+
+def reg_inc_beta(a, b, x, y=None):
+    """I_x(a, b) for arrays (a, b > 0); x is cut to [0, 1], NaN arguments give NaN. ``y`` is 1 - x, for a caller
+    who knows it more exactly than the subtraction gives it."""
+    a, b, x, y = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float),
+                                     1.0 - np.asarray(x, float) if y is None else np.asarray(y, float))
+    out = np.where(np.isnan(a + b + x) | ~(a > 0) | ~(b > 0), np.nan, np.clip(x, 0.0, 1.0))
+    inside = (x > 0) & (y > 0) & ~np.isnan(out)
+    low = inside & (x <= (a + 1.0) / (a + b + 2.0))
+    high = inside & ~low
+    out[low] = _lower_tail(a[low], b[low], x[low], y[low])
+    out[high] = 1.0 - _lower_tail(b[high], a[high], y[high], x[high])
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
@@ -117,7 +131,7 @@ def p_from_r(r: pd.Series, n: pd.Series) -> pd.Series:
     r = r.astype(float).clip(-1 + 1e-15, 1 - 1e-15)
     df = (n.astype(float) - 2.0)
     t2 = r * r * df / (1.0 - r * r)
-    p = reg_inc_beta(df / 2.0, 0.5, df / (df + t2))
+    p = reg_inc_beta(df / 2.0, 0.5, df / (df + t2), t2 / (df + t2))
     return pd.Series(np.where(df > 0, p, np.nan))
 
 
@@ -125,7 +139,7 @@ def p_from_r(r: pd.Series, n: pd.Series) -> pd.Series:
 def p_from_f(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """Upper-tail p-value of an F statistic."""
     f, d1, d2 = f.astype(float), d1.astype(float), d2.astype(float)
-    p = reg_inc_beta(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+    p = reg_inc_beta(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f))
     return pd.Series(p)
 
 

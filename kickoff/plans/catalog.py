@@ -274,7 +274,6 @@ agg AS (
     COUNT(*) FILTER (WHERE away_team IS NULL) AS n_away_team, COUNT(*) FILTER (WHERE fthg IS NULL) AS n_fthg,
     COUNT(*) FILTER (WHERE ftag IS NULL) AS n_ftag, COUNT(*) FILTER (WHERE ftr IS NULL) AS n_ftr,
     COUNT(*) FILTER (WHERE ftr NOT IN ('H','D','A')) AS bad_ftr,
-    string_agg(DISTINCT CASE WHEN ftr NOT IN ('H','D','A') THEN ftr END, ',' ORDER BY CASE WHEN ftr NOT IN ('H','D','A') THEN ftr END) AS bad_vals,
     COUNT(*) FILTER (WHERE fthg < 0) AS neg_fthg, COUNT(*) FILTER (WHERE ftag < 0) AS neg_ftag
   FROM parsed),
 dups AS (SELECT CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS d FROM
@@ -287,7 +286,8 @@ UNION ALL SELECT 'null_values', 'away_team', n_away_team, NULL FROM agg
 UNION ALL SELECT 'null_values', 'fthg', n_fthg, NULL FROM agg
 UNION ALL SELECT 'null_values', 'ftag', n_ftag, NULL FROM agg
 UNION ALL SELECT 'null_values', 'ftr', n_ftr, NULL FROM agg
-UNION ALL SELECT 'invalid_result', 'ftr', bad_ftr, bad_vals FROM agg
+UNION ALL SELECT 'invalid_result', 'ftr', bad_ftr, NULL FROM agg
+UNION ALL SELECT 'invalid_value', 'ftr', COUNT(*), ftr FROM parsed WHERE ftr NOT IN ('H','D','A') GROUP BY ftr
 UNION ALL SELECT 'negative_goals', 'fthg', neg_fthg, NULL FROM agg
 UNION ALL SELECT 'negative_goals', 'ftag', neg_ftag, NULL FROM agg
 UNION ALL SELECT 'duplicates', 'match_date,home_team,away_team', d, NULL FROM dups
@@ -318,6 +318,31 @@ SELECT * FROM (
     lambda spark, sf: Q.contract_violations(dirty_contests(spark, sf)).select("match_id", "ftr", "fthg", "ftag", "violations"))
 
 
+def _with_model_probability(df):
+    """A probability column that breaks its range in some rows (derived from the price, for the contract's range rule)."""
+    return df.withColumn("prob_home_win", F.when(F.col("match_id") % 31 == 0, F.lit(1.5)).otherwise(F.lit(1.0) / F.col("b365h")))
+
+
+register("contract_valid", "P8", O.with_(O.DIRTY) + """
+SELECT match_id, ftr, fthg, ftag FROM dirty
+WHERE fthg >= 0 AND ftag >= 0 AND ftr IN ('H', 'D', 'A') AND NOT COALESCE(b365h <= 1 OR b365d <= 1 OR b365a <= 1, FALSE)
+  AND match_id % 31 <> 0""")(
+    lambda spark, sf: Q.contract_valid(_with_model_probability(dirty_contests(spark, sf))).select("match_id", "ftr", "fthg", "ftag"))
+
+register("dq_report_missing_columns", "V1,V7", O.with_(O.DIRTY) + """
+SELECT 'missing_column' AS "check", 'match_date' AS "column", CAST(1 AS BIGINT) AS n_bad, CAST(NULL AS VARCHAR) AS detail
+UNION ALL SELECT 'missing_column', 'away_team', 1, NULL
+UNION ALL SELECT 'null_values', 'home_team', COUNT(*) FILTER (WHERE home_team IS NULL), NULL FROM parsed
+UNION ALL SELECT 'null_values', 'fthg', COUNT(*) FILTER (WHERE fthg IS NULL), NULL FROM parsed
+UNION ALL SELECT 'null_values', 'ftag', COUNT(*) FILTER (WHERE ftag IS NULL), NULL FROM parsed
+UNION ALL SELECT 'null_values', 'ftr', COUNT(*) FILTER (WHERE ftr IS NULL), NULL FROM parsed
+UNION ALL SELECT 'invalid_result', 'ftr', COUNT(*) FILTER (WHERE ftr NOT IN ('H','D','A')), NULL FROM parsed
+UNION ALL SELECT 'invalid_value', 'ftr', COUNT(*), ftr FROM parsed WHERE ftr NOT IN ('H','D','A') GROUP BY ftr
+UNION ALL SELECT 'negative_goals', 'fthg', COUNT(*) FILTER (WHERE fthg < 0), NULL FROM parsed
+UNION ALL SELECT 'negative_goals', 'ftag', COUNT(*) FILTER (WHERE ftag < 0), NULL FROM parsed""")(
+    lambda spark, sf: Q.dq_report(_dirty_parsed(spark, sf).drop("match_date", "away_team")))
+
+
 # ---------------------------------------------------------------- O5–O8, A13 splits
 def _indexed(spark, sf):
     return SP.with_row_index(contests(spark, sf).select("match_id", "match_date"))
@@ -347,7 +372,7 @@ SELECT split, COUNT(*) AS rows, min(match_date) AS first_date, max(match_date) A
 
 # ---------------------------------------------------------------- S1–S7 season files, S4/J4 standings
 from ..sources import seasons as SE  # noqa: E402
-from ..session import scratch_path  # noqa: E402
+from ..session import fresh_path  # noqa: E402
 
 _RAW_COLS = ["match_id", "div", "date_text", "home_team", "away_team", "fthg", "ftag", "ftr", "hs", "aws", "hst", "ast",
              "b365h", "b365d", "b365a", "season"]
@@ -384,13 +409,13 @@ register("season_scan", "S1,S2,S3,S6", _SCAN_SQL + " SELECT * FROM scanned")(
 def _ingest(spark, sf):
     """Files → clean → partitioned parquet table → read back."""
     cleaned = Q.clean_contests(_scan(spark, sf)).select(*_CLEAN_COLS)
-    out = scratch_path(spark, "ingested-" + SE.hashlib.sha1(sf.encode()).hexdigest()[:10])
-    cleaned.write.mode("overwrite").partitionBy("season").parquet(out)
+    out = fresh_path(spark, "ingested")
+    cleaned.write.partitionBy("season").parquet(out)
     return spark.read.parquet(out).select(*_CLEAN_COLS)
 
 
 register("ingest_pipeline", "S5,S6,S7,P7", _SCAN_SQL.replace("FROM c0),\ndirty AS", "FROM c0),\ndirty AS", 1) + """,
-p2 AS (SELECT *, CAST(CASE WHEN length(date_text) = 8 THEN try_strptime(date_text, '%d/%m/%y')
+p2 AS (SELECT *, CAST(CASE WHEN regexp_matches(date_text, '/[0-9][0-9]$') THEN try_strptime(date_text, '%d/%m/%y')
                       ELSE try_strptime(date_text, '%d/%m/%Y') END AS DATE) AS match_date FROM scanned)
 SELECT match_id, div, trim(home_team, ' ') AS home_team, trim(away_team, ' ') AS away_team, fthg, ftag, ftr,
   COALESCE(hs, 0) AS hs, COALESCE(aws, 0) AS aws, COALESCE(hst, 0) AS hst, COALESCE(ast, 0) AS ast, b365h, b365d, b365a, match_date,
@@ -717,17 +742,20 @@ from . import scoring as SC  # noqa: E402
 
 def _rejects(spark, sf):
     hist, fx = SC.split_history(spark, sf)
-    return SC.check_fixtures(fx, hist)[1]
+    return SC.check_fixtures(SC.with_hard_cases(fx), hist)[1]
 
 
 def _accepted(spark, sf):
     hist, fx = SC.split_history(spark, sf)
-    return SC.check_fixtures(fx, hist)[0].select("match_id", "div", "home_team", "away_team")
+    return SC.check_fixtures(SC.with_hard_cases(fx), hist)[0].select("match_id", "div", "home_team", "away_team")
 
 
 _FX = O.with_(O.CONTESTS) + """, cut AS (SELECT max(match_date) - INTERVAL 30 DAY AS d FROM c),
 hist AS (SELECT * FROM c WHERE match_date <= (SELECT CAST(d AS DATE) FROM cut)),
-fx AS (SELECT * FROM c WHERE match_date > (SELECT CAST(d AS DATE) FROM cut)),
+fx0 AS (SELECT * FROM c WHERE match_date > (SELECT CAST(d AS DATE) FROM cut)),
+fx AS (SELECT * REPLACE (CASE WHEN match_id % 11 = 0 THEN 'X' || home_team ELSE home_team END AS home_team,
+  CASE WHEN match_id % 13 = 0 THEN CASE WHEN match_id % 11 = 0 THEN 'X' || home_team ELSE home_team END
+       WHEN match_id % 7 = 0 THEN 'Y' || away_team ELSE away_team END AS away_team) FROM fx0),
 known AS (SELECT DISTINCT div, home_team AS team FROM hist UNION SELECT DISTINCT div, away_team FROM hist)"""
 
 register("fixture_reject", "J6,D8", _FX + """
@@ -750,8 +778,8 @@ def _compare_versions(spark, sf):
     long = board.select(F.col("model").alias("version"), F.explode(F.create_map(
         *[x for m in ("train_accuracy", "test_accuracy", "test_f1_macro", "test_log_loss")
           for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "value"))
-    path = scratch_path(spark, "run-metrics-" + SE.hashlib.sha1(sf.encode()).hexdigest()[:10])
-    long.write.mode("overwrite").parquet(path)
+    path = fresh_path(spark, "run-metrics")
+    long.write.mode("append").parquet(path)
     runs = spark.read.parquet(path)
     return (runs.groupBy("metric").pivot("version").agg(F.first("value"))
             .withColumn("difference", F.col("`Random Forest`") - F.col("`Logistic Regression`")))

@@ -41,24 +41,25 @@ def pos_frame(t: DataFrame) -> DataFrame:
     return t.where(F.col("home_league_pos").isNotNull() & F.col("away_league_pos").isNotNull())
 
 
-def new_feature_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+def new_feature_corr(spark: SparkSession, sf_dir: str, digits: int | None = ST.R_DIGITS) -> DataFrame:
     """T1 for the two new feature families, each on its own complete-case frame."""
     t = eda_table(spark, sf_dir)
-    return ST.correlations(rest_frame(t), REST).unionByName(ST.correlations(pos_frame(t), POS))
+    return ST.correlations(rest_frame(t), REST, digits=digits).unionByName(ST.correlations(pos_frame(t), POS, digits=digits))
 
 
-def anova_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+def anova_new(spark: SparkSession, sf_dir: str, digits: int | None = ST.R_DIGITS) -> DataFrame:
     """T3 for ``rest_diff`` and ``league_pos_diff`` across H/D/A."""
     t = eda_table(spark, sf_dir)
-    return ST.anova(rest_frame(t), "rest_diff").unionByName(ST.anova(pos_frame(t), "league_pos_diff"))
+    return ST.anova(rest_frame(t), "rest_diff", digits=digits).unionByName(
+        ST.anova(pos_frame(t), "league_pos_diff", digits=digits))
 
 
 def significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P-values and markers for the correlations and ANOVAs above."""
-    corr = (new_feature_corr(spark, sf_dir).withColumn("p_value", ST.p_from_r("r", "n"))
-            .select("feature", F.lit("pearson").alias("test"), F.col("r").alias("statistic"), "p_value"))
-    an = (anova_new(spark, sf_dir).withColumn("p_value", ST.p_from_f("f_stat", "df_between", "df_within"))
-          .select("feature", F.lit("anova").alias("test"), F.col("f_stat").alias("statistic"), "p_value"))
+    """P-values and markers for the correlations and ANOVAs above, from the unrounded statistics."""
+    corr = (new_feature_corr(spark, sf_dir, None).withColumn("p_value", ST.p_from_r("r", "n"))
+            .select("feature", F.lit("pearson").alias("test"), F.round("r", ST.R_DIGITS).alias("statistic"), "p_value"))
+    an = (anova_new(spark, sf_dir, None).withColumn("p_value", ST.p_from_f("f_stat", "df_between", "df_within"))
+          .select("feature", F.lit("anova").alias("test"), F.round("f_stat", ST.R_DIGITS).alias("statistic"), "p_value"))
     return corr.unionByName(an).withColumn("marker", ST.stars("p_value"))
 
 

@@ -223,7 +223,9 @@ def temporal_cols(d: str = "match_date") -> str:
 DIRTY = CONTESTS + """,
 dirty0 AS (
   SELECT match_id, div,
-    CASE WHEN match_id % 2 = 1 AND year(match_date) >= 2000 THEN strftime(match_date, '%d/%m/%y')
+    CASE WHEN match_id % 10 = 3 THEN strftime(match_date, '%d/%m/%y')
+         WHEN match_id % 10 = 4 THEN strftime(match_date, '%-d/%-m/%Y')
+         WHEN match_id % 10 = 6 THEN strftime(match_date, '%-d/%-m/%y')
          ELSE strftime(match_date, '%d/%m/%Y') END AS date_text,
     CASE WHEN match_id % 13 = 0 THEN '  ' || home_team || ' ' ELSE home_team END AS home_team,
     CASE WHEN match_id % 13 = 0 THEN ' ' || away_team || '  ' ELSE away_team END AS away_team,
@@ -233,7 +235,7 @@ dirty0 AS (
   FROM c0),
 dirty AS (SELECT * FROM dirty0 UNION ALL SELECT * FROM dirty0 WHERE match_id % 101 = 0),
 parsed AS (
-  SELECT *, CAST(CASE WHEN length(date_text) = 8 THEN try_strptime(date_text, '%d/%m/%y')
+  SELECT *, CAST(CASE WHEN regexp_matches(date_text, '/[0-9][0-9]$') THEN try_strptime(date_text, '%d/%m/%y')
                       ELSE try_strptime(date_text, '%d/%m/%Y') END AS DATE) AS match_date
   FROM dirty),
 cleaned AS (

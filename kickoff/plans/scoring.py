@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prices as P
-from ..session import scratch_path
+from ..session import fresh_path
 from ..sources.contests import contests
 from . import features as FE
 from . import training as TR
@@ -28,6 +28,15 @@ def split_history(spark: SparkSession, sf_dir: str, days: int = FIXTURE_DAYS):
     return hist, fx
 
 
+def with_hard_cases(fixtures: DataFrame) -> DataFrame:
+    """Fixtures as a careless caller sends them: some unknown home and away sides, some sides against themselves."""
+    k = F.col("match_id")
+    home = F.when(k % 11 == 0, F.concat(F.lit("X"), "home_team")).otherwise(F.col("home_team"))
+    away = F.when(k % 13 == 0, home).when(k % 7 == 0, F.concat(F.lit("Y"), "away_team")).otherwise(F.col("away_team"))
+    return fixtures.select(*(home.alias(c) if c == "home_team" else away.alias(c) if c == "away_team" else c
+                             for c in fixtures.columns))
+
+
 def check_fixtures(fixtures: DataFrame, history: DataFrame):
     """(accepted, rejected). Unknown teams via anti-joins against the history's team list
     (one row per team: partial aggregation makes it small), same-side fixtures rejected too."""
@@ -64,10 +73,10 @@ def fixture_features(history: DataFrame, fixtures: DataFrame) -> DataFrame:
 
 def save_medians(spark: SparkSession, medians: dict, name: str) -> str:
     """Training medians as a one-row parquet table next to the model."""
-    path = scratch_path(spark, "medians-" + name)
+    path = fresh_path(spark, "medians-" + name)
     cols = sorted(medians)
     spark.createDataFrame([tuple(float(medians[c]) if medians[c] is not None else None for c in cols)],
-                          ", ".join(f"`{c}` double" for c in cols)).write.mode("overwrite").parquet(path)
+                          ", ".join(f"`{c}` double" for c in cols)).write.parquet(path)
     return path
 
 
@@ -89,8 +98,7 @@ def batch_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = data.where(F.col("split") == "fit")
     model = TR.calibrate(TR.fit_logistic(fit, cols), data.where(F.col("split") == "calibration"))
     from ..operators.medians import exact_medians
-    import hashlib
-    med_path = save_medians(spark, exact_medians(fit, cols), "logistic-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:10])
+    med_path = save_medians(spark, exact_medians(fit, cols), "serving")
     medians = spark.read.parquet(med_path)
 
     hist, fx = split_history(spark, sf_dir)

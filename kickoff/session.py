@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -66,14 +67,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A scratch folder that no other call uses, so a table that is still read is never overwritten."""
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
 def materialize(df, name: str):
     """Cut lineage by writing ``df`` once as a parquet table under the shared checkpoint folder
     and reading it back. (``Dataset.checkpoint`` computes an unpersisted plan twice: once for
     its count action and once more for the checkpoint write.) The path is unique per call, so
     concurrent jobs never share it; a lost executor re-reads the table instead of recomputing."""
-    import uuid
-
     spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.mode("overwrite").parquet(path)
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
     return spark.read.parquet(path)

@@ -74,7 +74,7 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dirty_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw-file shaped contests for the ingest and quality jobs (FIXTURES.md §2, dirty variant).
 
-    Text dates (``dd/MM/yyyy``; ``dd/MM/yy`` for odd keys from 2000 on), ``NH`` results, null
+    Text dates (``dd/MM/yyyy``, with two-digit years, unpadded, or both, by key), ``NH`` results, null
     goals, blank-padded names and repeated rows — the defects the cleaner must repair.
     """
     d = _derive(_base(spark, sf_dir))
@@ -82,10 +82,11 @@ def dirty_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     ftr = F.when(k % 97 == 0, F.lit("NH")).otherwise(result_code("fthg", "ftag"))
     null_goals = (k % 89) == 0
     pad = (k % 13) == 0
-    short = ((k % 2) == 1) & (F.year("match_date") >= 2000)
+    form = k % 10
     out = d.select(
         "match_id", "div",
-        F.when(short, F.date_format("match_date", "dd/MM/yy"))
+        F.when(form == 3, F.date_format("match_date", "dd/MM/yy")).when(form == 4, F.date_format("match_date", "d/M/yyyy"))
+         .when(form == 6, F.date_format("match_date", "d/M/yy"))
          .otherwise(F.date_format("match_date", "dd/MM/yyyy")).alias("date_text"),
         F.when(pad, F.concat(F.lit("  "), "home_team", F.lit(" "))).otherwise(F.col("home_team")).alias("home_team"),
         F.when(pad, F.concat(F.lit(" "), "away_team", F.lit("  "))).otherwise(F.col("away_team")).alias("away_team"),
@@ -94,11 +95,3 @@ def dirty_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("match_date").alias("_true_date"))
     repeats = out.where(k % 101 == 0)
     return out.unionByName(repeats)
-
-
-def fixtures(spark: SparkSession, sf_dir: str, days: int = 30) -> DataFrame:
-    """Contests to score: the last ``days`` days of data with results and prices removed."""
-    c = contests(spark, sf_dir)
-    last = c.agg(F.max("match_date")).scalar()  # uncorrelated scalar subquery, no join
-    return (c.where(F.col("match_date") > F.date_sub(last, days))
-             .select("match_id", "match_date", "div", "home_team", "away_team", "season_start", "season"))

@@ -6,7 +6,7 @@ headers differ, so the scan:
 
 1. lists the files on the driver (metadata only) and keeps season folders whose label starts
    with two digits and does not name a standings/final/test file (S1's naming rule);
-2. reads the header line of each file (one small read per file) and groups files by header;
+2. reads the header line of each file in one distributed job and groups files by header;
 3. issues one ``spark.read.schema(...).csv(paths)`` per header group with an explicit schema,
    tags rows with the season taken from the file path (S2), and
 4. ``unionByName(allowMissingColumns=True)`` the groups (S3).
@@ -17,7 +17,6 @@ so the scan's work grows with them.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from functools import reduce
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
+from ..session import fresh_path
 
 # Column types of known raw columns; anything else is read as text.
 KNOWN_TYPES = {
@@ -34,40 +33,23 @@ KNOWN_TYPES = {
     "b365h": T.DoubleType(), "b365d": T.DoubleType(), "b365a": T.DoubleType(),
 }
 EXCLUDE_WORDS = ("Standing", "final", "test")
+CORRUPT = "_corrupt"
 SEASON_RE = r"season=([^/]+)/"
 SHOT_COLS = ["hs", "aws", "hst", "ast"]
 PRICE_COLS = ["b365h", "b365d", "b365a"]
 DRIFT_BEFORE = "1998"   # seasons starting before this year were recorded without shots and prices
 
 
-def _path_for(spark: SparkSession, kind: str, sf_dir: str) -> str:
-    return scratch_path(spark, f"{kind}-{hashlib.sha1(sf_dir.encode()).hexdigest()[:10]}")
-
-
 def write_season_files(raw: DataFrame, root: str) -> None:
     """One CSV folder per season; old seasons lack shot and price columns (header drift)."""
     old = raw.where(F.substring("season", 1, 4) < DRIFT_BEFORE).drop(*SHOT_COLS, *PRICE_COLS)
     new = raw.where(F.substring("season", 1, 4) >= DRIFT_BEFORE)
     for part, df in (("a", old), ("b", new)):
-        (df.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False)
+        (df.write.option("header", True).option("ignoreLeadingWhiteSpace", False)
            .option("ignoreTrailingWhiteSpace", False).partitionBy("season")
            .csv(f"{root}/{part}"))
 
 
-def _list_csv(spark: SparkSession, root: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(conf)
-    it = fs.listFiles(path, True)
-    out = []
-    while it.hasNext():
-        p = it.next().getPath().toString()
-        if p.endswith(".csv"):
-            out.append(p)
-    return sorted(out)
-
-
 def _keep(path: str) -> bool:
     """S1 naming rule on the season label and file name only (not on parent folders)."""
     m = re.search(SEASON_RE, path)
@@ -76,31 +58,33 @@ def _keep(path: str) -> bool:
     return label[:2].isdigit() and not any(w in label or w in name for w in EXCLUDE_WORDS)
 
 
-def _header(spark: SparkSession, path: str) -> str:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(conf).open(p)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-    try:
-        return reader.readLine() or ""
-    finally:
-        reader.close()
+def header_groups(spark: SparkSession, root: str) -> dict[str, list[str]]:
+    """Files by header line. The first line of every file is read by a distributed job (one task per group of
+    files); only (header, path) pairs reach the driver, which has to name the paths to read anyway."""
+    first = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("wholetext", False).text(root)
+             .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+                     F.monotonically_increasing_id().alias("n"))
+             .where("at = 0").groupBy("path").agg(F.min_by("value", "n").alias("header")))
+    groups: dict[str, list[str]] = {}
+    for r in first.orderBy("path").collect():
+        if _keep(r["path"]):
+            groups.setdefault(r["header"], []).append(r["path"])
+    return groups
 
 
 def scan_season_files(spark: SparkSession, root: str) -> DataFrame:
-    """Schema-drift-safe scan of every season file under ``root``."""
-    files = [p for p in _list_csv(spark, root) if _keep(p)]
-    if not files:
+    """Schema-drift-safe scan of every season file under ``root``. A line that does not fit the header is
+    kept, with the text in ``_corrupt`` (``cleaning_report`` counts such lines)."""
+    groups = header_groups(spark, root)
+    if not groups:
         raise FileNotFoundError(f"no season files under {root}")
-    groups: dict[str, list[str]] = {}
-    for p in files:
-        groups.setdefault(_header(spark, p), []).append(p)
     parts = []
-    for header, paths in groups.items():
+    for header, paths in sorted(groups.items()):
         names = [h.strip() for h in header.split(",")]
-        schema = T.StructType([T.StructField(n, KNOWN_TYPES.get(n, T.StringType()), True) for n in names])
-        df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(paths)
+        schema = T.StructType([T.StructField(n, KNOWN_TYPES.get(n, T.StringType()), True) for n in names]
+                              + [T.StructField(CORRUPT, T.StringType(), True)])
+        df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", CORRUPT).csv(paths)
               .withColumn("season", F.regexp_extract(F.col("_metadata.file_path"), SEASON_RE, 1)))
         parts.append(df)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -108,7 +92,7 @@ def scan_season_files(spark: SparkSession, root: str) -> DataFrame:
 
 def season_scan(spark: SparkSession, sf_dir: str, raw: DataFrame) -> DataFrame:
     """S7 first half: write ``raw`` as drifting season files and scan them back."""
-    root = _path_for(spark, "seasons", sf_dir)
+    root = fresh_path(spark, "seasons")
     write_season_files(raw, root)
     return scan_season_files(spark, root)
 
@@ -133,7 +117,7 @@ def write_standings(tables: DataFrame, root: str) -> list[str]:
     """Wide file ``Team × season-end year → position`` (one row per team, one column per year)."""
     years = sorted(r[0] for r in tables.select("season_end").distinct().collect())  # one label per season
     wide = tables.groupBy("div", "team").pivot("season_end", years).agg(F.first("position"))
-    wide.write.mode("overwrite").option("header", True).csv(root)
+    wide.write.option("header", True).csv(root)
     return years
 
 
@@ -149,6 +133,6 @@ def standings_long(spark: SparkSession, root: str) -> DataFrame:
 
 
 def standings_from_contests(spark: SparkSession, sf_dir: str, contests: DataFrame) -> DataFrame:
-    root = _path_for(spark, "standings", sf_dir)
+    root = fresh_path(spark, "standings")
     write_standings(final_tables(contests), root)
     return standings_long(spark, root)
