@@ -8,8 +8,9 @@ the length can only repeat if both of its halves do, so only those are extended,
 A block sends each distinct window once, however often it occurs, so a passage that a third of the corpus
 shares weighs as much in a bucket as any other. Below the last level a bucket only has to say which windows a
 second block holds, so 24 bits of the hash in addition to the bucket are enough (a confusion only makes one more
-candidate). The last level compares 96 bits and the block's earliest (id, start) of each window. Documents
-without candidates are finished at once; only the others travel on with their block.
+candidate). The last level compares 56 bits in addition to the bucket, which an independent hash chooses (63 bits with
+128 buckets, more with more data), and the block's earliest (id, start) of each window. Documents without candidates
+are finished at once; only the others travel on with their block, compressed.
 
 Defined cases: a null text has no words and hashes as the empty text. A text shorter than the window keeps all words.
 Rows with the same id are separate documents of which none is earlier at the same start. Null ids come
@@ -25,6 +26,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +40,27 @@ LAST = np.iinfo(np.int64).max  # stands for a null id
 
 _SCHEMA = pa.schema([
     ("target", pa.int64()), ("block", pa.int64()), ("bucket", pa.int64()), ("signature", pa.int64()),
-    ("keys", pa.binary()), ("more", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("bits", pa.binary()),
-    ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary())), ("done_ids", pa.list_(pa.int64())),
+    ("keys", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("bits", pa.binary()),
+    ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("texts", pa.binary()), ("done_ids", pa.list_(pa.int64())),
     ("done_words", pa.list_(pa.int64())), ("done_sha", pa.list_(pa.string()))])
-_DDL = "target bigint, block bigint, bucket bigint, signature bigint, keys binary, more binary, docs binary, " \
-       "starts binary, bits binary, ids array<bigint>, texts array<binary>, done_ids array<bigint>, " \
+_DDL = "target bigint, block bigint, bucket bigint, signature bigint, keys binary, docs binary, " \
+       "starts binary, bits binary, ids array<bigint>, lengths binary, texts binary, done_ids array<bigint>, " \
        "done_words array<bigint>, done_sha array<string>"
 
 
+def _packed(texts: list[bytes | None]) -> dict:
+    """A block's texts as one compressed value (a null text is an empty one)."""
+    texts = [t or b"" for t in texts]
+    return {"lengths": pack(np.fromiter(map(len, texts), np.int64, len(texts)), 5),
+            "texts": zstandard.ZstdCompressor(level=1).compress(b"".join(texts))}
+
+
+def _unpacked(row: dict) -> list[bytes]:
+    whole = zstandard.ZstdDecompressor().decompress(row["texts"])
+    ends = np.cumsum(unpack(row["lengths"], 5).astype(np.int64)).tolist()
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Windows:
     """The words of a list of texts and the hashes of their windows."""
 
@@ -100,26 +115,32 @@ def _screened(w: Windows, at: np.ndarray, width: int, buckets: int, rows: list[d
 
 
 class Last:
-    """The windows of the last level: distinct ones by bucket and hash, each with its earliest place in the block."""
+    """The windows of the last level: distinct ones, each at its earliest place in the block, by bucket and place."""
 
     def __init__(self, w: Windows, ids: np.ndarray, at: np.ndarray, width: int, buckets: int) -> None:
         self.at = at
-        key, more = w.hashes(at, width), w.hashes(at, width, 1) >> np.uint64(32)
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        key = w.hashes(at, width) >> np.uint64(8)
+        bucket = (w.hashes(at, width, 1) % np.uint64(buckets)).astype(np.int64)
         doc, start = ids[w.doc[at]], w.start[at]
-        order = np.lexsort((start, doc, more, key, bucket))
+        order = np.lexsort((start, doc, key, bucket))
         new = np.ones(len(order), bool)
-        new[1:] = (key[order][1:] != key[order][:-1]) | (more[order][1:] != more[order][:-1])
-        self.which = np.zeros(len(order), np.int64)
-        self.which[order] = np.cumsum(new) - 1
+        new[1:] = (key[order][1:] != key[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
         first = order[new]
-        self.key, self.more, self.bucket, self.doc, self.start = key[first], more[first], bucket[first], doc[first], start[first]
-        self.later_here = (doc != self.doc[self.which]) | (start != self.start[self.which])
+        group = np.zeros(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        self.later_here = (doc != doc[first][group]) | (start != start[first][group])
+        # asked by bucket and place: ids and starts then rise in small steps, which compress well
+        placed = np.lexsort((start[first], doc[first], bucket[first]))
+        self.which = np.argsort(placed, kind="stable")[group]
+        first = first[placed]
+        self.key, self.bucket, self.doc, self.start = key[first], bucket[first], doc[first], start[first]
 
     def requests(self) -> Iterator[dict]:
         for bucket, a, b in cuts(self.bucket):
-            yield {"target": bucket, "bucket": bucket, "keys": pack(self.key[a:b], 8), "more": pack(self.more[a:b], 4),
-                   "docs": pack(self.doc[a:b].view(np.uint64), 8), "starts": pack(self.start[a:b], 5)}
+            step = np.diff(self.doc[a:b], prepend=np.int64(0))
+            start = np.where(step == 0, np.diff(self.start[a:b], prepend=0), self.start[a:b])
+            yield {"target": bucket, "bucket": bucket, "keys": pack(self.key[a:b], 7), "docs": pack(step.view(np.uint64), 8),
+                   "starts": pack(start, 5)}
 
     def removed(self, rows: list[dict]) -> np.ndarray:
         """The windows (starts in the block) that also start earlier."""
@@ -127,20 +148,28 @@ class Last:
         return self.at[earlier[self.which] | self.later_here]
 
 
+def _places(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and starts from the steps of ``Last.requests``."""
+    step = unpack(row["docs"], 8).view(np.int64)
+    start = unpack(row["starts"], 5).astype(np.int64)
+    run = np.cumsum(start)
+    head = np.maximum.accumulate(np.where(step != 0, np.arange(len(step)), 0)) if len(step) else step
+    return np.cumsum(step), run - (run - start)[head]
+
+
 def _answer_last(rows: list[dict]) -> list[dict]:
-    key = np.concatenate([unpack(r["keys"], 8) for r in rows])
-    more = np.concatenate([unpack(r["more"], 4) for r in rows])
-    doc = np.concatenate([unpack(r["docs"], 8) for r in rows]).view(np.int64)
-    start = np.concatenate([unpack(r["starts"], 5) for r in rows]).astype(np.int64)
-    order = np.lexsort((start, doc, more, key))
+    places = [_places(r) for r in rows]
+    key = np.concatenate([unpack(r["keys"], 7) for r in rows])
+    doc, start = np.concatenate([p[0] for p in places]), np.concatenate([p[1] for p in places])
+    order = np.lexsort((start, doc, key))
     new = np.ones(len(order), bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (more[order][1:] != more[order][:-1])
+    new[1:] = key[order][1:] != key[order][:-1]
     first = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # the earliest of each one's group
     later = np.zeros(len(order), bool)
     later[order] = (doc[order] != doc[first]) | (start[order] != start[first])
     out, at = [], 0
     for r in rows:
-        n = len(r["keys"]) // 8
+        n = len(r["keys"]) // 7
         out.append({"target": r["block"], "block": r["block"], "bucket": r["bucket"], "signature": r["signature"],
                     "bits": np.packbits(later[at: at + n]).tobytes()})
         at += n
@@ -183,7 +212,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for part in chunks(batches, "text", BLOCK):
             number = blocks(part)
             yield rows_batch([{"target": number, "block": number, "ids": part.column("id").to_pylist(),
-                               "texts": bytes_of(part, "text")}], _SCHEMA)
+                               **_packed(bytes_of(part, "text"))}], _SCHEMA)
 
     def answer(last: bool):
         def run(table: pa.Table) -> pa.Table:
@@ -211,14 +240,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def run(table: pa.Table) -> pa.Table:
             rows = table.to_pylist()
             head = next(r for r in rows if r["ids"] is not None)
-            w = Windows(head["texts"], SpanHasher())
+            whole = _unpacked(head)
+            w = Windows(whole, SpanHasher())
             if any(r["signature"] not in (None, w.signature) for r in rows):
                 raise ValueError("a block's documents changed between two readings; give a stored table")
             at = survivors(w, rows, width)
             live = np.zeros(len(head["ids"]), bool)
             live[w.doc[at]] = True
             done = np.flatnonzero(~live).tolist()
-            texts = list(compress(head["texts"], live))
+            texts = list(compress(whole, live))
             rest = Windows(texts, SpanHasher())
             at = np.flatnonzero(live[w.doc])[:0] if not len(at) else np.searchsorted(np.flatnonzero(live[w.doc]), at)
             ids = np.array(head["ids"], np.int64)[live]
@@ -226,11 +256,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 asked = list(Last(rest, ids, at, window, buckets).requests())
             else:
                 asked = list(_ask_screen(rest, at, 2 * width, buckets))
-            own = {"target": head["block"], "block": head["block"], "ids": ids.tolist(), "texts": texts,
+            own = {"target": head["block"], "block": head["block"], "ids": ids.tolist(), **_packed(texts),
                    "starts": at.astype(np.int64).tobytes(),
                    "done_ids": (head["done_ids"] or []) + [head["ids"][i] for i in done],
                    "done_words": (head["done_words"] or []) + [int(w.sizes[i]) for i in done],
-                   "done_sha": (head["done_sha"] or []) + [_digest((head["texts"][i] or b"").split()) for i in done]}
+                   "done_sha": (head["done_sha"] or []) + [_digest(whole[i].split()) for i in done]}
             return pa.Table.from_pylist([own, *(r | {"block": head["block"], "signature": rest.signature} for r in asked)],
                                         schema=_SCHEMA)
         return run
@@ -238,7 +268,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def finish(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         head = next(r for r in rows if r["ids"] is not None)
-        w = Windows(head["texts"], SpanHasher())
+        texts = _unpacked(head)
+        w = Windows(texts, SpanHasher())
         if any(r["signature"] not in (None, w.signature) for r in rows):
             raise ValueError("a block's documents changed between two readings; give a stored table")
         ids = np.array(head["ids"], np.int64)
@@ -251,10 +282,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         done = len(head["done_ids"] or [])
         out = {"id": (head["done_ids"] or []) + head["ids"], "n_words": (head["done_words"] or []) + w.sizes.tolist(),
                "n_removed": [0] * done, "kept_sha256": list(head["done_sha"] or []), "removed": [[]] * done}
-        for text, a, b in zip(head["texts"], (w.ends - w.sizes).tolist(), w.ends.tolist()):
+        for text, a, b in zip(texts, (w.ends - w.sizes).tolist(), w.ends.tolist()):
             mask = gone[a:b]
             out["n_removed"].append(int(mask.sum()))
-            out["kept_sha256"].append(_digest(compress((text or b"").split(), ~mask)))
+            out["kept_sha256"].append(_digest(compress(text.split(), ~mask)))
             step = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
             out["removed"].append([{"start": s, "end": e} for s, e in zip(np.flatnonzero(step == 1).tolist(),
                                                                          np.flatnonzero(step == -1).tolist())])
