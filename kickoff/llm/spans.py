@@ -73,7 +73,7 @@ def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(texts) + b"\n" if texts else b"", np.uint8), offsets
 
 
-def word_hashes(texts: list[bytes], hasher: SpanHasher, step: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], hasher: SpanHasher, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts and the number of words of each, ``step`` bytes at a time."""
     hashes, sizes, begin, held = [], [], 0, 0
     for i, text in enumerate(texts):
