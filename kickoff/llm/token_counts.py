@@ -32,6 +32,7 @@ from .spans import SpanHasher, class_table, load_classes
 
 LIMIT = 1024
 HOT = 1024
+BLOCK = 2 << 20
 _FIELDS = "block bigint, sizes array<bigint>, special array<bigint>, words binary, lengths binary, hits binary, " \
           "docs binary, counts binary"
 
@@ -52,7 +53,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, hasher, vocabulary, blocks = load_classes(packed), SpanHasher(), Vocabulary(path), BlockIds()
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", BLOCK):
             block = blocks(part)
             texts = [t or "" for t in part.column("text").to_pylist()]
             special, stretches, owner = [], [], []
