@@ -14,7 +14,7 @@ so no second scan/shuffle of the contest table is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import temporal_columns
@@ -67,7 +67,7 @@ MODEL_FEATURES = [
 ]
 CORE = ["home_form5_points", "away_form5_points", "home_season_win_rate"]
 
-# (output, home-side minuend, away-side subtrahend) of the 12 difference features (F2)
+# Fixed values: (output, home-side minuend, away-side subtrahend) of the 12 difference features (F2)
 DIFFS = [
     ("diff_form5_points", "home_form5_points", "away_form5_points"),
     ("diff_form5_goal_diff", "home_form5_goal_diff", "away_form5_goal_diff"),
@@ -104,40 +104,26 @@ def match_features(spark: SparkSession, sf_dir: str, width: int | None = None,
                    with_elo: bool = True) -> DataFrame:
     """B1: every feature for every played contest, plus ``target, home_goals, away_goals``.
 
-    U3 and the joins are ONE shuffle: the side rows (two per contest), the contest payload
-    (prices, goals, result) and the Elo rows are unioned and grouped by ``match_id``;
-    ``max_by(struct, kind == k)`` picks each part with a hash-partitioned aggregate. Prices and
-    goals therefore never travel through the window stages.
+    U3 pairs the two sides of a contest by one exchange and one sort on ``match_id``: in a window over the
+    contest the away row comes first and ``lead`` hands it the home row, so no wide row is aggregated. The
+    payload (prices, goals, result) and the Elo rows join on the same partitioning and order; they never
+    travel through the team windows.
     """
     tf = side_features(spark, sf_dir, GROUPS, width)
-    side_cols = ["match_date", "div", "team", "opponent", "season", *SIDE_FEATURES, *H2H]
+    home = F.struct("match_date", "div", "team", "opponent", "season", *SIDE_FEATURES, *H2H)
+    pair = Window.partitionBy("match_id").orderBy("is_home")
+    sides = (tf.select("match_id", "is_home", *SIDE_FEATURES, F.lead(home).over(pair).alias("h")).where(~F.col("is_home")))
     c = contests(spark, sf_dir)
-    parts = [tf.select("match_id", F.when(F.col("is_home"), 2).otherwise(1).alias("_kind"),
-                       F.struct(*[F.col(x) for x in side_cols]).alias("_side")),
-             c.select("match_id", F.lit(0).alias("_kind"),
-                      F.struct("b365h", "b365d", "b365a", "fthg", "ftag", "ftr").alias("_pay"))]
+    joined = sides.join(c.select("match_id", "b365h", "b365d", "b365a", "fthg", "ftag", "ftr"), "match_id")
     if with_elo:
-        parts.append(elo_history(c).select("match_id", F.lit(3).alias("_kind"),
-                                           F.struct("home_elo", "away_elo").alias("_elo")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p, allowMissingColumns=True)
-    aggs = [F.max_by("_side", F.col("_kind") == 2).alias("h"), F.max_by("_side", F.col("_kind") == 1).alias("a"),
-            F.max_by("_pay", F.col("_kind") == 0).alias("m")]
-    if with_elo:
-        aggs.append(F.max_by("_elo", F.col("_kind") == 3).alias("e"))
-    g = u.groupBy("match_id").agg(*aggs)
-    wide = g.select(
-        "match_id", F.col("h.match_date").alias("match_date"), F.col("h.div").alias("div"),
-        F.col("h.team").alias("home_team"), F.col("h.opponent").alias("away_team"),
-        F.col("h.season").alias("season"),
-        *[F.col("h." + x).alias("home_" + x) for x in SIDE_FEATURES],
-        *[F.col("a." + x).alias("away_" + x) for x in SIDE_FEATURES],
-        *[F.col("h." + x).alias(x) for x in H2H],
-        *implied_probabilities("m.b365h", "m.b365d", "m.b365a"),
-        F.col("m.ftr").alias("target"), F.col("m.fthg").alias("home_goals"), F.col("m.ftag").alias("away_goals"),
-        *([F.col("e.home_elo").alias("home_elo"), F.col("e.away_elo").alias("away_elo"),
-           (F.col("e.home_elo") - F.col("e.away_elo")).alias("elo_diff")] if with_elo else []))
+        joined = joined.join(elo_history(c).select("match_id", "home_elo", "away_elo"), "match_id")
+    wide = joined.select(
+        "match_id", "h.match_date", "h.div", F.col("h.team").alias("home_team"), F.col("h.opponent").alias("away_team"),
+        "h.season", *[F.col("h." + x).alias("home_" + x) for x in SIDE_FEATURES],
+        *[F.col(x).alias("away_" + x) for x in SIDE_FEATURES], *[F.col("h." + x).alias(x) for x in H2H],
+        *implied_probabilities("b365h", "b365d", "b365a"),
+        F.col("ftr").alias("target"), F.col("fthg").alias("home_goals"), F.col("ftag").alias("away_goals"),
+        *(["home_elo", "away_elo", (F.col("home_elo") - F.col("away_elo")).alias("elo_diff")] if with_elo else []))
     return wide.select("*", *diff_columns(), *temporal_columns("match_date"),
                        match_key("home_team", "away_team", "match_date").alias("match_key"))
 

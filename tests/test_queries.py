@@ -91,13 +91,16 @@ def test_medians_exact(spark):
     got = M.exact_medians(df, ["a", "b"])
     assert got["a"] == 2.0 and got["b"] == 5.0
     big = spark.range(0, 100001).selectExpr("cast((id * 7919) % 100001 as double) as x", "cast(id % 3 as double) as y")
-    old = M.MAX_BRACKET
-    M.MAX_BRACKET = 100  # force refinement rounds
+    old = M.MAX_BRACKET, M.ACCURACY
     try:
-        got = M.exact_medians(big, ["x", "y"])
+        for bracket, accuracy in ((100, 10_000), (3, 20)):  # force refinement rounds and poor sketches
+            M.MAX_BRACKET, M.ACCURACY = bracket, accuracy
+            skewed = big.selectExpr("x", "y", "if(x < 3, 1e300, x) as far", "if(x < 50001, 0, x) as low",
+                                    "if(x < 50000, -1e9, 1e9) as gap", "cast(null as double) as none", "if(x > 9, double('nan'), x) as few")
+            got = M.exact_medians(skewed, skewed.columns)
+            assert got == {"x": 50000.0, "y": 1.0, "far": 50003.0, "low": 0.0, "gap": 1e9, "none": None, "few": 4.5}
     finally:
-        M.MAX_BRACKET = old
-    assert got["x"] == 50000.0 and got["y"] == 1.0
+        M.MAX_BRACKET, M.ACCURACY = old
 
 
 def test_p_values():
