@@ -15,6 +15,7 @@ from ..functions.keys import pair_key
 from .perspective import team_long
 
 RECENT_DEFAULT = 10
+LIMITS = (1, 50)  # fixed values: the bounds of the limit argument
 FORM_STRING_LEN = 5
 
 
@@ -54,19 +55,26 @@ def team_list(contests: DataFrame) -> DataFrame:
             .distinct())
 
 
+def bounded(limit: int) -> int:
+    """The limit of a recent-contests query must lie in ``LIMITS``."""
+    if not LIMITS[0] <= limit <= LIMITS[1]:
+        raise ValueError(f"limit must be between {LIMITS[0]} and {LIMITS[1]}, got {limit}")
+    return limit
+
+
 def recent_matches(contests: DataFrame, limit: int = RECENT_DEFAULT) -> DataFrame:
     """O1 without a team filter: the latest ``limit`` contests (top-k, TakeOrderedAndProject)."""
     return (contests.select("match_id", "match_date", "div", "home_team", "away_team",
                             F.col("fthg").alias("home_goals"), F.col("ftag").alias("away_goals"),
                             F.col("ftr").alias("result"))
-            .orderBy(F.col("match_date").desc(), F.col("match_id").desc()).limit(limit))
+            .orderBy(F.col("match_date").desc(), F.col("match_id").desc()).limit(bounded(limit)))
 
 
 def recent_matches_by_team(contests: DataFrame, limit: int = RECENT_DEFAULT) -> DataFrame:
     """O1 with the team filter, for every team at once: the latest ``limit`` contests per team."""
     tl = team_long(contests)
     w = Window.partitionBy("div", "team").orderBy(F.col("match_date").desc(), F.col("match_id").desc())
-    return (tl.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return (tl.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= bounded(limit))
             .select("div", "team", "rank", "match_id", "match_date", "opponent", "is_home", "gf", "ga", "result"))
 
 
@@ -88,7 +96,7 @@ def h2h_recent(contests: DataFrame, limit: int = RECENT_DEFAULT) -> DataFrame:
                         "away_team", F.col("fthg").alias("home_goals"), F.col("ftag").alias("away_goals"),
                         F.col("ftr").alias("result"))
     w = Window.partitionBy("div", "pair_lo", "pair_hi").orderBy(F.col("match_date").desc(), F.col("match_id").desc())
-    return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= bounded(limit))
 
 
 def recent_form(contests: DataFrame, n: int = FORM_STRING_LEN) -> DataFrame:

@@ -7,7 +7,7 @@ so it scales with the scored table and returns a small result. Class order is al
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The class labels in alphabetical order and the log-loss clip (float64 epsilon).
@@ -90,3 +90,32 @@ def bookmaker_accuracy(df: DataFrame, pick: str = "pick", label: str = "target")
     """Accuracy of the bookmaker's favourite; contests without prices count as wrong."""
     return df.agg(F.avg(F.coalesce(F.col(pick) == F.col(label), F.lit(False)).cast("double")).alias("bookmaker_accuracy"),
                   F.count(F.lit(1)).alias("n"))
+
+
+def board(picks: DataFrame, baseline: str) -> DataFrame:
+    """One row per model from (model, split, target, predicted) rows: accuracy on the training and
+    test part, their gap, the lift over the ``baseline`` model, and the place by test accuracy (ties by name).
+    One aggregation over the rows; the window below sees one row per model."""
+    hit = F.coalesce(F.col("predicted") == F.col("target"), F.lit(False)).cast("double")
+    acc = picks.groupBy("model").agg(*(F.round(F.avg(F.when(F.col("split") == s, hit)), 9).alias(f"{s}_accuracy")
+                                       for s in ("train", "test")))
+    models = Window.partitionBy(F.lit(1))
+    base = F.max(F.when(F.col("model") == baseline, F.col("test_accuracy"))).over(models)
+    place = F.row_number().over(models.orderBy(F.desc("test_accuracy"), "model"))
+    return acc.select("model", "train_accuracy", "test_accuracy", F.round(F.col("train_accuracy") - F.col("test_accuracy"), 9).alias("overfit_gap"),
+                      F.round(F.col("test_accuracy") - base, 9).alias("lift"), place.alias("place"), (place == 1).alias("best"))
+
+
+def append_run(scores: DataFrame, path: str, run: int) -> None:
+    """Add one run's (model, accuracy) rows to the run table at ``path``."""
+    scores.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
+
+
+def compare_runs(runs: DataFrame, first: int, second: int) -> DataFrame:
+    """Two runs side by side, their difference, and the champion (best accuracy in either, ties by name)."""
+    wide = runs.where(F.col("run").isin(first, second)).groupBy("model").agg(
+        F.max(F.when(F.col("run") == first, F.col("accuracy"))).alias(f"accuracy_{first}"),
+        F.max(F.when(F.col("run") == second, F.col("accuracy"))).alias(f"accuracy_{second}"))
+    a, b = F.col(f"accuracy_{first}"), F.col(f"accuracy_{second}")
+    order = Window.partitionBy(F.lit(1)).orderBy(F.greatest(a, b).desc(), "model")  # one row per model
+    return wide.withColumns({"difference": F.round(b - a, 9), "champion": F.row_number().over(order) == 1})
