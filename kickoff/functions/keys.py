@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Result codes, their meaning from each side, points per outcome.
-RESULTS = ("H", "D", "A")
 HOME_VIEW = {"H": "W", "D": "D", "A": "L"}
 AWAY_VIEW = {"H": "L", "D": "D", "A": "W"}
 POINTS = {"W": 3, "D": 1, "L": 0}
@@ -22,23 +21,27 @@ def result_code(home_goals, away_goals) -> Column:
     return F.when(hg > ag, "H").when(hg < ag, "A").when(hg == ag, "D")
 
 
+def _lookup(c: Column, values: dict) -> Column:
+    """The mapped value; null for anything else."""
+    (first, out), *rest = values.items()
+    chain = F.when(c == first, F.lit(out))
+    for key, value in rest:
+        chain = chain.when(c == key, F.lit(value))
+    return chain
+
+
 def side_result(ftr, is_home) -> Column:
     """H/D/A seen from one side → W/D/L."""
-    ftr, is_home = _c(ftr), _c(is_home)
-    home = F.when(ftr == "H", "W").when(ftr == "D", "D").when(ftr == "A", "L")
-    away = F.when(ftr == "H", "L").when(ftr == "D", "D").when(ftr == "A", "W")
-    return F.when(is_home, home).otherwise(away)
+    return F.when(_c(is_home), _lookup(_c(ftr), HOME_VIEW)).otherwise(_lookup(_c(ftr), AWAY_VIEW))
 
 
 def points(result) -> Column:
-    r = _c(result)
-    return F.when(r == "W", 3).when(r == "D", 1).when(r == "L", 0)
+    return _lookup(_c(result), POINTS)
 
 
 def numeric_target(ftr) -> Column:
     """H=1, D=0, A=-1."""
-    r = _c(ftr)
-    return F.when(r == "H", 1).when(r == "D", 0).when(r == "A", -1)
+    return _lookup(_c(ftr), NUMERIC_TARGET)
 
 
 def match_key(home, away, d) -> Column:

@@ -18,7 +18,10 @@ FAST = ["team_long", "form5", "exp_form", "venue_form", "streaks", "season_stats
         "rest_days", "live_table", "feature_corr", "anova_outcome", "class_report", "log_loss", "value_bets",
         "bet_profit", "fixture_accept", "sliding_avg", "value_moves", "rolling_48h", "psi_drift", "auc_ovr",
         "standings_long", "season_scan", "ingest_pipeline", "asof_state", "elo_stream", "route_events",
-        "model_ready_leaky", "league_position", "accuracy_by_month"]
+        "model_ready_leaky", "league_position", "accuracy_by_month", "fixture_reject", "contract_valid",
+        "dq_report_missing_columns", "label_encode", "scaler_stats", "train_medians", "safe_divide", "argmax_pick", "price_struct",
+        "elo_asof", "serving_fill", "model_board", "run_history", "form5_blocked", "streaks_blocked", "season_stats_blocked",
+        "h2h_features_blocked"]
 
 
 @pytest.fixture(scope="module")
@@ -56,14 +59,78 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["all_features", "form5", "streaks", "team_record", "h2h_recent", "dq_report",
-                                  "rolling_48h", "value_moves", "live_table", "elo_history"])
+def _nodes(node):
+    """All physical operators of a plan, below adaptive wrappers and scalar subqueries too."""
+    yield node
+    kids = [node.inputPlan()] if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else []
+    for group in (node.children(), node.subqueries()):
+        kids += [group.apply(i) for i in range(group.size())]
+    for kid in kids:
+        yield from _nodes(kid)
+
+
+@pytest.mark.parametrize("name", ["all_features", "form5", "streaks", "team_record", "h2h_recent", "dq_report", "dedup_contests",
+                                  "rolling_48h", "value_moves", "live_table", "elo_history", "clean_contests", "rest_days",
+                                  "streaks_blocked", "sliding_avg", "elo_asof"])
 def test_no_cartesian_or_unpartitioned_window(spark, name):
-    p = _plan(E.queries()[name](spark, SF_SMALL))
-    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-    for line in p.splitlines():
-        if "Window [" in line and line.rstrip().endswith("[]"):
-            raise AssertionError(f"window without partitioning in {name}: {line.strip()[:120]}")
+    for node in _nodes(E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan()):
+        kind = node.getClass().getSimpleName()
+        assert kind not in ("CartesianProductExec", "BroadcastNestedLoopJoinExec"), name
+        if kind.startswith("Window") and kind != "WindowGroupLimitExec":
+            assert node.partitionSpec().size() > 0, f"window without a partition key in {name}"
+
+
+@pytest.mark.parametrize("name", ["all_features", "dedup_contests"])
+def test_wide_rows_are_not_aggregated_by_sorting(spark, name):
+    kinds = [n.getClass().getSimpleName() for n in _nodes(E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan())]
+    assert "SortAggregateExec" not in kinds
+
+
+def test_short_and_old_dates(spark):
+    from kickoff.operators.quality import parse_day_first
+
+    texts = ["1/9/2002", "16/08/93", "01/02/03", "7/7/68", "7/7/69", " 5/12/1999 ", "31/2/2001", "x", "", None, "2002-09-01", "1/9/123"]
+    got = [str(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "d string").select(parse_day_first("d")).collect()]
+    assert got == ["2002-09-01", "1993-08-16", "2003-02-01", "2068-07-07", "1969-07-07", "1999-12-05"] + ["None"] * 6
+
+
+def test_strict_validation_and_bounds(spark):
+    from kickoff.operators import history as H
+    from kickoff.operators.quality import out_of_order, validate
+    from kickoff.sources.contests import contests
+
+    clean = contests(spark, SF_SMALL).dropDuplicates(["match_date", "home_team", "away_team"])
+    with pytest.raises(ValueError, match="missing_column ftr"):
+        validate(clean.drop("ftr"), strict=True)
+    assert validate(clean).count() > 0
+    rows = spark.createDataFrame([(1, 3), (2, 1), (3 << 20, 2), (5 << 40, 1), (5 << 40 | 1, 9)], "match_id long, d int")
+    rows = rows.selectExpr("match_id", "date_add(date'2000-01-01', d) as match_date")
+    assert out_of_order(rows).first()[0] == 2 and out_of_order(rows, bits=3).first()[0] == 2
+    for limit in (0, 51):
+        with pytest.raises(ValueError):
+            H.recent_matches(clean, limit)
+
+
+def test_stream_of_old_contests_raises_and_scratch_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from kickoff import session
+    from kickoff.streaming import jobs
+
+    fold = jobs._elo_update()
+    state = SimpleNamespace(exists=False, get=(None,), update=lambda v: (setattr(state, "get", v), setattr(state, "exists", True)))
+    day = lambda d: pd.DataFrame({"match_id": [1], "div": ["L"], "match_date": [d], "home_team": ["a"], "away_team": ["b"],
+                                  "score": [1.0], "stake": [20.0]})
+    assert len(list(fold(("L",), iter([day("2001-01-02")]), state))) == 1
+    with pytest.raises(ValueError, match="out of date order"):
+        list(fold(("L",), iter([day("2001-01-01")]), state))
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(
+        getCheckpointDir=lambda: None, master="yarn", getConf=lambda: SimpleNamespace(get=lambda *a: None)),
+        conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(fake)
 
 
 def test_feature_plan_has_one_big_shuffle(spark):
