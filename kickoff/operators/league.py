@@ -5,72 +5,99 @@ have played, by points, goal difference and goals for (descending), ties keeping
 order; null for an unplayed team or when fewer than two teams have played. Earlier contests of
 the same day count (row order), as in the reference's EDA job.
 
-The table at ``m`` depends on every earlier contest of the season, so it is computed as an
-ordered fold per ``(div, season)`` stream — ``repartition`` by the season key,
-``sortWithinPartitions`` by (date, id) and ``mapInPandas`` over the sorted Arrow batches. State
-is one small record per team of the season; no (contest × team) grid is ever materialised.
+Points and goals are sums, so a season is cut into blocks of whole days that are folded side by side.
+A block starts from *seed* rows: the totals of every team over the earlier blocks of the season and the order
+in which the teams were first seen, from one aggregation per (team, block) and a join of blocks with
+earlier blocks (a season has at most ``366 / days`` of them). Seeds and contests go through one exchange on
+(pool, season, block), are sorted, and are folded as a stream of Arrow batches; the state is one small
+record per team of the block's season.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "match_id long, home_league_pos int, away_league_pos int"
+BLOCK_DAYS = 28
+_KEY = ["div", "season", "block"]
 
 
-def _position(table: dict, team: str):
-    me = table.get(team)
-    if me is None or me[3] == 0:
-        return None
-    played = [v for v in table.values() if v[3] > 0]
-    if len(played) < 2:
-        return None
-    key = (me[0], me[1], me[2])
-    above = 0
-    for v in played:
-        k = (v[0], v[1], v[2])
-        if k > key or (k == key and v[4] < me[4]):
-            above += 1
-    return above + 1
+def _sides(contests: DataFrame) -> DataFrame:
+    """Both sides of every contest: points, goal difference, goals, and when it was seen."""
+    def side(team, own, other, win, order):
+        points = F.when(F.col("ftr") == win, 3).when(F.col("ftr") == "D", 1).otherwise(0)
+        return F.struct(F.col(team).alias("team"), points.cast("long").alias("points"),
+                        (F.col(own) - F.col(other)).cast("long").alias("diff"), F.col(own).cast("long").alias("scored"),
+                        F.struct("match_date", "match_id", F.lit(order).alias("side")).alias("seen"))
+    both = F.explode(F.array(side("home_team", "fthg", "ftag", "H", 0), side("away_team", "ftag", "fthg", "A", 1)))
+    return contests.select(*_KEY, both.alias("s")).select(*_KEY, "s.*")
+
+
+def seeds(contests: DataFrame) -> DataFrame:
+    """Per (pool, season, block) the table before its first day: one row for every team seen earlier."""
+    held = _sides(contests).groupBy(*_KEY, "team").agg(F.sum("points").alias("points"), F.sum("diff").alias("diff"),
+                                                      F.sum("scored").alias("scored"), F.count(F.lit(1)).alias("played"),
+                                                      F.min("seen").alias("seen"))
+    blocks = contests.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).select("div", "season", F.col("block").alias("to"))
+    before = (held.join(blocks, ["div", "season"]).where(F.col("block") < F.col("to"))
+              .groupBy("div", "season", F.col("to").alias("block"), "team")
+              .agg(*(F.sum(c).alias(c) for c in ("points", "diff", "scored", "played")), F.min("seen").alias("seen")))
+    place = F.row_number().over(Window.partitionBy(*_KEY).orderBy("seen"))
+    return before.select(*_KEY, "team", "points", "diff", "scored", "played", place.cast("long").alias("place"))
+
+
+class _Table:
+    """Standings of one season: team → [points, goal difference, goals, first-seen order]; every listed team has played."""
+
+    def __init__(self) -> None:
+        self.teams: dict = {}
+
+    def position(self, team):
+        own = self.teams.get(team)
+        if own is None or len(self.teams) < 2:
+            return None
+        rank = (-own[0], -own[1], -own[2], own[3])
+        return 1 + sum((-p, -d, -g, seen) < rank for p, d, g, seen in self.teams.values())
+
+    def add(self, team, points, diff, scored) -> None:
+        row = self.teams.setdefault(team, [0, 0, 0, len(self.teams)])
+        row[0] += points
+        row[1] += diff
+        row[2] += scored
 
 
 def _fold(batches):
-    tables: dict = {}
+    key, table = None, _Table()
+    columns = [*_KEY, "kind", "match_id", "home_team", "away_team", "fthg", "ftag", "ftr", "points", "diff", "scored"]
     for pdf in batches:
-        out_h, out_a = [], []
-        keys = zip(pdf["div"].tolist(), pdf["season"].tolist(), pdf["home_team"].tolist(),
-                   pdf["away_team"].tolist(), pdf["fthg"].tolist(), pdf["ftag"].tolist(), pdf["ftr"].tolist())
-        for div, season, h, a, hg, ag, r in keys:
-            t = tables.setdefault((div, season), {})
-            for team in (h, a):
-                if team not in t:
-                    t[team] = [0, 0, 0, 0, len(t)]  # points, goal diff, goals for, played, first-seen order
-            out_h.append(_position(t, h))
-            out_a.append(_position(t, a))
-            th, ta = t[h], t[a]
-            th[2] += hg
-            th[1] += hg - ag
-            th[3] += 1
-            ta[2] += ag
-            ta[1] += ag - hg
-            ta[3] += 1
-            if r == "H":
-                th[0] += 3
-            elif r == "A":
-                ta[0] += 3
-            else:
-                th[0] += 1
-                ta[0] += 1
-        yield pd.DataFrame({"match_id": pdf["match_id"],
-                            "home_league_pos": pd.array(out_h, dtype="Int32"),
-                            "away_league_pos": pd.array(out_a, dtype="Int32")})
-
-
-def live_positions(contests: DataFrame, partitions: int | None = None) -> DataFrame:
-    src = contests.select("div", "season", "match_date", "match_id", "home_team", "away_team", "fthg", "ftag", "ftr")
-    part = src.repartition(partitions, "div", "season") if partitions else src.repartition("div", "season")
-    ordered = part.sortWithinPartitions("div", "season", "match_date", "match_id")
+        out = []
+        for div, season, block, kind, match_id, home, away, hg, ag, ftr, points, diff, scored in zip(
+                *(pdf[c].tolist() for c in columns)):
+            if (div, season, block) != key:  # sorted by key: a finished table is dropped
+                key, table = (div, season, block), _Table()
+            if kind == 0:
+                table.add(home, int(points), int(diff), int(scored))
+                continue
+            out.append((match_id, table.position(home), table.position(away)))
+            won = {"H": (3, 0), "A": (0, 3)}.get(ftr, (1, 1))
+            hg, ag = int(hg), int(ag)
+            table.add(home, won[0], hg - ag, hg)
+            table.add(away, won[1], ag - hg, ag)
+        ids, first, second = zip(*out) if out else ((), (), ())
+        yield pd.DataFrame({"match_id": pd.array(ids, dtype="int64"), "home_league_pos": pd.array(first, dtype="Int32"),
+                            "away_league_pos": pd.array(second, dtype="Int32")})
+
+
+def live_positions(contests: DataFrame, days: int = BLOCK_DAYS) -> DataFrame:
+    """W9; ``days`` is the length of a block and does not change the result."""
+    block = F.floor(F.datediff("match_date", F.lit("1970-01-01").cast("date")) / days).cast("long")
+    rows = contests.select("div", "season", block.alias("block"), "match_date", "match_id", "home_team", "away_team",
+                           "fthg", "ftag", "ftr")
+    start = seeds(rows).select(*_KEY, F.lit(0).alias("kind"), F.col("team").alias("home_team"), "points", "diff", "scored",
+                               F.col("place").alias("match_id"))
+    stream = rows.withColumn("kind", F.lit(1)).unionByName(start, allowMissingColumns=True)
+    ordered = stream.repartition(*_KEY).sortWithinPartitions(*_KEY, "kind", "match_date", "match_id")
     return (ordered.mapInPandas(_fold, SCHEMA)
             .withColumn("league_pos_diff", F.col("home_league_pos") - F.col("away_league_pos")))

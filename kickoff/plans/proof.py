@@ -5,7 +5,7 @@ fixed narrow blocks (the plan that large keys get)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prices as P
@@ -14,6 +14,7 @@ from ..operators import history as H
 from ..operators import medians as MD
 from ..operators import metrics as MT
 from ..operators import splits as SP
+from ..operators.league import live_positions
 from ..session import fresh_path
 from ..sources.contests import contests
 from . import catalog as C
@@ -180,3 +181,6 @@ def _blocked(name: str, groups: list[str]):
 
 for _name in ("form5", "streaks", "season_stats", "h2h_features"):
     _blocked(_name, ["form"] if _name == "form5" else C._GROUP_COLS[_name][1])
+
+C.register("live_table_one_block", "W9", C.SQL["live_table"])(lambda spark, sf: live_positions(contests(spark, sf), days=1 << 20))
+C.register("live_table_short_blocks", "W9", C.SQL["live_table"])(lambda spark, sf: live_positions(contests(spark, sf), days=5))
