@@ -17,6 +17,7 @@ from ..operators import splits as SP
 from ..operators.league import live_positions
 from ..session import fresh_path
 from ..sources.contests import contests
+from ..streaming import run as SR
 from . import catalog as C
 from . import features as FE
 from . import oracle_sql as O
@@ -184,3 +185,6 @@ for _name in ("form5", "streaks", "season_stats", "h2h_features"):
 
 C.register("live_table_one_block", "W9", C.SQL["live_table"])(lambda spark, sf: live_positions(contests(spark, sf), days=1 << 20))
 C.register("live_table_short_blocks", "W9", C.SQL["live_table"])(lambda spark, sf: live_positions(contests(spark, sf), days=5))
+
+C.register("sliding_avg_stream", "R1", C.SQL["sliding_avg"])(SR.sliding_averages_stream)
+C.register("value_moves_stream", "R3", C.SQL["value_moves"])(SR.value_moves_streamed)

@@ -42,11 +42,14 @@ def read_events_stream(spark: SparkSession, folder: str, table: str = "events",
 
 
 def sliding_averages(events: DataFrame) -> DataFrame:
-    """R1."""
-    w = F.window("ts", WINDOW, SLIDE)
-    return (events.withWatermark("ts", WATERMARK).groupBy(w.alias("w"), "event_type")
+    """R1. A watermark needs an instant, so the zone-less event time is read in the session's zone and the window
+    bounds are given back without one."""
+    w = F.window("at", WINDOW, SLIDE)
+    return (events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", WATERMARK)
+            .groupBy(w.alias("w"), "event_type")
             .agg(F.round(F.sum("value"), 9).alias("sum_value"), F.count("value").alias("n"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"),
                     "event_type", "sum_value", "n", (F.col("sum_value") / F.col("n")).alias("avg_value")))
 
 
@@ -73,6 +76,31 @@ def value_moves(events: DataFrame, threshold: float = MOVE_THRESHOLD) -> DataFra
             .select("event_id", "ts", *keys, "prev_value", "value", F.round("rel_change", 9).alias("rel_change")))
 
 
+MOVE_OUT = "event_id long, ts timestamp_ntz, user_id long, event_type string, prev_value double, value double, rel_change double"
+MOVE_STATE = "last_ts string, last_id long, last_value double, held boolean"
+
+
+def value_moves_stream(events: DataFrame, threshold: float = MOVE_THRESHOLD) -> DataFrame:
+    """R3 as a stream: the state of a (user, type) is its latest event (and its value); each micro-batch is applied
+    in (time, id) order. An event older than what was applied has no defined predecessor any more and raises."""
+    def fn(key, pdfs, state):
+        last_ts, last_id, last, held = state.get if state.exists else ("", -1, None, False)
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"])
+        stamps = pdf["ts"].dt.strftime("%Y-%m-%d %H:%M:%S.%f").tolist()
+        if stamps and (stamps[0], int(pdf["event_id"].iloc[0])) < (last_ts, last_id):
+            raise ValueError(f"an event of {key} arrived after a later one was applied: {stamps[0]} after {last_ts}")
+        values = [None if pd.isna(v) else float(v) for v in pdf["value"]]
+        before = ([last if held else None] + values[:-1]) if values else []
+        rows = [(i, t, *key, p, v, round((v - p) / abs(p), 9)) for i, t, p, v in zip(pdf["event_id"], pdf["ts"], before, values)
+                if p and v is not None and abs((v - p) / abs(p)) > threshold]
+        if values:
+            state.update((stamps[-1], int(pdf["event_id"].iloc[-1]), values[-1], values[-1] is not None))
+        yield pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "prev_value", "value", "rel_change"])
+
+    return events.select("event_id", "ts", "user_id", "event_type", "value").groupBy("user_id", "event_type").applyInPandasWithState(
+        fn, MOVE_OUT, MOVE_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
 def rolling_48h(events: DataFrame) -> DataFrame:
     """Mean value and count over the 48 hours up to and including each event, per type.
 

@@ -55,3 +55,25 @@ def elo_stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events")
+
+
+def sliding_averages_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 end to end: the windowed averages as a stream in complete mode; the last epoch is the answer (an epoch
+    overwrites its own folder, so a replay changes nothing)."""
+    base = _dir(spark, "sliding")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+
+    _run(J.sliding_averages(J.read_events_stream(spark, sf_dir)).writeStream.outputMode("complete").foreachBatch(write)
+         .option("checkpointLocation", f"{base}/ckpt"))
+    out = spark.read.parquet(f"{base}/out")
+    return out.where(F.col("epoch") == out.agg(F.max("epoch")).scalar()).drop("epoch")
+
+
+def value_moves_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3 end to end as a stream."""
+    base = _dir(spark, "moves")
+    _run(J.value_moves_stream(J.read_events_stream(spark, sf_dir)).writeStream.format("parquet").outputMode("append")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt"))
+    return spark.read.schema(J.MOVE_OUT).parquet(f"{base}/out")
