@@ -61,6 +61,11 @@ def _unpacked(row: dict) -> list[bytes]:
     return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def _starts(row: dict) -> np.ndarray:
+    """The candidate windows that travel with a block."""
+    return np.cumsum(unpack(row["starts"], 5).astype(np.int64))
+
+
 class Windows:
     """The words of a list of texts and the hashes of their windows."""
 
@@ -227,8 +232,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if width == first:
             at = np.flatnonzero(w.left >= first)
         else:
-            halves = np.frombuffer(next(r for r in rows if r["ids"] is not None)["starts"], np.int64)
-            at = halves
+            at = _starts(next(r for r in rows if r["ids"] is not None))
         repeats = np.zeros(len(w.words) + width, bool)
         repeats[at[_screened(w, at, width, buckets, rows)]] = True
         both = np.flatnonzero(repeats[:-width] & repeats[width:])
@@ -257,7 +261,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             else:
                 asked = list(_ask_screen(rest, at, 2 * width, buckets))
             own = {"target": head["block"], "block": head["block"], "ids": ids.tolist(), **_packed(texts),
-                   "starts": at.astype(np.int64).tobytes(),
+                   "starts": pack(np.diff(at, prepend=0), 5),  # mostly ones: candidates come in runs
                    "done_ids": (head["done_ids"] or []) + [head["ids"][i] for i in done],
                    "done_words": (head["done_words"] or []) + [int(w.sizes[i]) for i in done],
                    "done_sha": (head["done_sha"] or []) + [_digest(whole[i].split()) for i in done]}
@@ -273,7 +277,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if any(r["signature"] not in (None, w.signature) for r in rows):
             raise ValueError("a block's documents changed between two readings; give a stored table")
         ids = np.array(head["ids"], np.int64)
-        at = np.flatnonzero(w.left >= window) if first == window else np.frombuffer(head["starts"], np.int64)
+        at = np.flatnonzero(w.left >= window) if first == window else _starts(head)
         hit = Last(w, ids, at, window, buckets).removed(rows)
         edge = np.zeros(len(w.words) + window + 1, np.int64)
         np.add.at(edge, hit, 1)
