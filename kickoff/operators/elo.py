@@ -98,25 +98,23 @@ def elo_asof(fixtures: DataFrame, history: DataFrame, initial: float = ELO_INITI
 
     As-of lookup without a range join: rating events are first reduced to the last rating of
     each ``(div, team, day)`` (partial ``max_by`` map-side, so the window below holds at most one
-    row per team and day, however hot the team), then fixture sides are unioned in; fixtures sort
-    before same-day events and ``last(rating, ignorenulls)`` over the preceding rows picks the
+    row per team and day, however hot the team), then the distinct (team, day) pairs that fixtures ask for are
+    unioned in, also one row per team and day; they sort before same-day events and ``last(rating, ignorenulls)`` over the preceding rows picks the
     latest earlier rating.
     """
     daily = (team_ratings(history).groupBy("div", "team", "match_date")
              .agg(F.max_by("rating", "match_id").alias("rating")))
-    ev = daily.select("div", "team", "match_date", F.lit(1).alias("_kind"),
-                      F.lit(None).cast("long").alias("match_id"), "rating",
-                      F.lit(None).cast("boolean").alias("is_home"))
-    fx_sides = fixtures.select("div", "match_date", "match_id", F.explode(F.array(
+    ev = daily.select("div", "team", "match_date", F.lit(1).alias("_kind"), "rating")
+    probes = fixtures.select("div", "match_date", "match_id", F.explode(F.array(
         F.struct(F.col("home_team").alias("team"), F.lit(True).alias("is_home")),
-        F.struct(F.col("away_team").alias("team"), F.lit(False).alias("is_home")))).alias("s"))
-    fx = fx_sides.select("div", F.col("s.team").alias("team"), "match_date", F.lit(0).alias("_kind"),
-                         "match_id", F.lit(None).cast("double").alias("rating"), F.col("s.is_home").alias("is_home"))
-    w = (Window.partitionBy("div", "team").orderBy("match_date", "_kind", "match_id")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    both = ev.unionByName(fx).withColumn("_asof", F.last("rating", ignorenulls=True).over(w))
-    sides = both.where(F.col("_kind") == 0).select(
-        "match_id", "is_home", F.coalesce("_asof", F.lit(float(initial))).alias("elo"))
+        F.struct(F.col("away_team").alias("team"), F.lit(False).alias("is_home")))).alias("s")).select(
+        "div", "s.team", "match_date", "match_id", "s.is_home")
+    asked = probes.select("div", "team", "match_date").distinct().select(
+        "*", F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("rating"))
+    w = Window.partitionBy("div", "team").orderBy("match_date", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    known = (ev.unionByName(asked).withColumn("elo", F.last("rating", ignorenulls=True).over(w)).where("_kind = 0")
+             .select("div", "team", "match_date", F.coalesce("elo", F.lit(float(initial))).alias("elo")))
+    sides = probes.join(known, ["div", "team", "match_date"]).select("match_id", "is_home", "elo")
     return (sides.groupBy("match_id").agg(
         F.first(F.when(F.col("is_home"), F.col("elo")), ignorenulls=True).alias("home_elo"),
         F.first(F.when(~F.col("is_home"), F.col("elo")), ignorenulls=True).alias("away_elo"))

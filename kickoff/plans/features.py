@@ -146,7 +146,7 @@ def model_ready(features: DataFrame, medians: dict | None = None, leaky: bool =
         base = clean
         if not leaky:
             from ..operators.splits import split_point, with_row_index
-            idx = with_row_index(clean.select("match_id", "match_date"), checkpoint=False)  # input is materialised
+            idx = with_row_index(clean.select("match_id", "match_date"))
             n = idx.count()
             cut = split_point(n, test_size)
             if cut < n:
