@@ -44,7 +44,7 @@ from .spans import SpanHasher, mix, word_hashes
 ALPHA = 0.1  # fixed value of the contract's base score
 HELD_OUT_MOD = 10
 HOT_SHARE = 2000  # a history with more than 1/HOT_SHARE of all words is dealt over all buckets
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 START, END = np.uint64(1), np.uint64(2)  # the histories before the first and the symbol after the last word
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _48 = np.uint64((1 << 48) - 1)
