@@ -21,7 +21,7 @@ from ..functions.calendar import temporal_columns
 from ..functions.keys import match_key
 from ..functions.prices import implied_probabilities
 from ..operators.blocked import block_width
-from ..operators.elo import elo_features, elo_history
+from ..operators.elo import elo_history
 from ..operators.medians import exact_medians
 from ..operators.perspective import team_long
 from ..operators.team_windows import FORM_WINDOWS, GROUPS, KEY, team_features
