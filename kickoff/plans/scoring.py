@@ -90,13 +90,20 @@ def assemble(features: DataFrame, medians: DataFrame, cols: list[str]) -> DataFr
     return out
 
 
+def with_book(scored: DataFrame, quoted: DataFrame) -> DataFrame:
+    """the bookmaker's home probability of each fixture, from the prices quoted for it (null without prices)."""
+    book = quoted.select("match_id", P.implied_probabilities()[0].alias("book_home"))
+    return scored.join(book, "match_id", "left")
+
+
 def batch_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train (logistic, calibrated) on history, then score every accepted fixture:
-    probabilities, predicted label, prices with margin, confidence, value edge vs bookmaker."""
+    """Train all models (calibrated), then score every accepted fixture with the selected one:
+    probabilities, predicted label, prices with margin, confidence, value edge vs the bookmaker's quoted prices
+    (0 where none are quoted). The model itself does not see a fixture's prices."""
     data = TR.prepare(FE.model_ready(FE.match_features(spark, sf_dir)))
     cols = TR.usable_features(data, TR.feature_columns(data))
     fit = data.where(F.col("split") == "fit")
-    model = TR.calibrate(TR.fit_logistic(fit, cols), data.where(F.col("split") == "calibration"))
+    model = TR.select_model(spark, data, TR.train_models(data))
     from ..operators.medians import exact_medians
     med_path = save_medians(spark, exact_medians(fit, cols), "serving")
     medians = spark.read.parquet(med_path)
@@ -108,11 +115,11 @@ def batch_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
         if c in cols:
             x = x.withColumn(c, F.lit(None).cast("double"))  # fixtures carry no prices
     x = assemble(x, medians, cols)
-    scored = model.probabilities(x)
+    scored = with_book(model.probabilities(x), contests(spark, sf_dir))
     pmax = F.greatest(*[F.col(c) for c in TR.PROBS])
     return scored.select(
         "match_id", "match_date", "div", "home_team", "away_team",
         F.col("prob_H").alias("prob_home_win"), F.col("prob_D").alias("prob_draw"), F.col("prob_A").alias("prob_away_win"),
         "predicted", P.prices("prob_H", "prob_D", "prob_A").alias("prices"),
         P.confidence(pmax).alias("confidence"),
-        P.value_edge("prob_H", F.lit(None).cast("double")).alias("value_home"))
+        P.value_edge("prob_H", "book_home").alias("value_home"))

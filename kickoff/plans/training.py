@@ -146,6 +146,10 @@ def fit_boosting(fit: DataFrame, cols: list[str], name: str = "Gradient Boosting
     return Trained(name, "ovr", models, cols)
 
 
+#: Every registered model by its name.
+FITTERS = {"Logistic Regression": fit_logistic, "Random Forest": fit_forest, "Gradient Boosting": fit_boosting}
+
+
 def calibrate(t: Trained, cal: DataFrame) -> Trained:
     """M7: one isotonic map per class, fitted on the calibration rows, model frozen."""
     scored = t.raw_probabilities(cal).cache()
@@ -211,6 +215,12 @@ def leaderboard(spark: SparkSession, data: DataFrame, models: list[Trained]) ->
     return spark.createDataFrame(rows).orderBy(F.desc("test_accuracy"))
 
 
+def select_model(spark: SparkSession, data: DataFrame, models: list[Trained]) -> Trained:
+    """M8: the leaderboard's choice by the calibration rows, which does not look at the test rows."""
+    best = leaderboard(spark, data, models).where("best_by_calibration").first()["model"]
+    return next(m for m in models if m.name == best)
+
+
 def feature_importance(spark: SparkSession, t: Trained) -> DataFrame:
     """O3: tree importances, or mean |coefficient| over classes for the linear model."""
     m = t.models[0]
