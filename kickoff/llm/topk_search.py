@@ -9,8 +9,10 @@ descending bound and scored through the forward index until the next bound falls
 a block that may tie is still scored. The best k of each range are merged per query.
 
 Ranges are numbered by (pivot group, position in the group), so a group of equal vectors that holds a
-third of all rows is many ranges. Every query chunk meets every range: the stated query set against all rows, in
-blocks. Each meeting is a task-sized piece of work with at most k rows a query as its result.
+third of all rows is many ranges. Queries are dealt over bands of about ``BAND`` bytes of matrix, as many as their
+count asks for, and every band meets every range: the stated query set against all rows, in blocks. A meeting holds
+one range and one band, whatever the size of the table, with at most k rows a query as its result; the forward index
+of a range is sent once per band.
 
 Defined cases: vectors that are null, hold a null or a non-finite component, or a scaled component of 2**27 or
 more in magnitude (whose scores could leave a long) take no part, neither as query nor as candidate;
@@ -38,7 +40,8 @@ LIMIT = float(1 << 27)
 PIVOTS = 256
 BLOCK = 64
 RANGE = 8192  # documents of a range
-CHUNK = 256  # queries of a chunk
+CHUNK = 256  # most queries of a chunk
+BAND = 8 << 20  # bytes of the query matrices that meet a range in one task
 STEP = 1024  # documents of a run of the scan whose size is counted before ranges are cut
 
 
@@ -59,6 +62,10 @@ def _matrix(values: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 class Range:
     """Forward index of a range with term maxima and minima of its blocks."""
 
@@ -103,6 +110,28 @@ def _exact(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return rows.astype(np.int64) @ query.astype(np.int64)
 
 
+def band_count(queries: int, dims: int) -> int:
+    return max(1, -(-queries * dims * 8 // BAND))
+
+
+def query_chunks(wanted: DataFrame, bands: int, dims: int) -> DataFrame:
+    """(band, ids, m): the queries in chunks of one band each, with their matrix."""
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            band = batch.column("band").to_numpy()
+            for b in np.unique(band).tolist():
+                own = batch.take(pa.array(np.flatnonzero(band == b)))
+                for at in range(0, own.num_rows, CHUNK):
+                    ids, v = own.column("id").slice(at, CHUNK), own.column("v").slice(at, CHUNK)
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())),
+                                                      pa.array([_matrix(v, dims).tobytes()], pa.binary())],
+                                                     names=["band", "ids", "m"])
+
+    # dealt by row number, not by id: a repeated query id does not fill one band
+    dealt = wanted.withColumn("band", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(bands)).cast("long"))
+    return dealt.mapInArrow(chunked, "band long, ids array<long>, m binary")
+
+
 def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K) -> DataFrame:
     """Queries are the rows whose id is divisible by ``every``: ``query_id``, ``rank``, ``vec_id``, ``score``."""
     spark = vectors.sparkSession
@@ -139,18 +168,11 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     within = Window.partitionBy("part").orderBy("pivot", "run").rowsBetween(Window.unboundedPreceding, -1)
     numbered = ordered.join(F.broadcast(offsets), "part").select(
         "pivot", "run", F.floor((F.col("offset") + F.coalesce(F.sum("n").over(within), F.lit(0))) / RANGE).alias("range"))
-    index = placed.join(numbered, ["pivot", "run"]).select("range", "id", "v", "pivot")
-
-    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, part.num_rows], part.column("id")),
-                                                  pa.array([_matrix(part.column("v"), dims).tobytes()], pa.binary())],
-                                                 names=["ids", "m"])
+    wanted = rows.where(F.col("id") % every == 0)
+    bands = band_count(wanted.count(), dims)
+    index = placed.join(numbered, ["pivot", "run"]).select("range", "id", "v", "pivot", F.explode(_numbers(bands)).alias("band"))
 
-    asked = rows.where(F.col("id") % every == 0).mapInArrow(chunked, "ids array<long>, m binary").select(
-        "ids", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ranges - 1).cast("long"))).alias("range"))
+    asked = query_chunks(wanted, bands, dims).select("band", "ids", "m", F.explode(_numbers(ranges)).alias("range"))
 
     def meet(documents: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -158,13 +180,13 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             documents = documents.combine_chunks().sort_by([("pivot", "ascending"), ("id", "ascending")])
             v = documents.column("v").combine_chunks()
             own = Range(documents.column("id").to_numpy(), _matrix(v, dims))
-            for row in queries.to_pylist():
-                ids = np.array(row["ids"], np.int64)
-                for q, found, scores in own.search(ids, np.frombuffer(row["m"]).reshape(-1, dims), k, _exact):
-                    out += zip([row["ids"][q]] * len(found), found.tolist(), scores.tolist())
+            for ids, m in zip(queries.column("ids"), queries.column("m")):  # one chunk at a time
+                ids = ids.values.to_numpy()
+                for q, found, scores in own.search(ids, np.frombuffer(m.as_buffer()).reshape(-1, dims), k, _exact):
+                    out += zip([int(ids[q])] * len(found), found.tolist(), scores.tolist())
         columns = list(zip(*out)) or [(), (), ()]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
-    best = index.groupBy("range").cogroup(asked.groupBy("range")).applyInArrow(meet, "query_id long, vec_id long, score long")
+    best = index.groupBy("range", "band").cogroup(asked.groupBy("range", "band")).applyInArrow(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

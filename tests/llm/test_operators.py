@@ -151,6 +151,21 @@ def test_topk_search_equals_its_sql(spark, tmp_path):
     assert sorted(map(tuple, got)) == expected
 
 
+def test_topk_search_meets_bounded_bands_of_queries(spark, monkeypatch):
+    """A task gets one band of queries however many there are; the answer does not depend on the bands."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-50, 50, 8)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = sorted(map(tuple, topk_search.search(df, every=3).collect()))
+    monkeypatch.setattr(topk_search, "BAND", 100 * 8 * 8)  # about 100 queries
+    assert sorted(map(tuple, topk_search.search(df, every=3).collect())) == whole and len(whole) == 10_000
+    for copies in (1, 1000):  # distinct ids, and one id on every row
+        wanted = df.selectExpr(f"vec_id div {copies} * {copies} as id", "transform(embedding, x -> cast(x as long)) as v")
+        held = topk_search.query_chunks(wanted, topk_search.band_count(3000, 8), 8).groupBy("band").agg(F.sum(F.size("ids")).alias("n"))
+        sizes = [r["n"] for r in held.collect()]
+        assert sum(sizes) == 3000 and len(sizes) == 30 and max(sizes) < 160
+
+
 def test_topk_search_prunes_and_stays_exact():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 16)) * 500
