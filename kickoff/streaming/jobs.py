@@ -7,8 +7,8 @@ or streaming, so the same code runs as a batch backfill and as a stream.
 * R3 ``value_moves`` — relative change against the previous event of the same user and type,
   flagged above a threshold; previous rows come from a one-row halo per day block, so a hot
   user never lands whole in one task.
-* R4 ``elo_stream`` — incremental Elo with ``applyInPandasWithState`` keyed by pool; fed in
-  date order it equals the batch fold.
+* R4 ``fold_elo`` — incremental Elo, one ordered fold per pool and micro-batch over sorted Arrow batches,
+  with the ratings of the epoch before as its state; fed in date order it equals the batch fold.
 * R5 ``rolling_48h`` — 48-hour rolling mean and volume per event type over epoch seconds,
   computed per 7-day block with the two preceding days appended as a halo.
 """
@@ -20,7 +20,6 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.blocked import BLOCK, with_halo
 from ..operators.elo import ELO_HOME_ADVANTAGE, ELO_INITIAL, apply_contests, with_stakes
@@ -77,28 +76,34 @@ def value_moves(events: DataFrame, threshold: float = MOVE_THRESHOLD) -> DataFra
 
 
 MOVE_OUT = "event_id long, ts timestamp_ntz, user_id long, event_type string, prev_value double, value double, rel_change double"
-MOVE_STATE = "last_ts string, last_id long, last_value double, held boolean"
+MOVE_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
 
 
-def value_moves_stream(events: DataFrame, threshold: float = MOVE_THRESHOLD) -> DataFrame:
-    """R3 as a stream: the state of a (user, type) is its latest event (and its value); each micro-batch is applied
-    in (time, id) order. An event older than what was applied has no defined predecessor any more and raises."""
-    def fn(key, pdfs, state):
-        last_ts, last_id, last, held = state.get if state.exists else ("", -1, None, False)
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"])
-        stamps = pdf["ts"].dt.strftime("%Y-%m-%d %H:%M:%S.%f").tolist()
-        if stamps and (stamps[0], int(pdf["event_id"].iloc[0])) < (last_ts, last_id):
-            raise ValueError(f"an event of {key} arrived after a later one was applied: {stamps[0]} after {last_ts}")
-        values = [None if pd.isna(v) else float(v) for v in pdf["value"]]
-        before = ([last if held else None] + values[:-1]) if values else []
-        rows = [(i, t, *key, p, v, round((v - p) / abs(p), 9)) for i, t, p, v in zip(pdf["event_id"], pdf["ts"], before, values)
-                if p and v is not None and abs((v - p) / abs(p)) > threshold]
-        if values:
-            state.update((stamps[-1], int(pdf["event_id"].iloc[-1]), values[-1], values[-1] is not None))
-        yield pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "prev_value", "value", "rel_change"])
-
-    return events.select("event_id", "ts", "user_id", "event_type", "value").groupBy("user_id", "event_type").applyInPandasWithState(
-        fn, MOVE_OUT, MOVE_STATE, "append", GroupStateTimeout.NoTimeout)
+def last_events(events: DataFrame) -> DataFrame:
+    """The latest event of every (user, type): the state of R3 as a stream (partial aggregation, no key is gathered)."""
+    last = F.max_by(F.struct("event_id", "ts", "value"), F.struct("ts", "event_id")).alias("e")
+    return events.groupBy("user_id", "event_type").agg(last).select("e.event_id", "e.ts", "user_id", "event_type", "e.value")
+
+
+def move_batches(out_dir: str, threshold: float = MOVE_THRESHOLD):
+    """R3 as a stream: a ``foreachBatch`` function. A micro-batch, preceded by the latest event of every key so far
+    (the state, one row a key, kept by epoch), goes through ``value_moves``, whose blocks split a hot key. A replayed
+    epoch reads the state of the one before and overwrites its own folders. An event older than what was applied has no
+    defined predecessor any more and raises."""
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        events, keys = batch.select(*EVENT_COLS), ["user_id", "event_type"]
+        if epoch_id:
+            held = spark.read.parquet(f"{out_dir}/state/epoch={epoch_id - 1}")
+            first = events.groupBy(*keys).agg(F.min(F.struct("ts", "event_id")).alias("first"))
+            late = first.join(held, keys).where(F.col("first") < F.struct("ts", "event_id")).select(*keys, "first.ts").first()
+            if late:
+                raise ValueError(f"an event of ({late[0]}, {late[1]}) arrived after a later one was applied: {late[2]}")
+            events = held.unionByName(events)
+        value_moves(events, threshold).write.mode("overwrite").parquet(f"{out_dir}/moves/epoch={epoch_id}")
+        last_events(events).write.mode("overwrite").parquet(f"{out_dir}/state/epoch={epoch_id}")
+    return write
 
 
 def rolling_48h(events: DataFrame) -> DataFrame:
@@ -143,29 +148,71 @@ def rolling_48h(events: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ R4 incremental Elo
 ELO_STREAM_OUT = ("match_id long, div string, home_elo double, away_elo double, "
                   "home_elo_post double, away_elo_post double")
-ELO_STATE = "ratings string"
+ELO_COLS = [c.split()[0] for c in ELO_STREAM_OUT.split(", ")]
+
+
+class _Held:
+    """The state of one pool: a JSON text of its ratings (bounded by its teams) and its last date."""
+
+    def __init__(self, text: str | None = None) -> None:
+        self.exists, self.get = text is not None, (text,)
+
+    def update(self, value: tuple) -> None:
+        self.exists, self.get = True, value
 
 
 def _elo_update(home_advantage: float = ELO_HOME_ADVANTAGE, initial: float = ELO_INITIAL):
     edge, start = float(home_advantage), float(initial)
 
     def fn(key, pdfs, state):
-        """Sort the light columns of the micro-batch, then fold; the state is {team: rating} and the last date."""
+        """Fold the frames of a pool, in (date, id) order, one at a time; the state is {team: rating} and the last date."""
         held = json.loads(state.get[0]) if state.exists else {"ratings": {}, "last": ""}
-        ratings = {(key[0], team): r for team, r in held["ratings"].items()}
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["match_date", "match_id"])
-        if len(pdf) and str(pdf["match_date"].iloc[0]) < held["last"]:
-            raise ValueError(f"contests of pool {key[0]} arrived out of date order: {pdf['match_date'].iloc[0]} after {held['last']}")
-        out = apply_contests(pdf, ratings, edge, start)
-        last = str(pdf["match_date"].iloc[-1]) if len(pdf) else held["last"]
+        ratings, last = {(key[0], team): r for team, r in held["ratings"].items()}, held["last"]
+        for pdf in pdfs:
+            if not len(pdf):
+                continue
+            if str(pdf["match_date"].iloc[0]) < last:
+                raise ValueError(f"contests of pool {key[0]} arrived out of date order: {pdf['match_date'].iloc[0]} after {last}")
+            out = apply_contests(pdf, ratings, edge, start)
+            last = str(pdf["match_date"].iloc[-1])
+            yield out[ELO_COLS]
         state.update((json.dumps({"ratings": {team: r for (_, team), r in ratings.items()}, "last": last}),))
-        yield out[["match_id", "div", "home_elo", "away_elo", "home_elo_post", "away_elo_post"]]
     return fn
 
 
-def elo_stream(contest_stream: DataFrame) -> DataFrame:
-    """State per pool = {team: rating}; each micro-batch's contests of a pool are applied in (date, id)
-    order by the kernel of the batch fold. A batch older than what was applied raises instead of giving wrong ratings."""
-    cols = with_stakes(contest_stream).select("div", "match_date", "match_id", "home_team", "away_team", "score", "stake")
-    return cols.groupBy("div").applyInPandasWithState(
-        _elo_update(), ELO_STREAM_OUT, ELO_STATE, "append", GroupStateTimeout.NoTimeout)
+def fold_elo(contests: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """The contests of a micro-batch applied in (date, id) order by the kernel of the batch fold, starting from ``held``
+    (div, state). Spark sorts (and spills); the fold sees one Arrow batch at a time. Rows with a null ``match_id`` are the
+    pools' states after it. Contests older than what was applied raise instead of giving wrong ratings."""
+    cols = ["div", "match_date", "match_id", "home_team", "away_team", "score", "stake"]
+    rows = with_stakes(contests).select(*cols, F.lit(None).cast("string").alias("state"))
+    if held is not None:  # a null date sorts first: a pool's state precedes its contests
+        rows = rows.unionByName(held.select("div", "state"), allowMissingColumns=True)
+    step = _elo_update()
+
+    def fold(frames):
+        states: dict = {}
+        for pdf in frames:
+            for div, part in pdf.groupby("div", sort=False):
+                own = states.setdefault(div, _Held())
+                known = part["state"].notna()
+                for text in part.loc[known, "state"]:
+                    own.update((text,))
+                yield from (out.assign(state=None) for out in step((div,), iter([part[~known]]), own))
+        yield pd.DataFrame([(None, div, None, None, None, None, own.get[0]) for div, own in states.items()],
+                           columns=[*ELO_COLS, "state"]).astype({"match_id": "Int64"})
+
+    ordered = rows.repartition("div").sortWithinPartitions("div", F.col("match_date").asc_nulls_first(), "match_id")
+    return ordered.mapInPandas(fold, ELO_STREAM_OUT + ", state string")
+
+
+def elo_batches(out_dir: str):
+    """R4 as a stream: a ``foreachBatch`` function; ratings and states are written by epoch, a replayed epoch starts
+    from the states of the one before and overwrites its own folder."""
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        held = None
+        if epoch_id:
+            held = (batch.sparkSession.read.parquet(f"{out_dir}/epoch={epoch_id - 1}")
+                    .where("match_id is null").select("div", "state"))
+        fold_elo(batch, held).write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch_id}")
+    return write

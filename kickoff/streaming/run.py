@@ -37,20 +37,27 @@ def routed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+SHARDS = 256  # most files a period is written in
+
+
+def _feed(spark: SparkSession, rows: DataFrame, period: str, key: str, base: str, schema: str, write) -> None:
+    """Feed ``rows`` period after period (a bounded calendar label, in date order) to a file stream: one micro-batch
+    each. The source is scanned once, into a folder per period; a period is dealt over tasks by the row's ``key``."""
+    rows.repartition(period, F.pmod(F.xxhash64(key), F.lit(SHARDS))).write.partitionBy(period).parquet(f"{base}/periods")
+    staged = spark.read.schema(f"{schema}, {period} string").parquet(f"{base}/periods")
+    for label in [r[0] for r in staged.select(period).distinct().orderBy(period).collect()]:
+        staged.where(F.col(period) == label).drop(period).write.mode("append").parquet(f"{base}/in")
+        _run(spark.readStream.schema(schema).parquet(f"{base}/in").writeStream.foreachBatch(write)
+             .option("checkpointLocation", f"{base}/ckpt"))
+
+
 def elo_stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R4 end to end: contests written one season file per write (so file order = date order),
-    streamed one file per micro-batch through the stateful Elo, sunk to parquet, read back."""
+    """R4 end to end: contests streamed season by season through the incremental Elo, sunk to parquet, read back."""
     base = _dir(spark, "elo")
     c = contests(spark, sf_dir).select("div", "match_date", "match_id", "home_team", "away_team", "fthg", "ftag",
                                        "ftr", "season")
-    seasons = [r[0] for r in c.select("season").distinct().orderBy("season").collect()]  # one label per season
-    for s in seasons:
-        c.where(F.col("season") == s).drop("season").coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = (spark.readStream.schema(CONTEST_STREAM_SCHEMA).option("maxFilesPerTrigger", 1)
-              .parquet(f"{base}/in"))
-    _run(J.elo_stream(stream).writeStream.format("parquet").outputMode("append")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt"))
-    return spark.read.parquet(f"{base}/out")
+    _feed(spark, c, "season", "match_id", base, CONTEST_STREAM_SCHEMA, J.elo_batches(f"{base}/out"))
+    return spark.read.schema(J.ELO_STREAM_OUT).parquet(f"{base}/out").where("match_id is not null").drop("epoch")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +79,8 @@ def sliding_averages_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_moves_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R3 end to end as a stream."""
+    """R3 end to end as a stream, week by week."""
     base = _dir(spark, "moves")
-    _run(J.value_moves_stream(J.read_events_stream(spark, sf_dir)).writeStream.format("parquet").outputMode("append")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt"))
-    return spark.read.schema(J.MOVE_OUT).parquet(f"{base}/out")
+    e = events(spark, sf_dir).select(*J.EVENT_COLS, F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"))
+    _feed(spark, e, "week", "event_id", base, J.MOVE_SCHEMA, J.move_batches(f"{base}/out"))
+    return spark.read.schema(J.MOVE_OUT).parquet(f"{base}/out/moves").drop("epoch")
