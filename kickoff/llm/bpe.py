@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a transducer lexicon (operator 10).
 
 Pre-tokens are counted over the whole corpus; those above the count that leaves at most ``LEXICON``
-words are the frequent ones. They are compiled into a minimal acyclic automaton (shared prefixes and
+words of ``LEXICON_BYTES`` together are the frequent ones; a word of over ``WORD_BYTES`` is never one. They are compiled into a minimal acyclic automaton (shared prefixes and
 suffixes). Each arc carries the number of accepted words that precede it, so the sum along a path is
 the word's number, the transducer's output, which points at its ids. States are laid out as a double
 array (next = base + byte, valid where check = state), written to one file in the shared scratch
@@ -37,6 +37,9 @@ from .blocks import chunks
 from .spans import SpanHasher, class_table, distinct, load_classes, pretoken_spans
 
 LEXICON = 1 << 16  # most words of the lexicon
+LEXICON_BYTES = 1 << 20  # most bytes of its words together
+WORD_BYTES = 256  # most bytes of one of its words
+EXACT = 1 << 16  # counts below have a step of the histogram each, larger ones share 1024 steps per doubling
 KEPT_WORDS = 1 << 18  # merged words a task remembers before it starts afresh
 CHUNK = 2 << 20
 
@@ -131,16 +134,23 @@ def corpus_words(docs: DataFrame, text_col: str, vocabulary_path: str) -> DataFr
 
 
 def frequent_words(docs: DataFrame, text_col: str, vocabulary_path: str, most: int = LEXICON) -> list[bytes]:
-    """At most ``most`` words: all above one count, chosen from the histogram of counts."""
-    cap = 1 << 16
-    counts = materialize(corpus_words(docs, text_col, vocabulary_path), "bpe-words")
-    histogram = counts.groupBy(F.least("n", F.lit(cap)).alias("n")).count().collect()  # at most cap rows
-    least, held = cap + 1, 0
-    for n, words in sorted(((r["n"], r["count"]) for r in histogram), reverse=True):
-        if held + words > most:
+    """At most ``most`` words of at most ``LEXICON_BYTES`` together: all above one step of the histogram of counts. If
+    the step that no longer fits holds words of ``EXACT`` occurrences or more, as many of them as surely fit are taken too."""
+    n = F.col("n")
+    step = F.when(n < EXACT, n).otherwise(F.lit(EXACT) + F.floor((F.log2(n.cast("double")) - EXACT.bit_length() + 1) * 1024)).cast("long")
+    counts = materialize(corpus_words(docs, text_col, vocabulary_path).withColumn("step", step)
+                         .withColumn("bytes", F.octet_length("word").cast("long")), "bpe-words").where(F.col("bytes") <= WORD_BYTES)
+    histogram = counts.groupBy("step").agg(F.count(F.lit(1)).alias("words"), F.sum("bytes").alias("bytes")).collect()  # bounded by the steps
+    least, held, size, extra = None, 0, 0, []
+    for r in sorted(histogram, key=lambda r: -r["step"]):
+        if held + r["words"] > most or size + r["bytes"] > LEXICON_BYTES:
+            if r["step"] >= EXACT:
+                room = min(most - held, (LEXICON_BYTES - size) // WORD_BYTES)
+                extra = counts.where(F.col("step") == r["step"]).select("word").limit(room).collect() if room > 0 else []
             break
-        least, held = n, held + words
-    return sorted(bytes(r["word"]) for r in counts.where(F.col("n") >= least).select("word").collect())
+        least, held, size = r["step"], held + r["words"], size + r["bytes"]
+    rows = counts.where(F.col("step") >= least).select("word").collect() if least is not None else []
+    return sorted(bytes(r["word"]) for r in [*rows, *extra])
 
 
 class Lexicon:

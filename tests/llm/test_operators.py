@@ -291,6 +291,22 @@ def test_bpe(spark, odd_dir, pairs):
     same(got, brute.encoded(pairs), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def test_bpe_lexicon_is_bounded_by_words_and_bytes(spark, monkeypatch):
+    """Whatever the counts: more frequent words than places, and words too long for the automaton."""
+    counts = [(f"w{k:05d}".encode(), 70_000 + k) for k in range(500)] + [(b"same%03d" % k, 1 << 40) for k in range(300)]
+    counts += [(b"x" * 100_000, 1 << 50), (b"y" * 257, 1 << 50), (b"rare", 2)]
+    monkeypatch.setattr(bpe, "corpus_words", lambda *a: spark.createDataFrame(counts, "word binary, n bigint"))
+    count = dict(counts)
+    for most in (0, 1, 200, 350, 801, 10_000):
+        words = bpe.frequent_words(None, "text", "", most)
+        assert len(words) <= most and len(set(words)) == len(words) and max(map(len, words), default=0) <= bpe.WORD_BYTES
+        if most == 200:
+            assert len(words) == 200 and {count[w] for w in words} == {1 << 40}
+    assert len(words) == 801
+    monkeypatch.setattr(bpe, "LEXICON_BYTES", 4096)
+    assert 0 < sum(map(len, bpe.frequent_words(None, "text", "", 10_000))) <= 4096
+
+
 def test_bpe_lexicon_does_not_matter(spark, odd_dir, pairs):
     docs = spark.read.parquet(f"{odd_dir}/documents.parquet").where("doc_id >= 100000 or doc_id is null")
     some = [p for p in pairs if p[0] is None or p[0] >= 100_000]
