@@ -183,7 +183,6 @@ def _blocked(name: str, groups: list[str]):
 for _name in ("form5", "streaks", "season_stats", "h2h_features"):
     _blocked(_name, ["form"] if _name == "form5" else C._GROUP_COLS[_name][1])
 
-C.register("live_table_one_block", "W9", C.SQL["live_table"])(lambda spark, sf: live_positions(contests(spark, sf), days=1 << 20))
 C.register("live_table_short_blocks", "W9", C.SQL["live_table"])(lambda spark, sf: live_positions(contests(spark, sf), days=5))
 
 C.register("sliding_avg_stream", "R1", C.SQL["sliding_avg"])(SR.sliding_averages_stream)
