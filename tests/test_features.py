@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import SF_SMALL, sample_contests
+from contest_samples import SF_SMALL, sample_contests
 from pyspark.sql import functions as F
 
 from kickoff.operators.perspective import team_long

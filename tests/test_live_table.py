@@ -1,6 +1,6 @@
 """The live table in one block, as a test only: no registered query folds a season in one task."""
 
-from conftest import SF_SMALL
+from contest_samples import SF_SMALL
 
 import __spark_entry__ as E
 from kickoff.operators.league import live_positions

@@ -1,7 +1,7 @@
 """The registered model queries cover every model, and the value edge uses the quoted prices."""
 
 import pytest
-from conftest import SF_SMALL
+from contest_samples import SF_SMALL
 
 import __spark_entry__ as E
 from kickoff.plans import scoring as SC

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pandas as pd
 import pytest
-from conftest import SF_SMALL
+from contest_samples import SF_SMALL
 
 import __spark_entry__ as E
 from oracle_check import TABLES, rows

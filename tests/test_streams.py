@@ -5,7 +5,7 @@ from types import SimpleNamespace
 
 import pandas as pd
 import pytest
-from conftest import SF_SMALL
+from contest_samples import SF_SMALL
 
 from kickoff.operators.elo import elo_history
 from kickoff.sources.contests import contests
