@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kickoff.sources.tables import read_table
 
-from . import bpe, fill_in_middle, language_model, mixing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, token_counts, topk_search
+from . import bpe, fill_in_middle, language_model, mixing, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, token_counts, topk_search
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_documents(spark, sf_dir))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.transform(_documents(spark, sf_dir))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_bpe": op10_bpe,
+    "op12_packing": op12_packing,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
