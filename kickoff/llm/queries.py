@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kickoff.sources.tables import read_table
 
-from . import bpe, fill_in_middle, language_model, mixing, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, token_counts, topk_search
+from . import (bpe, conversation_repair, fill_in_middle, language_model, mixing, packing, quality_classifier, quality_rules, secret_scan,
+               simhash, substring_dedup, token_counts, topk_search)
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -56,6 +57,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversation_repair.repair(conversation_repair.damage(messages), dropped_col="dropped")
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_bpe": op10_bpe,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_packing": op12_packing,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
