@@ -1,130 +1,19 @@
 """A4: exact (interpolated) medians of many columns without gathering a column in one place.
 
-``percentile``/``median`` keep every distinct value of a column in one aggregation buffer. Here all columns
-are narrowed together, one wide aggregation a pass (no row is multiplied by the number of columns):
-
-1. count of each column and a quantile sketch (``approx_percentile``, bounded buffers, merged map-side) around
-   the two middle ranks: two actual values that bracket the median;
-2. exact counts below and inside each bracket. Ranks that fall outside a bracket (a sketch is approximate)
-   move it to the side they fell on; a bracket that still holds more than ``MAX_BRACKET`` values is sketched
-   again inside its bounds, which divides it by about ``ACCURACY / 4``. A bracket that a sketch did not shrink
-   (few distinct values, or a poor sketch) is halved by value, so the loop always ends: repeated until every bracket
-   is small, a single value, or split exactly between the two middle ranks;
-3. the values inside the brackets, counted per distinct value, give the two middle order statistics exactly.
-
-The input is scanned a few times (two or three): the caller should materialise an expensive plan first.
+``percentile``/``median`` keep every distinct value of a column in one aggregation buffer, and a wide aggregation of 59 sketches
+and their counts is too large for generated code. The two middle values of all columns come from ``order_stats``
+(a few scans with histograms of bounded size); the caller should materialise an expensive plan first.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-ACCURACY = 10_000
-MAX_BRACKET = 10_000
-
-
-@dataclass
-class Bracket:
-    """Bounds of a column's middle values; ``below`` counts the values under ``lo``, ``inside`` those within."""
-
-    n: int
-    lo: float
-    hi: float
-    below: int
-    inside: int
-    halve: bool = False  # the last sketch did not shrink it
-    found: tuple | None = None  # the two middle values, once known
-
-    @property
-    def first(self) -> int:
-        return (self.n - 1) // 2
-
-    @property
-    def second(self) -> int:
-        return self.n // 2
-
-    def open(self) -> bool:
-        return self.found is None and self.inside > MAX_BRACKET and self.lo < self.hi
-
-
-def _value(c: str):
-    v = F.col(c).cast("double")
-    return F.when(~F.isnan(v), v)
-
-
-def _start(df: DataFrame, cols: list[str]) -> dict[str, Bracket]:
-    row = df.agg(*(e for i, c in enumerate(cols) for e in (
-        F.count(_value(c)).alias(f"n{i}"), F.min(_value(c)).alias(f"lo{i}"), F.max(_value(c)).alias(f"hi{i}")))).first()
-    return {c: Bracket(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"], 0, row[f"n{i}"]) for i, c in enumerate(cols) if row[f"n{i}"]}
-
-
-def _sketch(df: DataFrame, todo: dict[str, Bracket]) -> dict[str, tuple[float, float]]:
-    """Two values inside each bracket that should enclose the middle ranks, a sketch error apart on both sides."""
-    aggs = []
-    for i, (c, b) in enumerate(todo.items()):
-        slack = 2 / ACCURACY
-        shares = [max(0.0, (b.first - b.below) / b.inside - slack), min(1.0, (b.second - b.below + 1) / b.inside + slack)]
-        inside = F.when((_value(c) >= b.lo) & (_value(c) <= b.hi), _value(c))
-        aggs.append(F.percentile_approx(inside, shares, ACCURACY).alias(f"q{i}"))
-    row = df.agg(*aggs).first()
-    return {c: tuple(row[f"q{i}"]) for i, c in enumerate(todo)}
-
-
-def _count(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> dict:
-    """Exact: values below and inside the bounds, the largest below, the largest inside, the smallest above."""
-    aggs = []
-    for i, (c, (lo, hi)) in enumerate(bounds.items()):
-        v = _value(c)
-        aggs += [F.count_if(v < lo).alias(f"b{i}"), F.count_if((v >= lo) & (v <= hi)).alias(f"i{i}"),
-                 F.max(F.when(v < lo, v)).alias(f"u{i}"), F.max(F.when((v >= lo) & (v <= hi), v)).alias(f"t{i}"),
-                 F.min(F.when(v > hi, v)).alias(f"o{i}")]
-    row = df.agg(*aggs).first()
-    return {c: tuple(row[f"{k}{i}"] for k in "biuto") for i, c in enumerate(bounds)}
-
 
-def _narrowed(b: Bracket, lo: float, hi: float, below: int, inside: int, under, top, over) -> Bracket:
-    """The part of the bracket that holds both middle ranks: under ``lo``, within ``lo``..``hi``, or over ``hi``."""
-    end = below + inside
-    if b.second < below:
-        return Bracket(b.n, b.lo, under, b.below, below - b.below)
-    if b.first >= end:
-        return Bracket(b.n, over, b.hi, end, b.below + b.inside - end)
-    if b.first < below and b.second == below:  # the two middle ranks are neighbours on both sides of a bound
-        return Bracket(b.n, under, lo, b.below, 0, found=(under, lo))
-    if b.first == end - 1 and b.second == end:
-        return Bracket(b.n, top, over, b.below, 0, found=(top, over))
-    return Bracket(b.n, lo, top, below, inside, halve=(below, inside) == (b.below, b.inside))
+from .order_stats import values_at
 
 
 def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     """Median of every column (nulls and NaN skipped, the mean of the two middle values), None without values."""
-    out: dict[str, float | None] = dict.fromkeys(cols)
-    state = _start(df, cols) if cols else {}
-    while todo := {c: b for c, b in state.items() if b.open()}:
-        rough = {c: b for c, b in todo.items() if not b.halve}
-        bounds = {**(_sketch(df, rough) if rough else {}),
-                  **{c: (b.lo, b.lo / 2 + b.hi / 2) for c, b in todo.items() if b.halve}}
-        for c, counts in _count(df, bounds).items():
-            state[c] = _narrowed(todo[c], *bounds[c], *counts)
-    if not state:
-        return out
-    # what is left: at most MAX_BRACKET values a column, or one distinct value
-    listed = F.explode(F.filter(F.array(*(
-        F.struct(F.lit(i).alias("i"), F.when(F.lit(b.found is None) & (_value(c) >= b.lo) & (_value(c) <= b.hi), _value(c)).alias("v"))
-        for i, (c, b) in enumerate(state.items()))), lambda x: x["v"].isNotNull())).alias("x")
-    held: dict[int, list] = {}
-    for r in df.select(listed).groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("n")).collect():
-        held.setdefault(r["i"], []).append((r["v"], r["n"]))
-    for i, (c, b) in enumerate(state.items()):
-        if b.found:
-            out[c] = b.found[0] + (b.found[1] - b.found[0]) * 0.5
-            continue
-        passed, middle = b.below, []
-        for v, n in sorted(held[i]):
-            middle += [v for rank in (b.first, b.second) if passed <= rank < passed + n]
-            passed += n
-        out[c] = middle[0] + (middle[1] - middle[0]) * 0.5  # same interpolation as Spark/DuckDB percentile
-    return out
+    middle = values_at(df, cols, lambda n: sorted({(n - 1) // 2, n // 2}) if n else [])
+    # same interpolation as Spark/DuckDB percentile
+    return {c: float(v[0] + (v[-1] - v[0]) * 0.5) if v else None for c, v in middle.items()}

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .order_stats import values_at
 
 # Reference defaults.
 TEST_SIZE = 0.2
@@ -50,6 +51,19 @@ def split_point(n: int, test_size: float = TEST_SIZE) -> int:
     return int(n * (1 - test_size))
 
 
+def first_after(df: DataFrame, test_size: float = TEST_SIZE, date_col: str = "match_date", id_col: str = "match_id") -> dict | None:
+    """Date and id of the first test row in (date, id) order, without numbering rows: one count per day, then the
+    id at a rank of one day. None if no row is left to test. Ids are whole numbers."""
+    days = sorted((r[date_col], r["count"]) for r in df.groupBy(date_col).count().collect())  # bounded by the calendar
+    left = split_point(sum(n for _, n in days), test_size)
+    for day, n in days:
+        if left < n:
+            ids = values_at(df.where(F.col(date_col) == F.lit(day)), [id_col], lambda _: [left])
+            return {date_col: day, id_col: ids[id_col][0]}
+        left -= n
+    return None
+
+
 def time_split(indexed: DataFrame, test_size: float = TEST_SIZE) -> DataFrame:
     """``split`` = train for the first ``int(n·(1−test_size))`` rows, else test."""
     n = indexed.count()

@@ -14,6 +14,7 @@ from ..functions import keys as K
 from ..functions import prices as P
 from ..operators.elo import elo_current, elo_features, elo_history
 from ..operators.perspective import team_long
+from ..session import materialize
 from ..sources.contests import contests
 from . import features as FE
 from . import oracle_sql as O
@@ -684,7 +685,8 @@ FROM feat f JOIN rest2 r USING (match_id)""")(_confidence)
 
 # ---------------------------------------------------------------- M1–M13, B4, B5, O3 (models: no SQL oracle)
 def _data(spark, sf):
-    return TR.prepare(FE.model_ready(FE.match_features(spark, sf)))
+    """Model-ready rows with split and label, written once: every fit and evaluation reads them again."""
+    return materialize(TR.prepare(FE.model_ready(FE.match_features(spark, sf))), "model-rows")
 
 
 def _train_models(spark, sf):
@@ -693,18 +695,18 @@ def _train_models(spark, sf):
     return TR.leaderboard(spark, d, TR.train_models(d))
 
 
-register("train_models", "M1,M2,M3,M4,M7,M8,M12,A12,O8,O10")(_train_models)
+register("train_models", "M1,M2,M3,M4,M5,M6,M7,M8,M12,A12,O8,O10")(_train_models)
 
 
-def _train_boosting(spark, sf):
-    """M5: three one-vs-rest GBT models (reference parameters), calibrated and evaluated."""
-    d = _data(spark, sf)
-    cols = TR.usable_features(d, TR.feature_columns(d))
-    t = TR.calibrate(TR.fit_boosting(d.where(F.col("split") == "fit"), cols), d.where(F.col("split") == "calibration"))
-    return TR.leaderboard(spark, d, [t])
+def _train_one(name: str):
+    def run(spark, sf):
+        d = _data(spark, sf)
+        return TR.leaderboard(spark, d, TR.train_models(d, (name,)))
+    return run
 
 
-register("train_boosting", "M5,M6,M7")(_train_boosting)
+register("train_boosting", "M5,M7")(_train_one("Gradient Boosting"))
+register("train_second_order", "M6,M7")(_train_one("Second-order Boosting"))
 
 
 def _importance(spark, sf):
@@ -727,8 +729,7 @@ register("test_predictions", "B5,M7,F13")(lambda spark, sf: TR.test_predictions(
 
 
 def _cv(spark, sf):
-    d = _data(spark, sf)
-    res = TR.cv_scores(d, TR.FITTERS)
+    res = TR.cv_scores(_data(spark, sf))
     return spark.createDataFrame([(r["model"], r["mean_accuracy"], r["std_accuracy"], r["folds"]) for r in res],
                                  "model string, mean_accuracy double, std_accuracy double, folds array<double>")
 
@@ -783,8 +784,8 @@ def _compare_versions(spark, sf):
     long.write.mode("append").parquet(path)
     runs = spark.read.parquet(path)
     return (runs.groupBy("metric").pivot("version").agg(F.first("value"))
-            .withColumns({"difference": F.col("`Random Forest`") - F.col("`Logistic Regression`"),
-                          "difference_boosting": F.col("`Gradient Boosting`") - F.col("`Logistic Regression`")}))
+            .withColumns({f"difference_{short}": F.col(f"`{name}`") - F.col("`Logistic Regression`") for short, name in (
+                ("forest", "Random Forest"), ("boosting", "Gradient Boosting"), ("second_order", "Second-order Boosting"))}))
 
 
 register("compare_versions", "M11")(_compare_versions)

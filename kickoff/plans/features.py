@@ -145,13 +145,10 @@ def model_ready(features: DataFrame, medians: dict | None = None, leaky: bool =
     if medians is None:
         base = clean
         if not leaky:
-            from ..operators.splits import split_point, with_row_index
-            idx = with_row_index(clean.select("match_id", "match_date"))
-            n = idx.count()
-            cut = split_point(n, test_size)
-            if cut < n:
-                # the first test row's (date, id): training rows are exactly the ones ordered before it
-                thr = idx.where(F.col("idx") == cut).select("match_date", "match_id").first()
+            from ..operators.splits import first_after
+
+            thr = first_after(clean, test_size)
+            if thr is not None:  # the first test row's (date, id): training rows are exactly the ones ordered before it
                 base = clean.where((F.col("match_date") < F.lit(thr["match_date"]))
                                    | ((F.col("match_date") == F.lit(thr["match_date"]))
                                       & (F.col("match_id") < F.lit(thr["match_id"]))))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prices as P
-from ..session import fresh_path
+from ..session import fresh_path, materialize
 from ..sources.contests import contests
 from . import features as FE
 from . import training as TR
@@ -100,10 +100,10 @@ def batch_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train all models (calibrated), then score every accepted fixture with the selected one:
     probabilities, predicted label, prices with margin, confidence, value edge vs the bookmaker's quoted prices
     (0 where none are quoted). The model itself does not see a fixture's prices."""
-    data = TR.prepare(FE.model_ready(FE.match_features(spark, sf_dir)))
+    data = materialize(TR.prepare(FE.model_ready(FE.match_features(spark, sf_dir))), "model-rows")
     cols = TR.usable_features(data, TR.feature_columns(data))
     fit = data.where(F.col("split") == "fit")
-    model = TR.select_model(spark, data, TR.train_models(data))
+    model = TR.select_model(data, TR.train_models(data))
     from ..operators.medians import exact_medians
     med_path = save_medians(spark, exact_medians(fit, cols), "serving")
     medians = spark.read.parquet(med_path)

@@ -8,8 +8,9 @@ reference's semantics:
   the fit rows (M2), computed as plain column expressions (Spark's ``StandardScaler`` divides by
   the sample deviation);
 * ``regParam = 1 / (C · n)`` reproduces scikit-learn's ``C`` penalty (M3);
-* gradient boosting is binary in Spark, so the three-class model is three one-vs-rest
-  ``GBTClassifier`` fits whose probabilities are renormalised (M5/M6);
+* Spark's gradient boosting is binary and costs some ten jobs a tree, so both boosting models (M5 first-order, M6
+  regularised second-order) are trained by ``operators/boosting.py``: all classes, models, folds and trials
+  that train together share one pass per tree level;
 * isotonic calibration fits one ``IsotonicRegression`` per class on the calibration rows and
   renormalises, a zero row becoming 1/3 each (M7).
 """
@@ -18,9 +19,11 @@ from __future__ import annotations
 
 import math
 import random
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -28,8 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prices import argmax_label, bookmaker_pick
+from ..operators import boosting as BO
 from ..operators import metrics as MT
 from ..operators import splits as SP
+from ..session import materialize
 from . import features as FE
 
 LABELS = MT.LABELS
@@ -38,10 +43,12 @@ PROBS = ["prob_A", "prob_D", "prob_H"]
 # The reference's model parameters.
 LOGISTIC = {"C": 0.5, "max_iter": 1000}
 FOREST = {"numTrees": 200, "maxDepth": 8, "minInstancesPerNode": 20, "featureSubsetStrategy": "sqrt"}
-BOOSTING = {"maxIter": 200, "maxDepth": 4, "minInstancesPerNode": 20, "stepSize": 0.05, "subsamplingRate": 0.8}
-BOOSTING_XGB = {"maxIter": 200, "maxDepth": 4, "minInstancesPerNode": 10, "stepSize": 0.05, "subsamplingRate": 0.8,
-                "featureSubsetStrategy": "0.8"}
+BOOSTING = {"rounds": 200, "depth": 4, "rate": 0.05, "subsample": 0.8, "min_leaf": 20}
+SECOND_ORDER = {"rounds": 200, "depth": 4, "rate": 0.05, "subsample": 0.8, "colsample": 0.8, "alpha": 0.1, "lam": 1.0,
+                "min_child_weight": 10.0}
 SEED = 42
+PARTITION_BYTES = 16 << 20  # feature values of a partition of a fit table
+THREADS = 4  # independent fits that the driver starts at once
 
 
 def label_col(target: str = "target"):
@@ -93,24 +100,22 @@ class Trained:
     calibrators: list = field(default_factory=list)
 
     def raw_probabilities(self, df: DataFrame) -> DataFrame:
+        if self.kind == "boosted":
+            p = df.withColumn("_p", self.models[0].probabilities())
+            return p.select(*df.columns, *[F.col("_p")[k].alias(PROBS[k]) for k in range(3)])
         x = assemble(df, self.cols, self.scaler)
-        if self.kind == "ovr":
-            for k, m in enumerate(self.models):
-                x = (m.setProbabilityCol(f"_p{k}").setRawPredictionCol(f"_r{k}").setPredictionCol(f"_y{k}")
-                     .transform(x))
-                x = x.withColumn(f"_q{k}", vector_to_array(f"_p{k}")[1]).drop(f"_p{k}", f"_r{k}", f"_y{k}")
-            tot = F.col("_q0") + F.col("_q1") + F.col("_q2")
-            x = x.select("*", *[(F.col(f"_q{k}") / tot).alias(PROBS[k]) for k in range(3)]).drop("_q0", "_q1", "_q2")
-        else:
-            m = self.models[0]
-            x = m.setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_y").transform(x)
-            arr = vector_to_array("_p")
-            x = x.select("*", *[arr[k].alias(PROBS[k]) for k in range(3)]).drop("_p", "_r", "_y")
+        m = self.models[0]
+        x = m.setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_y").transform(x)
+        arr = vector_to_array("_p")
+        x = x.select("*", *[arr[k].alias(PROBS[k]) for k in range(3)]).drop("_p", "_r", "_y")
         return x.drop("features")
 
     def probabilities(self, df: DataFrame) -> DataFrame:
         """Calibrated probabilities (raw if no calibrators were fitted) + ``predicted``."""
-        x = self.raw_probabilities(df)
+        return self.calibrated(self.raw_probabilities(df))
+
+    def calibrated(self, x: DataFrame) -> DataFrame:
+        """The same from rows that carry raw probabilities."""
         if self.calibrators:
             for k, iso in enumerate(self.calibrators):
                 x = (iso.setFeaturesCol(PROBS[k]).setPredictionCol(f"_c{k}").transform(x))
@@ -121,12 +126,23 @@ class Trained:
         return x.withColumn("predicted", argmax_label(*PROBS))
 
 
+def packed(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """Label and features in as many partitions as their size asks for: an optimiser runs hundreds of small jobs on them."""
+    n = rows.count()
+    wanted = max(1, -(-n * len(cols) * 8 // PARTITION_BYTES))
+    rows = rows.select("label", *cols)
+    return rows.coalesce(wanted) if wanted < rows.rdd.getNumPartitions() else rows
+
+
 def fit_logistic(fit: DataFrame, cols: list[str], C: float = LOGISTIC["C"], max_iter: int = LOGISTIC["max_iter"]) -> Trained:
     scaler = population_scaler(fit, cols)
-    n = fit.count()
+    rows = assemble(packed(fit, cols), cols, scaler).select("label", "features").persist()
+    n = rows.count()
     lr = LogisticRegression(family="multinomial", regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False,
                             maxIter=max_iter, labelCol="label", featuresCol="features")
-    return Trained("Logistic Regression", "single", [lr.fit(assemble(fit, cols, scaler))], cols, scaler)
+    model = lr.fit(rows)
+    rows.unpersist()
+    return Trained("Logistic Regression", "single", [model], cols, scaler)
 
 
 def fit_forest(fit: DataFrame, cols: list[str], **params) -> Trained:
@@ -135,19 +151,26 @@ def fit_forest(fit: DataFrame, cols: list[str], **params) -> Trained:
     return Trained("Random Forest", "single", [rf.fit(assemble(fit, cols))], cols)
 
 
-def fit_boosting(fit: DataFrame, cols: list[str], name: str = "Gradient Boosting", **params) -> Trained:
-    p = {**BOOSTING, **params}
-    x = assemble(fit, cols).cache()
-    models = []
-    for k in range(3):
-        gbt = GBTClassifier(labelCol="_bin", featuresCol="features", seed=SEED, **p)
-        models.append(gbt.fit(x.withColumn("_bin", (F.col("label") == k).cast("double"))))
-    x.unpersist()
-    return Trained(name, "ovr", models, cols)
+def boosting_spec(name: str, **params) -> BO.Spec:
+    """Parameters of a boosting model by its name."""
+    second = name == "Second-order Boosting"
+    return BO.Spec(name, second_order=second, seed=SEED, **{**(SECOND_ORDER if second else BOOSTING), **params})
 
 
-#: Every registered model by its name.
-FITTERS = {"Logistic Regression": fit_logistic, "Random Forest": fit_forest, "Gradient Boosting": fit_boosting}
+def fit_boosting(rows: DataFrame, cols: list[str], specs: list[BO.Spec], edge_rows: DataFrame | None = None) -> list[Trained]:
+    """Boosting models that train side by side on ``rows`` (each on its own share of them)."""
+    return [Trained(m.spec.name, "boosted", [m], cols) for m in BO.boost(rows, cols, specs, edge_rows=edge_rows)]
+
+
+#: Every registered model by its name. The boosting models are trained together.
+FITTERS: dict[str, Callable] = {"Logistic Regression": fit_logistic, "Random Forest": fit_forest}
+BOOSTERS = ("Gradient Boosting", "Second-order Boosting")
+
+
+def in_threads(tasks: list[Callable]) -> list:
+    """Results of independent driver-side fits, started ``THREADS`` at a time."""
+    with ThreadPoolExecutor(THREADS) as pool:
+        return [f.result() for f in [pool.submit(t) for t in tasks]]
 
 
 def calibrate(t: Trained, cal: DataFrame) -> Trained:
@@ -161,13 +184,22 @@ def calibrate(t: Trained, cal: DataFrame) -> Trained:
     return t
 
 
+def _scored(t: Trained, data: DataFrame) -> DataFrame:
+    """One scoring pass: label, split, calibrated probabilities and both picks (raw and calibrated) of every row."""
+    raw = t.raw_probabilities(data.select("match_id", "split", "target", "label", *t.cols))
+    raw = raw.withColumn("raw_pick", argmax_label(*PROBS)).drop(*t.cols)
+    return materialize(t.calibrated(raw), "scored")
+
+
+def _rounded(x: float) -> float:
+    return round(x, 4)
+
+
 def evaluate(t: Trained, data: DataFrame) -> dict:
     """Accuracy (raw model on fit rows; calibrated elsewhere), macro F1 and log loss per split."""
-    fit = data.where(F.col("split") == "fit")
-    raw_fit = t.raw_probabilities(fit).withColumn("predicted", argmax_label(*PROBS))
-    train_acc = MT.accuracy(raw_fit).first()["accuracy"]
-    out = {"model": t.name, "train_accuracy": train_acc}
-    scored = t.probabilities(data.where(F.col("split") != "fit"))
+    scored = _scored(t, data)
+    fit = scored.where(F.col("split") == "fit").select("target", F.col("raw_pick").alias("predicted"))
+    out = {"model": t.name, "train_accuracy": MT.accuracy(fit).first()["accuracy"]}
     for split in ("calibration", "test"):
         s = scored.where(F.col("split") == split)
         rep = {r["label"]: r for r in MT.class_report(s).collect()}
@@ -177,17 +209,17 @@ def evaluate(t: Trained, data: DataFrame) -> dict:
     return out
 
 
-def train_models(data: DataFrame, include_boosting: bool = True, include_xgb: bool = False) -> list[Trained]:
-    """M8: fit every model on the fit rows, calibrate on the calibration rows."""
+def train_models(data: DataFrame, names: tuple[str, ...] | None = None) -> list[Trained]:
+    """M8: fit every model (or those named) on the fit rows, calibrate on the calibration rows."""
     cols = usable_features(data, feature_columns(data))
     fit = data.where(F.col("split") == "fit")
     cal = data.where(F.col("split") == "calibration")
-    models = [fit_logistic(fit, cols), fit_forest(fit, cols)]
-    if include_boosting:
-        models.append(fit_boosting(fit, cols))
-    if include_xgb:
-        models.append(fit_boosting(fit, cols, name="XGBoost-like", **BOOSTING_XGB))
-    return [calibrate(m, cal) for m in models]
+    tasks = [lambda f=f: [f(fit, cols)] for name, f in FITTERS.items() if names is None or name in names]
+    specs = [boosting_spec(name) for name in BOOSTERS if names is None or name in names]
+    if specs:
+        tasks.append(lambda: fit_boosting(fit, cols, specs))
+    models = [m for group in in_threads(tasks) for m in group]
+    return in_threads([lambda m=m: calibrate(m, cal) for m in models])
 
 
 def leaderboard(spark: SparkSession, data: DataFrame, models: list[Trained]) -> DataFrame:
@@ -197,13 +229,11 @@ def leaderboard(spark: SparkSession, data: DataFrame, models: list[Trained]) ->
                                                                                         ("odds_prob_home", "odds_prob_draw", "odds_prob_away")]))
     book = MT.bookmaker_accuracy(test).first()["bookmaker_accuracy"]
     counts = {r["split"]: r["count"] for r in data.groupBy("split").count().collect()}
-    rows = []
-    for m in models:
-        e = evaluate(m, data)
+    rows = in_threads([lambda m=m: evaluate(m, data) for m in models])
+    for e in rows:
         e["overfit_gap"] = e["train_accuracy"] - e["test_accuracy"]
         e["lift_over_bookmaker"] = e["test_accuracy"] - book
         e.update({f"{k}_rows": counts.get(k, 0) for k in ("fit", "calibration", "test")})
-        rows.append(e)
     best = max(range(len(rows)), key=lambda i: (rows[i]["test_accuracy"], -i))
     best_cal = max(range(len(rows)), key=lambda i: (rows[i]["calibration_accuracy"], -i))
     for i, r in enumerate(rows):
@@ -211,20 +241,23 @@ def leaderboard(spark: SparkSession, data: DataFrame, models: list[Trained]) ->
         r["best_by_calibration"] = i == best_cal
         for k, v in list(r.items()):
             if isinstance(v, float):
-                r[k] = round(v, 4)
+                r[k] = _rounded(v)
     return spark.createDataFrame(rows).orderBy(F.desc("test_accuracy"))
 
 
-def select_model(spark: SparkSession, data: DataFrame, models: list[Trained]) -> Trained:
-    """M8: the leaderboard's choice by the calibration rows, which does not look at the test rows."""
-    best = leaderboard(spark, data, models).where("best_by_calibration").first()["model"]
-    return next(m for m in models if m.name == best)
+def select_model(data: DataFrame, models: list[Trained]) -> Trained:
+    """M8: the choice by the calibration rows, which does not look at the test rows (D4). No other row is scored."""
+    cal = data.where(F.col("split") == "calibration")
+    hits = in_threads([lambda m=m: MT.accuracy(m.probabilities(cal)).first()["accuracy"] for m in models])
+    return models[max(range(len(models)), key=lambda i: (hits[i], -i))]
 
 
 def feature_importance(spark: SparkSession, t: Trained) -> DataFrame:
     """O3: tree importances, or mean |coefficient| over classes for the linear model."""
     m = t.models[0]
-    if hasattr(m, "featureImportances"):
+    if t.kind == "boosted":
+        vals = m.importances().tolist()
+    elif hasattr(m, "featureImportances"):
         vals = m.featureImportances.toArray().tolist()
     else:
         cm = m.coefficientMatrix.toArray()
@@ -239,26 +272,49 @@ def test_predictions(t: Trained, data: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M9/M10 time-series CV and search
-def cv_scores(data: DataFrame, fitters: dict, n_splits: int = SP.N_FOLDS) -> list[dict]:
-    """M9: expanding folds over the train part (fit + calibration rows); fold models are fitted
-    fresh (scaler per fold, D6) and scored by raw accuracy."""
+def _fold_accuracy(t: Trained, rows: DataFrame, lo: int, hi: int) -> float:
+    test = rows.where((F.col("idx") >= lo) & (F.col("idx") < hi))
+    return MT.accuracy(t.raw_probabilities(test).withColumn("predicted", argmax_label(*PROBS))).first()["accuracy"]
+
+
+def cv_rows(data: DataFrame, n_splits: int = SP.N_FOLDS) -> tuple[DataFrame, list[tuple[int, int, int]], list[str]]:
+    """Rows of the train part (fit + calibration), the bounds of its folds, and the usable features."""
     train = data.where(F.col("split") != "test").drop("split")
     n = train.count()
-    train = SP.time_folds(train, n_splits, n).cache()
-    cols = usable_features(train, feature_columns(train))
+    return train, SP.fold_bounds(n, n_splits), usable_features(train, feature_columns(train))
+
+
+def cv_scores(data: DataFrame, fitters: dict | None = None, boosters: list[BO.Spec] | None = None,
+              n_splits: int = SP.N_FOLDS) -> list[dict]:
+    """M9: expanding folds over the train part (fit + calibration rows); fold models are fitted fresh (scaler
+    per fold, D6) and scored by raw accuracy. Fits run side by side; the boosting models of all folds share
+    their passes (bin edges from the first fold's rows, which every fold trains on)."""
+    if fitters is None and boosters is None:
+        fitters, boosters = FITTERS, [boosting_spec(name) for name in BOOSTERS]
+    train, bounds, cols = cv_rows(data, n_splits)
+    train = train.persist()
+
+    def one(fitter: Callable, fold: tuple[int, int, int]) -> float:
+        return _fold_accuracy(fitter(train.where(F.col("idx") < fold[1]), cols), train, fold[1], fold[2])
+
+    def boosted() -> list[float]:
+        specs = [replace(spec, hi=fold[1]) for spec in boosters for fold in bounds]
+        models = fit_boosting(train.where(F.col("idx") < max(f[1] for f in bounds)), cols, specs,
+                              train.where(F.col("idx") < min(f[1] for f in bounds)))
+        folds = [fold for _ in boosters for fold in bounds]
+        return in_threads([lambda t=t, f=f: _fold_accuracy(t, train, f[1], f[2]) for t, f in zip(models, folds)])
+
+    tasks: list[Callable] = [boosted] if boosters else []
+    tasks += [lambda f=f, b=b: one(f, b) for f in (fitters or {}).values() for b in bounds]
+    results = in_threads(tasks)
+    flat = results[1:] + results[0] if boosters else results
+    train.unpersist()
     out = []
-    for name, fitter in fitters.items():
-        accs = []
-        for fold, tr_end, te_end in SP.fold_bounds(n, n_splits):
-            tr = train.where(F.col("idx") < tr_end)
-            te = train.where((F.col("idx") >= tr_end) & (F.col("idx") < te_end))
-            t = fitter(tr, cols)
-            pred = t.raw_probabilities(te).withColumn("predicted", argmax_label(*PROBS))
-            accs.append(MT.accuracy(pred).first()["accuracy"])
+    for i, name in enumerate([*(fitters or {}), *(s.name for s in boosters or [])]):
+        accs = flat[i * len(bounds): (i + 1) * len(bounds)]
         mean = sum(accs) / len(accs)
         std = math.sqrt(sum((a - mean) ** 2 for a in accs) / len(accs))
         out.append({"model": name, "mean_accuracy": mean, "std_accuracy": std, "folds": accs})
-    train.unpersist()
     return out
 
 

@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from kickoff.plans import scoring as SC
 from kickoff.plans import training as TR
 
-ALL = {"Logistic Regression", "Random Forest", "Gradient Boosting"}
+ALL = {"Logistic Regression", "Random Forest", "Gradient Boosting", "Second-order Boosting"}
 
 
 @pytest.fixture()
@@ -15,8 +15,9 @@ def few_trees(monkeypatch):
     """Small ensembles: the tests look at which models run and what comes out, not at their quality."""
     monkeypatch.setitem(TR.FOREST, "numTrees", 2)
     monkeypatch.setitem(TR.FOREST, "maxDepth", 2)
-    monkeypatch.setitem(TR.BOOSTING, "maxIter", 2)
-    monkeypatch.setitem(TR.BOOSTING, "maxDepth", 2)
+    for model in (TR.BOOSTING, TR.SECOND_ORDER):
+        monkeypatch.setitem(model, "rounds", 2)
+        monkeypatch.setitem(model, "depth", 2)
 
 
 def test_boards_and_cv_cover_all_models(spark, few_trees):
@@ -29,7 +30,7 @@ def test_boards_and_cv_cover_all_models(spark, few_trees):
 def test_batch_predict_uses_the_selected_model_and_quoted_prices(spark, few_trees, monkeypatch):
     chosen = []
     real = TR.select_model
-    monkeypatch.setattr(TR, "select_model", lambda *a: chosen.append((real(*a), {m.name for m in a[2]})) or chosen[-1][0])
+    monkeypatch.setattr(TR, "select_model", lambda *a: chosen.append((real(*a), {m.name for m in a[1]})) or chosen[-1][0])
     got = {r["match_id"]: r for r in E.queries()["batch_predict"](spark, SF_SMALL).collect()}
     assert chosen[0][1] == ALL
     quoted = {r["match_id"]: r for r in SC.contests(spark, SF_SMALL).collect()}
