@@ -128,19 +128,44 @@ def test_mixing_is_native(spark, odd_dir):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def topk_plain(rows, every=100, k=10):
+    """Each query row's best k, over exact integers; a score beyond a long is the nearest one."""
+    top = (1 << 63) - 1
+    use = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None
+           and all(x is not None and math.isfinite(1024 * x) for x in v)]
+    out = []
+    for i, q in use:
+        if i % every == 0:
+            scores = sorted((-max(-top, min(top, sum(a * b for a, b in zip(q, v)))), j) for j, v in use if j != i)[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    return sorted(out)
+
+
 def test_topk_search(spark, odd_dir):
     got = sorted(tuple(r) for r in queries.QUERIES["op5_topk_search"](spark, odd_dir).collect())
     t = duckdb.sql(f"SELECT vec_id, embedding FROM read_parquet('{odd_dir}/embeddings.parquet')").fetchall()
-    use = [(i, [math.floor(1024 * x) for x in v]) for i, v in t if i is not None and v is not None
-           and all(x is not None and math.isfinite(x) and abs(x) < 1e5 for x in v)]
-    expected = []
-    for i, q in use:
-        if i % 100 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in use if j != i)[:10]
-            expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
-    twice = {i for i in (r[0] for r in expected) if [u[0] for u in use].count(i) > 1}  # both rows of an id are queries
-    assert [r for r in got if r[0] not in twice] == sorted(r for r in expected if r[0] not in twice)
-    assert twice == {100}
+    expected = topk_plain(t)
+    assert got == expected
+    assert len([r for r in got if r[0] == 100]) == 20 and 2600 in {r[2] for r in got}  # two rows of one id, large components
+
+
+def test_topk_search_of_large_values_and_many_dimensions(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.integers(-(1 << 17), 1 << 17, 600) + 0.5).tolist()) for i in range(120)]
+    rows += [(200 + i, (rng.normal(size=600) * 10.0 ** rng.integers(0, 25)).tolist()) for i in range(40)] + [(0, [131071.9] * 600), (7, [-3e30] * 600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/e")
+    docs = spark.read.parquet(f"{tmp_path}/e").select("*", F.lit("clash").alias("range"), F.lit(1).alias("number"), F.lit(1).alias("v"), F.lit(1).alias("id"))
+    assert sorted(tuple(r) for r in topk_search.search(docs, every=20).collect()) == topk_plain(rows, 20)
+
+
+@pytest.mark.parametrize("sizes", [(16, 4, 3, 2), (64, 8, 1, 1)])
+def test_topk_search_over_many_ranges_and_bands(spark, tmp_path, monkeypatch, sizes):
+    for name, value in zip(("RANGE", "BLOCK", "BAND", "SUMMARIES"), sizes):
+        monkeypatch.setattr(topk_search, name, value)
+    rng = np.random.default_rng(8)
+    rows = [(int(i), np.round(rng.normal(size=6), 1).tolist()) for i in rng.permutation(700)] + [(1000 + i, [1.0] * 6) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/e")
+    assert sorted(tuple(r) for r in topk_search.search(spark.read.parquet(f"{tmp_path}/e"), every=25).collect()) == topk_plain(rows, 25)
 
 
 def test_topk_search_equals_its_sql(spark, tmp_path):
@@ -151,39 +176,44 @@ def test_topk_search_equals_its_sql(spark, tmp_path):
     assert sorted(map(tuple, got)) == expected
 
 
-def test_topk_search_meets_bounded_bands_of_queries(spark, monkeypatch):
-    """A task gets one band of queries however many there are; the answer does not depend on the bands."""
+def test_topk_search_of_one_id_on_every_row(spark, tmp_path, monkeypatch):
+    """Bands of queries stay bounded, whatever the ids: rows are dealt by number."""
+    monkeypatch.setattr(topk_search, "BAND", 50)
     rng = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in rng.integers(-50, 50, 8)]) for i in range(3000)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    whole = sorted(map(tuple, topk_search.search(df, every=3).collect()))
-    monkeypatch.setattr(topk_search, "BAND", 100 * 8 * 8)  # about 100 queries
-    assert sorted(map(tuple, topk_search.search(df, every=3).collect())) == whole and len(whole) == 10_000
-    for copies in (1, 1000):  # distinct ids, and one id on every row
-        wanted = df.selectExpr(f"vec_id div {copies} * {copies} as id", "transform(embedding, x -> cast(x as long)) as v")
-        held = topk_search.query_chunks(wanted, topk_search.band_count(3000, 8), 8).groupBy("band").agg(F.sum(F.size("ids")).alias("n"))
-        sizes = [r["n"] for r in held.collect()]
-        assert sum(sizes) == 3000 and len(sizes) == 30 and max(sizes) < 160
-
-
-def test_topk_search_prunes_and_stays_exact():
+    rows = [(1000 * (i % 2), [float(x) for x in rng.integers(-50, 50, 8)]) for i in range(600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/e")
+    got = sorted(tuple(r) for r in topk_search.search(spark.read.parquet(f"{tmp_path}/e")).collect())
+    assert got == topk_plain(rows) and len(got) == 6000
+    numbered = spark.createDataFrame([(k, 0, [1.0] * 8, None, None) for k in range(600)],
+                                     "number long, id long, v array<double>, least double, probed array<long>")
+    sizes = [len(r["numbers"]) // 8 for r in topk_search._bands(numbered, 12, 8).collect()]
+    assert sum(sizes) == 600 and len(sizes) == 12 and max(sizes) < 100
+
+
+def test_topk_search_prunes_and_stays_exact(monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 16)) * 500
     vectors = np.floor(centres[np.repeat(np.arange(40), 64)] + rng.normal(size=(2560, 16)))
-    own, scored = topk_search.Range(np.arange(2560), vectors), []
-
-    def exact(rows, query):
-        scored.append(len(rows))
-        return topk_search._exact(rows, query)
-
-    for q, ids, scores in own.search(np.arange(0, 2560, 100), vectors[::100], 10, exact):
-        full = vectors @ vectors[q * 100]
-        full[q * 100] = -np.inf
+    scored, real = [], topk_search.exact
+    monkeypatch.setattr(topk_search, "exact", lambda rows, query: scored.append(len(rows)) or real(rows, query))
+    for q in range(0, 2560, 100):
+        ids, scores = topk_search.search_range(np.arange(2560), vectors, q, vectors[q], 10, -np.inf)
+        full = vectors @ vectors[q]
+        full[q] = -np.inf
         best = np.lexsort((np.arange(2560), -full))[:10]
         assert ids.tolist() == best.tolist() and scores.tolist() == full[best].tolist()
     assert sum(scored) < 0.5 * 26 * 2560
 
 
+def test_topk_bounds_hold_under_rounding():
+    rng = np.random.default_rng(2)
+    for dims in (3, 64, 600):
+        rows = np.floor(rng.normal(size=(50, dims)) * 2.0 ** rng.integers(0, 45, (50, dims)))
+        query = np.floor(rng.normal(size=dims) * 2.0 ** rng.integers(0, 45, dims))
+        bound = topk_search.bounds(query[None, :], rows.max(axis=0)[None, :], rows.min(axis=0)[None, :])[0, 0]
+        assert all(sum(int(a) * int(b) for a, b in zip(row, query)) <= bound for row in rows)
+
+
 def test_language_model(spark, odd_dir, pairs, monkeypatch):
     for share in (2000, 20):  # few and many frequent histories
         monkeypatch.setattr(language_model, "HOT_SHARE", share)
