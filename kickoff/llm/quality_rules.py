@@ -4,9 +4,11 @@ The words of each text are sorted as suffixes by prefix doubling (all texts of a
 text number is the leading key, so suffixes of different texts never mix, and only suffixes that
 still tie are sorted again). Longest common prefixes of neighbours in that order give the LCP
 intervals: the longest repeat that starts at a word is the larger prefix it shares with a
-neighbour. The union of those spans is the union of all maximal repeated substrings. A text is
-rejected if the spans of at least ``min_repeat`` words cover more than ``max_covered`` of its words,
-or if one repeat has more than ``max_longest`` words.
+neighbour; the longest that occurs three times or more is the larger prefix shared by three suffixes in a row. The union
+of those spans is the union of all maximal repeated substrings. A text is rejected if the spans of at least
+``long_repeat`` words, or of at least ``min_repeat`` words that occur three times or more, cover more than ``max_covered`` of
+its words, or if one repeat has more than ``max_longest`` words. (A header line that comes back once as a footer
+is no reason; the same line all over a text is.)
 
 Defined cases: a null or empty text has zero words and fails the base rule (fewer than 50 words).
 Texts of any length are measured whole; repeated rows and equal ids are measured independently;
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from .blocks import bytes_of, chunks
 from .spans import SEPARATORS, SpanHasher, distinct, join_texts, word_spans
 
-MIN_REPEAT = 16
+MIN_REPEAT = 5
+LONG_REPEAT = 16
 MAX_COVERED = 0.30
 MAX_LONGEST = 200
 # The base rules of the contract.
@@ -37,11 +40,12 @@ SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"]
 
 
-def suffix_repeats(words: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """For each word position the length of the longest repeat within its text that starts there."""
+def suffix_repeats(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word position the length of the longest repeat within its text that starts there, and of the longest that
+    occurs three times or more."""
     n = len(words)
     if n < 2:
-        return np.zeros(n, np.int64)
+        return np.zeros(n, np.int64), np.zeros(n, np.int64)
     key = text.astype(np.int64) * (int(words.max()) + 1) + words
     order = np.argsort(key, kind="stable")
 
@@ -76,22 +80,33 @@ def suffix_repeats(words: np.ndarray, text: np.ndarray) -> np.ndarray:
     for level in range(len(levels) - 1, -1, -1):
         step = (levels[level][i] == levels[level][j]) * (1 << level)
         common, i, j = common + step, i + step, j + step
-    best = np.zeros(n, np.int64)
-    np.maximum.at(best, order[pairs], common)
-    np.maximum.at(best, order[pairs + 1], common)
-    return best
+    shared = np.zeros(n + 1, np.int64)  # words that the suffix in a place shares with the one before it
+    shared[pairs + 1] = common
+    three = np.minimum(shared[:-1], shared[1:])  # with one on either side
+    best, thrice = np.empty(n, np.int64), np.empty(n, np.int64)
+    best[order] = np.maximum(shared[:-1], shared[1:])
+    thrice[order] = np.maximum(three, np.maximum(np.append(0, three[:-1]), np.append(three[1:], 0)))
+    return best, thrice
 
 
 def covered(best: np.ndarray, least: int, width: int | None = None) -> np.ndarray:
     """Mask of the words inside the union of the repeats of ``least`` words or more (cut to ``width``)."""
     at = np.flatnonzero(best >= least)
-    edge = np.zeros(len(best) + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + (best[at] if width is None else width), -1)
+    ends = at + (best[at] if width is None else width)
+    edge = np.bincount(at, minlength=len(best) + 1) - np.bincount(ends, minlength=len(best) + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def stats(texts: list[bytes | None], hasher: SpanHasher, min_repeat: int) -> dict[str, np.ndarray]:
+def distinct_words(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: SpanHasher) -> np.ndarray:
+    """Numbers of the words: equal for equal words, told apart by two 64-bit hashes."""
+    first, word = distinct(keys := hasher(units, starts, ends))
+    other = hasher(units, starts, ends, 1)
+    if np.array_equal(other, other[first][word]):
+        return word
+    return np.unique(np.rec.fromarrays([keys, other]), return_inverse=True)[1]
+
+
+def stats(texts: list[bytes | None], hasher: SpanHasher, min_repeat: int, long_repeat: int) -> dict[str, np.ndarray]:
     texts = [t or b"" for t in texts]
     units, offsets = join_texts(texts)
     starts, ends = word_spans(units)
@@ -104,8 +119,7 @@ def stats(texts: list[bytes | None], hasher: SpanHasher, min_repeat: int) -> dic
     def per_text(mask: np.ndarray) -> np.ndarray:
         return np.bincount(text[mask], minlength=n)
 
-    _, word = distinct(hasher(units, starts, ends))
-    best = suffix_repeats(word, text)
+    best, thrice = suffix_repeats(distinct_words(units, starts, ends, hasher), text)
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, text, best)
     lines = [[x for x in t.split(b"\n") if x.strip(SEPARATORS)] for t in texts]
@@ -115,7 +129,7 @@ def stats(texts: list[bytes | None], hasher: SpanHasher, min_repeat: int) -> dic
         "n_symbols": total(np.isin(units, list(SYMBOLS))),
         "n_dup_lines": np.array([len(x) - len(set(x)) for x in lines], np.int64),
         "n_repeat_words": per_text(covered(best, 3, 3)),
-        "covered_words": per_text(covered(best, min_repeat)),
+        "covered_words": per_text(covered(best, long_repeat) | covered(thrice, min_repeat)),
         "longest_repeat": longest,
     }
 
@@ -128,13 +142,13 @@ def verdicts(s: dict[str, np.ndarray], max_covered: float, max_longest: int) ->
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = MIN_REPEAT,
-            max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
+            long_repeat: int = LONG_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """One row per document: id, the counts, ``base_failed`` and ``kept``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
         for part in chunks(batches, "text"):
-            s = stats(bytes_of(part, "text"), hasher, min_repeat)
+            s = stats(bytes_of(part, "text"), hasher, min_repeat, long_repeat)
             failed, kept = verdicts(s, max_covered, max_longest)
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), *(pa.array(s[c], pa.int64()) for c in COUNTS), pa.array(failed), pa.array(kept)],
@@ -146,14 +160,14 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     return rows.mapInArrow(run, schema)
 
 
-def keep_clean(docs: DataFrame, text_col: str = "text", min_repeat: int = MIN_REPEAT,
+def keep_clean(docs: DataFrame, text_col: str = "text", min_repeat: int = MIN_REPEAT, long_repeat: int = LONG_REPEAT,
                max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text passes the rules."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
         for part in chunks(batches, text_col):
-            s = stats(bytes_of(part, text_col), hasher, min_repeat)
+            s = stats(bytes_of(part, text_col), hasher, min_repeat, long_repeat)
             yield part.filter(pa.array(verdicts(s, max_covered, max_longest)[1]))
 
     return docs.mapInArrow(run, docs.schema)

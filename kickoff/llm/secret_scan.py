@@ -48,7 +48,9 @@ BASE = (
     Rule("hex", r"[0-9a-f]{32,}"),  # a run is maximal either way; shorter ones would be dropped
 )
 EXTRA = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # a whole key block up to its END line; without one, the header and the base64 lines that follow it
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\\:,.\s-]*?-----END [A-Z ]*PRIVATE KEY-----"
+                        r"|(?:(?:\s|\\n)*[A-Za-z0-9+/=]{16,})*(?:\s*[A-Za-z0-9+/]+={1,2})?)"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),

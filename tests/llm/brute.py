@@ -94,13 +94,13 @@ def simhash(rows):
     return [(i, f"{f:016x}", None if least[root[f]] == math.inf else least[root[f]]) for (i, _), f in zip(rows, prints)]
 
 
-def repeated_positions(w, width):
+def repeated_positions(w, width, times=2):
     seen = Counter(tuple(w[k:k + width]) for k in range(len(w) - width + 1))
-    at = [k for k in range(len(w) - width + 1) if seen[tuple(w[k:k + width])] > 1]
+    at = [k for k in range(len(w) - width + 1) if seen[tuple(w[k:k + width])] >= times]
     return {p for k in at for p in range(k, k + width)}
 
 
-def quality(text, least=16, most_covered=0.30, most_longest=200):
+def quality(text, long=16, least=5, most_covered=0.30, most_longest=200):
     w = words(text)
     lines = [x for x in (text or "").split("\n") if words(x)]
     repeat = len(repeated_positions(w, 3))
@@ -110,7 +110,7 @@ def quality(text, least=16, most_covered=0.30, most_longest=200):
         longest += 1
         if longest > most_longest:
             break
-    kept = not failed and len(repeated_positions(w, least)) <= most_covered * len(w) and longest <= most_longest
+    kept = not failed and len(repeated_positions(w, long) | repeated_positions(w, least, 3)) <= most_covered * len(w) and longest <= most_longest
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), repeat, failed, kept)
 
 
