@@ -10,7 +10,8 @@ A block starts from *seed* rows: the totals of every team over the earlier block
 in which the teams were first seen, from one aggregation per (team, block) and a join of blocks with
 earlier blocks (a season has at most ``366 / days`` of them). Seeds and contests go through one exchange on
 (pool, season, block), are sorted, and are folded as a stream of Arrow batches; the state is one small
-record per team of the block's season.
+record per team of the block's season. The length of a block comes from the hottest (pool, season), so that none holds much more than
+``BLOCK_CONTESTS``; seasons that all stay below it are one block each and need no seeds.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "match_id long, home_league_pos int, away_league_pos int"
-BLOCK_DAYS = 28
+BLOCK_CONTESTS = 200_000
+SEASON_DAYS = 366
 _KEY = ["div", "season", "block"]
 
 
@@ -90,14 +92,25 @@ def _fold(batches):
                             "away_league_pos": pd.array(second, dtype="Int32")})
 
 
-def live_positions(contests: DataFrame, days: int = BLOCK_DAYS) -> DataFrame:
-    """W9; ``days`` is the length of a block and does not change the result."""
-    block = F.floor(F.datediff("match_date", F.lit("1970-01-01").cast("date")) / days).cast("long")
+def block_days(contests: DataFrame) -> int:
+    """Days of a block: a whole season, or the share of it in which the hottest (pool, season) has ``BLOCK_CONTESTS`` contests."""
+    hottest = contests.groupBy("div", "season").count().agg(F.max("count")).first()[0] or 0
+    return SEASON_DAYS if hottest <= BLOCK_CONTESTS else max(1, SEASON_DAYS * BLOCK_CONTESTS // hottest)
+
+
+def live_positions(contests: DataFrame, days: int | None = None) -> DataFrame:
+    """W9; ``days`` is the length of a block (default: from the data) and does not change the result."""
+    days = days or block_days(contests)
+    split = days < SEASON_DAYS
+    block = F.floor(F.datediff("match_date", F.lit("1970-01-01").cast("date")) / days).cast("long") if split else F.lit(0).cast("long")
     rows = contests.select("div", "season", block.alias("block"), "match_date", "match_id", "home_team", "away_team",
-                           "fthg", "ftag", "ftr")
-    start = seeds(rows).select(*_KEY, F.lit(0).alias("kind"), F.col("team").alias("home_team"), "points", "diff", "scored",
-                               F.col("place").alias("match_id"))
-    stream = rows.withColumn("kind", F.lit(1)).unionByName(start, allowMissingColumns=True)
+                           "fthg", "ftag", "ftr").withColumn("kind", F.lit(1))
+    extra = {c: F.lit(None).cast("long") for c in ("points", "diff", "scored")}
+    stream = rows.withColumns(extra)
+    if split:
+        start = seeds(rows).select(*_KEY, F.lit(0).alias("kind"), F.col("team").alias("home_team"), "points", "diff", "scored",
+                                   F.col("place").alias("match_id"))
+        stream = rows.unionByName(start, allowMissingColumns=True)
     ordered = stream.repartition(*_KEY).sortWithinPartitions(*_KEY, "kind", "match_date", "match_id")
     return (ordered.mapInPandas(_fold, SCHEMA)
             .withColumn("league_pos_diff", F.col("home_league_pos") - F.col("away_league_pos")))

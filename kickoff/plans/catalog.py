@@ -516,7 +516,25 @@ def _anova_sql(frame: str, x: str) -> str:
 
 register("rest_days", "W8", _EDA + " SELECT match_id, home_rest_days, away_rest_days, rest_diff FROM rest2")(
     EDA.rest_days)
-register("live_table", "W9", _EDA + " SELECT match_id, home_league_pos, away_league_pos, league_pos_diff FROM posn2")(
+# running sums per team of the season's grid: equal joins only
+_LIVE = O.with_(O.CONTESTS) + """,
+sq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY div, season ORDER BY match_date, match_id) AS seq FROM c),
+ev AS MATERIALIZED (SELECT div, season, seq, home_team AS team, 0 AS side, fthg AS gf, fthg - ftag AS gd,
+         CASE ftr WHEN 'H' THEN 3 WHEN 'D' THEN 1 ELSE 0 END AS pts FROM sq
+       UNION ALL SELECT div, season, seq, away_team, 1, ftag, ftag - fthg, CASE ftr WHEN 'A' THEN 3 WHEN 'D' THEN 1 ELSE 0 END FROM sq),
+fs AS MATERIALIZED (SELECT div, season, team, min(seq * 2 + side) AS fs FROM ev GROUP BY ALL),
+grid AS MATERIALIZED (SELECT m.div, m.season, m.seq, f.team, f.fs FROM sq m JOIN fs f ON f.div = m.div AND f.season = m.season),
+st AS MATERIALIZED (SELECT g.*, SUM(COALESCE(e.pts, 0)) OVER w AS pts, SUM(COALESCE(e.gd, 0)) OVER w AS gd, SUM(COALESCE(e.gf, 0)) OVER w AS gf
+       FROM grid g LEFT JOIN ev e ON e.div = g.div AND e.season = g.season AND e.team = g.team AND e.seq = g.seq
+       WINDOW w AS (PARTITION BY g.div, g.season, g.team ORDER BY g.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rk AS MATERIALIZED (SELECT div, season, seq, team, COUNT(*) OVER (PARTITION BY div, season, seq) AS nteams,
+         row_number() OVER (PARTITION BY div, season, seq ORDER BY pts DESC, gd DESC, gf DESC, fs) AS pos FROM st WHERE fs < seq * 2)
+SELECT m.match_id, CAST(CASE WHEN h.nteams >= 2 THEN h.pos END AS INTEGER) AS home_league_pos,
+  CAST(CASE WHEN a.nteams >= 2 THEN a.pos END AS INTEGER) AS away_league_pos,
+  CAST(CASE WHEN h.nteams >= 2 THEN h.pos END - CASE WHEN a.nteams >= 2 THEN a.pos END AS INTEGER) AS league_pos_diff
+FROM sq m LEFT JOIN rk h ON h.div = m.div AND h.season = m.season AND h.seq = m.seq AND h.team = m.home_team
+LEFT JOIN rk a ON a.div = m.div AND a.season = m.season AND a.seq = m.seq AND a.team = m.away_team"""
+register("live_table", "W9", _LIVE)(
     lambda spark, sf: live_positions(contests(spark, sf)))
 register("feature_corr", "T1", _EDA + " " + _corr_sql("rf", EDA.REST) + " UNION ALL " + _corr_sql("pf", EDA.POS))(
     EDA.new_feature_corr)

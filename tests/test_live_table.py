@@ -1,14 +1,21 @@
-"""The live table in one block, as a test only: no registered query folds a season in one task."""
+"""The live table does not depend on how a season is cut into blocks."""
 
 from contest_samples import SF_SMALL
 
-import __spark_entry__ as E
-from kickoff.operators.league import live_positions
+import kickoff.operators.league as league
 from kickoff.sources.contests import contests
 
 
-def test_one_block_equals_short_blocks_and_is_not_registered(spark):
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_blocks_of_any_length_agree(spark, monkeypatch):
     c = contests(spark, SF_SMALL)
-    one = sorted(map(tuple, live_positions(c, days=1 << 20).collect()), key=repr)
-    assert one and one == sorted(map(tuple, live_positions(c, days=5).collect()), key=repr)
-    assert "live_table_one_block" not in E.queries() and "live_table" in E.queries()
+    whole = rows(league.live_positions(c))
+    assert league.block_days(c) == league.SEASON_DAYS
+    for days in (5, 28, 1 << 20):
+        assert rows(league.live_positions(c, days)) == whole
+    monkeypatch.setattr(league, "BLOCK_CONTESTS", 3)
+    assert 1 <= league.block_days(c) < league.SEASON_DAYS
+    assert rows(league.live_positions(c)) == whole
