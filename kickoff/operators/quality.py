@@ -8,7 +8,7 @@ holding a third of the table is pre-reduced map-side, never gathered into one ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import season_label, season_start
@@ -52,6 +52,9 @@ def clean_contests(raw: DataFrame, date_text: str = "date_text") -> DataFrame:
               .withColumn("season", season_label("match_date")))
 
 
+REPORT = ["rows_in", "removed_bad_result", "removed_missing", "rows_out", "first_date", "last_date", "home_teams"]
+
+
 def cleaning_report(raw: DataFrame, date_text: str = "date_text") -> DataFrame:
     """P2/P3/P6 counts of one cleaning run, in one aggregation pass."""
     d = parse_day_first(date_text)
@@ -68,6 +71,24 @@ def cleaning_report(raw: DataFrame, date_text: str = "date_text") -> DataFrame:
         F.count_distinct(F.when(kept, strip("home_team"))).alias("home_teams"))
 
 
+def write_cleaned(raw: DataFrame, path: str, date_text: str = "date_text") -> DataFrame:
+    """P7 and P2/P3/P6 in one job: the cleaned table is written to ``path`` while its report is observed on the rows that pass by.
+    Returns the report (the row of ``cleaning_report``). Distinct home teams are observed as a set, bounded by the league's teams."""
+    spark = raw.sparkSession
+    d = parse_day_first(date_text)
+    ok_ftr = F.coalesce(F.col("ftr").isin(VALID_RESULTS), F.lit(False))
+    essential = (d.isNull() | F.col("home_team").isNull() | F.col("away_team").isNull() | F.col("fthg").isNull() | F.col("ftag").isNull())
+    kept = ok_ftr & ~essential
+    seen = Observation("cleaning")
+    observed = raw.observe(
+        seen, F.count(F.lit(1)).alias("rows_in"), F.count_if(~ok_ftr).alias("removed_bad_result"), F.count_if(ok_ftr & essential).alias("removed_missing"),
+        F.count_if(kept).alias("rows_out"), F.min(F.when(kept, d)).alias("first_date"), F.max(F.when(kept, d)).alias("last_date"),
+        F.size(F.collect_set(F.when(kept, strip("home_team")))).cast("long").alias("home_teams"))
+    clean_contests(observed, date_text).write.parquet(path)
+    row = seen.get
+    return spark.createDataFrame([tuple(row[c] for c in REPORT)], ", ".join(f"{c} {'date' if c.endswith('date') else 'long'}" for c in REPORT))
+
+
 def _row(check: str, column: str, n, detail=None):
     return F.struct(F.lit(check).alias("check"), F.lit(column).alias("column"), n.cast("long").alias("n_bad"),
                     (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
