@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import prices as P
 from ..operators import bayes, drift, intervals, pages, quality, retrieval
-from ..session import fresh_path
+from ..session import fresh_path, materialize
 from ..sources.contests import contests, dirty_contests
 from ..sources.tables import read_table
 from . import catalog as C
+from . import features as FE
 from . import oracle_sql as O
+from . import training as TR
+from . import tuning
 
 # ---------------------------------------------------------------- P2, P6 the report of the run that writes the table
 C.register("cleaning_observed", "P2,P3,P6,P7", C.SQL["cleaning_report"])(
@@ -142,3 +145,15 @@ C.register("similar_vectors", "R13")(similar_vectors)
 
 # ---------------------------------------------------------------- R8 shown text of pages
 C.register("page_text", "R8")(lambda spark, sf: pages.clean_pages(read_table(spark, sf, "pages", "page_id", "html")))
+
+# ---------------------------------------------------------------- M10 hyper-parameter search
+TUNE_TRIALS = 8  # trials a model of the registered query; ``tuning.search`` takes any number (50 by default)
+
+
+def tune_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials of every model over its full space, pruned ones marked."""
+    data = materialize(TR.prepare(FE.model_ready(FE.match_features(spark, sf_dir))), "model-rows")
+    return tuning.trials_table(spark, tuning.search(data, TUNE_TRIALS))
+
+
+C.register("tune_models", "M10,M9")(tune_models)

@@ -18,7 +18,6 @@ reference's semantics:
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
@@ -271,8 +270,8 @@ def test_predictions(t: Trained, data: DataFrame) -> DataFrame:
     return t.probabilities(data.where(F.col("split") == "test")).select(*FE.META, "target", "predicted", *PROBS)
 
 
-# ------------------------------------------------------------------ M9/M10 time-series CV and search
-def _fold_accuracy(t: Trained, rows: DataFrame, lo: int, hi: int) -> float:
+# ------------------------------------------------------------------ M9 time-series CV
+def fold_accuracy(t: Trained, rows: DataFrame, lo: int, hi: int) -> float:
     test = rows.where((F.col("idx") >= lo) & (F.col("idx") < hi))
     return MT.accuracy(t.raw_probabilities(test).withColumn("predicted", argmax_label(*PROBS))).first()["accuracy"]
 
@@ -295,14 +294,14 @@ def cv_scores(data: DataFrame, fitters: dict | None = None, boosters: list[BO.Sp
     train = train.persist()
 
     def one(fitter: Callable, fold: tuple[int, int, int]) -> float:
-        return _fold_accuracy(fitter(train.where(F.col("idx") < fold[1]), cols), train, fold[1], fold[2])
+        return fold_accuracy(fitter(train.where(F.col("idx") < fold[1]), cols), train, fold[1], fold[2])
 
     def boosted() -> list[float]:
         specs = [replace(spec, hi=fold[1]) for spec in boosters for fold in bounds]
         models = fit_boosting(train.where(F.col("idx") < max(f[1] for f in bounds)), cols, specs,
                               train.where(F.col("idx") < min(f[1] for f in bounds)))
         folds = [fold for _ in boosters for fold in bounds]
-        return in_threads([lambda t=t, f=f: _fold_accuracy(t, train, f[1], f[2]) for t, f in zip(models, folds)])
+        return in_threads([lambda t=t, f=f: fold_accuracy(t, train, f[1], f[2]) for t, f in zip(models, folds)])
 
     tasks: list[Callable] = [boosted] if boosters else []
     tasks += [lambda f=f, b=b: one(f, b) for f in (fitters or {}).values() for b in bounds]
@@ -316,49 +315,3 @@ def cv_scores(data: DataFrame, fitters: dict | None = None, boosters: list[BO.Sp
         std = math.sqrt(sum((a - mean) ** 2 for a in accs) / len(accs))
         out.append({"model": name, "mean_accuracy": mean, "std_accuracy": std, "folds": accs})
     return out
-
-
-# The reference's search spaces (ranges; log = log-uniform).
-SPACES = {
-    "Logistic Regression": {"C": ("float", 0.01, 10.0, True)},
-    "Random Forest": {"numTrees": ("int", 100, 500, 50), "maxDepth": ("int", 4, 12, 1),
-                      "minInstancesPerNode": ("int", 5, 50, 1), "featureSubsetStrategy": ("cat", ["sqrt", "log2"])},
-    "Gradient Boosting": {"maxIter": ("int", 100, 500, 50), "maxDepth": ("int", 2, 6, 1),
-                          "stepSize": ("float", 0.01, 0.3, True), "subsamplingRate": ("float", 0.6, 1.0, False),
-                          "minInstancesPerNode": ("int", 10, 50, 1)},
-}
-
-
-def sample_params(space: dict, rng: random.Random) -> dict:
-    out = {}
-    for k, spec in space.items():
-        if spec[0] == "float":
-            lo, hi, log = spec[1], spec[2], spec[3]
-            out[k] = math.exp(rng.uniform(math.log(lo), math.log(hi))) if log else rng.uniform(lo, hi)
-        elif spec[0] == "int":
-            lo, hi, step = spec[1], spec[2], spec[3]
-            out[k] = lo + step * rng.randrange((hi - lo) // step + 1)
-        else:
-            out[k] = rng.choice(spec[1])
-    return out
-
-
-def random_search(data: DataFrame, n_trials: int = 50, seed: int = SEED, models=("Logistic Regression",)) -> list[dict]:
-    """Seeded random search over the reference's spaces; objective = mean CV accuracy."""
-    rng = random.Random(seed)
-    results = []
-    for name in models:
-        best = None
-        for trial in range(n_trials):
-            params = sample_params(SPACES[name], rng)
-            if name == "Logistic Regression":
-                fitters = {name: lambda tr, cols, p=params: fit_logistic(tr, cols, C=p["C"])}
-            elif name == "Random Forest":
-                fitters = {name: lambda tr, cols, p=params: fit_forest(tr, cols, **p)}
-            else:
-                fitters = {name: lambda tr, cols, p=params: fit_boosting(tr, cols, **p)}
-            score = cv_scores(data, fitters)[0]["mean_accuracy"]
-            results.append({"model": name, "trial": trial, "params": str(params), "mean_cv_accuracy": score})
-            if best is None or score > best[0]:
-                best = (score, params)
-    return results

@@ -196,8 +196,9 @@ def test_topk_search_prunes_and_stays_exact(monkeypatch):
     vectors = np.floor(centres[np.repeat(np.arange(40), 64)] + rng.normal(size=(2560, 16)))
     scored, real = [], topk_search.exact
     monkeypatch.setattr(topk_search, "exact", lambda rows, query: scored.append(len(rows)) or real(rows, query))
+    bound = topk_search.block_bounds(vectors, vectors)
     for q in range(0, 2560, 100):
-        ids, scores = topk_search.search_range(np.arange(2560), vectors, q, vectors[q], 10, -np.inf)
+        ids, scores = topk_search.search_range(np.arange(2560), vectors, bound[q], q, vectors[q], 10, -np.inf)
         full = vectors @ vectors[q]
         full[q] = -np.inf
         best = np.lexsort((np.arange(2560), -full))[:10]
