@@ -10,6 +10,7 @@ from ..operators import bayes, drift, intervals, pages, quality, retrieval
 from ..session import fresh_path, materialize
 from ..sources.contests import contests, dirty_contests
 from ..sources.tables import read_table
+from ..streaming import run as SR
 from . import catalog as C
 from . import features as FE
 from . import oracle_sql as O
@@ -157,3 +158,8 @@ def tune_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 C.register("tune_models", "M10,M9")(tune_models)
+
+
+# ---------------------------------------------------------------- R3, R4 with keyed state in the state store
+C.register("value_moves_state", "R3", C.SQL["value_moves"])(SR.value_moves_stateful)
+C.register("elo_state", "R4", C.SQL["elo_stream"])(SR.elo_stateful)

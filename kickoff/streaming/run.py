@@ -5,6 +5,7 @@ shared checkpoint folder."""
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ..session import scratch_path
 from ..sources.contests import contests
 from ..sources.tables import read_table
 from . import jobs as J
+from . import state as S
 
 CONTEST_STREAM_SCHEMA = ("div string, match_date date, match_id long, home_team string, away_team string, "
                          "fthg long, ftag long, ftr string")
@@ -38,17 +40,19 @@ def routed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SHARDS = 256  # most files a period is written in
+STATE_BYTES = 64 << 20  # input per partition of a state store
 
 
-def _feed(spark: SparkSession, rows: DataFrame, period: str, key: str, base: str, schema: str, write) -> None:
+def _feed(spark: SparkSession, rows: DataFrame, period: str, key: str, base: str, schema: str, write=None, query=None) -> None:
     """Feed ``rows`` period after period (a bounded calendar label, in date order) to a file stream: one micro-batch
-    each. The source is scanned once, into a folder per period; a period is dealt over tasks by the row's ``key``."""
+    each, through ``write`` or the streaming ``query``. The source is scanned once, into a folder per period; a
+    period is dealt over tasks by the row's ``key``. Rows without a period (a null time) are a period of their own, the first."""
     rows.repartition(period, F.pmod(F.xxhash64(key), F.lit(SHARDS))).write.partitionBy(period).parquet(f"{base}/periods")
     staged = spark.read.schema(f"{schema}, {period} string").parquet(f"{base}/periods")
     for label in [r[0] for r in staged.select(period).distinct().orderBy(period).collect()]:
-        staged.where(F.col(period) == label).drop(period).write.mode("append").parquet(f"{base}/in")
-        _run(spark.readStream.schema(schema).parquet(f"{base}/in").writeStream.foreachBatch(write)
-             .option("checkpointLocation", f"{base}/ckpt"))
+        staged.where(F.col(period).eqNullSafe(label)).drop(period).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+        _run((query(stream) if query else stream.writeStream.foreachBatch(write)).option("checkpointLocation", f"{base}/ckpt"))
 
 
 def elo_stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,3 +88,47 @@ def value_moves_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select(*J.EVENT_COLS, F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"))
     _feed(spark, e, "week", "event_id", base, J.MOVE_SCHEMA, J.move_batches(f"{base}/out"))
     return spark.read.schema(J.MOVE_OUT).parquet(f"{base}/out/moves").drop("epoch")
+
+
+@contextmanager
+def state_store(spark: SparkSession, rows: DataFrame | None = None):
+    """The session with the state store that keyed state needs, and as many state partitions as the size of ``rows`` asks for (a
+    checkpoint keeps its number); the former settings come back afterwards."""
+    settings = {"spark.sql.streaming.stateStore.providerClass": S.STORE}
+    if rows is not None:
+        size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # optimizer's estimate
+        settings["spark.sql.shuffle.partitions"] = str(max(4, size // STATE_BYTES))
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def value_moves_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3 end to end with keyed state in the state store, quarter by quarter; every period is a restart from the checkpoint."""
+    base = _dir(spark, "moves-state")
+    e = events(spark, sf_dir).select(*J.EVENT_COLS, F.date_format(F.date_trunc("quarter", "ts"), "yyyy-MM-dd").alias("quarter"))
+
+    def query(stream: DataFrame):
+        return S.value_moves_state(stream).writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
+
+    with state_store(spark, e):
+        _feed(spark, e, "quarter", "event_id", base, J.MOVE_SCHEMA, query=query)
+    return spark.read.schema(S.OUT).parquet(f"{base}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def elo_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R4 end to end with the ratings in the state store, season by season; every season is a restart from the checkpoint."""
+    base = _dir(spark, "elo-state")
+    c = contests(spark, sf_dir).select("div", "match_date", "match_id", "home_team", "away_team", "fthg", "ftag", "ftr", "season")
+
+    def query(stream: DataFrame):
+        return S.elo_state(stream).writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
+
+    with state_store(spark, c):
+        _feed(spark, c, "season", "match_id", base, CONTEST_STREAM_SCHEMA, query=query)
+    return spark.read.schema(J.ELO_STREAM_OUT).parquet(f"{base}/out")
