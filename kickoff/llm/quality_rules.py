@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import bytes_of, chunks
-from .spans import SEPARATORS, SpanHasher, distinct, join_texts, word_spans
+from .spans import SEPARATORS, join_texts, word_spans
 
 MIN_REPEAT = 5
 LONG_REPEAT = 16
@@ -97,16 +97,17 @@ def covered(best: np.ndarray, least: int, width: int | None = None) -> np.ndarra
     return np.cumsum(edge[:-1]) > 0
 
 
-def distinct_words(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: SpanHasher) -> np.ndarray:
-    """Numbers of the words: equal for equal words, told apart by two 64-bit hashes."""
-    first, word = distinct(keys := hasher(units, starts, ends))
-    other = hasher(units, starts, ends, 1)
-    if np.array_equal(other, other[first][word]):
-        return word
-    return np.unique(np.rec.fromarrays([keys, other]), return_inverse=True)[1]
+def distinct_words(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of the words, equal for equal words (Arrow's dictionary encoding compares the bytes; gaps get numbers too)."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    offsets = np.empty(2 * len(starts), np.int32)
+    offsets[0::2], offsets[1::2] = starts, ends
+    pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(units)])
+    return pieces.dictionary_encode().indices.to_numpy()[0::2].astype(np.int64)
 
 
-def stats(texts: list[bytes | None], hasher: SpanHasher, min_repeat: int, long_repeat: int) -> dict[str, np.ndarray]:
+def stats(texts: list[bytes | None], min_repeat: int, long_repeat: int) -> dict[str, np.ndarray]:
     texts = [t or b"" for t in texts]
     units, offsets = join_texts(texts)
     starts, ends = word_spans(units)
@@ -119,7 +120,7 @@ def stats(texts: list[bytes | None], hasher: SpanHasher, min_repeat: int, long_r
     def per_text(mask: np.ndarray) -> np.ndarray:
         return np.bincount(text[mask], minlength=n)
 
-    best, thrice = suffix_repeats(distinct_words(units, starts, ends, hasher), text)
+    best, thrice = suffix_repeats(distinct_words(units, starts, ends), text)
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, text, best)
     lines = [[x for x in t.split(b"\n") if x.strip(SEPARATORS)] for t in texts]
@@ -146,9 +147,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     """One row per document: id, the counts, ``base_failed`` and ``kept``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHasher()
         for part in chunks(batches, "text"):
-            s = stats(bytes_of(part, "text"), hasher, min_repeat, long_repeat)
+            s = stats(bytes_of(part, "text"), min_repeat, long_repeat)
             failed, kept = verdicts(s, max_covered, max_longest)
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), *(pa.array(s[c], pa.int64()) for c in COUNTS), pa.array(failed), pa.array(kept)],
@@ -165,9 +165,8 @@ def keep_clean(docs: DataFrame, text_col: str = "text", min_repeat: int = MIN_RE
     """The rows of ``docs``, all columns as they are, whose text passes the rules."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHasher()
         for part in chunks(batches, text_col):
-            s = stats(bytes_of(part, text_col), hasher, min_repeat, long_repeat)
+            s = stats(bytes_of(part, text_col), min_repeat, long_repeat)
             yield part.filter(pa.array(verdicts(s, max_covered, max_longest)[1]))
 
     return docs.mapInArrow(run, docs.schema)

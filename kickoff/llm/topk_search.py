@@ -97,18 +97,23 @@ def bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray
     return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T + reach * (queries.shape[1] + 4) * EPS
 
 
-def search_range(ids: np.ndarray, vectors: np.ndarray, own: int, query: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+def block_bounds(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Upper bounds (queries by blocks) from the term maxima and minima of each block of documents."""
+    starts = np.arange(0, len(vectors), BLOCK)
+    return bounds(queries, np.maximum.reduceat(vectors, starts, axis=0), np.minimum.reduceat(vectors, starts, axis=0))
+
+
+def search_range(ids: np.ndarray, vectors: np.ndarray, bound: np.ndarray, own: int, query: np.ndarray, k: int,
+                 least: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids and scores of the best k documents of a range for one query, best first; none need be below ``least``."""
-    starts = np.arange(0, len(ids), BLOCK)
-    high, low = np.maximum.reduceat(vectors, starts, axis=0), np.minimum.reduceat(vectors, starts, axis=0)
-    bound = bounds(query[None, :], high, low)[0]
     order = np.argsort(-bound, kind="stable")
+    order = order[bound[order] >= least]
     found, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
     at, width = 0, 2  # blocks are taken in growing groups, so that early scores prune the rest
     while at < len(order):
-        floor = max(least, float(scores[k - 1]) * (1 - np.sign(scores[k - 1]) * EPS)) if len(found) >= k else least
         taken = order[at: at + width]
-        taken = taken[bound[taken] >= floor]
+        if len(found) >= k:
+            taken = taken[bound[taken] >= float(scores[k - 1]) - abs(float(scores[k - 1])) * EPS]
         if not len(taken):
             break  # bounds only fall from here on
         rows = (taken[:, None] * BLOCK + np.arange(BLOCK)).ravel()
@@ -203,8 +208,9 @@ def _score(index: DataFrame, pairs: DataFrame, queries: DataFrame, bands: int, d
             ids = np.frombuffer(documents.column("ids")[0].as_py(), np.int64)
             vectors = unpack(documents.column("m")[0].as_py(), dims)
             m = _matrix(wanted.column("v").combine_chunks(), dims)
-            for q, number, own, least in zip(m, *(wanted.column(c).to_pylist() for c in ("number", "id", "least"))):
-                found, scores = search_range(ids, vectors, own, q, k, -np.inf if least is None else least)
+            reach = block_bounds(vectors, m)
+            for q, bound, number, own, least in zip(m, reach, *(wanted.column(c).to_pylist() for c in ("number", "id", "least"))):
+                found, scores = search_range(ids, vectors, bound, own, q, k, -np.inf if least is None else least)
                 out += zip([number] * len(found), [own] * len(found), found.tolist(), scores.tolist())
         columns = list(zip(*out)) or [()] * 4
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["number", "query_id", "vec_id", "score"])
