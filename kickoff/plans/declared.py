@@ -1,4 +1,4 @@
-"""Queries for jobs that the reference only declares (R6, R8, R9, R11, R13) and the observed cleaning run."""
+"""Queries for jobs that the reference only declares (R3, R4, R6, R7, R8, R9, R11, R13) and the observed cleaning run."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import prices as P
-from ..operators import bayes, drift, intervals, pages, quality, retrieval
+from ..operators import bayes, drift, intervals, pages, quality, retrieval, similar
 from ..session import fresh_path, materialize
 from ..sources.contests import contests, dirty_contests
 from ..sources.tables import read_table
@@ -163,3 +163,28 @@ C.register("tune_models", "M10,M9")(tune_models)
 # ---------------------------------------------------------------- R3, R4 with keyed state in the state store
 C.register("value_moves_state", "R3", C.SQL["value_moves"])(SR.value_moves_stateful)
 C.register("elo_state", "R4", C.SQL["elo_stream"])(SR.elo_stateful)
+
+
+# ---------------------------------------------------------------- R7 duplicate articles
+def article_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of equal articles, number of similar classes, and whether the article is the most authoritative of its kind."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return similar.duplicates(docs, "doc_id", "text", "source").select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), "links", "keep")
+
+
+C.register("article_duplicates", "R7", r"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+      FROM w WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+j AS MATERIALIZED (SELECT p.a, p.b, p.c, x.n + y.n - p.c AS u FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b
+      WHERE 100 * p.c >= 80 * (x.n + y.n - p.c)),
+k AS MATERIALIZED (SELECT d.doc_id, least(d.doc_id, COALESCE(min(j.b) FILTER (WHERE j.c = j.u), d.doc_id)) AS class_id, any_value(d.source) AS source
+      FROM documents d LEFT JOIN j ON j.a = d.doc_id GROUP BY d.doc_id),
+l AS (SELECT j.a, COUNT(DISTINCT kb.class_id) AS links FROM j JOIN k ka ON ka.doc_id = j.a JOIN k kb ON kb.doc_id = j.b
+      WHERE ka.class_id <> kb.class_id GROUP BY j.a),
+better AS (SELECT DISTINCT j.a FROM j JOIN k x ON x.doc_id = j.a JOIN k y ON y.doc_id = j.b
+      WHERE (y.source IS NOT NULL AND (x.source IS NULL OR y.source < x.source)) OR (y.source IS NOT DISTINCT FROM x.source AND y.doc_id < x.doc_id))
+SELECT k.doc_id, k.class_id, COALESCE(l.links, 0) AS links, better.a IS NULL AS keep
+FROM k LEFT JOIN l ON l.a = k.doc_id LEFT JOIN better ON better.a = k.doc_id""")(article_duplicates)
