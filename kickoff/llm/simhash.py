@@ -26,7 +26,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from pyspark.sql.types import LongType, StructField, StructType
 
 from kickoff.session import materialize
@@ -137,12 +136,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """The rows of ``docs`` that stay: of each component the row with the smallest id (nulls last), once. Of rows that share that id
     and its fingerprint but differ otherwise, the one whose hash of all columns is least, so reruns agree."""
     taken = {c.lower() for c in docs.columns}
-    fp = next(f"fp_{i}" for i in range(len(taken) + 1) if f"fp_{i}" not in taken)
-    marked = materialize(with_fingerprint(docs, fp, text_col, shingle), "simhash-marked")
-    prints = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
+    fp, row = (next(f"{name}_{i}" for i in range(len(taken) + 1) if f"{name}_{i}" not in taken) for name in ("fp", "row"))
+    marked = materialize(with_fingerprint(docs, fp, text_col, shingle).withColumn(row, F.xxhash64(*docs.columns)), "simhash-marked")
+    prints = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
     firsts = prints.join(_groups(prints), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-    stays = firsts.groupBy("root").agg(F.min(F.struct("fp", "component_id")).alias("k")).select(
-        F.col("k.fp").alias("keep_fp"), F.col("k.component_id").alias("keep_id"))
-    kept = marked.join(stays, F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col(fp) == F.col("keep_fp")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(id_col, fp).orderBy(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)))
-    return kept.select("*", nth.alias(f"n_{fp}")).where(F.col(f"n_{fp}") == 1).drop(fp, f"n_{fp}")
+    # narrow rows choose: the least fingerprint of a component's first id, then the least hash of a row
+    stays = firsts.groupBy("root").agg(F.min(F.struct("fp", "row")).alias("k"), F.first("component_id").alias("keep_id")).select(
+        F.col("k.fp").alias("keep_fp"), F.col("k.row").alias("keep_row"), "keep_id")
+    same = F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col(fp) == F.col("keep_fp")) & (F.col(row) == F.col("keep_row"))
+    return marked.join(stays, same, "left_semi").dropDuplicates([id_col, fp, row]).drop(fp, row)
