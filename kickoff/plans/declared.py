@@ -1,4 +1,4 @@
-"""Queries for jobs that the reference only declares (R3, R4, R6, R7, R8, R9, R11, R13) and the observed cleaning run."""
+"""Queries for jobs that the reference only declares (R3, R4, R6, R7, R8, R9, R10, R11, R13) and the observed cleaning run."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import prices as P
-from ..operators import bayes, drift, intervals, pages, quality, retrieval, similar
+from ..operators import bayes, drift, entities, intervals, pages, quality, retrieval, similar
 from ..session import fresh_path, materialize
 from ..sources.contests import contests, dirty_contests
 from ..sources.tables import read_table
@@ -188,3 +188,30 @@ better AS (SELECT DISTINCT j.a FROM j JOIN k x ON x.doc_id = j.a JOIN k y ON y.d
       WHERE (y.source IS NOT NULL AND (x.source IS NULL OR y.source < x.source)) OR (y.source IS NOT DISTINCT FROM x.source AND y.doc_id < x.doc_id))
 SELECT k.doc_id, k.class_id, COALESCE(l.links, 0) AS links, better.a IS NULL AS keep
 FROM k LEFT JOIN l ON l.a = k.doc_id LEFT JOIN better ON better.a = k.doc_id""")(article_duplicates)
+
+
+# ---------------------------------------------------------------- R10 mentions of sites in documents
+def site_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alias table from page addresses: a site is its host without a leading www, m or blog; its aliases are the site's first label
+    and that label with spaces for hyphens."""
+    host = F.regexp_extract("url", "://([^/:?#]+)", 1)
+    site = F.regexp_replace(F.lower(host), r"^(www|m|blog)\.", "")
+    sites = read_table(spark, sf_dir, "pages", "url").select(site.alias("site")).where("site <> ''").distinct()
+    label = F.regexp_extract("site", r"^[^.]+", 0)
+    return entities.alias_table(sites.select("site", F.explode(F.array_distinct(F.array(label, F.translate(label, "-", " ")))).alias("alias")),
+                                "alias", "site")
+
+
+def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every site, exact mentions, documents that mention it, and words that miss its name by one edit."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    names = materialize(site_names(spark, sf_dir), "site-names")
+    exact = entities.find_mentions(docs, "doc_id", "text", names).groupBy("entity").agg(
+        F.count(F.lit(1)).alias("mentions"), F.count_distinct("id").alias("documents"))
+    near = entities.near_names(docs, "text", names).groupBy("entity").agg(F.sum("n").alias("near"))
+    zero = F.lit(0).cast("long")
+    return (names.select("entity").distinct().join(exact, "entity", "left").join(near, "entity", "left")
+            .select("entity", *(F.coalesce(c, zero).alias(c) for c in ("mentions", "documents", "near"))))
+
+
+C.register("entity_mentions", "R10")(entity_mentions)
