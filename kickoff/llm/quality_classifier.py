@@ -6,7 +6,7 @@ rule over statistics. A lasso logistic regression weighs the rules and leaves mo
 compiled into one column expression, so scoring is a projection over the scan: no join, no shuffle, no Python.
 
 Only ``text`` feeds the statistics. Rows whose crc32(id as text) mod ``FOLDS`` is ``TEST_FOLD`` are held out: their
-labels are never read.
+labels are never read. Each label teaches with one text (of rows that share an id, the one of least hash).
 
 Defined cases: a null text is an empty one; an empty text has all statistics at zero and gets the score of the rules
 it meets. A null id counts as empty text in the fold rule. Null labels are ignored, several labels of one id are
@@ -23,6 +23,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kickoff.session import materialize
 
@@ -114,8 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     stats = statistics(F.col("text"))
     names = list(stats)
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .join(F.broadcast(chosen), "id")  # at most ``sample`` rows of two numbers
-            .select("id", "label", *(c.alias(n) for n, c in stats.items())))
+            .join(F.broadcast(chosen), "id"))  # at most ``sample`` rows of two numbers
+    # one text per label, however many rows repeat its id (a partial group limit: copies are left out before the shuffle)
+    nth = F.row_number().over(Window.partitionBy("id", "label").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("nth", nth).where("nth = 1").select("id", "label", *(c.alias(n) for n, c in stats.items()))
     rows = materialize(rows, "quality-sample").coalesce(4)
     total, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     share = positive / total if total else 0.5

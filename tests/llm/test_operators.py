@@ -431,3 +431,27 @@ def test_extra_columns_with_clashing_names(spark, tmp_path, run):
     a, b = (run(spark.read.parquet(f"{tmp_path}/{n}")) for n in ("clash", "plain"))
     assert a.columns == b.columns
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_a_training_id_on_many_rows_teaches_once(spark, tmp_path):
+    """At most one row per label is fitted on; scores of other documents do not move when one id is repeated."""
+    docs = [(k, f"word{k % 7} " * (3 + k % 50) + ("# $ % " * 30 if k % 3 == 0 else "."), k) for k in range(300)]
+    labels = spark.createDataFrame([(k, int(k % 3 != 0), 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    scores = []
+    for n, extra in enumerate(([], [docs[2]] * 500)):
+        spark.createDataFrame(docs + extra, "doc_id long, text string, clash long").repartition(3).write.parquet(f"{tmp_path}/{n}")
+        got = quality_classifier.score_documents(spark.read.parquet(f"{tmp_path}/{n}"), labels)
+        scores.append({r["doc_id"]: round(r["score"], 6) for r in got.collect()})
+    assert scores[0] == scores[1]
+
+
+def test_quality_scores_equal_a_plain_evaluation(spark):
+    """The compiled columns against the rules applied row by row to the same statistics."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.fit(docs, labels)
+    stats = docs.select("doc_id", *(c.alias(n) for n, c in quality_classifier.statistics(F.col("text")).items()))
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score_documents(docs, labels).collect()}
+    for r in stats.collect():
+        met = [all((r[name] > bound) == above for name, bound, above in rule.terms) for rule, _ in model.rules]
+        total = model.intercept + sum(w for (_, w), m in zip(model.rules, met) if m)
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
