@@ -70,6 +70,8 @@ def empty_dir(tmp_path_factory):
                              "toxic": pa.array([], pa.int32())}), d / "labels.parquet")
     pq.write_table(pa.table({"vec_id": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float32())),
                              "label": pa.array([], pa.int32())}), d / "embeddings.parquet")
+    pq.write_table(pa.table({"conv_id": pa.array([], pa.int64()), "turn": pa.array([], pa.int64()), "role": pa.array([], pa.string()),
+                             "text": pa.array([], pa.string())}), d / "conversations.parquet")
     return str(d)
 
 
