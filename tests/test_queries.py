@@ -150,24 +150,22 @@ def test_scan_prunes_columns(spark):
     assert scans and all("o_totalprice" not in l for l in scans)
 
 
-def test_medians_exact(spark):
+def test_medians_exact(spark, monkeypatch):
     from kickoff.operators import medians as M
+    from kickoff.operators import order_stats as OS
 
     data = pd.DataFrame({"a": [1.0, 2.0, 2.0, 3.0, 10.0, None], "b": [5, 5, 5, 1, 9, 7]})
     df = spark.createDataFrame(data)
     got = M.exact_medians(df, ["a", "b"])
     assert got["a"] == 2.0 and got["b"] == 5.0
     big = spark.range(0, 100001).selectExpr("cast((id * 7919) % 100001 as double) as x", "cast(id % 3 as double) as y")
-    old = M.MAX_BRACKET, M.ACCURACY
-    try:
-        for bracket, accuracy in ((100, 10_000), (3, 20)):  # force refinement rounds and poor sketches
-            M.MAX_BRACKET, M.ACCURACY = bracket, accuracy
-            skewed = big.selectExpr("x", "y", "if(x < 3, 1e300, x) as far", "if(x < 50001, 0, x) as low",
-                                    "if(x < 50000, -1e9, 1e9) as gap", "cast(null as double) as none", "if(x > 9, double('nan'), x) as few")
-            got = M.exact_medians(skewed, skewed.columns)
-            assert got == {"x": 50000.0, "y": 1.0, "far": 50003.0, "low": 0.0, "gap": 1e9, "none": None, "few": 4.5}
-    finally:
-        M.MAX_BRACKET, M.ACCURACY = old
+    for listed, step in ((100, 12), (0, 5)):  # force refinement passes and coarse sections
+        monkeypatch.setattr(OS, "LISTED", listed)
+        monkeypatch.setattr(OS, "STEP", step)
+        skewed = big.selectExpr("x", "y", "if(x < 3, 1e300, x) as far", "if(x < 50001, 0, x) as low",
+                                "if(x < 50000, -1e9, 1e9) as gap", "cast(null as double) as none", "if(x > 9, double('nan'), x) as few")
+        got = M.exact_medians(skewed, skewed.columns)
+        assert got == {"x": 50000.0, "y": 1.0, "far": 50003.0, "low": 0.0, "gap": 1e9, "none": None, "few": 4.5}
 
 
 def test_p_values():

@@ -40,3 +40,10 @@ def test_idle_keys_are_forgotten(spark, tmp_path):
     assert (5, 10.0, 99.0) in got
     got = feed(spark, f"{tmp_path}/short", batches, idle=dt.timedelta(days=2))
     assert (6, 20.0, 40.0) in got and not [r for r in got if r[0] == 5]  # key 1 was idle for over two days
+
+
+def test_rows_without_a_period_are_fed(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01"), (2, "2024-02"), (3, None), (4, "2024-01")], "id long, month string")
+    seen = []
+    SR._feed(spark, rows, "month", "id", str(tmp_path), "id long", lambda batch, epoch: seen.append(sorted(r["id"] for r in batch.collect())))
+    assert seen == [[3], [1, 4], [2]]
