@@ -40,6 +40,7 @@ LEXICON = 1 << 16  # most words of the lexicon
 LEXICON_BYTES = 1 << 20  # most bytes of its words together
 WORD_BYTES = 256  # most bytes of one of its words
 EXACT = 1 << 16  # counts below have a step of the histogram each, larger ones share 1024 steps per doubling
+COUNTED, COUNT_CHUNK = 1 << 16, 1 << 20  # words that a counting task holds before it sends them on; bytes of its chunks
 KEPT_WORDS = 1 << 18  # merged words a task remembers before it starts afresh
 CHUNK = 2 << 20
 
@@ -119,12 +120,12 @@ def corpus_words(docs: DataFrame, text_col: str, vocabulary_path: str) -> DataFr
             counts.clear()
             return out
 
-        for part in chunks(batches, "text", CHUNK):
+        for part in chunks(batches, "text", COUNT_CHUNK):
             texts = [s for t in part.column("text").to_pylist() if t for s in vocabulary.split(t) if isinstance(s, str)]
             pre = Pretokens(texts, classes, hasher)
             for word, n in zip(pre.words, np.bincount(pre.code, minlength=len(pre.words)).tolist()):
                 counts[word] = counts.get(word, 0) + n
-            if len(counts) >= KEPT_WORDS:
+            if len(counts) >= COUNTED:
                 yield flush()
         if counts:
             yield flush()
