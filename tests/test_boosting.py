@@ -111,3 +111,22 @@ def test_no_rows(spark):
     df, cols, *_ = table(spark, 40)
     model = BO.boost(df.limit(0), cols, [SPECS[0]])[0]
     assert np.allclose(BO.softmax(model.scores(np.zeros((5, 2), np.uint8))), 1 / 3)
+
+
+def test_nodes_and_values_of_an_uneven_tree():
+    tree = BO.Tree.empty(3)
+    tree.value[:] = np.arange(15)
+    tree.feature[[0, 2, 6]], tree.split[[0, 2, 6]] = [0, 1, 0], [3, 2, 5]  # the left child of the root is a leaf
+    bins = np.random.default_rng(1).integers(0, 8, (2, 300)).astype(np.uint8)
+    expected = [1 if a <= 3 else 5 if b <= 2 else 13 if a <= 5 else 14 for a, b in bins.T]
+    assert tree.nodes(bins, 3).tolist() == expected and tree.values(bins, 3).tolist() == expected
+    assert tree.nodes(bins, 1).tolist() == [1 if a <= 3 else 2 for a in bins[0]]
+
+
+def test_a_pass_has_a_task_for_every_core(spark, monkeypatch):
+    df, cols, *_ = table(spark, 3000)
+    seen, passed = [], BO._pass
+    monkeypatch.setattr(BO, "ONE_TASK", 0)
+    monkeypatch.setattr(BO, "_pass", lambda blocks, *a: (seen.append(a[-1]), passed(blocks, *a))[1])
+    BO.boost(df, cols, [BO.Spec("one", rounds=1, depth=1)])
+    assert seen == [min(max(spark.sparkContext.defaultParallelism, 1), 12)]
