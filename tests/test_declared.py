@@ -163,3 +163,29 @@ def test_hostile_pages(page):
 
 def test_unclosed_raw_text_ends_with_the_page():
     assert pages.visible_text("a<script>b</p>") == "a" and pages.visible_text("a<!-- b <p>") == "a" and pages.visible_text("a<style>x</style") == "a"
+
+
+def test_absences_meet_days_of_a_team_not_contests(spark, tmp_path, monkeypatch):
+    from kickoff.plans import declared
+
+    days = [dt.datetime(2000, 1, 5)] * 4 + [dt.datetime(2000, 3, 1)]
+    orders = [(k * 200, 20, d) for k, d in enumerate(days)] + [(None, 20, days[0]), (0, 20, days[0])]  # a repeated and a missing id
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(10, 20, 1, 3.0, 0.04, dt.datetime(2000, 1, 4)), (20, 20, 2, 1.0, 0.01, dt.datetime(2000, 1, 5)), (30, 20, 1, 2.0, 0.09, dt.datetime(2000, 2, 1))]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_shipdate timestamp") \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    met, join = [], intervals.interval_join
+    monkeypatch.setattr(declared.intervals, "interval_join", lambda points, *a: (met.append(points.count()), join(points, *a))[1])
+    got = sorted(tuple(r) for r in declared.absence_impact(spark, str(tmp_path)).where("is_home").collect() if r["match_id"] is not None)
+    assert got == [(0, True, 4, 10, 2), (0, True, 4, 10, 2), *[(k, True, 2, 5, 2) for k in (200, 400, 600)], (800, True, 0, 0, 0)]
+    assert met[0] <= 2 * 2 + 2 * 4  # two home days, and at most four away sides on each; fourteen sides in all
+
+
+def test_naive_bayes_writes_no_table_of_documents_and_words(spark, monkeypatch):
+    written, write = [], bayes.materialize
+    monkeypatch.setattr(bayes, "materialize", lambda df, name: (written.append(df.columns), write(df, name))[1])
+    rows = [(1, "a b b", "x"), (1, "c", "x"), (2, "b d", "y"), (3, "a z", None)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    got = {(r["id"], r["class"]): r["score"] for r in bayes.naive_bayes(df, "id", "text", "lang", F.lit(True)).collect()}
+    assert not [c for c in written if "id" in c]
+    assert got[3, "x"] == pytest.approx(np.log(0.5) + np.log(2 / 8)) and got[3, "y"] == pytest.approx(np.log(0.5) + np.log(1 / 6))
