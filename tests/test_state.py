@@ -47,3 +47,7 @@ def test_rows_without_a_period_are_fed(spark, tmp_path):
     seen = []
     SR._feed(spark, rows, "month", "id", str(tmp_path), "id long", lambda batch, epoch: seen.append(sorted(r["id"] for r in batch.collect())))
     assert seen == [[3], [1, 4], [2]]
+
+
+def test_state_partitions_follow_cores_and_size():
+    assert [SR.state_partitions(size, 12) for size in (0, 10 << 20, 100 << 20, 64 << 30)] == [4, 10, 24, 1024]
