@@ -167,3 +167,15 @@ def test_match_features_wide(spark):
     r = mf.where(F.col("home_form5_points").isNotNull() & F.col("away_form5_points").isNotNull()).first()
     assert r.diff_form5_points == r.home_form5_points - r.away_form5_points
     assert not math.isnan(r.elo_diff)
+
+
+def test_a_task_of_the_windows_holds_blocks_of_a_hot_team_not_its_history(spark):
+    from pyspark.sql import functions as F
+
+    from kickoff.operators.blocked import block_width, dealt, single_block
+
+    hot = spark.range(240_000).select(F.lit("L").alias("div"), F.lit("T").alias("team"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 1000).cast("int")).alias("match_date"))
+    width = block_width(hot, ["div", "team"])
+    assert not single_block(width) and 300 <= width <= 500  # some 100,000 of 240,000 rows in 1000 days
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt(hot, ["team"], 100_000 * (usual + 5)).rdd.getNumPartitions() == usual + 5
