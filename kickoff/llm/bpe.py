@@ -41,8 +41,8 @@ LEXICON_BYTES = 1 << 20  # most bytes of its words together
 WORD_BYTES = 256  # most bytes of one of its words
 EXACT = 1 << 16  # counts below have a step of the histogram each, larger ones share 1024 steps per doubling
 COUNTED, COUNT_CHUNK = 1 << 16, 1 << 20  # words that a counting task holds before it sends them on; bytes of its chunks
-KEPT_WORDS = 1 << 18  # merged words a task remembers before it starts afresh
-CHUNK = 2 << 20
+KEPT_WORDS = 1 << 17  # merged words a task remembers before it starts afresh (some 250 bytes each)
+CHUNK = 1 << 19  # bytes of an encoding chunk; hashing its words takes some 60 bytes each
 
 
 def byte_alphabet() -> list[str]:
@@ -308,7 +308,8 @@ class Encoder:
         if entry is None:
             if len(self.merged) >= KEPT_WORDS:
                 self.merged.clear()
-            entry = self.merged[word] = self._entry(self.vocabulary.merge(word))
+            n, written, decoded = self._entry(self.vocabulary.merge(word))
+            entry = self.merged[word] = n, written, word if decoded == word else decoded  # not held twice
         return entry
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, bytes]]:

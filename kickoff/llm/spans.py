@@ -24,10 +24,15 @@ _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two h
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Bijective 64-bit finaliser (splitmix64)."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    """Bijective 64-bit finaliser (splitmix64) of a copy of ``x``, in two arrays of its size."""
+    x = x.astype(_U)
+    part = x >> _U(30)
+    x ^= part
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= np.right_shift(x, _U(27), out=part)
+    x *= _U(0x94D049BB133111EB)
+    x ^= np.right_shift(x, _U(31), out=part)
+    return x
 
 
 class SpanHasher:
@@ -51,8 +56,10 @@ class SpanHasher:
         power, inverse = self._powers(lane, len(units) + 1)
         value = mix(np.arange(256, dtype=_U) + _U(1 + 1000 * lane))[units] if units.dtype == np.uint8 else \
             mix(units.astype(_U) + _U(1 + 1000 * lane))
+        value *= power[: len(units)]
         total = np.zeros(len(units) + 1, _U)
-        np.cumsum(value * power[: len(units)], out=total[1:])
+        np.cumsum(value, out=total[1:])
+        del value
         return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(_U))
 
 

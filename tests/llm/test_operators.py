@@ -1,15 +1,18 @@
 """Every query against its plain formulation, over stored tables that hold all awkward cases."""
 
 import math
+import tracemalloc
 
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kickoff.llm import (bpe, components, language_model, mixing, quality_classifier, quality_rules, queries, secret_scan, simhash,
                          spans, substring_dedup, token_counts, topk_search)
+from kickoff.llm.blocks import chunks
 
 
 def key(row):
@@ -398,6 +401,21 @@ def test_lexicon_numbers_words_and_rejects_others(tmp_path):
     assert empty.numbers([b"", b"a"]).tolist() == [-1, -1]
 
 
+def test_encoding_holds_little_memory():
+    """One worker's encoding of 2 MB of text, in its own chunks (some 150 MB at once with chunks of 2 MB)."""
+    vocabulary = bpe.Vocabulary(bpe.public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = bpe.Encoder(vocabulary, bpe.Lexicon.build([], []), spans.load_classes(spans.class_table(vocabulary.pieces)))
+    numbers = np.random.default_rng(3).integers(0, 5000, 200_000).tolist()
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"word{n:05d}" for n in numbers[i: i + 500]) for i in range(0, len(numbers), 500)]})
+    tracemalloc.start()
+    try:
+        count = sum(n for part in chunks([batch], "text", bpe.CHUNK) for n, _, _ in encoder.encode(part.column("text").to_pylist()))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert count > len(numbers) and peak < 60e6, peak
+
+
 def test_pretokens_are_the_tokenizers_own():
     import random
 
