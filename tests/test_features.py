@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from kickoff.operators.perspective import team_long
 from kickoff.operators.team_windows import team_features
+from kickoff.plans import features as FE
+from kickoff.session import materialize
 
 ONE_BLOCK = 1 << 20
 
@@ -179,3 +181,25 @@ def test_a_task_of_the_windows_holds_blocks_of_a_hot_team_not_its_history(spark)
     assert not single_block(width) and 300 <= width <= 500  # some 100,000 of 240,000 rows in 1000 days
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert dealt(hot, ["team"], 100_000 * (usual + 5)).rdd.getNumPartitions() == usual + 5
+
+
+def test_model_ready_computes_only_the_columns_it_returns(spark, tmp_path, monkeypatch):
+    """The written table holds no column that is dropped afterwards, and windows of others are not computed; fewer wanted features, same values."""
+    written = []
+
+    def keep(df, name):
+        written.append(df)
+        return materialize(df, name)
+
+    k = F.col("id")
+    spark.range(3000).select(k.alias("o_orderkey"), (k * 7 % 150).alias("o_custkey"), F.date_add(F.lit("1995-01-01").cast("date"), (k % 900).cast("int"))
+                             .cast("timestamp").alias("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(FE, "materialize", keep)
+    features = FE.match_features(spark, str(tmp_path))
+    whole, some = FE.model_ready(features), FE.model_ready(features, wanted=["diff_season_ppg", "odds_home_away_diff"])
+    assert set(written[0].columns) == set(whole.columns)
+    assert set(written[1].columns) == set(some.columns) == {*FE.META, "diff_season_ppg", "odds_home_away_diff", *FE.TARGETS}
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "form5_win_rate" in plan and "form10_win_rate" not in plan
+    assert whole.count() > 1000
+    assert sorted(map(tuple, whole.select(*some.columns).collect()), key=str) == sorted(map(tuple, some.collect()), key=str)
