@@ -89,6 +89,30 @@ def test_cell_index_of_odd_vectors(spark, tmp_path):
     assert retrieval.nearest(spark, empty, none, df, "i", "e").collect() == []
 
 
+def test_cells_are_cut_by_their_own_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "ROWS_PER_CELL", 40)
+    monkeypatch.setattr(retrieval, "GROUP_BYTES", 8 * 4 * 16)  # 16 rows or queries a group
+    monkeypatch.setattr(retrieval, "TILE", 50)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(400, 4)).astype(np.float32)
+    v[7:19] = v[6]  # ties
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "i long, e array<float>").repartition(3)
+    path, centroids = retrieval.build_index(df, "i", "e", f"{tmp_path}/cells")
+    index = spark.read.parquet(path)
+    assert index.schema["v"].dataType.simpleString() == "array<float>"
+    cut = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), (F.max("chunk") + 1).alias("parts")).collect()
+    assert len(cut) > 1 and all(r["parts"] <= -(-r["n"] // 16) for r in cut) and max(r["parts"] for r in cut) > 1
+    got = {}
+    for r in retrieval.nearest(spark, path, centroids, df, "i", "e", probes=len(centroids)).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["cosine"], r["id"]
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    for q in range(400):
+        score = u @ u[q]
+        score[q] = -2
+        assert [got[q][k][0] for k in range(1, 11)] == pytest.approx(np.sort(score)[::-1][:10].tolist())
+        assert all(score[i] == pytest.approx(c) for c, i in got[q].values()) and len({i for _, i in got[q].values()}) == 10
+
+
 def test_values_at_ranks(spark):
     rng = np.random.default_rng(1)
     n = 30_001
