@@ -6,7 +6,8 @@ line is cut by bytes), keyed by document and position in the *output*. One excha
 by (document, position), streams the pieces of a document in output order into an incremental digest.
 The same pass reads the sentinels back out of that stream, which tells each piece's place in the text;
 a second sort of the same partition (no second exchange) streams the pieces in text order into the digest of
-the restored text. A task holds one batch of pieces and two digests, whatever the length of a text.
+the restored text. A task holds one batch of pieces, ``ROWS`` of them as Python values, and
+two digests, whatever the length of a text.
 
 The key of a document is its partition and its position there, so repeated ids are documents of their own
 and a hot id is spread. Documents should be a stored table (or any input that gives the same rows in
@@ -40,6 +41,7 @@ SEED = 7
 PIECE = 16 << 10  # bytes of a piece: a batch of pieces stays small
 PARTITION = 32 << 20  # bytes of input per partition of the exchange
 TAIL = 3  # place of the row that closes a document
+ROWS = 512  # pieces that a task holds as Python values at a time
 
 
 def draw(number: str, seed: int = SEED) -> tuple[int, int, int, int]:
@@ -120,7 +122,7 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
             return (key, TAIL, 0, None, *opening, digest.hexdigest(), *([b"".join(kept).decode()] * with_output))
 
         nothing = (None,) * (len(text_schema) - 4)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 piece = row[2]
@@ -143,7 +145,7 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pieces in text order, closed by the document's row: digest of the restored text."""
         digest = hashlib.sha256()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             places, pieces = batch.column("place").to_pylist(), batch.column("piece").to_pylist()
             for i, (place, piece) in enumerate(zip(places, pieces)):
@@ -163,6 +165,13 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
         restore, f"`{id_col}` {head_ddl[3:]}, output_sha256 string{extra}, restored_sha256 string")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

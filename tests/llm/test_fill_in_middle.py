@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,10 @@ def test_rate_and_extra_columns(spark, tmp_path):
     assert rows_of(fill_in_middle.transform(docs)) == sorted((plain_version(*r)[0] for r in rows), key=key)
     forms = {f: n for f, n in fill_in_middle.transform(docs, rate=50, spm=0).groupBy("form").count().collect()}
     assert set(forms) == {"plain", "psm"} and 70 < forms["plain"] < 130
+
+
+def test_a_task_holds_few_pieces_as_values():
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1300))})
+    parts = list(fill_in_middle.slices([batch, batch.slice(0, 0), batch.slice(0, 3)]))
+    assert [p.num_rows for p in parts] == [512, 512, 276, 3]
+    assert [x for p in parts for x in p.column("x").to_pylist()] == [*range(1300), 0, 1, 2]
