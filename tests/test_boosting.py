@@ -130,3 +130,36 @@ def test_a_pass_has_a_task_for_every_core(spark, monkeypatch):
     monkeypatch.setattr(BO, "_pass", lambda blocks, *a: (seen.append(a[-1]), passed(blocks, *a))[1])
     BO.boost(df, cols, [BO.Spec("one", rounds=1, depth=1)])
     assert seen == [min(max(spark.sparkContext.defaultParallelism, 1), 12)]
+
+
+@pytest.mark.parametrize("depth", [0, 1, 4, 8])
+def test_nodes_and_values_of_whole_columns(depth):
+    rng = np.random.default_rng(depth)
+    tree, inner = BO.Tree.empty(depth), (1 << depth) - 1
+    tree.feature[:inner] = np.where(rng.random(inner) < 0.85, rng.integers(0, 5, inner), -1)
+    tree.split[:inner] = rng.integers(0, 63, inner)
+    tree.value[:] = rng.normal(size=len(tree.value))
+    bins = rng.integers(0, 64, (5, 300)).astype(np.uint8)
+    for steps in range(depth + 1):
+        want = []
+        for row in bins.T:
+            node = 0
+            for _ in range(steps):
+                if tree.feature[node] < 0:
+                    break
+                node = 2 * node + 1 + int(row[tree.feature[node]] > tree.split[node])
+            want.append(node)
+        assert tree.nodes(bins, steps).tolist() == want and tree.values(bins, steps).tolist() == tree.value[want].tolist()
+
+
+def test_whole_columns_are_looked_up_in_bytes(monkeypatch):
+    """A value per node and row is not put together: one look-up of node numbers a tree."""
+    def never(*a):
+        raise AssertionError("rows were handled in values")
+
+    tree = BO.Tree.empty(4)
+    tree.feature[:15], tree.value[:] = 0, np.arange(31)
+    tree.split[:15] = [31, 15, 47, 7, 23, 39, 55, 3, 11, 19, 27, 35, 43, 51, 59]
+    monkeypatch.setattr(np, "where", never)
+    bins = np.arange(64, dtype=np.uint8)[None]
+    assert tree.values(bins, 4).tolist() == [15 + b // 4 for b in range(64)]
