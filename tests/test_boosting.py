@@ -163,3 +163,52 @@ def test_whole_columns_are_looked_up_in_bytes(monkeypatch):
     monkeypatch.setattr(np, "where", never)
     bins = np.arange(64, dtype=np.uint8)[None]
     assert tree.values(bins, 4).tolist() == [15 + b // 4 for b in range(64)]
+
+
+def test_features_are_counted_in_groups():
+    """Every feature is in one group of few combinations, and the counts of a group are those of its features."""
+    rng, sizes = np.random.default_rng(4), (64, 3, 64, 17, 2, 5, 40)
+    groups = BO.groups_of(sizes, 4096)
+    assert sorted(f for group in groups for f in group) == list(range(len(sizes))) and len(groups) < 5
+    assert all(np.prod([sizes[f] for f in group]) <= 4096 for group in groups)
+    assert all(len(group) == 1 or np.prod([sizes[f] for f in group]) <= 64 for group in BO.groups_of(sizes, 64))
+    n = 20_000
+    bins = np.array([rng.integers(0, k, n) for k in sizes], np.uint8)
+    gh = rng.normal(size=(2, n)) + 1j * rng.normal(size=(2, n))
+    trees = [BO.Tree.empty(2) for _ in gh]
+    for tree, (feature, split, smaller) in zip(trees, ((0, 20, 0), (3, 5, 1))):
+        tree.feature[0], tree.split[0], tree.smaller[0] = feature, split, smaller
+    for level in (0, 1):
+        got = BO.histograms(bins, BO.coded(bins, sizes, level), gh, level, trees, sizes, BO.Scratch())
+        for k, tree in enumerate(trees):
+            rows = np.flatnonzero(tree.nodes(bins, 1) == 1 + tree.smaller[0]) if level else np.arange(n)
+            for f in range(len(sizes)):
+                for i, weights in enumerate((np.ones(n), gh[k].real, gh[k].imag)):
+                    assert np.allclose(got[k, i, 0, f], np.bincount(bins[f, rows], weights[rows], BO.BINS))
+
+
+def test_scores_are_brought_up_to_date_once_a_round(trained, monkeypatch):
+    """No pass adds the trees of earlier rounds again: that is done once a round, and the blocks keep the scores."""
+    models, df, cols, x, _ = trained
+    turns, advanced = [], BO._advanced
+    monkeypatch.setattr(BO, "ONE_TASK", 0)
+    monkeypatch.setattr(BO, "_advanced", lambda blocks, models, turn, *a: (turns.append(turn), advanced(blocks, models, turn, *a))[1])
+    got = BO.boost(df, cols, SPECS)
+    assert turns == list(range(max(s.rounds for s in SPECS) - 1))
+    for a, b in zip(models, got):
+        bins = BO.to_bins(x.T, a.edges)
+        assert np.allclose(a.scores(bins), b.scores(bins), atol=1e-9)
+
+
+def test_a_block_holds_rows_of_several_batches(spark, monkeypatch):
+    df, cols, x, _ = table(spark, 700)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "90")
+    monkeypatch.setattr(BO, "BLOCK_ROWS", 400)
+    try:
+        blocks = BO.to_blocks(df.coalesce(1), cols, BO.bin_edges(df, cols)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [b["n"] for b in blocks] == [400, 300]
+    idx = np.concatenate([np.frombuffer(b["idx"], np.int64) for b in blocks])
+    assert sorted(idx) == list(range(700))
