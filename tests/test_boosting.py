@@ -178,8 +178,8 @@ def test_features_are_counted_in_groups():
     trees = [BO.Tree.empty(2) for _ in gh]
     for tree, (feature, split, smaller) in zip(trees, ((0, 20, 0), (3, 5, 1))):
         tree.feature[0], tree.split[0], tree.smaller[0] = feature, split, smaller
-    for level in (0, 1):
-        got = BO.histograms(bins, BO.coded(bins, sizes, level), gh, level, trees, sizes, BO.Scratch())
+    for level, most in ((0, 4096), (1, 4096), (1, 1)):
+        got = BO.histograms(bins, BO.coded(bins, sizes, most), gh, level, trees, sizes, BO.Scratch())
         for k, tree in enumerate(trees):
             rows = np.flatnonzero(tree.nodes(bins, 1) == 1 + tree.smaller[0]) if level else np.arange(n)
             for f in range(len(sizes)):
