@@ -128,6 +128,27 @@ def test_blocked_windows_equal_single_block(spark):
     assert not bad, bad[:3]
 
 
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_cuts_of_the_stream_do_not_change_the_features(spark, monkeypatch, inclusive):
+    """A key whose rows come in many chunks, with and without time blocks, has the features of one chunk."""
+    from kickoff.operators import team_sums
+    from kickoff.sources.contests import contests
+
+    tl = team_long(contests(spark, SF_SMALL)).cache()
+    whole = sorted(map(str, team_features(tl, ONE_BLOCK, inclusive=inclusive).collect()))
+    monkeypatch.setattr(team_sums, "CHUNK", 5)
+    for width in (ONE_BLOCK, 40):
+        assert sorted(map(str, team_features(tl, width, inclusive=inclusive).collect())) == whole
+
+
+def test_team_features_are_one_sorted_stream(spark):
+    """No window operator buffers the rows of a team: one exchange, one sort, one stream."""
+    from kickoff.plans.features import side_features
+
+    plan = side_features(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Window [" not in plan and plan.count("Sort [") == 1 and plan.count("MapInArrow") == 1
+
+
 def test_elo_zero_sum_and_initial(spark, sample):
     from kickoff.operators.elo import elo_current, elo_history
 
