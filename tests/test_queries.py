@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from contest_samples import SF_SMALL
@@ -204,3 +205,21 @@ def test_calendar_functions(spark):
     assert [x.s for x in r] == ["2017-18", "2017-18"]
     assert (r[0].w, r[0].we) == (5, 1)  # Saturday, Monday = 0
     assert r[0].mw == 6
+
+
+def test_correlations_of_many_columns_are_vectorised_moments(spark):
+    """No aggregation with a buffer a column: batches are reduced by column, and parts merge to the same r."""
+    from kickoff.operators import stats as ST
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(3, 900)) * 100 + 1500, rng.integers(-1, 2, 900)
+    rows = [(*(None if (i + k) % 7 == 0 else float(v) for k, v in enumerate(x[:, i])), None, None if i % 11 == 0 else int(y[i])) for i in range(900)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, target_num int").repartition(5)
+    out = ST.correlations(df, ["a", "b", "c", "d"], digits=None)
+    assert "corr(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["feature"]: (r["n"], r["r"]) for r in out.collect()}
+    for k, c in enumerate("abc"):
+        both = [i for i in range(900) if (i + k) % 7 and i % 11]
+        assert got[c][0] == len(both) and got[c][1] == pytest.approx(np.corrcoef(x[k, both], y[both])[0, 1], rel=1e-10)
+    assert got["d"] == (0, None)
+    assert {(r["feature"], r["n"], r["r"]) for r in ST.correlations(df.limit(0), ["a", "b"]).collect()} == {("a", 0, None), ("b", 0, None)}
