@@ -212,3 +212,31 @@ def test_a_block_holds_rows_of_several_batches(spark, monkeypatch):
     assert [b["n"] for b in blocks] == [400, 300]
     idx = np.concatenate([np.frombuffer(b["idx"], np.int64) for b in blocks])
     assert sorted(idx) == list(range(700))
+
+
+def test_a_table_of_several_small_ones_is_still_a_task_an_ensemble(trained, monkeypatch):
+    """No passes up to LARGER times ONE_TASK rows; blocks of several partitions in any order give the same trees."""
+    def never(*a):
+        raise AssertionError("a pass was started")
+
+    models, df, cols, x, _ = trained
+    for name, value in (("ONE_TASK", 300), ("BLOCK_ROWS", 200), ("_pass", never)):
+        monkeypatch.setattr(BO, name, value)
+    for a, b in zip(models, BO.boost(df, cols, SPECS)):
+        bins = BO.to_bins(x.T, a.edges)
+        assert np.allclose(a.scores(bins), b.scores(bins), atol=1e-9)
+
+
+def test_what_tasks_run_needs_no_installed_package():
+    """Functions travel by value; one behind a C wrapper (as lru_cache) would be looked up by name on the executor."""
+    import subprocess
+    import sys
+    import tempfile
+
+    from pyspark import cloudpickle
+
+    with tempfile.TemporaryDirectory() as empty:
+        done = subprocess.run([sys.executable, "-c", "import pickle, sys; f = pickle.load(sys.stdin.buffer); assert f((4, 4), 64) == [[0, 1]]"],
+                              input=cloudpickle.dumps(BO.groups_of), cwd=empty, env={"PATH": "/usr/bin", "PYTHONPATH": ":".join(
+                                  p for p in sys.path if "pyspark" in p or "py4j" in p)}, capture_output=True)
+    assert done.returncode == 0, done.stderr.decode()
