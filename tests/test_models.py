@@ -39,3 +39,14 @@ def test_batch_predict_uses_the_selected_model_and_quoted_prices(spark, few_tree
         edge = 0.0 if h is None else r["prob_home_win"] - 1 / h / (1 / h + 1 / d + 1 / a)
         assert r["value_home"] == pytest.approx(edge)
     assert any(r["value_home"] for r in got.values())
+
+
+def test_a_forest_keeps_the_nodes_of_its_rows_while_they_are_small(spark, monkeypatch):
+    rows = spark.range(600).selectExpr("cast(id % 3 as double) label", "cast(id % 3 + id % 7 as double) a", "cast(id * 31 % 17 as double) b")
+    kept, trees = [], []
+    real = TR.RandomForestClassifier
+    monkeypatch.setattr(TR, "RandomForestClassifier", lambda **p: kept.append(p["cacheNodeIds"]) or real(**p))
+    for most in (1 << 29, 1000):
+        monkeypatch.setattr(TR, "NODE_ID_BYTES", most)
+        trees.append(TR.fit_forest(rows, ["a", "b"], numTrees=3, maxDepth=4).models[0].toDebugString.split("\n", 1)[1])
+    assert kept == [True, False] and trees[0] == trees[1]
